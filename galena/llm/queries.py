@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from galena.llm.exact_dedup import exact_groups
 from galena.llm.bpe import encode_documents, read_ranks
 from galena.llm.scratch import Scratch
+from galena.llm.warc import page_archives, read_pages
 from galena.llm.token_files import read_token_files, write_token_files
 
 
@@ -32,10 +33,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN).drop("ids")
 
 
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    scratch.keep("archives", page_archives(_table(spark, sf_dir, "pages")))
+    return read_pages(spark, scratch.path("archives"), scratch)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_arc_to_warc": op10_arc_to_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -52,4 +60,14 @@ ORACLE_SQL: dict[str, str] = {
                CAST(raw_len AS INTEGER) AS raw_len
         FROM n
         WINDOW w AS (PARTITION BY norm ORDER BY raw_len DESC, doc_id NULLS LAST)""",
+    "op10_arc_to_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+            FROM pages)
+        SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+               url AS target_uri
+        FROM p""",
 }
