@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from galena.llm.exact_dedup import exact_groups
 from galena.llm.bpe import encode_documents, read_ranks
+from galena.llm.decontaminate import contamination
 from galena.llm.scratch import Scratch
 from galena.llm.warc import page_archives, read_pages
 from galena.llm.token_files import read_token_files, write_token_files
@@ -22,6 +23,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-files").root
     write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -40,6 +45,7 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
