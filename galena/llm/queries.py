@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from galena.llm.exact_dedup import exact_groups
 from galena.llm.bpe import encode_documents, read_ranks
 from galena.llm.decontaminate import contamination
+from galena.llm.near_dedup import near_classes
+from galena.llm.quality import judge
 from galena.llm.scratch import Scratch
 from galena.llm.warc import page_archives, read_pages
 from galena.llm.token_files import read_token_files, write_token_files
@@ -33,6 +35,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, with_ids=False)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encode_documents(_table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN).drop("ids")
@@ -47,8 +57,10 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
+    "op5_quality": op5_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_near_dedup": op9_near_dedup,
     "op10_arc_to_warc": op10_arc_to_warc,
 }
 
