@@ -75,7 +75,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _rows(docs, id_col, text_col)
     cut = _blocks(rows, block_bytes)
 
-    distinct = cut.select(F.explode("blocks").alias("block")).select(_hash(F.col("block"), hash_bits).alias("h"), "block").groupBy("h", "block").agg(F.lit(1).alias("one"))
+    # explode() would infer a filter on blocks, and Catalyst would push it down to where each block cuts its text anew.
+    distinct = cut.select(F.explode_outer("blocks").alias("block")).filter("block is not null").select(_hash(F.col("block"), hash_bits).alias("h"), "block").groupBy("h", "block").agg(F.lit(1).alias("one"))
     hashes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
     names = scratch.keep("names0", _named(hashes, F.pmod("h", F.lit(SHARDS)), ["h"], F.col("texts")))
 
@@ -120,7 +121,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _clashing(cut: DataFrame, clashes: DataFrame, hash_bits: int) -> DataFrame:
     """Nodes whose block shares its hash with another block: named by their bytes."""
     keyed = cut.withColumn("text_sha256", F.sha2("raw", 256)).withColumn("raw_len", F.length("text")).withColumn("k1", _key("a")).withColumn("k2", _key("b"))
-    held = keyed.select("k1", "k2", "n_blocks", F.posexplode("blocks").alias("i", "block")).withColumn("h", _hash(F.col("block"), hash_bits))
+    held = keyed.select("k1", "k2", "n_blocks", F.posexplode_outer("blocks").alias("i", "block")).filter("block is not null").withColumn("h", _hash(F.col("block"), hash_bits))
     held = held.join(clashes.select("h", F.col("name").alias("base")), "h")
     order = held.select("h", "base", "block").distinct().withColumn("name", F.col("base") + F.row_number().over(Window.partitionBy("h").orderBy("block")) - 1)
     return held.join(order.drop("base"), ["h", "block"]).select("k1", "k2", "n_blocks", "i", "name").distinct()
