@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from galena.llm.backoff import corpus_scores
 from galena.llm.chat import CONTROL, round_trip
@@ -15,6 +16,7 @@ from galena.llm.decontaminate import contamination
 from galena.llm.near_dedup import near_classes
 from galena.llm.quality import judge
 from galena.llm.scratch import Scratch
+from galena.llm.suffixes import repeated_passages
 from galena.llm.warc import page_archives, read_pages
 from galena.llm.token_files import read_token_files, write_token_files
 
@@ -48,7 +50,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_scores(_table(spark, sf_dir, "documents"))
+    return corpus_scores(_table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("repeated", lambda s: F.concat(s.start.cast("string"), F.lit("-"), s.end.cast("string"))), ",")
+    return repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", spans.alias("spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_lm_scores": op4_lm_scores,
     "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
@@ -113,6 +121,24 @@ ORACLE_SQL: dict[str, str] = {
                    CAST(sum(24 + length(role) + length(text) + {_ADDED.format("text")} + {_ADDED.format("role")}) AS BIGINT) AS formatted_chars
             FROM c GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op4_lm_scores": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT doc_id, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS c, w[i] AS w FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+        g AS (SELECT c, w, count(*) AS n FROM t GROUP BY ALL),
+        x AS (SELECT c, sum(n) AS n FROM g GROUP BY c),
+        s AS (SELECT doc_id, avg(ln(g.n / x.n)) AS score FROM t JOIN g USING (c, w) JOIN x USING (c) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, round(score, 6) AS score FROM d LEFT JOIN s USING (doc_id)""",
+    "op6_suffix_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, i, hash(w[i + 1:i + 50]) AS h FROM d, unnest(range(0, greatest(len(w) - 49, 0))) AS u(i)),
+        r AS (SELECT h FROM p GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+        o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM p JOIN r USING (h)),
+        n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+        s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, k),
+        z AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_repeated, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_repeated, 0) AS n_repeated, coalesce(spans, '') AS spans FROM d LEFT JOIN z USING (doc_id)""",
     "op9_near_dedup": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
