@@ -1,6 +1,6 @@
 """Named queries over the star-schema tables, with their SQL."""
 
-from galena.plans import scoring, shaping, training
+from galena.plans import reports, scoring, shaping, training
 
-REGISTRY = {**scoring.QUERIES, **shaping.QUERIES, **training.QUERIES}
-SQL = {**scoring.SQL, **shaping.SQL, **training.SQL}
+REGISTRY = {**scoring.QUERIES, **shaping.QUERIES, **training.QUERIES, **reports.QUERIES}
+SQL = {**scoring.SQL, **shaping.SQL, **training.SQL, **reports.SQL}
