@@ -110,11 +110,8 @@ def packed_grams(texts: DataFrame, order: int, shards: int) -> DataFrame:
                 spread = np.diff(np.append(first, len(k)))
                 shard = (k[first] >> np.uint64(32)) % np.uint64(shards)
                 order_of = np.argsort(shard, kind="stable")
-                bounds = np.searchsorted(shard[order_of], np.arange(shards + 1))
-                for s in range(shards):
-                    own = order_of[bounds[s] : bounds[s + 1]]
-                    if not len(own):
-                        continue
+                present, begin = np.unique(shard[order_of], return_index=True)  # far fewer than shards, if those are many
+                for s, own in zip(present.tolist(), np.split(order_of, begin[1:]), strict=False):
                     hot = spread[own] > max(8, HOT_SHARE * n)
                     total = np.add.reduceat(times, first)[own].astype("u4")
                     held = [slice(first[i], first[i] + spread[i]) for i in own[hot]]

@@ -121,11 +121,8 @@ def _suffixes(text: DataFrame, passage: int, k: int, shards: int, wanted: np.nda
             start = passage + np.concatenate([[0], np.cumsum(sizes + passage)[:-1]])
             shard = (h >> np.uint64(32)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in range(shards):
-                own = order[cuts[s] : cuts[s + 1]]
-                if not len(own):
-                    continue
+            present, begin = np.unique(shard[order], return_index=True)  # far fewer than shards, if those are many
+            for s, own in zip(present.tolist(), np.split(order, begin[1:]), strict=False):
                 at = start[o[own]] + p[own]
                 context = stream[at[:, None] + np.arange(-left, passage)]
                 rest = (sizes[o[own]] - p[own]).astype("i4")
