@@ -13,10 +13,13 @@ components, so long texts cost little more than one point a shingle.
 Classes.  Texts of equal words are one node.  Signatures are banded; nodes that
 share a band are candidates.  Small buckets give their pairs; in a larger one
 only the smallest node is paired with the others.  Pairs are verified on the
-whole multisets.  What is not linked to its bucket's leader goes on in a smaller
-bucket, and 1 - similarity being a metric, only nodes of similarity
-2 * threshold - 1 or more to the leader can be linked to a node that is: those
-pairs are added.  So no link is lost and copies are never paired with each other.
+whole multisets.  Then the nodes outside a bucket's largest component are paired
+with its nodes of other components, until no two nodes of a bucket are left that
+are neither in one component nor verified.  Buckets with many such nodes hold
+families of half-similar texts, whose pairs grow with the square: there, only
+nodes that share one of their rarest shingles are paired, which all pairs of the
+threshold do.  So no link is lost and nodes of one component are not paired with
+each other.
 Classes are the connected components of the links.
 """
 
@@ -37,6 +40,8 @@ BANDS, ROWS = 24, 4
 THRESHOLD = 0.8
 #: Buckets of at most so many nodes give all their pairs.
 SMALL = 8
+#: Nodes of buckets with more nodes than this outside the largest component are dealt anew, by their rarest shingles.
+MINOR = 64
 #: Ids of candidates are broadcast up to this number, else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -223,30 +228,47 @@ def _linked(base: DataFrame, nodes: DataFrame, members: DataFrame, threshold: fl
     more = check.verify(apart)
     verified = verified.unionByName(more)
     comps = components(verified.filter(F.col("sim") >= threshold), scratch, "comps1")
-    step = 1
-    active = members.filter(F.col("n") > SMALL)
-    while True:
-        step += 1
-        mixed = scratch.keep(f"mixed{step}", _mixed(active, comps))
-        if mixed.isEmpty():
-            return comps
-        # A pair of one component may have been left unchecked: its similarity to the leader counts now.
-        star = mixed.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        unknown = star.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        verified = verified.unionByName(check.verify(unknown))
-        known = scratch.keep(f"known{step}", star.join(verified, ["a", "b"]).dropDuplicates(["a", "b"]).select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim"))
-        far = mixed.filter("node <> leader").join(known, ["leader", "node"])
-        near = far.filter(F.col("sim") >= threshold).select("k1", "k2", F.col("node").alias("x"), F.col("sim").alias("x_sim"), F.col("comp").alias("x_comp"))
-        middle = far.filter((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1)).select("k1", "k2", F.col("node").alias("y"), F.col("sim").alias("y_sim"), F.col("comp").alias("y_comp"))
-        close = (F.col("x_comp") != F.col("y_comp")) & (F.col("x_sim") - F.col("y_sim") <= 1 - threshold)
-        cross = near.join(middle, ["k1", "k2"]).filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        rest = far.filter(F.col("sim") < threshold).select("k1", "k2", "node")
-        heads = scratch.keep(f"heads{step}", rest.groupBy("k1", "k2").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        active = scratch.keep(f"active{step}", rest.join(heads, ["k1", "k2"]).select("k1", "k2", "node", "leader", "n"))
-        cross = cross.unionByName(active.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        cross = _apart(cross.distinct(), comps).join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        verified = verified.unionByName(check.verify(cross))
-        comps = components(verified.filter(F.col("sim") >= threshold), scratch, f"comps{step}")
+    mixed = scratch.keep("mixed", _mixed(members.filter(F.col("n") > SMALL), comps))
+    if mixed.isEmpty():
+        return comps
+    cross = _cross(mixed.filter(F.col("minor") <= MINOR))
+    many = mixed.filter(F.col("minor") > MINOR).select("node").distinct()
+    if not many.isEmpty():
+        shared = scratch.keep("shared", _mixed(_prefixes(check.texts.join(many, "node", "left_semi"), threshold, words, scratch), comps))
+        cross = cross.unionByName(_cross(shared))
+    verified = verified.unionByName(check.verify(cross.distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")))
+    return components(verified.filter(F.col("sim") >= threshold), scratch, "comps2")
+
+
+def _cross(mixed: DataFrame) -> DataFrame:
+    """Pairs of each node outside a bucket's largest component with the bucket's nodes of other components."""
+    side = ["k1", "k2"]
+    other = mixed.select(*side, F.col("node").alias("y"), F.col("comp").alias("y_comp"))
+    met = mixed.filter("comp <> largest").join(other, side).filter(F.col("comp") != F.col("y_comp"))
+    return met.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"))
+
+
+def _prefixes(texts: DataFrame, threshold: float, words: int, scratch: Scratch) -> DataFrame:
+    """Buckets (k1, k2, node) of nodes that share an element among their rarest.
+
+    Elements are occurrences of shingles. Of n elements all but the n - ceil(threshold * n) + 1
+    rarest can be left out: two texts of that similarity share one of those.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1), strict=True):
+                _, shingle, times = multisets([text.as_py().split()], words)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                element = mix(np.repeat(shingle, times) + nth.astype("u8") * _PART).view("i8")
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(element), pa.binary()), pa.array(element)], names=["node", "k1"])
+
+    elements = scratch.keep("elements", texts.select("node", "words").mapInArrow(run, "node binary, k1 long"))
+    often = scratch.keep("often", elements.groupBy("k1").agg(F.count(F.lit(1)).alias("often")))
+    ranked = elements.join(often, "k1").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "k1"))).alias("all"))
+    least = F.size("all") - F.ceil(F.size("all") * F.lit(threshold) - 1e-9).cast("int") + 1
+    kept = ranked.select("node", F.explode(F.slice("all", F.lit(1), least)).alias("x")).filter("x.often > 1")
+    return kept.select(F.col("x.k1").alias("k1"), F.col("x.k1").alias("k2"), "node")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -257,10 +279,13 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _mixed(active: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members, with comp, of buckets whose nodes are not all in one component."""
+    """Members of buckets whose nodes are not all in one component, with comp, the bucket's largest one and minor: the nodes outside it."""
+    side = ["k1", "k2"]
     held = active.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = held.groupBy("k1", "k2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k1", "k2")
-    return held.join(several, ["k1", "k2"]).select("k1", "k2", "node", "leader", "n", "comp")
+    sizes = held.groupBy(*side, "comp").agg(F.count(F.lit(1)).alias("m"))
+    several = sizes.groupBy(*side).agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).filter("all > top.m")
+    several = several.select(*side, F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.m")).alias("minor"))
+    return held.join(several, side).select(*side, "node", "comp", "largest", "minor")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

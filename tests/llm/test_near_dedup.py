@@ -90,9 +90,10 @@ def test_signatures_are_unbiased(times):
     assert abs(np.mean(seen) - true) < 4 * (true * (1 - true) / (size * 40)) ** 0.5 + 0.002
 
 
-@pytest.mark.parametrize("seed,small", [(1, 8), (2, 2)])
-def test_classes_against_brute_force(spark, monkeypatch, seed, small):
+@pytest.mark.parametrize("seed,small,minor", [(1, 8, 64), (2, 2, 1)])
+def test_classes_against_brute_force(spark, monkeypatch, seed, small, minor):
     monkeypatch.setattr(N, "SMALL", small)
+    monkeypatch.setattr(N, "MINOR", minor)
     rows = corpus(seed, 12)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
     assert Counter(map(tuple, N.near_classes(docs).collect())) == brute(rows)
