@@ -28,11 +28,11 @@ from galena.llm.scratch import Scratch
 from galena.llm.shingles import hashed, mix, words_of
 
 PASSAGE, K = 50, 8
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 #: Hashes of repeated shingles are broadcast up to this number (8 bytes each); beyond it all suffixes are dealt out.
 BROADCAST_HASHES = 4_000_000
 #: Suffixes to a shard, roughly.
-SHARD_SUFFIXES = 60_000
+SHARD_SUFFIXES = 16_000
 
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
