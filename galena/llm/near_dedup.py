@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 #: Buckets of at most so many nodes give all their pairs.
 SMALL = 8
 #: Nodes of buckets with more nodes than this outside the largest component are dealt anew, by their rarest shingles.
-MINOR = 64
+MINOR = 8
 #: Ids of candidates are broadcast up to this number, else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
