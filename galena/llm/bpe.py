@@ -6,13 +6,14 @@ a heap gives the pair of neighbours with the lowest rank, leftmost first, until
 no pair can be merged: n log n steps for a pre-token of n bytes, however long.
 
 The vocabulary fixes the size of all that is sent to the executors.  What a
-Python worker remembers is bounded by MEMO_PIECES and MEMO_BYTES.
+Python worker remembers is bounded by the MEMO constants.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -23,11 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.chunks import Memo, chunks
+from galena.llm.chunks import Pieces
 
-#: Remembered pieces of each worker, and the longest piece worth remembering.
-MEMO_PIECES = 250_000
-MEMO_BYTES = 48
+#: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
+MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 400_000, 250_000, 48
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -108,7 +108,6 @@ class ByteBPE:
         self._ready()
 
     def _ready(self) -> None:
-        self.find = regex.compile(self.pattern).findall
         index = {token: i for i, token in enumerate(self.tokens)}
         self.pairs: dict[int, int] = {}
         for i, token in enumerate(self.tokens):
@@ -116,11 +115,10 @@ class ByteBPE:
                 left, right = index.get(token[:cut]), index.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = i
-        self.pieces = Memo(MEMO_PIECES, MEMO_BYTES)
-        self.spaced = Memo(MEMO_PIECES, MEMO_BYTES)
+        self.known = Pieces(self._piece, regex.compile(self.pattern).findall, MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("find", "pairs", "pieces", "spaced")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "known")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -149,35 +147,13 @@ class ByteBPE:
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        memo = self.pieces
-        if (got := memo.new.get(piece)) is None:
-            if (got := memo.old.get(piece)) is None:
-                raw = piece.encode()
-                token = self.whole.get(raw)
-                got = np.array(self.merge(raw) if token is None else [token], "<u4").tobytes()
-            if len(piece) <= memo.longest:
-                memo.new[piece] = got
-        return got
-
-    def _cut(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.find(text)))
+        raw = piece.encode()
+        token = self.whole.get(raw)
+        return array("I", self.merge(raw) if token is None else [token]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        first, *rest = chunks(text)
-        memo = self.spaced
-        new, old, too_long = memo.new, memo.old, []
-        for chunk in set(rest).difference(new):
-            got = old.get(chunk)
-            new[chunk] = self._cut(f" {chunk}") if got is None else got
-            if len(chunk) > memo.longest:
-                too_long.append(chunk)
-        out = self._cut(first) + b"".join(map(new.__getitem__, rest))
-        for chunk in too_long:
-            del new[chunk]
-        memo.age()
-        self.pieces.age()
-        return out
+        return self.known.encode(text)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

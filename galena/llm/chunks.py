@@ -10,26 +10,63 @@ Where white space touches such a space, the text is cut elsewhere.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-#: A space beside white space: the rule above needs a single space.
-_TOUCHING = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: All white space but space and line feed.
+_RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
 
 
 def chunks(text: str) -> list[str]:
     """Pieces of ``text``; every one but the first had a space before it, which is left out."""
-    return _SAFE.split(text) if _TOUCHING.search(text) else text.split(" ")
+    if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE):
+        return _SAFE.split(text)
+    return text.split(" ")
 
 
-class Memo:
-    """What has been computed for recent keys; two generations bound its size."""
+class Memo(dict):
+    """Results for recent keys; two generations bound their number, ``longest`` the size of a key."""
 
-    def __init__(self, limit: int, longest: int):
-        self.limit, self.longest = limit, longest
-        self.new: dict = {}
-        self.old: dict = {}
+    def __init__(self, compute: Callable[[str], bytes], limit: int, longest: int):
+        self.compute, self.limit, self.longest = compute, limit, longest
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.compute(key)
+        if len(key) <= self.longest:
+            self[key] = got
+        return got
 
     def age(self) -> None:
-        """Called between texts: results in use are never lost halfway through one."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+class Pieces:
+    """Encodes texts by encoding each pre-token and each chunk once as long as it is remembered."""
+
+    def __init__(self, encode: Callable[[str], bytes], find: Callable[[str], list[str]], pieces: int, spaced: int, longest: int):
+        self.find = find
+        self.pieces = Memo(encode, pieces, longest)
+        self.spaced = Memo(self._spaced, spaced, longest)
+
+    def _spaced(self, chunk: str) -> bytes:
+        known = self.pieces
+        if chunk.isalpha():  # what the pattern would find, for most chunks
+            return known[f" {chunk}"]
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return known[f" {chunk[:-1]}"] + known[chunk[-1]]
+        return self.cut(f" {chunk}")
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def encode(self, text: str) -> bytes:
+        first, *rest = chunks(text)
+        out = self.cut(first) + b"".join(map(self.spaced.__getitem__, rest))
+        self.spaced.age()
+        self.pieces.age()
+        return out

@@ -21,6 +21,7 @@ import hashlib
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,67 +32,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galena.llm.chunks import Memo, chunks
+from galena.llm.chunks import Pieces
 
 MAGIC, VERSION = b"GTOK", 1
 HEAD = struct.Struct("<4sHH32sQQ")
 IMAGE_BYTES = 1 << 20
-#: The dictionary is trained on so many texts, those of the smallest hash, and so many characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 4096, 64 << 10
+#: The dictionary is trained on about so many distinct texts, picked by their hash, and so many characters of each.
+SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 4096, 64 << 10
 END_ID = 0
-MEMO_PIECES, MEMO_CHARS = 200_000, 48
+#: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
+MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 400_000, 250_000, 48
 
 
-class Encoder:
-    """The tokenizers library, asked once for each pre-token that recurs."""
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class Encoder(Pieces):
+    """The tokenizers library, asked once for each pre-token that is remembered."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.find = regex.compile(pattern).findall
-        self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pieces = Memo(MEMO_PIECES, MEMO_CHARS)
-        self.spaced = Memo(MEMO_PIECES, MEMO_CHARS)
-
-    def _ask(self, pieces: list[str]) -> Iterator[bytes]:
-        for got in self.library.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(got.ids, self.width).tobytes()
-
-    def _resolve(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, each with the space before it."""
-        cut = {chunk: self.find(f" {chunk}") for chunk in wanted}
-        memo = self.pieces
-        need = {piece for found in cut.values() for piece in found}
-        known = {p: got for p in need if (got := memo.new.get(p) or memo.old.get(p)) is not None}
-        missing = sorted(need - known.keys())
-        known.update(zip(missing, self._ask(missing), strict=True))
-        memo.new.update((p, got) for p, got in known.items() if len(p) <= memo.longest)
-        memo.age()
-        return {chunk: b"".join(map(known.__getitem__, found)) for chunk, found in cut.items()}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(text) for text in texts]
-        memo = self.spaced
-        wanted: set[str] = set()
-        for _, *rest in cut:
-            wanted.update(rest)
-        missing = set()
-        for chunk in wanted.difference(memo.new):
-            if (got := memo.old.get(chunk)) is None:
-                missing.add(chunk)
-            else:
-                memo.new[chunk] = got
-        memo.new.update(self._resolve(missing))
-        firsts = self._ask([first for first, *_ in cut])
-        out = [first + b"".join(map(memo.new.__getitem__, rest)) for first, (_, *rest) in zip(firsts, cut, strict=True)]
-        for chunk in missing:
-            if len(chunk) > memo.longest:
-                del memo.new[chunk]
-        memo.age()
-        return out
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = True  # their strings in a text are ordinary text
+        model, code = library.model, "H" if library.get_vocab_size() <= 1 << 16 else "I"
+        self.width = {"H": "<u2", "I": "<u4"}[code]
+
+        def ask(piece: str) -> bytes:
+            # What encode() does with a pre-token, without the cutting that has been done here.
+            return array(code, [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+
+        super().__init__(ask, regex.compile(pattern).findall, MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS)
 
 
 _OWN: dict[tuple[str, str], Encoder] = {}
@@ -107,9 +81,11 @@ def _encoder(path: str, pattern: str) -> Encoder:
 def train_dictionary(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text") -> bytes:
     """A zstandard dictionary of id arrays; raw samples where they are too few to train on."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sample = docs.select(F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_TEXTS)
-    arrays = Encoder(tokenizer, pattern).encode_all([r.t for r in sample.collect()])
-    arrays = [a for a in arrays if a]
+    every = max(1, docs.count() // SAMPLE_TEXTS)
+    sample = docs.select(F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).filter(F.pmod("h", F.lit(every)) == 0)
+    sample = sample.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(SAMPLE_TEXTS)
+    encode = Encoder(tokenizer, pattern).encode
+    arrays = [a for r in sample.collect() if (a := encode(r.t))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays, level=3).as_bytes()
     except zstandard.ZstdError:
@@ -180,17 +156,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
 
         size = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                some = batch.slice(i, 128)
-                for doc_id, raw in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(2).to_pylist()), strict=True):
-                    raw += end
-                    frames.append(press.compress(raw))
-                    counts.append(len(raw) // len(end))
-                    ids.append(doc_id)
-                    size += len(frames[-1])
-                    if size >= IMAGE_BYTES:
-                        yield closed()
-                        frames, counts, ids, size, seq = [], [], [], 0, seq + 1
+            for doc_id, text in zip(batch.column(0), batch.column(2), strict=True):
+                raw = encoder.encode(text.as_py()) + end
+                frames.append(press.compress(raw))
+                counts.append(len(raw) // len(end))
+                ids.append(doc_id.as_py())
+                size += len(frames[-1])
+                if size >= IMAGE_BYTES:
+                    yield closed()
+                    frames, counts, ids, size, seq = [], [], [], 0, seq + 1
         if frames:
             yield closed()
 

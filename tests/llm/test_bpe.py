@@ -35,12 +35,12 @@ def test_edges(text):
 
 
 def test_memo_ages_without_changing_results():
-    BPE.spaced.limit = BPE.pieces.limit = 50
+    BPE.known.spaced.limit = BPE.known.pieces.limit = 50
     r = random.Random(1)
     for _ in range(60):
         text = " ".join("".join(r.choices("abcdeé,.", k=r.randint(1, 9))) for _ in range(40))
         assert ids(text) == TRUE.encode_ordinary(text)
-    assert len(BPE.spaced.new) <= 100
+    assert len(BPE.known.spaced) <= 100
 
 
 def test_perfect_hash_is_minimal_and_exact():

@@ -22,9 +22,8 @@ def test_encoder_equals_the_library_on_whole_texts():
     encoder, r = T.Encoder(PATH, P.PATTERN), random.Random(3)
     encoder.spaced.limit = encoder.pieces.limit = 200
     texts = ["".join(r.choices([" ", " ", "\n", "\t", "a", "the", "é", "日本", "😀", ".", "'s", "12", "<|endoftext|>", "\xa0", "x" * 60], k=r.randint(0, 60))) for _ in range(400)]
-    for i in range(0, 400, 50):
-        for text, raw in zip(texts[i : i + 50], encoder.encode_all(texts[i : i + 50]), strict=True):
-            assert np.frombuffer(raw, "<u2").tolist() == true(text), text
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == true(text), text
 
 
 @pytest.mark.parametrize("n", [0, 3, 300])
