@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,23 +70,51 @@ def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
-def bootstrap(values: DataFrame, by: Sequence[str], value: str, draws: int = 1000, seed: int = 0, upper_less_one: bool = False) -> DataFrame:
-    """Percentile interval of the mean, drawn with the standard library's generator from one seed a group.
+def bootstrap(values: DataFrame, by: Sequence[str], value: str, draws: int = 1000, seed: int = 0, upper_less_one: bool = False, chunk: int = 8192) -> DataFrame:
+    """Percentile interval of the mean, n of n values drawn with replacement, from one seed a group.
 
-    Groups are paired differences of one comparison, thousands of rows; each is one task's.
+    A group's distinct values are dealt by hash into chunks of about ``chunk``. Every chunk makes the same multinomial split of a draw over the chunks and draws
+    its own share, which is the draw from the whole group; no task holds more than a chunk and ``draws`` numbers for each 64 chunks.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = sorted(pdf[value].dropna().tolist())
-        keys = {k: [pdf[k].iloc[0]] for k in by}
-        if not held:
-            return pd.DataFrame({**keys, "mean": [None], "lo": [None], "hi": [None], "n": [0]})
-        rng, n = random.Random(seed), len(held)
-        means = sorted(sum(rng.choices(held, k=n)) / n for _ in range(draws))
-        return pd.DataFrame({**keys, "mean": [sum(held) / n], "lo": [means[int(0.025 * draws)]], "hi": [means[int(0.975 * draws) - upper_less_one]], "n": [n]})
-
-    kinds = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in by)
-    return values.select(*by, value).groupBy(*by).applyInPandas(run, f"{kinds}, mean double, lo double, hi double, n long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for own, v, c, chunks, sizes in zip(pdf["chunk"], pdf["v"], pdf["c"], pdf["chunks"], pdf["sizes"], strict=True):
+                n, v, c = sum(sizes), np.asarray(v, "f8"), np.asarray(c)
+                sums = [float(c @ v)]
+                if c.sum():
+                    shares = np.random.default_rng([seed, 0]).multinomial(n, np.asarray(sizes) / n, draws)[:, list(chunks).index(own)]
+                    rng, p = np.random.default_rng([seed, 1 + own]), c / c.sum()
+                    sums += [float(rng.multinomial(k, p) @ v) for k in shares]
+                out.append(sums if len(sums) > 1 else [0.0] * (draws + 1))
+            yield pdf[keys].assign(chunk=pdf["chunk"], n=[sum(x) for x in pdf["sizes"]], sums=out)
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        named = right.withColumnsRenamed({k: f"{k}_" for k in keys})
+        return left.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.lit(True))).drop(*[f"{k}_" for k in keys])
+
+    def added(rows: DataFrame, at: list[str]) -> DataFrame:
+        """The sums of some chunks, in the order of chunks."""
+        whole = rows.groupBy(*keys, "n", *at).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("i"), "sums"))).alias("x"))
+        return whole.withColumn("sums", F.aggregate(F.slice("x", 2, F.size("x")), F.col("x")[0]["sums"], lambda acc, y: F.zip_with(acc, y["sums"], lambda l, r: l + r))).drop("x")
+
+    keys = [f"k{i}" for i in range(len(by))]
+    kinds = "".join(f"k{i} {values.schema[k].dataType.simpleString()}, " for i, k in enumerate(by))
+    held = values.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(by)], F.col(value).cast("double").alias("v"))
+    held = held.withColumn("v", F.when(~F.isnan("v"), F.col("v"))).groupBy(*keys, "v").agg(F.count("v").alias("c"))
+    parts = joined(held, held.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")))
+    parts = parts.withColumn("chunk", F.pmod(F.xxhash64("v"), "parts")).groupBy(*keys, "chunk")
+    parts = parts.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("v", F.lit(0.0)).alias("v"), "c"))).alias("x"), F.sum("c").alias("size"))
+    sizes = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "size"))).alias("s")).select(*keys, F.col("s.chunk").alias("chunks"), F.col("s.size").alias("sizes"))
+    dealt = joined(parts.select(*keys, "chunk", F.col("x.v").alias("v"), F.col("x.c").alias("c")), sizes)
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows with much to draw, which AQE would put into one task
+    drawn = dealt.repartition(tasks).mapInPandas(run, f"{kinds}chunk long, n long, sums array<double>")
+    some = added(drawn.withColumn("part", F.floor(F.col("chunk") / 64)), ["part"]).withColumnRenamed("part", "chunk")
+    means = added(some, []).withColumn("sums", F.transform("sums", lambda x: F.try_divide(x, F.col("n"))))
+    ordered = F.array_sort(F.slice("sums", 2, draws))
+    lo, hi = ordered[int(0.025 * draws)], ordered[int(0.975 * draws) - upper_less_one]
+    return means.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(by)], F.col("sums")[0].alias("mean"), lo.alias("lo"), hi.alias("hi"), "n")
 
 
 def balanced_f1(labels: DataFrame, by: Sequence[str], truth: str, guess: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+from galena.operators import stats as S
 from galena.plans import REGISTRY
 
 
@@ -14,3 +15,23 @@ def test_text_statistics_has_every_document(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = [(i, len((t or "").split()), len(t or ""), math.ceil(len(t or "") / 4)) for i, t in enumerate(texts)]
     assert rows(REGISTRY["text_statistics"](spark, str(tmp_path))) == want
+
+
+def test_bootstrap_ci_takes_every_order(spark, tmp_path):
+    prices = {"low": [1000.0 * i for i in range(1, 401)], "one": [70000.0] * 5, "none": [None]}
+    spark.createDataFrame([(g, v) for g, of in prices.items() for v in of], "o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    low, none, one = rows(REGISTRY["bootstrap_ci"](spark, str(tmp_path)))
+    assert none == ("none", None, None, None, 0) and one == ("one", 70.0, 70.0, 70.0, 5)
+    half = 1.96 * math.sqrt((400**2 - 1) / 12 / 400)
+    assert low[1] == 200.5 and low[4] == 400 and abs(low[2] - (200.5 - half)) < 2 and abs(low[3] - (200.5 + half)) < 2
+
+
+def test_bootstrap_is_the_same_in_chunks(spark):
+    held = spark.createDataFrame([("g", float(i % 300)) for i in range(3000)] + [(None, float(i)) for i in range(9)], "g string, v double")
+    whole, dealt = ({r.g: r for r in S.bootstrap(held, ["g"], "v", chunk=c).collect()} for c in (8192, 2))
+    again = {r.g: r for r in S.bootstrap(held.repartition(7), ["g"], "v", chunk=2).collect()}
+    half = 1.96 * math.sqrt((300**2 - 1) / 12 / 3000)
+    assert again == dealt
+    for got in (whole, dealt):
+        assert got["g"].n == 3000 and got[None].n == 9 and abs(got["g"]["mean"] - 149.5) < 1e-9
+        assert abs(got["g"].hi - 149.5 - half) < 0.5 and abs(149.5 - half - got["g"].lo) < 0.5
