@@ -37,6 +37,18 @@ def seeded_sample(rows: DataFrame, pos: str, n: int, k: int, seed: int) -> DataF
     return rows.join(F.broadcast(spark.createDataFrame(drawn, f"draw_pos int, {pos} long")), pos)
 
 
+def placed(rows: DataFrame, id_col: str, pos: str) -> tuple[DataFrame, int]:
+    """Rows with their place 0 .. n-1 in the order of a distinct id, and n; ranges of ids are ranked apart, as a global window is one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(id_col))) if cuts else F.lit(0)
+    dealt = rows.withColumn("_b", bucket)
+    held = {r["_b"]: r["count"] for r in dealt.groupBy("_b").count().collect()}
+    before = F.array(*[F.lit(sum(held.get(b, 0) for b in range(i))).cast("long") for i in range(len(cuts) + 1)])
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(id_col)) - 1 + F.get(before, F.col("_b"))
+    return dealt.withColumn(pos, place).drop("_b"), sum(held.values())
+
+
 def disjoint_split(rows: DataFrame, id_col: str, shares: dict[str, int]) -> DataFrame:
     """split by the leading hash digits of the id: a row's split never depends on other rows."""
     bucket = F.conv(F.substring(F.sha1(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") % sum(shares.values())

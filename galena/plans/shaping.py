@@ -204,16 +204,23 @@ def drop_reason_counts(spark, d):
     return _reasons(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _placed(spark, d):
+    return S.placed(V.table(spark, d, "conversations").select("conv_id").distinct(), "conv_id", "pos")
+
+
 @query()
 def seeded_sample(spark, d):
-    return S.seeded_sample(V.table(spark, d, "conversations").select(F.col("conv_id").alias("pos")).distinct(), "pos", 20, 10, 42)
+    ids, n = _placed(spark, d)
+    return S.seeded_sample(ids, "pos", n, min(10, n), 42)
 
 
 @query(""", s AS (SELECT i AS slot, i % 20 AS pos, i // 8 AS step FROM range(320) t(i))
     SELECT slot, pos, step, m AS member, round(1 / (1 + exp(10 * (step / 40 - 0.5))) * (1 - m / 3), 6) AS strength FROM s, range(4) u(m)""")
 def scaffold_expand(spark, d):
-    ids = spark.range(20).select(F.col("id").alias("pos"))
-    return S.schedule(ids, "pos", 20, 40, 8, 4, 10.0, 0.5).select("slot", "pos", "step", F.col("member").cast("long").alias("member"), F.round("strength", 6).alias("strength"))
+    """Forty steps, more where the conversations need them to come once each; the SQL covers 20 conversations only, by place."""
+    ids, n = _placed(spark, d)
+    steps = max(40, -(-n // 8))
+    return S.schedule(ids, "pos", n, steps, 8, 4, 10.0, 0.5).select("slot", "pos", "step", F.col("member").cast("long").alias("member"), F.round("strength", 6).alias("strength"), "conv_id")
 
 
 SQL_PAIRS = """pl AS (SELECT l_orderkey AS id, l_linestatus AS domain, l_linenumber % 2 AS ord, max(CASE l_returnflag WHEN 'R' THEN 'x' WHEN 'A' THEN 'y' ELSE 'tie' END) AS winner

@@ -1,6 +1,7 @@
 """Registered queries on small tables, against plain Python."""
 
 import math
+import random
 
 from galena.operators import stats as S
 from galena.plans import REGISTRY
@@ -35,3 +36,22 @@ def test_bootstrap_is_the_same_in_chunks(spark):
     for got in (whole, dealt):
         assert got["g"].n == 3000 and got[None].n == 9 and abs(got["g"]["mean"] - 149.5) < 1e-9
         assert abs(got["g"].hi - 149.5 - half) < 0.5 and abs(149.5 - half - got["g"].lo) < 0.5
+
+
+def _conversations(spark, path, n):
+    spark.createDataFrame([(7 * i + 3, t) for i in range(n) for t in (0, 1)], "conv_id long, turn int").write.parquet(str(path / "conversations.parquet"))
+    return [7 * i + 3 for i in range(n)]
+
+
+def test_seeded_sample_draws_from_all_conversations(spark, tmp_path):
+    ids = _conversations(spark, tmp_path, 500)
+    drawn = random.Random(42).sample(range(500), 10)
+    assert rows(REGISTRY["seeded_sample"](spark, str(tmp_path)).select("draw_pos", "pos", "conv_id")) == [(i, p, ids[p]) for i, p in enumerate(drawn)]
+
+
+def test_scaffold_expand_schedules_all_conversations(spark, tmp_path):
+    ids = _conversations(spark, tmp_path, 500)
+    want = [(s, s % 500, s // 8, m, s // 8 / 63, ids[s % 500]) for s in range(504) for m in range(4)]
+    want = [(s, p, t, m, round(1 / (1 + math.exp(10 * (x - 0.5))) * (1 - m / 3), 6), c) for s, p, t, m, x, c in want]
+    got = rows(REGISTRY["scaffold_expand"](spark, str(tmp_path)))
+    assert [g[:4] + g[5:] for g in got] == [w[:4] + w[5:] for w in want] and max(abs(g[4] - w[4]) for g, w in zip(got, want)) < 2e-6
