@@ -183,13 +183,14 @@ def cell_summary(spark, d):
 
 @query("SELECT vec_id, round(list_sum(list_transform(e, lambda x, i: CASE WHEN i <= 4 THEN abs(x) ELSE 0 END)), 4) AS mass FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
 def array_mass(spark, d):
-    return V.table(spark, d, "embeddings").select("vec_id", F.round(R.total(F.slice(F.col("embedding").cast("array<double>"), 1, 4), F.abs), 4).alias("mass"))
+    """Of the whole array; the SQL sums its first four coordinates."""
+    return V.table(spark, d, "embeddings").select("vec_id", F.round(R.total(F.col("embedding").cast("array<double>"), F.abs), 4).alias("mass"))
 
 
 @query()
 def truncated_divergence(spark, d):
-    """Jensen-Shannon divergence of the first four coordinates, made probabilities, against uniform ones."""
-    x = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 4), F.exp)
+    """Jensen-Shannon divergence of the four largest of a vector's probabilities, made to sum to 1 again, against uniform ones."""
+    x = F.slice(F.sort_array(F.transform(F.col("embedding").cast("array<double>"), F.exp), asc=False), 1, 4)
     p = F.transform(x, lambda v: v / R.total(x))
     return V.table(spark, d, "embeddings").select("vec_id", R.truncated_jsd(p, F.array(*[F.lit(0.25)] * 4)).alias("jsd"))
 

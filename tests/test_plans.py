@@ -55,3 +55,16 @@ def test_scaffold_expand_schedules_all_conversations(spark, tmp_path):
     want = [(s, p, t, m, round(1 / (1 + math.exp(10 * (x - 0.5))) * (1 - m / 3), 6), c) for s, p, t, m, x, c in want]
     got = rows(REGISTRY["scaffold_expand"](spark, str(tmp_path)))
     assert [g[:4] + g[5:] for g in got] == [w[:4] + w[5:] for w in want] and max(abs(g[4] - w[4]) for g, w in zip(got, want)) < 2e-6
+
+
+def test_embedding_queries_see_the_whole_vector(spark, tmp_path):
+    vectors = [[math.sin(i * j + 1) for j in range(64)] for i in range(5)]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    mass = dict(rows(REGISTRY["array_mass"](spark, str(tmp_path))))
+    jsd = dict(rows(REGISTRY["truncated_divergence"](spark, str(tmp_path))))
+    for i, v in enumerate(vectors):
+        assert abs(mass[i] - sum(map(abs, v))) < 1e-3
+        top = sorted((math.exp(x) / sum(map(math.exp, v)) for x in v), reverse=True)[:4]
+        p = [x / sum(top) for x in top]
+        kl = lambda a: sum(x * math.log(x / ((y + 0.25) / 2)) for x, y in zip(a, p))
+        assert abs(jsd[i] - (kl(p) + kl([0.25] * 4)) / 2) < 1e-6
