@@ -11,15 +11,19 @@ weighted Jaccard similarity.  Processes stop once they are later than all
 components, so long texts cost little more than one point a shingle.
 
 Classes.  Texts of equal words are one node.  Signatures are banded; nodes that
-share a band are candidates.  Small buckets give their pairs; in a larger one
-only the smallest node is paired with the others.  Pairs are verified on the
-whole multisets.  Then the nodes outside a bucket's largest component are paired
-with its nodes of other components, until no two nodes of a bucket are left that
-are neither in one component nor verified.  Buckets with many such nodes hold
-families of half-similar texts, whose pairs grow with the square: there, only
-nodes that share one of their rarest shingles are paired, which all pairs of the
-threshold do.  So no link is lost and nodes of one component are not paired with
-each other.
+share a band are candidates.  Buckets of few nodes give their pairs.  Nodes of
+crowded buckets are dealt anew by their rarest shingles: two texts of sizes m and
+n that are similar enough share a = ceil(t / (1 + t) * (m + n)) elements, so the
+n - a + 1 rarest of one and the m - a + 1 rarest of the other meet.  Sizes are cut
+into narrow classes, and a node has a prefix for each class it can pair with, as
+short as that class allows.  Shingles that no other such text has are the rarest,
+so a text changed in too many places meets none, and half-similar families fall
+apart before any pair of theirs is made.  Small prefix buckets give their pairs; in
+a larger one the node with most of its shingles in other texts is paired with the
+others.  Pairs are verified on the whole multisets.  Then the nodes outside a
+bucket's largest component are paired with its nodes of other components, until no
+two nodes of a bucket are left that are neither in one component nor verified.  So
+no link is lost and nodes of one component are not paired with each other.
 Classes are the connected components of the links.
 """
 
@@ -33,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.components import components
-from galena.llm.scratch import Scratch
+from galena.llm.scratch import Scratch, fresh
 from galena.llm.shingles import SHINGLE_WORDS, mix, multisets, node_of, overlap, words_of
 
 BANDS, ROWS = 24, 4
 THRESHOLD = 0.8
-#: Buckets of at most so many nodes give all their pairs.
+#: Buckets of at most so many nodes give all their pairs; nodes of larger bands are dealt anew, by their rarest shingles.
 SMALL = 8
-#: Nodes of buckets with more nodes than this outside the largest component are dealt anew, by their rarest shingles.
-MINOR = 8
+#: Sizes of texts in one class differ by this part at most.
+CLASS_WIDTH = 0.025
 #: Ids of candidates are broadcast up to this number, else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -185,90 +189,132 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     base = _text(docs, id_col, text_col)
-    rows_of = scratch.keep("rows", sketch(docs, id_col, text_col, bands, rows, words))
+    # The written table fixes the rows' own keys, which tell repeated rows apart.
+    rows_of = scratch.keep("rows", sketch(docs, id_col, text_col, bands, rows, words).withColumn("row", F.monotonically_increasing_id()))
     nodes = rows_of.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = scratch.keep("nodes", nodes)
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     members = members.select("node", F.xxhash64("band", "value").alias("k1"), F.col("value").alias("k2"))
-    found = members.groupBy("k1", "k2").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = scratch.keep("buckets", found)
     comps = None
     if not buckets.isEmpty():
-        members = scratch.keep("members", members.join(buckets, ["k1", "k2"]).select("k1", "k2", "node", "leader", "n"))
+        members = scratch.keep("members", members.join(buckets, ["k1", "k2"]).select("k1", "k2", "node", "n"))
         comps = _linked(base, nodes, members, threshold, scratch, words)
-    named = rows_of.select("doc_id", "node")
+    named = rows_of.select("doc_id", "row", "node")
     if comps is not None:
-        named = named.join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
+        named = named.join(comps, "node", "left").select("doc_id", "row", F.coalesce("comp", "node").alias("comp"))
     else:
-        named = named.select("doc_id", F.col("node").alias("comp"))
+        named = named.select("doc_id", "row", F.col("node").alias("comp"))
     named = scratch.keep("named", named)
     held = named.filter("comp is not null")
-    sizes = scratch.keep("sizes", held.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
-    out = held.join(sizes, "comp").select("doc_id", "class_id", "class_size", "comp")
-    # Repeated rows of the smallest id: all but one give way.
-    first = out.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id", "class_size", "comp").agg(F.count(F.lit(1)).alias("n"))
-    kept = first.select("doc_id", "class_id", "class_size", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: i == 1)).alias("kept"))
-    rest = out.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "class_id", "class_size", F.lit(False).alias("kept"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
+    sizes = scratch.keep("sizes", held.groupBy("comp").agg(best, F.count(F.lit(1)).alias("class_size")))
+    out = held.join(sizes, "comp").select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
     alone = named.filter("comp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    return kept.unionByName(rest).unionByName(alone)
+    scratch.drop("members", "candidates", "crowd", "elements", "prefixes", "dealt", "mixed", "texts", "ids", "buckets", "nodes")
+    return out.unionByName(alone)
 
 
 def _linked(base: DataFrame, nodes: DataFrame, members: DataFrame, threshold: float, scratch: Scratch, words: int) -> DataFrame | None:
     """node, comp for nodes that have a link."""
     check = _Verifier(base, nodes, members.select("node").distinct(), scratch, words)
-    few = members.filter(F.col("n") <= SMALL).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("node")).alias("all"))
-    few = few.select(F.col("all"), F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-    many = members.filter((F.col("n") > SMALL) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    pairs = scratch.keep("candidates", few.unionByName(many).distinct())
+    pairs = _all_pairs(members.filter(F.col("n") <= SMALL))
+    crowd = scratch.keep("crowd", members.filter(F.col("n") > SMALL).select("node").distinct())
+    dealt = None
+    if not crowd.isEmpty():
+        dealt = _prefixes(check.texts.join(crowd, "node", "left_semi"), threshold, words, scratch)
+        hubs = dealt.groupBy("k1", "k2").agg(F.max(F.struct("central", "node")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        dealt = scratch.keep("dealt", dealt.join(hubs.select("k1", "k2", "n", F.col("top.node").alias("hub")), ["k1", "k2"]))
+        stars = dealt.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        pairs = pairs.unionByName(_all_pairs(dealt.filter(F.col("n") <= SMALL))).unionByName(stars)
+    pairs = scratch.keep("candidates", pairs.distinct())
     # Each node's pair with its smallest partner first: what that joins needs no other proof.
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = verified = check.verify(first)
-    comps = components(links.filter(F.col("sim") >= threshold), scratch, "comps0")
+    verified = check.verify(first)
+    comps = components(verified.filter(F.col("sim") >= threshold), scratch, "comps0")
     apart = _apart(pairs, comps).join(verified.select("a", "b"), ["a", "b"], "left_anti")
-    more = check.verify(apart)
-    verified = verified.unionByName(more)
+    verified = verified.unionByName(check.verify(apart))
     comps = components(verified.filter(F.col("sim") >= threshold), scratch, "comps1")
-    mixed = scratch.keep("mixed", _mixed(members.filter(F.col("n") > SMALL), comps))
+    if dealt is None:
+        return comps
+    mixed = scratch.keep("mixed", _mixed(dealt.filter(F.col("n") > SMALL), comps))
     if mixed.isEmpty():
         return comps
-    cross = _cross(mixed.filter(F.col("minor") <= MINOR))
-    many = mixed.filter(F.col("minor") > MINOR).select("node").distinct()
-    if not many.isEmpty():
-        shared = scratch.keep("shared", _mixed(_prefixes(check.texts.join(many, "node", "left_semi"), threshold, words, scratch), comps))
-        cross = cross.unionByName(_cross(shared))
-    verified = verified.unionByName(check.verify(cross.distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")))
+    verified = verified.unionByName(check.verify(_cross(mixed).distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")))
     return components(verified.filter(F.col("sim") >= threshold), scratch, "comps2")
 
 
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """The pairs (a < b) of buckets of at most SMALL nodes."""
+    held = members.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("node")).alias("all"))
+    return held.select(F.col("all"), F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(SMALL))).alias("b"))
+
+
 def _cross(mixed: DataFrame) -> DataFrame:
-    """Pairs of each node outside a bucket's largest component with the bucket's nodes of other components."""
+    """Pairs of each node outside a bucket's largest component with the bucket's nodes of other components.
+
+    Where a bucket is of two classes, pairs of one class are left to that class's own bucket.
+    """
     side = ["k1", "k2"]
-    other = mixed.select(*side, F.col("node").alias("y"), F.col("comp").alias("y_comp"))
-    met = mixed.filter("comp <> largest").join(other, side).filter(F.col("comp") != F.col("y_comp"))
+    other = mixed.select(*side, F.col("node").alias("y"), F.col("comp").alias("y_comp"), F.col("class").alias("y_class"))
+    met = mixed.filter("comp <> largest").join(other, side).filter((F.col("comp") != F.col("y_comp")) & (F.col("alike") | (F.col("class") != F.col("y_class"))))
     return met.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"))
 
 
+def _edges() -> np.ndarray:
+    """Smallest sizes of the classes."""
+    edges = [0, 1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * (1 + CLASS_WIDTH))))
+    return np.array(edges)
+
+
 def _prefixes(texts: DataFrame, threshold: float, words: int, scratch: Scratch) -> DataFrame:
-    """Buckets (k1, k2, node) of nodes that share an element among their rarest.
+    """Buckets (k1, k2) of nodes that share an element (an occurrence of a shingle) among their rarest.
 
-    Elements are occurrences of shingles. Of n elements all but the n - ceil(threshold * n) + 1
-    rarest can be left out: two texts of that similarity share one of those.
+    k2 stands for a pair of size classes, alike if it is one class. central is the
+    share of a node's elements that other nodes have.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 _, shingle, times = multisets([text.as_py().split()], words)
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 element = mix(np.repeat(shingle, times) + nth.astype("u8") * _PART).view("i8")
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(element), pa.binary()), pa.array(element)], names=["node", "k1"])
+                columns = [pa.array([node.as_py()] * len(element), pa.binary()), pa.array(element), pa.array(np.full(len(element), len(element)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "element", "size"])
 
-    elements = scratch.keep("elements", texts.select("node", "words").mapInArrow(run, "node binary, k1 long"))
-    often = scratch.keep("often", elements.groupBy("k1").agg(F.count(F.lit(1)).alias("often")))
-    ranked = elements.join(often, "k1").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "k1"))).alias("all"))
-    least = F.size("all") - F.ceil(F.size("all") * F.lit(threshold) - 1e-9).cast("int") + 1
-    kept = ranked.select("node", F.explode(F.slice("all", F.lit(1), least)).alias("x")).filter("x.often > 1")
-    return kept.select(F.col("x.k1").alias("k1"), F.col("x.k1").alias("k2"), "node")
+    elements = scratch.keep("elements", texts.select("node", "words").mapInArrow(cut, "node binary, element long, size long"))
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    shared = elements.join(often, "element").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("all"))
+    shared = shared.select("node", "size", F.col("all.element").alias("shared"))
+    share = threshold / (1 + threshold)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges()
+        for batch in batches:
+            for node, size, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held = np.asarray(held.values)
+                least = int(np.ceil(size * threshold - 1e-6))
+                own, low, high = np.searchsorted(edges, [size, least, size / threshold + 1e-6], "right") - 1
+                others = np.arange(low, high + 1)
+                smallest = np.maximum(edges[others], least)
+                length = size - np.ceil(share * (size + smallest) - 1e-6).astype("i8") + 1
+                # Elements that no other node has come first in a prefix, and meet none.
+                length = np.clip(length - (size - len(held)), 0, len(held))
+                first = np.repeat(np.cumsum(length) - length, length)
+                partner = np.repeat(others, length)
+                pair = np.minimum(own, partner) << 32 | np.maximum(own, partner)
+                n = len(pair)
+                columns = [
+                    pa.array(held[np.arange(n) - first]), pa.array(pair), pa.array([node] * n, pa.binary()), pa.array(np.full(n, own)),
+                    pa.array(partner == own), pa.array(np.full(n, len(held) / size)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "node", "class", "alike", "central"])
+
+    return scratch.keep("prefixes", shared.mapInArrow(deal, "k1 long, k2 long, node binary, class long, alike boolean, central double"))
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -279,13 +325,12 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _mixed(active: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets whose nodes are not all in one component, with comp, the bucket's largest one and minor: the nodes outside it."""
+    """Members of buckets whose nodes are not all in one component, with comp and the bucket's largest one."""
     side = ["k1", "k2"]
     held = active.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = held.groupBy(*side, "comp").agg(F.count(F.lit(1)).alias("m"))
     several = sizes.groupBy(*side).agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).filter("all > top.m")
-    several = several.select(*side, F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.m")).alias("minor"))
-    return held.join(several, side).select(*side, "node", "comp", "largest", "minor")
+    return held.join(several.select(*side, F.col("top.comp").alias("largest")), side).select(*side, "node", "class", "alike", "comp", "largest")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,8 +341,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     scratch = Scratch(docs.sparkSession, "near")
     gone = near_classes(docs, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("any"), F.min("kept").alias("all")).filter("not all")
-    gone = scratch.keep("gone", gone)
-    left = docs.join(gone.filter("not any").select(F.col("doc_id").alias("_gone")), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone, own = scratch.keep("gone", gone), fresh()
+    left = docs.join(gone.filter("not any").select(F.col("doc_id").alias(own)), F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
     if gone.filter("any").isEmpty():
         return left
     return left.dropDuplicates([id_col, text_col])

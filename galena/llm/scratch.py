@@ -2,16 +2,31 @@
 
 Every intermediate table goes to the folder the cluster names in
 ``spark.checkpoint.dir`` (all executors see it), so a lost executor never
-invalidates it.  Only where that setting is absent is a local one chosen.
+invalidates it.  Where that setting is absent, a folder of this machine serves
+a session that runs on this machine alone; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_DEFAULT = "/tmp/checkpoints/galena"
+
+def fresh() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='galena-')}")
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 class Scratch:
@@ -19,8 +34,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
-        self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -31,8 +45,9 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table nothing reads any more."""
+    def drop(self, *names: str) -> None:
+        """Delete tables nothing reads any more; those that were never written are passed over."""
         jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        for name in names:
+            target = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -90,16 +90,39 @@ def test_signatures_are_unbiased(times):
     assert abs(np.mean(seen) - true) < 4 * (true * (1 - true) / (size * 40)) ** 0.5 + 0.002
 
 
-@pytest.mark.parametrize("seed,small,minor", [(1, 8, 64), (2, 2, 1)])
-def test_classes_against_brute_force(spark, monkeypatch, seed, small, minor):
+@pytest.mark.parametrize("seed,small", [(1, 8), (2, 2)])
+def test_classes_against_brute_force(spark, monkeypatch, seed, small):
     monkeypatch.setattr(N, "SMALL", small)
-    monkeypatch.setattr(N, "MINOR", minor)
     rows = corpus(seed, 12)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, row long")
     assert Counter(map(tuple, N.near_classes(docs).collect())) == brute(rows)
 
 
+def test_crowds_make_few_pairs(spark, monkeypatch):
+    """A large group around 0.8 and a family of half-similar texts: right classes, and pairs that grow with the rows."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    near = [" ".join(edited(r, base, r.choice([0, 1, 1, 2, 2, 3, 4, 5, 6, 8]))) for _ in range(300)]
+    passage = [f"p{r.randrange(10**6)}" for _ in range(120)]
+    half = [" ".join([*passage, *(f"h{r.randrange(10**6)}" for _ in range(r.randrange(30, 90)))]) for _ in range(200)]
+    rows = list(enumerate([*near, *half]))
+    made = []
+    verify = N._Verifier.verify
+
+    def counted(self, pairs):
+        out = verify(self, pairs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(N._Verifier, "verify", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, N.near_classes(docs).collect())) == brute(rows)
+    assert sum(made) < 10 * len(rows)
+
+
 def test_empty_and_drop(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b  c d e f"), (3, None), (4, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f", 1), (2, "a b  c d e f", 2), (3, None, 3), (4, "", 4)], "doc_id long, text string, _gone int")
     assert N.near_classes(docs.limit(0)).collect() == []
-    assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == [1, 3, 4]
+    left = N.drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted(r._gone for r in left.collect()) == [1, 3, 4]
+    assert [r.doc_id for r in N.drop_near_copies(docs.filter("doc_id = 1").union(docs.filter("doc_id = 1"))).collect()] == [1]
