@@ -1,20 +1,23 @@
 """Stupid-backoff scores: n-gram counts in hash shards, joined to the documents' n-grams, summed by document.
 
-The score of a word after its context is count(context, word) / count(context)
-where the corpus has them together, else ALPHA times the score after a context
-one word shorter; without context it is count(word) / words.  A document's score
-is the mean logarithm.
-
-``backoff_scores`` does this with rows: an n-gram a row, each order's misses going
-on to the next.  ``corpus_scores`` is for the documents of the corpus itself, all
-of whose n-grams are counted, so that only two orders are asked for; it moves
-n-grams packed.  A batch of documents sends each shard one row: the distinct
-n-grams, sorted and as differences, and which documents hold them how often.  In
-its shard the rows of all batches are merged to the count table and looked up in
-it, and what goes back is a sum for each document of the batch.  An n-gram that
-many documents of a batch hold is counted in its shard, but its documents wait
-in a row of their own, which is joined to the finished count: a hot n-gram never
-brings its documents to one task.
+The score of a word after the ORDER - 1 words before it in its text is
+count(those words and it) / count(those words) where the corpus has them
+together, else ALPHA times the score after one word less; without any it is
+count(word) / words, and half a count for a word that the corpus lacks.  A
+document's score is the mean logarithm.
+
+``corpus_scores`` scores the documents of a corpus by its other documents: a
+document's own occurrences are left out of all counts, so that what only it says
+backs off.  ``backoff_scores`` takes another corpus and has an n-gram a row.
+
+``corpus_scores`` moves n-grams packed, as rows of one each would be many times
+the corpus.  A batch of documents sends each shard one row: its distinct n-grams,
+sorted and as differences, with their counts.  A shard sums the counts of all
+batches and joins them back to each batch's n-grams; what a batch needs to know is
+how often the others have them, and nothing goes back for those that only it has.
+Back at the batch, whose texts travel packed beside, a document's own counts are
+taken off.  As an n-gram is sent once a batch, a hot one weighs no more in its
+shard than any other that all batches have.
 """
 
 from __future__ import annotations
@@ -28,243 +31,195 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm.chunks import slices
+from galena.llm.packing import dealt, differences, squeezed, undone
 from galena.llm.scratch import Scratch
 from galena.llm.shingles import hashed, mix, words_of
 
-ORDER, ALPHA = 2, 0.4
-BATCH_CHARS = 8 << 20
-#: Corpus bytes to a shard, roughly; an n-gram in more than this share of a batch's documents is hot there.
-SHARD_BYTES, HOT_SHARE = 16 << 20, 0.2
+ORDER, ALPHA = 3, 0.4
+#: Characters of a batch of documents, and corpus bytes to a shard, roughly.
+BATCH_CHARS, SHARD_BYTES = 4 << 20, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_START = np.uint64(0x5851F42D4C957F2D)
 
 
-def _grams(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash of each word with its context, hash of that context); starts stand before a text."""
-    pad = order - 1
+def _grams(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(text of each word, keys of the 1, 2, ... words that end at it, whether its text has that many up to it)."""
     sizes = np.array([len(t) for t in texts], "i8")
     owner = np.repeat(np.arange(len(texts)), sizes)
-    h = np.full(sizes.sum() + pad * len(texts), _START)
-    at = np.arange(len(owner)) + pad * (owner + 1)
-    h[at] = hashed([w for t in texts for w in t])
-    context = np.zeros(len(at), "u8")
-    for back in range(pad, 0, -1):
-        context = mix(context * _STEP + h[at - back] + np.uint64(back))
-    return owner, mix(context * _STEP + h[at]), context
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    h = hashed([w for t in texts for w in t])
+    keys = [h]
+    for _ in range(1, order):
+        keys.append(mix(np.concatenate([keys[-1][:1] * 0, keys[-1][:-1]]) * _STEP + h))
+    return owner, keys, [place >= n for n in range(order)]
 
 
-def _squeezed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+_SENT = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("words", pa.int64())])
+_SENT_DDL = "batch long, shard int, sizes array<long>, data binary, ids array<long>, words long"
 
 
-def _differences(keys: np.ndarray) -> np.ndarray:
-    """Sorted 64-bit keys as bytes of their differences, like bytes together: the leading ones are zero."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T)
-
-
-def _keys(raw: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, "u1", 8 * n).reshape(8, n).T).view("u8").reshape(-1))
-
-
-_PACKED = pa.schema([
-    ("kind", pa.string()), ("shard", pa.int32()), ("batch", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("docs", pa.int32()), ("data", pa.binary()),
-    ("hot", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())),
-])
-_FOUND = pa.schema([
-    ("kind", pa.string()), ("batch", pa.int64()), ("docs", pa.int32()), ("data", pa.binary()), ("hits", pa.int32()), ("key", pa.int64()), ("count", pa.float64()),
-    ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())),
-])
-
-
-def _ddl(schema: pa.Schema) -> str:
-    names = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.float64(): "double", pa.list_(pa.int64()): "array<long>"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+def _table(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
 
 
 def packed_grams(texts: DataFrame, order: int, shards: int) -> DataFrame:
-    """For (doc_id, text): rows by kind, shard and batch.
+    """Of (doc_id, text): a row with each batch's packed texts (null shard), and one for each shard with its n-grams and their counts."""
 
-    gram holds words with their context, context the contexts alone; docs names a
-    batch's documents, and gram-hot and context-hot have the holders of one hot
-    n-gram of a batch: these kinds go to a shard by their batch.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, size = TaskContext.get().partitionId() << 32, 0
+        batch_id = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for some, texts in slices(batch, 1, BATCH_CHARS):
+                words = [words_of(t) for t in texts]
+                lines = [b" ".join(w) for w in words]
+                rows = [[batch_id, None, [len(x) for x in lines], squeezed(*lines, level=3), some.column(0).to_pylist(), sum(map(len, words))]]
+                _, keys, whole = _grams(words, order)
+                counted = [np.unique(k[w], return_counts=True) for k, w in zip(keys, whole, strict=True)]
+                for shard, parts in dealt([k for k, _ in counted], [n.astype("<u4") for _, n in counted], shards):
+                    packed = [x for k, n in parts for x in (differences(k), n)]
+                    rows.append([batch_id, shard, [len(k) for k, _ in parts], squeezed(*packed), None, None])
+                yield _table(rows)
+                batch_id += 1
+
+    return texts.mapInArrow(run, _SENT_DDL)
+
+
+def _opened(data: bytes, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    for n in sizes:
+        out.append((undone(memoryview(raw)[at : at + 8 * n], n), np.frombuffer(raw, "<u4", n, at + 8 * n)))
+        at += 12 * n
+    return out
+
+
+def _others(table: pa.Table) -> pa.Table:
+    """One shard: for each batch those of its n-grams that other batches have, with how often."""
+    asked = [_opened(d.as_py(), s.as_py()) for d, s in zip(table.column("data"), table.column("sizes"), strict=True)]
+    found: list[list[bytes]] = [[] for _ in asked]
+    sizes: list[list[int]] = [[] for _ in asked]
+    for n in range(len(asked[0])):
+        keys = np.concatenate([a[n][0] for a in asked])
+        counts = np.concatenate([a[n][1] for a in asked])
+        known, back = np.unique(keys, return_inverse=True)
+        rest = (np.bincount(back, counts, len(known))[back] - counts).astype("<u4")
+        ends = np.cumsum([0, *(len(a[n][0]) for a in asked)])
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            some = rest[a:b] > 0
+            found[i] += [differences(keys[a:b][some]).tobytes(), rest[a:b][some].tobytes()]
+            sizes[i].append(int(some.sum()))
+    rows = [[batch, None, s, squeezed(*f), None, None] for batch, s, f in zip(table.column("batch").to_pylist(), sizes, found, strict=True) if any(s)]
+    return pa.Table.from_batches([_table(rows)])
+
+
+def _run_lengths(new: np.ndarray) -> np.ndarray:
+    """The length of the run each place is in, from where runs begin."""
+    n = np.diff(np.append(np.flatnonzero(new), len(new)))
+    return np.repeat(n, n)
+
+
+def _scored(order: int, alpha: float, total: int):
+    """One batch: its documents' scores, from their texts and what other batches have."""
+
+    def run(table: pa.Table) -> pa.Table:
         words: list[list[bytes]] = []
         ids: list[int | None] = []
-
-        def closed() -> pa.RecordBatch:
-            n = len(words)
-            spot = int(mix(np.array([seq], "u8"))[0] % np.uint64(shards))
-            out = [["docs", spot, seq, 0, 0, n, None, None, ids, [len(w) for w in words]]]
-            owner, gram, context = _grams(words, order)
-            for kind, keys in (("gram", gram), ("context", context)):
-                place = np.lexsort((owner, keys))
-                k, o = keys[place], owner[place]
-                new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(k))).astype("u4")
-                k, o = k[at], o[at].astype("u4")
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else at
-                spread = np.diff(np.append(first, len(k)))
-                shard = (k[first] >> np.uint64(32)) % np.uint64(shards)
-                order_of = np.argsort(shard, kind="stable")
-                present, begin = np.unique(shard[order_of], return_index=True)  # far fewer than shards, if those are many
-                for s, own in zip(present.tolist(), np.split(order_of, begin[1:]), strict=False):
-                    hot = spread[own] > max(8, HOT_SHARE * n)
-                    total = np.add.reduceat(times, first)[own].astype("u4")
-                    held = [slice(first[i], first[i] + spread[i]) for i in own[hot]]
-                    apart = [int(k[x.start].view("i8")) for x in held]
-                    out += [[f"{kind}-hot", spot, seq, 0, 0, n, _squeezed(o[x], times[x]), [key], None, None] for key, x in zip(apart, held, strict=True)]
-                    cold = own[~hot]
-                    where = np.repeat(first[cold] - np.concatenate([[0], np.cumsum(spread[cold])[:-1]]), spread[cold]) + np.arange(spread[cold].sum()) if len(cold) else np.zeros(0, "i8")
-                    asked = np.where(hot, 0, spread[own]).astype("u2")
-                    data = _squeezed(_differences(k[first[own]]), total, asked, o[where].astype("u2") if n < 1 << 16 else o[where], times[where].astype("u2") if times.max(initial=0) < 1 << 16 else times[where])
-                    wide = (2 if n < 1 << 16 else 4) << 8 | (2 if times.max(initial=0) < 1 << 16 else 4)
-                    out.append([kind, s, seq, len(own), len(where), n, data + wide.to_bytes(2, "little"), apart or None, None, None])
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_PACKED)], schema=_PACKED)
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                t = text.as_py()
-                words.append(words_of(t))
-                ids.append(doc_id.as_py())
-                size += len(t)
-                if size >= BATCH_CHARS or len(words) >= 1 << 14:
-                    yield closed()
-                    words, ids, size, seq = [], [], 0, seq + 1
-        if words:
-            yield closed()
-
-    return texts.mapInArrow(run, _ddl(_PACKED))
-
-
-def _open(data: bytes, n: int, m: int) -> tuple[np.ndarray, ...]:
-    wide = int.from_bytes(data[-2:], "little")
-    raw = zstandard.ZstdDecompressor().decompress(data[:-2])
-    kinds = [("<u4", n), ("<u2", n), (f"<u{wide >> 8}", m), (f"<u{wide & 255}", m)]
-    out, at = [_keys(raw, n)], 8 * n
-    for kind, size in kinds:
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += out[-1].nbytes
-    return tuple(out)
-
-
-def _looked_up(table: pa.Table) -> pa.Table:
-    """One kind and shard: counts of all batches, then for each batch a sum of logarithms for each document, and the counts of its hot n-grams. Other kinds as they came."""
-    kind = table.column("kind")[0].as_py()
-    rows: list[list] = []
-    if kind not in ("gram", "context"):
-        for r in table.select(["batch", "docs", "data", "hot", "doc_ids", "n_words"]).to_pylist():
-            rows.append([kind, r["batch"], r["docs"], r["data"], -2, r["hot"] and r["hot"][0], None, r["doc_ids"], r["n_words"]])
-        return _found(rows)
-    opened = []
-    for n, m, data in zip(table.column("n").to_pylist(), table.column("m").to_pylist(), table.column("data"), strict=True):
-        opened.append(_open(data.as_py(), n, m)[:2])
-    keys, back = np.unique(np.concatenate([k for k, _ in opened]), return_inverse=True)
-    counts = np.bincount(back, np.concatenate([t for _, t in opened]))
-    del opened, back
-    logs, sign = np.log(counts), 1.0 if kind == "gram" else -1.0
-    for i, data in enumerate(table.column("data")):
-        own, _, asked, holders, times = _open(data.as_py(), table.column("n")[i].as_py(), table.column("m")[i].as_py())
-        docs, batch = table.column("docs")[i].as_py(), table.column("batch")[i].as_py()
-        sums = np.bincount(holders, sign * np.repeat(logs[np.searchsorted(keys, own)], asked) * times, docs)
-        hit = np.flatnonzero(sums)
-        sparse = len(hit) * 3 < docs * 2
-        rows.append([kind, batch, docs, _squeezed(hit.astype("<u4"), sums[hit]) if sparse else _squeezed(sums), len(hit) if sparse else -1, None, None, None, None])
-        hot = np.array(table.column("hot")[i].as_py() or [], "i8")
-        for key, n in zip(hot.tolist(), counts[np.searchsorted(keys, hot.view("u8"))].tolist(), strict=True):
-            rows.append([kind, None, 0, None, 0, key, n, None, None])
-    return _found(rows)
-
-
-def _found(rows: list[list]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FOUND)], schema=_FOUND)
-
-
-def _gathered(table: pa.Table) -> pa.Table:
-    """One batch: its documents with the sums of all shards."""
-    docs = table.column("docs")[0].as_py()
-    total, unpack = np.zeros(docs), zstandard.ZstdDecompressor().decompress
-    ids = sizes = None
-    for i, kind in enumerate(table.column("kind").to_pylist()):
-        if kind == "docs":
-            ids, sizes = table.column("doc_ids")[i].as_py(), table.column("n_words")[i].as_py()
-            continue
-        raw, hits = unpack(table.column("data")[i].as_py()), table.column("hits")[i].as_py()
-        if hits == -2:
-            n = len(raw) // 8
-            np.add.at(total, np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u4", n, 4 * n) * table.column("value")[i].as_py())
-        elif hits == -1:
-            total += np.frombuffer(raw)
-        else:
-            np.add.at(total, np.frombuffer(raw, "<u4", hits), np.frombuffer(raw, "f8", hits, 4 * hits))
-    n = np.array(sizes, "i8")
-    score = np.divide(total, n, out=np.zeros(docs), where=n > 0)
-    return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(score, mask=n == 0)], names=["doc_id", "n_words", "score"])
-
-
-def corpus_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """doc_id, n_words, score: one row per row of ``docs``, each scored by the counts of all of ``docs``.
+        known: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+        for sizes, data, own in zip(*(table.column(c) for c in ("sizes", "data", "ids")), strict=True):
+            if own.is_valid:
+                raw, ends = zstandard.ZstdDecompressor().decompress(data.as_py()), np.cumsum([0, *sizes.as_py()]).tolist()
+                words, ids = [raw[a:b].split(b" ") if b > a else [] for a, b in zip(ends, ends[1:])], own.as_py()
+                continue
+            for n, part in enumerate(_opened(data.as_py(), sizes.as_py())):
+                known[n].append(part)
+        owner, keys, whole = _grams(words, order)
+        size = np.array([len(w) for w in words], "i8")
+        # Of each n-gram at each place: how often it is in other documents than the place's.
+        rest = []
+        for n in range(order):
+            out, at = np.zeros(len(owner), "i8"), np.flatnonzero(whole[n])
+            place = at[np.argsort(keys[n][at], kind="stable")]
+            k, o = keys[n][place], owner[place]
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = k[1:] != k[:-1]
+            mine = fresh.copy()
+            mine[1:] |= o[1:] != o[:-1]
+            out[place] = _run_lengths(fresh) - _run_lengths(mine)
+            if len(k) and sum(len(p[0]) for p in known[n]):
+                have, more = (np.concatenate([p[i] for p in known[n]]) for i in (0, 1))
+                order_of = np.argsort(have)
+                have, more = have[order_of], more[order_of]
+                own = k[fresh]
+                spot = np.minimum(np.searchsorted(have, own), len(have) - 1)
+                extra = np.where(have[spot] == own, more[spot], 0)
+                out[place] += extra[np.cumsum(fresh) - 1]
+            rest.append(out)
+        left = np.maximum(total - size, 1)[owner].astype("f8")
+        score = np.log(np.where(rest[0] > 0, rest[0], 0.5) / left)
+        for n in range(1, order):  # the longest n-gram that others have decides
+            context = np.concatenate([rest[n - 1][:1] * 0, rest[n - 1][:-1]])
+            longer = rest[n] > 0
+            score = np.where(longer, np.log(np.where(longer, rest[n], 1) / np.where(longer, context, 1)), score + np.where(whole[n], np.log(alpha), 0.0))
+        sums = np.bincount(owner, score, len(words))
+        mean = np.divide(sums, size, out=np.zeros(len(size)), where=size > 0)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(size), pa.array(mean, mask=size == 0)], names=["doc_id", "n_words", "score"])
+
+    return run
+
+
+def corpus_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+    """doc_id, n_words, score: one row per row of ``docs``, each scored by the counts of all other rows.
 
     A null text is empty; a text without words has a null score.  Rows of null or
-    repeated doc_id are documents of their own.  An empty table gives no rows.
+    repeated doc_id are documents of their own, and repeated rows speak for each
+    other.  An empty table gives no rows.  Other columns are not looked at.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if shards is None:
-        size = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first().n or 0
+        size = text.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
         shards = max(1, size // SHARD_BYTES)
-    packed = packed_grams(text, order, shards)
-    found = scratch.keep("found", packed.groupBy("kind", "shard").applyInArrow(_looked_up, _ddl(_FOUND)))
-    hot = scratch.keep("hot", found.filter("count is not null").select(F.concat("kind", F.lit("-hot")).alias("kind"), "key", "count").distinct())
-    value = F.when(F.col("kind") == "gram-hot", F.log("count")).otherwise(-F.log("count")).alias("value")
-    late = found.filter("batch is not null and key is not null").drop("count").join(hot, ["kind", "key"])
-    rows = found.filter("batch is not null and key is null").select("kind", "batch", "docs", "data", "hits", F.lit(0.0).alias("value"), "doc_ids", "n_words")
-    rows = rows.unionByName(late.select("kind", "batch", "docs", "data", "hits", value, "doc_ids", "n_words"))
-    return rows.groupBy("batch").applyInArrow(_gathered, "doc_id long, n_words long, score double")
+    sent = scratch.keep("sent", packed_grams(text, order, shards))
+    answers = sent.filter("shard is not null").groupBy("shard").applyInArrow(_others, _SENT_DDL)
+    total = sent.agg(F.sum("words")).first()[0] or 0
+    both = sent.filter("shard is null").unionByName(answers)
+    return both.groupBy("batch").applyInArrow(_scored(order, alpha, total), "doc_id long, n_words long, score double")
 
 
-def ngram_counts(corpus: DataFrame, order: int) -> DataFrame:
-    """gram (text), n, context_n of one order from (key, words): counts with the context's count beside them."""
-    rows = _exploded(corpus, order)
-    grams = rows.groupBy("context", "gram").agg(F.count(F.lit(1)).alias("n"))
-    contexts = grams.groupBy("context").agg(F.sum("n").alias("context_n"))
-    return grams.join(contexts, "context").select("gram", "n", "context_n")
+def _split(text_col: str):
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def _exploded(words: DataFrame, order: int) -> DataFrame:
-    padded = F.concat(F.array(*[F.lit("\u0001")] * (order - 1)).cast("array<string>"), "words") if order > 1 else F.col("words")
-    at = words.filter(F.size("words") > 0).select("key", padded.alias("w"), F.posexplode("words").alias("i", "word"))
-    join = lambda n: F.array_join(F.slice("w", F.col("i") + 1, F.lit(n)), " ") if n else F.lit("")
-    return at.select("key", "i", join(order - 1).alias("context"), join(order).alias("gram"))
+def ngram_counts(corpus: DataFrame, n: int) -> DataFrame:
+    """gram (text), times: from (key, words)."""
+    at = F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("i")
+    return corpus.filter(F.size("words") >= n).select("words", at).groupBy(F.array_join(F.slice("words", F.col("i") + 1, F.lit(n)), " ").alias("gram")).agg(F.count(F.lit(1)).alias("times"))
 
 
 def backoff_scores(docs: DataFrame, corpus: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, score of ``docs`` by the counts of another ``corpus``, one row per row of ``docs``.
-
-    A word that the corpus lacks scores as if it had been counted half a time.
-    """
+    """doc_id, n_words, score of ``docs`` by the counts of another ``corpus``, one row per row of ``docs``; edge cases as in corpus_scores."""
     scratch = Scratch(docs.sparkSession, "lm")
-    split = F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
     # Rows keep a key of their own: the written table fixes it, and repeated rows stay apart.
-    held = scratch.keep("docs", docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), split.alias("words")))
-    known = scratch.keep("corpus", corpus.select(F.monotonically_increasing_id().alias("key"), split.alias("words")))
-    pending, parts = held.select("key", F.posexplode("words").alias("i", "w")).select("key", "i"), []
+    held = scratch.keep("docs", docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), _split(text_col).alias("words")))
+    known = scratch.keep("corpus", corpus.select(_split(text_col).alias("words")))
+    counts = [scratch.keep(f"counts{n}", ngram_counts(known, n)) for n in range(1, order + 1)]
+    total = known.agg(F.sum(F.size("words"))).first()[0] or 0
+    pending, parts = held.select("key", F.posexplode("words").alias("i", "w")).select("key", "i", F.least("i", F.lit(order - 1)).alias("most")), []
     for n in range(order, 0, -1):
-        grams = _exploded(held, n).join(pending, ["key", "i"], "left_semi")
-        looked = scratch.keep(f"order{n}", grams.join(ngram_counts(known, n), "gram", "left").select("key", "i", "n", "context_n"))
-        paid = F.log(F.col("n") / F.col("context_n")) + (order - n) * float(np.log(alpha))
-        parts.append(looked.filter("n is not null").groupBy("key").agg(F.sum(paid).alias("part")))
-        pending = looked.filter("n is null").select("key", "i")
-    words = known.agg(F.sum(F.size("words")).alias("all"))
-    last = (order - 1) * float(np.log(alpha))
-    parts.append(pending.groupBy("key").agg(F.count(F.lit(1)).alias("m")).crossJoin(F.broadcast(words)).select("key", (F.col("m") * (last + F.log(0.5 / F.greatest("all", F.lit(1))))).alias("part")))
-    total = parts[0]
+        gram = lambda end, size: F.array_join(F.slice("words", end - size + 2, F.lit(size)), " ")
+        asked = pending.filter(F.col("most") >= n - 1).join(held.select("key", "words"), "key")
+        asked = asked.select("key", "i", "most", gram(F.col("i"), n).alias("gram"), (gram(F.col("i") - 1, n - 1) if n > 1 else F.lit(None).cast("string")).alias("context"))
+        asked = asked.join(counts[n - 1], "gram", "left")
+        if n > 1:
+            asked = asked.join(counts[n - 2].select(F.col("gram").alias("context"), F.col("times").alias("all")), "context", "left")
+        else:
+            asked = asked.withColumn("all", F.lit(max(total, 1))).withColumn("times", F.coalesce(F.col("times").cast("double"), F.lit(0.5)))
+        looked = scratch.keep(f"order{n}", asked.select("key", "i", "most", "times", "all"))
+        paid = F.log(F.col("times") / F.col("all")) + (F.col("most") - (n - 1)) * float(np.log(alpha))
+        parts.append(looked.filter("times is not null").groupBy("key").agg(F.sum(paid).alias("part")))
+        pending = pending.filter(F.col("most") < n - 1).unionByName(looked.filter("times is null").select("key", "i", "most"))
+    sums = parts[0]
     for more in parts[1:]:
-        total = total.unionByName(more)
-    total = total.groupBy("key").agg(F.sum("part").alias("total"))
+        sums = sums.unionByName(more)
+    sums = sums.groupBy("key").agg(F.sum("part").alias("total"))
     size = F.size("words").cast("long")
-    return held.join(total, "key", "left").select("doc_id", size.alias("n_words"), F.when(size > 0, F.col("total") / size).alias("score"))
+    return held.join(sums, "key", "left").select("doc_id", size.alias("n_words"), F.when(size > 0, F.col("total") / size).alias("score"))

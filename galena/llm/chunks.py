@@ -10,7 +10,9 @@ Where white space touches such a space, the text is cut elsewhere.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: All white space but space and line feed.
@@ -24,6 +26,17 @@ def chunks(text: str) -> list[str]:
     return text.split(" ")
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts, of about ``most`` characters: whole texts, bounded arrays."""
+    start, size, texts = 0, 0, []
+    for i, text in enumerate(batch.column(column)):
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= most or i == batch.num_rows - 1:
+            yield batch.slice(start, i + 1 - start), texts
+            start, size, texts = i + 1, 0, []
+
+
 class Memo(dict):
     """Results for recent keys; two generations bound their number, ``longest`` the size of a key."""
 

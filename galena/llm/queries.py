@@ -124,10 +124,23 @@ ORACLE_SQL: dict[str, str] = {
     "op4_lm_scores": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-        t AS (SELECT doc_id, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS c, w[i] AS w FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
-        g AS (SELECT c, w, count(*) AS n FROM t GROUP BY ALL),
-        x AS (SELECT c, sum(n) AS n FROM g GROUP BY c),
-        s AS (SELECT doc_id, avg(ln(g.n / x.n)) AS score FROM t JOIN g USING (c, w) JOIN x USING (c) GROUP BY doc_id)
+        t AS (
+            SELECT doc_id, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3
+            FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+        g AS (SELECT doc_id, g1 AS g FROM t UNION ALL SELECT doc_id, g2 FROM t WHERE g2 IS NOT NULL UNION ALL SELECT doc_id, g3 FROM t WHERE g3 IS NOT NULL),
+        own AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL),
+        rest AS (SELECT doc_id, g, sum(n) OVER (PARTITION BY g) - n AS n FROM own),
+        x AS (
+            SELECT t.doc_id, t.i, r1.n AS n1, r2.n AS n2, r3.n AS n3, lag(r1.n) OVER w AS c1, lag(r2.n) OVER w AS c2
+            FROM t JOIN rest r1 ON r1.doc_id = t.doc_id AND r1.g = t.g1
+            LEFT JOIN rest r2 ON r2.doc_id = t.doc_id AND r2.g = t.g2 LEFT JOIN rest r3 ON r3.doc_id = t.doc_id AND r3.g = t.g3
+            WINDOW w AS (PARTITION BY t.doc_id ORDER BY t.i)),
+        z AS (SELECT doc_id, greatest((SELECT count(*) FROM t) - len(w), 1) AS n_all FROM d),
+        s AS (
+            SELECT x.doc_id, avg(CASE WHEN n3 > 0 THEN ln(n3 / c2)
+                WHEN n2 > 0 THEN ln(n2 / c1) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+                ELSE ln(CASE WHEN n1 > 0 THEN n1 ELSE 0.5 END / n_all) + least(i - 1, 2) * ln(0.4) END) AS score
+            FROM x JOIN z USING (doc_id) GROUP BY x.doc_id)
         SELECT doc_id, len(w) AS n_words, round(score, 6) AS score FROM d LEFT JOIN s USING (doc_id)""",
     "op6_suffix_dedup": r"""
         WITH d AS (

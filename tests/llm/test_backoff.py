@@ -10,28 +10,24 @@ from galena.llm import backoff as B
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def brute(docs, corpus, order, alpha=0.4):
+def brute(docs, corpus, order, alpha=0.4, own=False):
+    """By the definition; ``own``: docs are the corpus, and each is scored by the others."""
     split = lambda t: WORD.findall((t or "").lower())
-    counts, contexts, total = Counter(), Counter(), 0
-    for _, t in corpus:
-        w = split(t)
-        total += len(w)
-        for n in range(1, order + 1):
-            p = ["<"] * (n - 1) + w
-            for i in range(len(w)):
-                counts[n, tuple(p[i : i + n])] += 1
-                contexts[n, tuple(p[i : i + n - 1])] += 1
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    counts = sum((grams(split(t)) for _, t in corpus), Counter())
+    total = sum(len(split(t)) for _, t in corpus)
     out = []
     for i, t in docs:
         w, s = split(t), 0.0
+        left = counts - grams(w) if own else counts
+        n_all = max(total - len(w) * own, 1)
         for k in range(len(w)):
-            for n in range(order, 0, -1):
-                g = tuple((["<"] * (n - 1) + w)[k : k + n])
-                if counts[n, g]:
-                    s += math.log(counts[n, g] / contexts[n, g[:-1]]) + (order - n) * math.log(alpha)
+            most = min(order, k + 1)
+            for n in range(most, 0, -1):
+                g = tuple(w[k - n + 1 : k + 1])
+                if left[g] or n == 1:
+                    s += math.log((left[g] or 0.5) / (left[g[:-1]] if n > 1 else n_all)) + (most - n) * math.log(alpha)
                     break
-            else:
-                s += (order - 1) * math.log(alpha) + math.log(0.5 / max(total, 1))
         out.append((i, len(w), round(s / len(w), 6) if w else None))
     return Counter(out)
 
@@ -45,12 +41,22 @@ def got(df):
     return Counter((r.doc_id, r.n_words, None if r.score is None else round(r.score, 6)) for r in df.collect())
 
 
-@pytest.mark.parametrize("order,shards,batch", [(1, 1, 10**6), (2, 5, 900), (3, 3, 400)])
+@pytest.mark.parametrize("order,shards,batch", [(1, 1, 10**6), (2, 5, 900), (3, 3, 400), (4, 2, 1)])
 def test_corpus_scores(spark, monkeypatch, order, shards, batch):
     monkeypatch.setattr(B, "BATCH_CHARS", batch)
     data = rows(order, 60)
-    docs = spark.createDataFrame([(*x, "k") for x in data], "doc_id long, text string, key string")
-    assert got(B.corpus_scores(docs, order, shards=shards)) == brute(data, data, order)
+    docs = spark.createDataFrame([(*x, "k", 1) for x in data], "doc_id long, text string, key string, words int")
+    assert got(B.corpus_scores(docs, order, shards=shards)) == brute(data, data, order, own=True)
+
+
+def test_backing_off(spark):
+    data = [(1, "a b c d"), (2, "a b c e"), (3, "x b c"), (4, "zz")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in B.corpus_scores(docs).collect()}
+    # 3 of 12 words: x is in no other text, "x b" neither, "x b c" neither but "b c" twice after two b.
+    assert score[3] == pytest.approx((math.log(0.5 / 9) + math.log(0.4 * 2 / 9) + math.log(0.4 * 2 / 2)) / 3)
+    assert score[4] == pytest.approx(math.log(0.5 / 11))
+    assert B.corpus_scores(docs.limit(1)).count() == 1
 
 
 def test_other_corpus_and_empty(spark):
