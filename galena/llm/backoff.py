@@ -11,13 +11,13 @@ document's own occurrences are left out of all counts, so that what only it says
 backs off.  ``backoff_scores`` takes another corpus and has an n-gram a row.
 
 ``corpus_scores`` moves n-grams packed, as rows of one each would be many times
-the corpus.  A batch of documents sends each shard one row: its distinct n-grams,
-sorted and as differences, with their counts.  A shard sums the counts of all
-batches and joins them back to each batch's n-grams; what a batch needs to know is
-how often the others have them, and nothing goes back for those that only it has.
-Back at the batch, whose texts travel packed beside, a document's own counts are
-taken off.  As an n-gram is sent once a batch, a hot one weighs no more in its
-shard than any other that all batches have.
+the corpus.  A batch of documents sends each shard one row: its distinct words, and
+its distinct pairs of words with the words before them and how often.  Pairs bring
+their three words to one shard, which sums the counts of all batches and joins them
+back to each batch's lists: how often the others have each entry.  Back at the
+batch, whose texts are packed, a document's own counts are taken off.  As an n-gram
+is sent once a batch, a hot one weighs no more in its shard than any other that all
+batches have.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm.caches import claim
 from galena.llm.chunks import slices
-from galena.llm.packing import dealt, differences, squeezed, undone
+from galena.llm.packing import dealt, differences, from_planes, planes, squeezed, undone
 from galena.llm.scratch import Scratch
 from galena.llm.shingles import hashed, mix, words_of
 
@@ -40,149 +41,183 @@ ORDER, ALPHA = 3, 0.4
 #: Characters of a batch of documents, and corpus bytes to a shard, roughly.
 BATCH_CHARS, SHARD_BYTES = 4 << 20, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Of the word before a pair its hash has so many bytes; 0 stands for none.
+_BEFORE = 5
 
 
-def _grams(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(text of each word, keys of the 1, 2, ... words that end at it, whether its text has that many up to it)."""
-    sizes = np.array([len(t) for t in texts], "i8")
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    h = hashed([w for t in texts for w in t])
-    keys = [h]
-    for _ in range(1, order):
-        keys.append(mix(np.concatenate([keys[-1][:1] * 0, keys[-1][:-1]]) * _STEP + h))
-    return owner, keys, [place >= n for n in range(order)]
+class _Lists:
+    """A batch's distinct words, pairs and triples in order of their keys, how often it has each, and which each place has.
+
+    Places without a word before them have no pair; those without two have a pair
+    with nothing before it.
+    """
+
+    def __init__(self, texts: list[list[bytes]], order: int):
+        sizes = np.array([len(t) for t in texts], "i8")
+        self.owner = np.repeat(np.arange(len(texts)), sizes)
+        self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        h = hashed([w for t in texts for w in t])
+        self.words, self.word_of, self.word_times = np.unique(h, return_inverse=True, return_counts=True)
+        at = self.with_pair = np.flatnonzero(self.place >= 1) if order > 1 else np.zeros(0, "i8")
+        pair = mix(h[at - 1] * _STEP + h[at])
+        before = np.where(self.place[at] >= 2, h[at - 2] >> np.uint64(64 - 8 * _BEFORE), np.uint64(0)) if order > 2 else np.zeros(len(at), "u8")
+        by = np.lexsort((before, pair))
+        pair, before = pair[by], before[by]
+        new_pair = np.ones(len(at), bool)
+        new_pair[1:] = pair[1:] != pair[:-1]
+        new = new_pair.copy()
+        new[1:] |= before[1:] != before[:-1]
+        self.pairs, self.before = pair[new_pair], before[new]
+        self.pair_times, self.times = (np.diff(np.append(np.flatnonzero(x), len(x))) for x in (new_pair, new))
+        self.spread = np.diff(np.append((np.cumsum(new) - 1)[new_pair], len(self.before)))  # entries of each pair
+        self.pair_of, self.entry_of = np.empty(len(at), "i8"), np.empty(len(at), "i8")
+        self.pair_of[by], self.entry_of[by] = np.cumsum(new_pair) - 1, np.cumsum(new) - 1
 
 
-_SENT = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("words", pa.int64())])
-_SENT_DDL = "batch long, shard int, sizes array<long>, data binary, ids array<long>, words long"
+_SENT = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
+_SENT_DDL = "shard int, batch long, sizes array<long>, data binary"
+_TEXT = pa.schema([("batch", pa.int64()), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
 
-def _table(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
+def _rows(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def packed_grams(texts: DataFrame, order: int, shards: int) -> DataFrame:
-    """Of (doc_id, text): a row with each batch's packed texts (null shard), and one for each shard with its n-grams and their counts."""
+def _packed(texts: DataFrame) -> DataFrame:
+    """Batches of (doc_id, text): their words, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             for some, texts in slices(batch, 1, BATCH_CHARS):
-                words = [words_of(t) for t in texts]
-                lines = [b" ".join(w) for w in words]
-                rows = [[batch_id, None, [len(x) for x in lines], squeezed(*lines, level=3), some.column(0).to_pylist(), sum(map(len, words))]]
-                _, keys, whole = _grams(words, order)
-                counted = [np.unique(k[w], return_counts=True) for k, w in zip(keys, whole, strict=True)]
-                for shard, parts in dealt([k for k, _ in counted], [n.astype("<u4") for _, n in counted], shards):
-                    packed = [x for k, n in parts for x in (differences(k), n)]
-                    rows.append([batch_id, shard, [len(k) for k, _ in parts], squeezed(*packed), None, None])
-                yield _table(rows)
+                lines = [b" ".join(words_of(t)) for t in texts]
+                yield _rows([[batch_id, [len(x) for x in lines], squeezed(*lines, level=3), some.column(0).to_pylist()]], _TEXT)
                 batch_id += 1
 
-    return texts.mapInArrow(run, _SENT_DDL)
+    return texts.mapInArrow(run, "batch long, sizes array<long>, data binary, ids array<long>")
+
+
+def _words(sizes: list[int], data: bytes) -> list[list[bytes]]:
+    raw, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum([0, *sizes]).tolist()
+    return [raw[a:b].split(b" ") if b > a else [] for a, b in zip(ends, ends[1:])]
 
 
-def _opened(data: bytes, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    for n in sizes:
-        out.append((undone(memoryview(raw)[at : at + 8 * n], n), np.frombuffer(raw, "<u4", n, at + 8 * n)))
-        at += 12 * n
-    return out
+def _asked(packed: DataFrame, order: int, shards: int) -> DataFrame:
+    """What each batch asks each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
+        for batch in batches:
+            for batch_id, sizes, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                own, rows = _Lists(_words(sizes.as_py(), data.as_py()), order), []
+                begin = np.concatenate([[0], np.cumsum(own.spread)])
+                for shard, (w, p) in dealt([own.words, own.pairs], shards):
+                    e = slice(begin[p.start], begin[p.stop])
+                    parts = differences(own.words[w]), planes(own.word_times[w], 4), differences(own.pairs[p]), planes(own.spread[p], 4), planes(own.before[e], _BEFORE), planes(own.times[e], 4)
+                    rows.append([shard, batch_id.as_py(), [x.stop - x.start for x in (w, p, e)], squeezed(*parts)])
+                yield _rows(rows, _SENT)
+
+    return packed.mapInArrow(run, _SENT_DDL)
 
 
 def _others(table: pa.Table) -> pa.Table:
-    """One shard: for each batch those of its n-grams that other batches have, with how often."""
-    asked = [_opened(d.as_py(), s.as_py()) for d, s in zip(table.column("data"), table.column("sizes"), strict=True)]
-    found: list[list[bytes]] = [[] for _ in asked]
-    sizes: list[list[int]] = [[] for _ in asked]
-    for n in range(len(asked[0])):
-        keys = np.concatenate([a[n][0] for a in asked])
-        counts = np.concatenate([a[n][1] for a in asked])
-        known, back = np.unique(keys, return_inverse=True)
-        rest = (np.bincount(back, counts, len(known))[back] - counts).astype("<u4")
-        ends = np.cumsum([0, *(len(a[n][0]) for a in asked)])
-        for i, (a, b) in enumerate(zip(ends, ends[1:])):
-            some = rest[a:b] > 0
-            found[i] += [differences(keys[a:b][some]).tobytes(), rest[a:b][some].tobytes()]
-            sizes[i].append(int(some.sum()))
-    rows = [[batch, None, s, squeezed(*f), None, None] for batch, s, f in zip(table.column("batch").to_pylist(), sizes, found, strict=True) if any(s)]
-    return pa.Table.from_batches([_table(rows)])
-
-
-def _run_lengths(new: np.ndarray) -> np.ndarray:
-    """The length of the run each place is in, from where runs begin."""
-    n = np.diff(np.append(np.flatnonzero(new), len(new)))
-    return np.repeat(n, n)
+    """One shard: how often other batches have each entry of each batch's lists."""
+    asked, sizes = [], table.column("sizes").to_pylist()
+    for (words, pairs, entries), data in zip(sizes, table.column("data"), strict=True):
+        raw, at, part = memoryview(zstandard.ZstdDecompressor().decompress(data.as_py())), 0, []
+        for n, width in ((words, 8), (words, 4), (pairs, 8), (pairs, 4), (entries, _BEFORE), (entries, 4)):
+            piece = raw[at : at + n * width]
+            part.append(undone(piece, n) if width == 8 else from_planes(piece, n, width))
+            at += n * width
+        asked.append(part)
+    word, word_times, pair, spread, before, times = (np.concatenate([a[i] for a in asked]) for i in range(6))
+    del asked
+
+    def rest(order: np.ndarray, new: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The sum of ``own`` over equal entries, less its own."""
+        group = np.cumsum(new) - 1
+        out = np.empty(len(order), "i8")
+        out[order] = np.bincount(group, own[order])[group] if len(order) else out
+        return out - own.astype("i8")
+
+    def changed(*columns: np.ndarray) -> np.ndarray:
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return new
+
+    by = np.argsort(word, kind="stable")
+    words = rest(by, changed(word[by]), word_times)
+    pair_times = np.add.reduceat(times, np.cumsum(spread.astype("i8")) - spread.astype("i8")) if len(pair) else times
+    by = np.argsort(pair, kind="stable")
+    pairs = rest(by, changed(pair[by]), pair_times)
+    full = np.repeat(pair, spread.astype("i8"))
+    by = np.lexsort((before, full))
+    entries = rest(by, changed(full[by], before[by]), times)
+    rows, at = [], [0, 0, 0]
+    for shard, batch, size in zip(table.column("shard").to_pylist(), table.column("batch").to_pylist(), sizes, strict=True):
+        parts = [planes(x[a : a + n], 4) for x, a, n in zip((words, pairs, entries), at, size, strict=True)]
+        at = [a + n for a, n in zip(at, size, strict=True)]
+        rows.append([shard, batch, size, squeezed(*parts)])
+    return pa.Table.from_batches([_rows(rows, _SENT)])
 
 
 def _scored(order: int, alpha: float, total: int):
     """One batch: its documents' scores, from their texts and what other batches have."""
 
-    def run(table: pa.Table) -> pa.Table:
-        words: list[list[bytes]] = []
-        ids: list[int | None] = []
-        known: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
-        for sizes, data, own in zip(*(table.column(c) for c in ("sizes", "data", "ids")), strict=True):
-            if own.is_valid:
-                raw, ends = zstandard.ZstdDecompressor().decompress(data.as_py()), np.cumsum([0, *sizes.as_py()]).tolist()
-                words, ids = [raw[a:b].split(b" ") if b > a else [] for a, b in zip(ends, ends[1:])], own.as_py()
-                continue
-            for n, part in enumerate(_opened(data.as_py(), sizes.as_py())):
-                known[n].append(part)
-        owner, keys, whole = _grams(words, order)
-        size = np.array([len(w) for w in words], "i8")
-        # Of each n-gram at each place: how often it is in other documents than the place's.
-        rest = []
-        for n in range(order):
-            out, at = np.zeros(len(owner), "i8"), np.flatnonzero(whole[n])
-            place = at[np.argsort(keys[n][at], kind="stable")]
-            k, o = keys[n][place], owner[place]
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = k[1:] != k[:-1]
-            mine = fresh.copy()
-            mine[1:] |= o[1:] != o[:-1]
-            out[place] = _run_lengths(fresh) - _run_lengths(mine)
-            if len(k) and sum(len(p[0]) for p in known[n]):
-                have, more = (np.concatenate([p[i] for p in known[n]]) for i in (0, 1))
-                order_of = np.argsort(have)
-                have, more = have[order_of], more[order_of]
-                own = k[fresh]
-                spot = np.minimum(np.searchsorted(have, own), len(have) - 1)
-                extra = np.where(have[spot] == own, more[spot], 0)
-                out[place] += extra[np.cumsum(fresh) - 1]
-            rest.append(out)
-        left = np.maximum(total - size, 1)[owner].astype("f8")
-        score = np.log(np.where(rest[0] > 0, rest[0], 0.5) / left)
-        for n in range(1, order):  # the longest n-gram that others have decides
-            context = np.concatenate([rest[n - 1][:1] * 0, rest[n - 1][:-1]])
-            longer = rest[n] > 0
-            score = np.where(longer, np.log(np.where(longer, rest[n], 1) / np.where(longer, context, 1)), score + np.where(whole[n], np.log(alpha), 0.0))
-        sums = np.bincount(owner, score, len(words))
+    def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        claim("words")
+        texts = _words(batch.column("sizes")[0].as_py(), batch.column("data")[0].as_py())
+        own = _Lists(texts, order)
+        others: list[list[np.ndarray]] = [[], [], []]
+        for sizes, data in zip(answers.column("sizes").to_pylist(), answers.column("data"), strict=True):
+            raw, at = memoryview(zstandard.ZstdDecompressor().decompress(data.as_py())), 0
+            for n, out in zip(sizes, others, strict=True):
+                out.append(from_planes(raw[at : at + 4 * n], n, 4).astype("i8"))
+                at += 4 * n
+        order_of = np.argsort(answers.column("shard").to_numpy())
+        others = [np.concatenate([o[i] for i in order_of]) if o else np.zeros(0, "i8") for o in others]
+        if [len(o) for o in others] != [len(own.words), len(own.pairs), len(own.before)]:
+            raise ValueError("a batch has changed between its two readings")
+
+        def rest(of: np.ndarray, owner: np.ndarray, here: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+            """At each place, how often other documents than its own have its entry."""
+            _, back, mine = np.unique(of * max(len(texts), 1) + owner, return_inverse=True, return_counts=True)
+            return here[of] - mine[back] + elsewhere[of]
+
+        n, at = len(own.owner), own.with_pair
+        one, two, three = rest(own.word_of, own.owner, own.word_times, others[0]), np.zeros(n, "i8"), np.zeros(n, "i8")
+        if len(at):
+            two[at] = rest(own.pair_of, own.owner[at], own.pair_times, others[1])
+            three[at] = np.where(own.before[own.entry_of] > 0, rest(own.entry_of, own.owner[at], own.times, others[2]), 0)
+        size = np.array([len(t) for t in texts], "i8")
+        score = np.log(np.where(one > 0, one, 0.5) / np.maximum(total - size, 1)[own.owner])
+        for k, (longer, shorter) in enumerate(((two, one), (three, two))[: order - 1]):
+            context = np.concatenate([shorter[:1] * 0, shorter[:-1]])
+            found = longer > 0  # the longest n-gram that others have decides
+            score = np.where(found, np.log(np.where(found, longer, 1) / np.where(found, context, 1)), score + np.where(own.place > k, np.log(alpha), 0.0))
+        sums = np.bincount(own.owner, score, len(texts))
         mean = np.divide(sums, size, out=np.zeros(len(size)), where=size > 0)
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(size), pa.array(mean, mask=size == 0)], names=["doc_id", "n_words", "score"])
+        return pa.Table.from_arrays([pa.array(batch.column("ids")[0].as_py(), pa.int64()), pa.array(size), pa.array(mean, mask=size == 0)], names=["doc_id", "n_words", "score"])
 
     return run
 
 
 def corpus_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """doc_id, n_words, score: one row per row of ``docs``, each scored by the counts of all other rows.
+    """doc_id, n_words, score: one row per row of ``docs``, each scored by the counts of all other rows; ``order`` is 1, 2 or 3.
 
     A null text is empty; a text without words has a null score.  Rows of null or
     repeated doc_id are documents of their own, and repeated rows speak for each
     other.  An empty table gives no rows.  Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    if order not in (1, 2, 3):
+        raise ValueError("order is 1, 2 or 3; backoff_scores has no such bound")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    if shards is None:
-        size = text.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-        shards = max(1, size // SHARD_BYTES)
-    sent = scratch.keep("sent", packed_grams(text, order, shards))
-    answers = sent.filter("shard is not null").groupBy("shard").applyInArrow(_others, _SENT_DDL)
-    total = sent.agg(F.sum("words")).first()[0] or 0
-    both = sent.filter("shard is null").unionByName(answers)
-    return both.groupBy("batch").applyInArrow(_scored(order, alpha, total), "doc_id long, n_words long, score double")
+    sums = text.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("words")).first()
+    shards = shards or max(1, (sums.bytes or 0) // SHARD_BYTES)
+    # Both uses of the batches read one exchange; _scored checks that they are the same.
+    packed = _packed(text).repartition("batch")
+    answers = _asked(packed, order, shards).groupBy("shard").applyInArrow(_others, _SENT_DDL)
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(order, alpha, sums.words or 0), "doc_id long, n_words long, score double")
 
 
 def _split(text_col: str):

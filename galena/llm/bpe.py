@@ -24,7 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm.caches import claim, register
 from galena.llm.chunks import Pieces
+from galena.llm.scratch import fresh
 
 #: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
 MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 400_000, 250_000, 48
@@ -160,19 +162,28 @@ class ByteBPE:
 
 
 _OWN: dict[str, ByteBPE] = {}
+register("bpe", _OWN.clear)
 
 
 def _once(key: str, sent) -> ByteBPE:
     """One vocabulary for each worker process, however many tasks it runs."""
+    claim("bpe")
     if key not in _OWN:
         _OWN.clear()
         _OWN[key] = sent.value
     return _OWN[key]
 
 
+#: The driver's last vocabulary: its perfect hash is built once.
+_BUILT: dict[str, ByteBPE] = {}
+
+
 def _sent(docs: DataFrame, tokens: list[bytes], pattern: str):
     key = hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
-    return key, docs.sparkSession.sparkContext.broadcast(ByteBPE(tokens, pattern))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = ByteBPE(tokens, pattern)
+    return key, docs.sparkSession.sparkContext.broadcast(_BUILT[key])
 
 
 def encode_documents(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -181,11 +192,12 @@ def encode_documents(docs: DataFrame, tokens: list[bytes], pattern: str, text_co
     Every whole text is encoded, then its ids are decoded again; decoded_sha256
     is the digest of the bytes that come back.  A null text is empty, an empty
     one has no ids.  Rows are independent: nulls, ties and repeated rows in other
-    columns change nothing, and columns not in ``keep`` are not looked at.
+    columns change nothing, and columns not in ``keep`` are not looked at.  A column
+    in ``keep`` with the name of one that is made here is left out.
     """
-    keep = list(keep)
+    keep = [c for c in keep if c not in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")]
     key, sent = _sent(docs, tokens, pattern)
-    rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(fresh()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _once(key, sent)
@@ -205,10 +217,14 @@ def encode_documents(docs: DataFrame, tokens: list[bytes], pattern: str, text_co
 
 
 def decode_documents(encoded: DataFrame, tokens: list[bytes], pattern: str, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and text: the decoded ids as UTF-8, invalid bytes replaced; null ids give an empty text."""
-    keep = list(keep)
+    """``keep`` columns (but for text) and text: the decoded ids as UTF-8, invalid bytes replaced.
+
+    Null ids and none give an empty text.  A row is decoded by itself: repeated
+    rows and nulls in other columns change nothing.
+    """
+    keep = [c for c in keep if c != "text"]
     key, sent = _sent(encoded, tokens, pattern)
-    rows = encoded.select(*keep, F.coalesce("ids", F.lit(b"")).alias("_ids"))
+    rows = encoded.select(*keep, F.coalesce("ids", F.lit(b"")).alias(fresh()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _once(key, sent)

@@ -8,9 +8,9 @@ are the starts of its occurrences.  With slop, words may have others between
 them.  Shards are searched apart, so no word, however frequent, and no item
 gathers its postings in one place.
 
-Words that no item has are left out of the index while the items' vocabulary
-has at most TERMS words; beyond it all words are indexed.  Items are compiled
-in blocks of BLOCK_WORDS, which bounds what is broadcast.
+Items are taken in blocks of BLOCK_WORDS, which bounds what is broadcast, and each
+block has its index: postings of words that none of its items has are never asked
+for and are left out.  A shard tries the phrases whose rarest word it has.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.scratch import Scratch
+from galena.llm.scratch import Scratch, fresh
 
 WINDOW_WORDS = 10
 SHARD_BYTES = 4 << 20
-TERMS = 500_000
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
 
 #: Bytes to what words are made of: A-Z in lower case, digits and a-z as they are, other ASCII a space.
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalnum() else 32 if b < 128 else b for b in range(256))
@@ -61,7 +60,7 @@ def build_index(docs: DataFrame, terms: list[str] | None = None, id_col: str = "
     Every row of ``docs`` is a document of its own, repeated or null doc_ids too;
     a null text has no words.  ``terms``: the words wanted, or all.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(terms and {t.encode(): i for i, t in enumerate(terms)})
+    wanted = docs.sparkSession.sparkContext.broadcast(None if terms is None else {t.encode(): i for i, t in enumerate(terms)})
     everything = terms is None
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -72,7 +71,7 @@ def build_index(docs: DataFrame, terms: list[str] | None = None, id_col: str = "
         sizes: list[int] = []
 
         def closed() -> pa.RecordBatch:
-            vocabulary = {w: i for i, w in enumerate(set(words))} if everything else wanted.value or {}
+            vocabulary = {w: i for i, w in enumerate(set(words))} if everything else wanted.value
             codes = np.fromiter(map(vocabulary.get, words, repeat(-1)), "i8", len(words))
             places = np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)
             held = np.flatnonzero(codes >= 0)
@@ -161,13 +160,13 @@ def _near(words: tuple[str, ...], order: list[int], postings: dict[str, np.ndarr
 
 
 def search(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """shard, ord, doc_id, n_words, spans (word ranges matched), items: one row per document of the index."""
+    """shard, ord, doc_id, n_words, spans (word ranges matched), items: one row per document of the index, which has the phrases' words."""
     spark = index.sparkSession
-    vocabulary = sorted({w for words in phrases.items for w in words})
-    terms = spark.createDataFrame([(w,) for w in vocabulary], "word string") if vocabulary else index.select("word").limit(0)
-    needed = index.join(F.broadcast(terms), "word", "left_semi") if len(vocabulary) <= TERMS else index.join(terms, "word", "left_semi")
-    counts = {r.word: r.n for r in needed.groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    sent = spark.sparkContext.broadcast(phrases.plan(counts))
+    counts = {r.word: r.n for r in index.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    rarest: dict[str, list] = {}
+    for words, order, items in phrases.plan(counts):
+        rarest.setdefault(words[order[0]], []).append((words, order, items))
+    sent = spark.sparkContext.broadcast(rarest)
     slop = phrases.slop
 
     def run(table: pa.Table) -> pa.Table:
@@ -178,7 +177,7 @@ def search(index: DataFrame, phrases: Phrases) -> DataFrame:
         base = np.concatenate([[0], np.cumsum(sizes + 1)])
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
-        for words, order, names in sent.value:
+        for words, order, names in (phrase for word, own in sent.value.items() if word in postings for phrase in own):
             if slop:
                 if (near := _near(words, order, postings, slop)) is None:
                     continue
@@ -202,8 +201,7 @@ def search(index: DataFrame, phrases: Phrases) -> DataFrame:
         ]
         return pa.Table.from_arrays(out, names=["shard", "ord", "doc_id", "n_words", "spans", "items"])
 
-    rows = needed.unionByName(index.filter("word is null"))
-    return rows.groupBy("shard").applyInArrow(run, "shard long, ord int, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return index.groupBy("shard").applyInArrow(run, "shard long, ord int, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -230,25 +228,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, s
     an item without words has none.  Null texts have no words, a null item id is
     the empty string, items of equal id count as one.  Either table may be empty.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
+    scratch = Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    terms: set[str] | None = set()
-    for r in items.toLocalIterator():
-        terms.update(w.decode() for w in words_of(r.text))
-        if len(terms) > TERMS:
-            terms = None
-            break
-    index = scratch.keep("index", build_index(docs, None if terms is None else sorted(terms), id_col, text_col))
-    found = []
-    phrases = Phrases(window, slop)
+    found: list[DataFrame] = []
+    phrases, rows = Phrases(window, slop), docs.select(F.col(id_col), F.col(text_col))
+
+    def close() -> None:
+        terms = sorted({w for words in phrases.items for w in words})
+        index = scratch.keep("index", build_index(rows, terms, id_col, text_col))
+        found.append(scratch.keep(f"block{len(found)}", search(index, phrases)))
+        scratch.drop("index")
+
     for r in items.toLocalIterator():
-        phrases.add(r.item, [w.decode() for w in words_of(r.text)])
         if phrases.words >= BLOCK_WORDS:
-            found.append(scratch.keep(f"block{len(found)}", search(index, phrases)))
+            if not found:  # every block must see the same shards
+                rows = scratch.keep("rows", rows)
+            close()
             phrases = Phrases(window, slop)
-    if phrases.items or not found:
-        found.append(search(index, phrases))
+        phrases.add(r.item, [w.decode() for w in words_of(r.text)])
+    close()
     total = found[0]
     if len(found) > 1:
         for more in found[1:]:
@@ -273,6 +271,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_
     A doc_id that several rows share is contaminated if one of them is; rows of
     null doc_id likewise.
     """
-    scratch = Scratch(docs.sparkSession, "clean")
-    hit = scratch.keep("hit", matches(docs, benchmark, window, id_col=id_col).filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+    scratch, own = Scratch(docs.sparkSession, "clean"), fresh()
+    hit = scratch.keep("hit", matches(docs, benchmark, window, id_col=id_col).filter("n_hit > 0").select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")

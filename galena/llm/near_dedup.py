@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm.caches import claim
 from galena.llm.components import components
 from galena.llm.scratch import Scratch, fresh
 from galena.llm.shingles import SHINGLE_WORDS, mix, multisets, node_of, overlap, words_of
@@ -125,6 +126,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     """doc_id, node (null without words), bands: one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for batch in batches:
             for some, texts in _batches(batch, 1):
                 nodes = [node_of(t) if t else None for t in texts]

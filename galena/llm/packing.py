@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import zstandard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def squeezed(*parts: np.ndarray | bytes, level: int = 1) -> bytes:
@@ -30,13 +32,33 @@ def packed_keys(data: bytes, sizes: list[int]) -> Iterator[np.ndarray]:
         at += 8 * n
 
 
-def dealt(keys: list[np.ndarray], values: list[np.ndarray], shards: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Sorted keys of several orders with their values, dealt by the keys' upper half; shards without keys are passed over."""
-    shard = [(k >> np.uint64(32)) % np.uint64(shards) for k in keys]
-    place = [np.argsort(s, kind="stable") for s in shard]
-    ordered = [s[p] for s, p in zip(shard, place, strict=True)]
-    present = np.unique(np.concatenate(ordered))
-    begin = [np.searchsorted(o, present) for o in ordered]
-    end = [np.searchsorted(o, present, "right") for o in ordered]
-    for i, s in enumerate(present.tolist()):
-        yield s, [(k[own], v[own]) for k, v, own in ((k, v, p[a[i] : b[i]]) for k, v, p, a, b in zip(keys, values, place, begin, end, strict=True))]
+def planes(values: np.ndarray, width: int) -> np.ndarray:
+    """Unsigned integers as their ``width`` lower bytes, like bytes together."""
+    return np.ascontiguousarray(values.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T)
+
+
+def from_planes(raw: bytes | memoryview, n: int, width: int) -> np.ndarray:
+    """What ``planes`` was given, from the first width * n bytes."""
+    out = np.zeros((n, 8), "u1")
+    out[:, :width] = np.frombuffer(raw, "u1", n * width).reshape(width, n).T
+    return out.view("<u8").reshape(-1)
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Equal ranges of keys, so that sorted keys lie in their shards' order; fewer than 2**31 shards."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def shard_column(key: Column, shards: int) -> Column:
+    """The same, of a column of signed longs."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(shards).cast("long"), 32).cast("int")
+
+
+def dealt(keys: list[np.ndarray], shards: int) -> Iterator[tuple[int, list[slice]]]:
+    """For each shard that has some of several arrays of sorted keys: where in each array its keys are."""
+    owners = [shard_of(k, shards) for k in keys]
+    present = np.unique(np.concatenate(owners))
+    begin = [np.searchsorted(o, present) for o in owners]
+    end = [np.searchsorted(o, present, "right") for o in owners]
+    for i, shard in enumerate(present.tolist()):
+        yield shard, [slice(a[i], b[i]) for a, b in zip(begin, end, strict=True)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from galena.llm.caches import register
+
 SHINGLE_WORDS = 5
 #: Hashes of so many words are remembered by a worker.
 MEMO_WORDS = 500_000
@@ -33,6 +35,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+register("words", _HASHES.clear)
 
 
 def hashed(words: list[bytes]) -> np.ndarray:

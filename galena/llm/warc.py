@@ -19,6 +19,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator, Mapping
+from datetime import datetime
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -73,8 +74,8 @@ def write_arc(records: list[ArcRecord], version: int, name: str, date: str) -> b
     return out.getvalue()
 
 
-def read_arc(raw: bytes) -> Iterator[ArcRecord]:
-    """The records after the version block. Raises ValueError where lengths or lines are wrong."""
+def read_arc(raw: bytes, lead: bool = False) -> Iterator[ArcRecord]:
+    """The records after the version block, with ``lead`` that one first. Raises ValueError where lengths or lines are wrong."""
     if raw[:2] == b"\x1f\x8b":
         raw = gzip.decompress(raw)
     at, version = 0, 0
@@ -100,7 +101,8 @@ def read_arc(raw: bytes) -> Iterator[ArcRecord]:
             version = int(body.split(b" ", 1)[0])
             if version not in FIELDS:
                 raise ValueError(f"unknown version {version}")
-            continue
+            if not lead:
+                continue
         yield ArcRecord(dict(zip(names, values, strict=True)), body)
 
 
@@ -110,8 +112,11 @@ def record_id(url: str, date: str, head: bytes, digest: str) -> str:
 
 
 def _iso(date: str) -> str:
-    d = date[:14].ljust(14, "0") if date.isdigit() else "0" * 14
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    """An ARC date of 4 to 14 digits as WARC wants it; what it lacks is the first month, day, hour, minute and second."""
+    if not date.isascii() or not date.isdigit() or len(date) < 4 or len(date) % 2:
+        raise ValueError(f"no date: {date!r}")
+    full = date[:14] + "00000101000000"[len(date[:14]) :]
+    return datetime.strptime(full, "%Y%m%d%H%M%S").isoformat() + "Z"
 
 
 def _warc(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -122,11 +127,13 @@ def _warc(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def convert(arc: bytes, name: str, first: Mapping[str, list[str]]) -> bytes:
     """A WARC file of the ARC file's records, one gzip member each.
 
+    warcinfo has the date of the version block.  Raises ValueError where a date isn't one.
     ``first`` maps payload digests that several records have to the identifiers
     of those that keep the payload; revisits refer to the first of them.
     """
     members = []
-    for record in read_arc(arc):
+    version_block, *records = read_arc(arc, lead=True)
+    for record in records:
         url, date, digest = record.fields["URL"], record.fields["Archive-date"], hashlib.sha256(record.payload).hexdigest()
         own = record_id(url, date, record.head, digest)
         keepers = first.get(digest, [own])
@@ -141,18 +148,22 @@ def convert(arc: bytes, name: str, first: Mapping[str, list[str]]) -> bytes:
         headers.append(("Content-Type", "application/http; msgtype=response" if record.head else record.fields["Content-type"]))
         members.append(_warc(headers, block))
     info = f"software: galena\r\nformat: WARC File Format 1.0\r\nconverted-from: {name}\r\n".encode()
-    lead = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{record_id(name, '', info, '')}>"), ("WARC-Date", _iso("")), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    lead = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{record_id(name, '', info, '')}>"), ("WARC-Date", _iso(version_block.fields["Archive-date"])), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
     return b"".join([_warc(lead, info), *members])
 
 
 def read_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a WARC file with a gzip member a record."""
-    while raw:
-        member = zlib.decompressobj(31)
-        data = member.decompress(raw) + member.flush()
+    at, step = 0, 1 << 16
+    while at < len(raw):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and at < len(raw):
+            parts.append(member.decompress(raw[at : at + step]))
+            at += min(step, len(raw) - at)
         if not member.eof:
             raise ValueError("the archive is cut off")
-        raw = member.unused_data
+        at -= len(member.unused_data)
+        data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):

@@ -41,7 +41,7 @@ def got(df):
     return Counter((r.doc_id, r.n_words, None if r.score is None else round(r.score, 6)) for r in df.collect())
 
 
-@pytest.mark.parametrize("order,shards,batch", [(1, 1, 10**6), (2, 5, 900), (3, 3, 400), (4, 2, 1)])
+@pytest.mark.parametrize("order,shards,batch", [(1, 1, 10**6), (2, 5, 900), (3, 3, 400), (3, 2, 1)])
 def test_corpus_scores(spark, monkeypatch, order, shards, batch):
     monkeypatch.setattr(B, "BATCH_CHARS", batch)
     data = rows(order, 60)

@@ -68,3 +68,6 @@ def test_documents(spark):
     back = decode_documents(encode_documents(docs, TOKENS, P.PATTERN), TOKENS, P.PATTERN).collect()
     assert [(r.doc_id, r.text) for r in back] == [(i, t or "") for i, t, _ in rows]
     assert encode_documents(docs.limit(0), TOKENS, P.PATTERN).collect() == []
+    clash = docs.selectExpr("doc_id", "text", "7 n_tokens", "ids _text")
+    kept = encode_documents(clash, TOKENS, P.PATTERN, keep=["doc_id", "n_tokens", "_text"])
+    assert kept.columns == ["doc_id", "_text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and kept.first().n_tokens == got[0].n_tokens

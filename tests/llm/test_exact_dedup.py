@@ -43,7 +43,14 @@ def test_empty_table(spark):
 
 
 def test_drop_copies_leaves_one_row_of_each_text(spark):
-    docs = spark.createDataFrame([(i, t, "z") for i, t in ROWS], "doc_id long, text string, _sha string").drop("_sha")
-    left = drop_copies(docs).collect()
+    docs = spark.createDataFrame([(i, t, "z", 7, n) for n, (i, t) in enumerate(ROWS)], "doc_id long, text string, _sha string, _len int, row int")
+    left = drop_copies(docs)
+    assert left.columns == docs.columns and {(r._sha, r._len) for r in left.collect()} == {("z", 7)}
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
-    assert sorted(norm(r.text) for r in left) == sorted({norm(t) for _, t in ROWS})
+    assert sorted(norm(r.text) for r in left.collect()) == sorted({norm(t) for _, t in ROWS})
+
+
+def test_a_row_that_is_repeated_often(spark):
+    docs = spark.range(3000).selectExpr("1L doc_id", "'same text' text")
+    got = Counter(exact_groups(docs).select("keep_id", "group_size", "kept").collect())
+    assert got == {(1, 3000, True): 1, (1, 3000, False): 2999} and drop_copies(docs).count() == 1

@@ -51,6 +51,7 @@ def test_converter(version):
     back = list(W.read_arc(gzip.compress(arc)))
     assert [r.body for r in back] == [plain.body, http.body] and back[1].payload == b"<html>\r\n\r\n</html>"
     (info, _), (a, ablock), (b, bblock) = W.read_warc(W.convert(arc, "x.arc", {}))
+    assert info["WARC-Date"] == "1997-01-01T00:00:00Z"
     assert info["WARC-Type"] == "warcinfo" and (a["WARC-Type"], ablock) == ("resource", plain.body)
     assert a["WARC-IP-Address"] == "1.2.3.4" and a["WARC-Date"] == "1997-09-22T16:00:00Z" and "WARC-IP-Address" not in b
     assert (b["WARC-Type"], bblock) == ("response", http.body) and b["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(http.payload).hexdigest()
@@ -64,3 +65,20 @@ def test_broken(cut):
         list(W.read_arc(arc[:cut]))
     with pytest.raises(ValueError):
         list(W.read_arc(b"http://a 1.1.1.1 2000 text/html 3\nabc\n"))
+
+
+@pytest.mark.parametrize("date,want", [("2000", "2000-01-01T00:00:00Z"), ("200011", "2000-11-01T00:00:00Z"), ("2000110203", "2000-11-02T03:00:00Z")])
+def test_dates(date, want):
+    assert W._iso(date) == want
+    for bad in ("", "200", "20001301", "200002301", "00000000000000", "2000-01-01", "²²²²"):
+        with pytest.raises(ValueError):
+            W._iso(bad)
+
+
+def test_reader_is_linear():
+    """Members larger and smaller than what is read at a time, with an end inside a step."""
+    arc = W.write_arc([W.page_record(i, f"http://a/{i}", bytes(range(256)) * (i * 40), "2000") for i in range(30)], 1, "x.arc", "2000")
+    raw = W.convert(arc, "x.arc", {})
+    assert [len(block) for _, block in W.read_warc(raw)][1:] == [len(r.body) for r in W.read_arc(arc)]
+    with pytest.raises(ValueError):
+        list(W.read_warc(raw[:-3]))
