@@ -161,8 +161,8 @@ def _others(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(rows, _SENT)])
 
 
-def _scored(order: int, alpha: float, total: int):
-    """One batch: its documents' scores, from their texts and what other batches have."""
+def _scored(order: int, alpha: float):
+    """One batch: its documents' sums but for the words of the corpus, which n_alone words are to be divided by, from their texts and what other batches have."""
 
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
         claim("words")
@@ -190,14 +190,14 @@ def _scored(order: int, alpha: float, total: int):
             two[at] = rest(own.pair_of, own.owner[at], own.pair_times, others[1])
             three[at] = np.where(own.before[own.entry_of] > 0, rest(own.entry_of, own.owner[at], own.times, others[2]), 0)
         size = np.array([len(t) for t in texts], "i8")
-        score = np.log(np.where(one > 0, one, 0.5) / np.maximum(total - size, 1)[own.owner])
+        score, alone = np.log(np.where(one > 0, one, 0.5)), np.ones(n, bool)
         for k, (longer, shorter) in enumerate(((two, one), (three, two))[: order - 1]):
             context = np.concatenate([shorter[:1] * 0, shorter[:-1]])
             found = longer > 0  # the longest n-gram that others have decides
+            alone &= ~found
             score = np.where(found, np.log(np.where(found, longer, 1) / np.where(found, context, 1)), score + np.where(own.place > k, np.log(alpha), 0.0))
-        sums = np.bincount(own.owner, score, len(texts))
-        mean = np.divide(sums, size, out=np.zeros(len(size)), where=size > 0)
-        return pa.Table.from_arrays([pa.array(batch.column("ids")[0].as_py(), pa.int64()), pa.array(size), pa.array(mean, mask=size == 0)], names=["doc_id", "n_words", "score"])
+        columns = [np.bincount(own.owner, score, len(texts)).astype("f8"), np.bincount(own.owner, alone, len(texts)).astype("i8")]
+        return pa.Table.from_arrays([pa.array(batch.column("ids")[0].as_py(), pa.int64()), *map(pa.array, (size, *columns))], names=["doc_id", "n_words", "part", "n_alone"])
 
     return run
 
@@ -212,12 +212,15 @@ def corpus_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_
     if order not in (1, 2, 3):
         raise ValueError("order is 1, 2 or 3; backoff_scores has no such bound")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sums = text.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("words")).first()
-    shards = shards or max(1, (sums.bytes or 0) // SHARD_BYTES)
+    shards = shards or max(1, (text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
     # Both uses of the batches read one exchange; _scored checks that they are the same.
     packed = _packed(text).repartition("batch")
     answers = _asked(packed, order, shards).groupBy("shard").applyInArrow(_others, _SENT_DDL)
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(order, alpha, sums.words or 0), "doc_id long, n_words long, score double")
+    parts = packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(order, alpha), "doc_id long, n_words long, part double, n_alone long")
+    parts = Scratch(docs.sparkSession, "lm").keep("parts", parts)
+    total = parts.agg(F.sum("n_words")).first()[0] or 0
+    score = (F.col("part") - F.col("n_alone") * F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)))) / F.col("n_words")
+    return parts.select("doc_id", "n_words", F.when(F.col("n_words") > 0, score).alias("score"))
 
 
 def _split(text_col: str):

@@ -29,7 +29,7 @@ from galena.llm.chunks import Pieces
 from galena.llm.scratch import fresh
 
 #: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
-MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 400_000, 250_000, 48
+MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 150_000, 500_000, 48
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -2,9 +2,10 @@
 
 Between two characters that aren't white space, a single space always starts a
 new pre-token of the byte-level BPE pattern: no alternative runs from another
-character into a space, and the space joins what follows.  So the pieces of
-``text.split(" ")`` can be tokenized one by one, and their results remembered.
-Where white space touches such a space, the text is cut elsewhere.
+character into a space, and the space joins what follows.  A single line feed
+there is a pre-token of its own.  So what lies between single spaces and line feeds
+can be tokenized piece by piece, and the results remembered.  Where white space
+touches such a space or line feed, the text is cut elsewhere.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pyarrow as pa
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: All white space but space and line feed.
 _RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
+_RARE_ASCII = [c for c in _RARE if c.isascii()]
 
 
 def chunks(text: str) -> list[str]:
-    """Pieces of ``text``; every one but the first had a space before it, which is left out."""
-    if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE):
+    """Pieces of ``text``; every one but the first had a space before it, which is left out, or begins with the line feed it had."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE)):
         return _SAFE.split(text)
-    return text.split(" ")
+    return text.replace("\n", " \n").split(" ")
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -58,6 +60,10 @@ class Memo(dict):
             self.clear()
 
 
+#: Pieces of a text that are looked up before memos are aged.
+STEP = 50_000
+
+
 class Pieces:
     """Encodes texts by encoding each pre-token and each chunk once as long as it is remembered."""
 
@@ -68,10 +74,12 @@ class Pieces:
 
     def _spaced(self, chunk: str) -> bytes:
         known = self.pieces
-        if chunk.isalpha():  # what the pattern would find, for most chunks
-            return known[f" {chunk}"]
+        if chunk[:1] == "\n":  # the line feed between two lines, and the first piece of the second
+            return known["\n"] + self.cut(chunk[1:])
+        if chunk.isalpha():  # what the pattern would find, for most chunks; remembered here, not twice
+            return known.compute(f" {chunk}")
         if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-            return known[f" {chunk[:-1]}"] + known[chunk[-1]]
+            return self.spaced[chunk[:-1]] + known[chunk[-1]]
         return self.cut(f" {chunk}")
 
     def cut(self, text: str) -> bytes:
@@ -79,7 +87,9 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         first, *rest = chunks(text)
-        out = self.cut(first) + b"".join(map(self.spaced.__getitem__, rest))
-        self.spaced.age()
-        self.pieces.age()
-        return out
+        out = [self.cut(first)]
+        for at in range(0, len(rest), STEP):  # a long text must not outgrow what is remembered
+            out += map(self.spaced.__getitem__, rest[at : at + STEP])
+            self.spaced.age()
+            self.pieces.age()
+        return b"".join(out)

@@ -41,7 +41,7 @@ IMAGE_BYTES = 1 << 20
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 4096, 64 << 10
 END_ID = 0
 #: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
-MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 400_000, 250_000, 48
+MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 150_000, 500_000, 48
 
 
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.

@@ -29,7 +29,7 @@ def test_like_the_library(text):
     assert BPE.decode(BPE.encode(text)) == text.encode()
 
 
-@pytest.mark.parametrize("text", ["", " ", "  ", "a" * 3000, "ab " * 500, "they're  here \n now", "x" * 60 + " y", "\n\n  a b", "<|endoftext|>"])
+@pytest.mark.parametrize("text", ["", " ", "  ", "a" * 3000, "ab " * 500, "they're  here \n now", "x" * 60 + " y", "\n\n  a b", "<|endoftext|>", "a\nb c\nd\n", "\n", "\na", "a\n\nb", "a\n\n", "a \n", "x\n's b\n12"])
 def test_edges(text):
     assert ids(text) == TRUE.encode_ordinary(text)
 
@@ -53,6 +53,7 @@ def test_perfect_hash_is_minimal_and_exact():
 def test_chunks_lose_nothing():
     for text in ("", " ", "a  b", "a b", " a\n b", "a\t b c "):
         assert " ".join(chunks(text)) == text
+    assert chunks("a b\nc.\nd e\n") == ["a", "b", "\nc.", "\nd", "e", "\n"]
 
 
 def test_documents(spark):
