@@ -12,13 +12,15 @@ An image holds consecutive documents of ascending doc_id (null first; equal ids
 by the hash of their text) and is closed at IMAGE_BYTES.  Images are the rows of
 a Parquet table (part, seq, n_docs, n_ids, image), so that executors write and
 read them in any store Spark knows; ``dictionary`` beside it holds the shared
-dictionary.  ``part, seq`` give the order of images.
+dictionary and says whether it was trained or, where zstandard's trainer found too
+little to train on, is made of raw id arrays.  ``part, seq`` give the order of images.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -32,13 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galena.llm.chunks import Pieces
+from galena.llm.caches import claim, register
+from galena.llm.chunks import Pieces, slices
 
 MAGIC, VERSION = b"GTOK", 1
 HEAD = struct.Struct("<4sHH32sQQ")
 IMAGE_BYTES = 1 << 20
-#: The dictionary is trained on about so many distinct texts, picked by their hash, and so many characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 4096, 64 << 10
+#: The dictionary is trained on the id arrays of so many distinct texts, those of the smallest hash. They are
+#: cut into blocks, of which the driver gets so many bytes, again by hash, so from all parts of the texts.
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 4 << 20, 64 << 10
+#: Sizes of blocks, tried until the trainer has enough of them.
+BLOCKS = (4096, 512, 64)
 END_ID = 0
 #: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
 MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 150_000, 500_000, 48
@@ -50,16 +56,21 @@ _VISIBLE = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b no
 
 
 class Encoder(Pieces):
-    """The tokenizers library, asked once for each pre-token that is remembered."""
+    """What the tokenizers library's encode() gives, asked once for each pre-token that is remembered."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True  # their strings in a text are ordinary text
         model, code = library.model, "H" if library.get_vocab_size() <= 1 << 16 else "I"
         self.width = {"H": "<u2", "I": "<u4"}[code]
+        added = library.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that look at what is beside them are not known here")
+        # Added tokens are found in the text before it is cut into pre-tokens, the longest first.
+        self.added = {t.content: array(code, [i]).tobytes() for i, t in added.items()}
+        self.at_added = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")")
 
         def ask(piece: str) -> bytes:
             # What encode() does with a pre-token, without the cutting that has been done here.
@@ -67,29 +78,54 @@ class Encoder(Pieces):
 
         super().__init__(ask, regex.compile(pattern).findall, MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS)
 
+    def encode(self, text: str) -> bytes:
+        if not any(c in text for c in self.added):
+            return super().encode(text)
+        encode = super().encode
+        return b"".join(self.added[p] if p in self.added else encode(p) for p in self.at_added.split(text) if p)
+
 
 _OWN: dict[tuple[str, str], Encoder] = {}
+register("tokens", _OWN.clear)
 
 
 def _encoder(path: str, pattern: str) -> Encoder:
     """One for each worker process, however many tasks it runs."""
+    claim("tokens")
     if (path, pattern) not in _OWN:
         _OWN[path, pattern] = Encoder(path, pattern)
     return _OWN[path, pattern]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text") -> bytes:
-    """A zstandard dictionary of id arrays; raw samples where they are too few to train on."""
+def train_dictionary(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text") -> tuple[bytes, bool]:
+    """A zstandard dictionary of id arrays, and whether it was trained.
+
+    Where there is too little to train on, it is the id arrays themselves (eight
+    zero bytes if there are none).
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    every = max(1, docs.count() // SAMPLE_TEXTS)
-    sample = docs.select(F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).filter(F.pmod("h", F.lit(every)) == 0)
-    sample = sample.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(SAMPLE_TEXTS)
-    encode = Encoder(tokenizer, pattern).encode
-    arrays = [a for r in sample.collect() if (a := encode(r.t))]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, arrays, level=3).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(arrays)[-DICTIONARY_BYTES:].rjust(8, b"\0")
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).filter("text <> ''")
+    chosen = rows.select(F.col("h").alias("wanted")).distinct().orderBy("wanted").limit(SAMPLE_TEXTS)
+    sample = rows.join(F.broadcast(chosen), F.col("h") == F.col("wanted"), "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer, pattern)
+        for batch in batches:
+            for some, texts in slices(batch, 1):
+                blocks = []
+                for t in texts:
+                    raw = encoder.encode(t)
+                    blocks += [raw[i : i + BLOCKS[0]] for i in range(0, len(raw), BLOCKS[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["block"])
+
+    blocks = sample.select("h", "text").mapInArrow(run, "block binary")
+    arrays = [bytes(r.block) for r in blocks.orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BYTES // BLOCKS[0]).collect()]
+    for size in BLOCKS:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, [a[i : i + size] for a in arrays for i in range(0, len(a), size)], level=3).as_bytes(), True
+        except (zstandard.ZstdError, ValueError):
+            continue
+    return b"".join(arrays)[-DICTIONARY_BYTES:].rjust(8, b"\0"), False
 
 
 class Image:
@@ -131,9 +167,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
     not looked at.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer, pattern, text_col)
-    schema = "name string, sha256 string, dictionary binary"
-    own = [("zstandard", hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))]
+    dictionary, trained = train_dictionary(docs, tokenizer, pattern, text_col)
+    schema = "name string, sha256 string, dictionary binary, trained boolean"
+    own = [("zstandard", hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), trained)]
     spark.createDataFrame(own, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -177,7 +213,11 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids (array) of all files under ``path``."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids (array) of all files under ``path``.
+
+    One row for each row that was written: null and repeated doc_ids, empty texts
+    (their end alone) and repeated rows have theirs.  No images give no rows.
+    """
     shared = spark.sparkContext.broadcast(read_dictionary(spark, path))
     images = spark.read.parquet(f"{path}/images")
 
@@ -215,7 +255,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
 
 def read_document(images: Iterable[tuple[bytes, bytes]], doc_id: int) -> np.ndarray | None:
-    """The ids of one document from (image, dictionary) pairs: only its own frame is decompressed."""
+    """The ids of one document from (image, dictionary) pairs: only its own frame is decompressed.
+
+    Of several with that doc_id the first; None if there is none, or for a null one.
+    """
     for raw, dictionary in images:
         image = Image(raw, dictionary)
         if len(at := np.flatnonzero((image.doc_ids == doc_id) & (image.has_id == 1))):

@@ -11,7 +11,6 @@ from galena.llm.scratch import Scratch
 
 PATH = P.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def true(text):
@@ -22,14 +21,15 @@ def test_encoder_equals_the_library_on_whole_texts():
     encoder, r = T.Encoder(PATH, P.PATTERN), random.Random(3)
     encoder.spaced.limit = encoder.pieces.limit = 200
     texts = ["".join(r.choices([" ", " ", "\n", "\t", "a", "the", "é", "日本", "😀", ".", "'s", "12", "<|endoftext|>", "\xa0", "x" * 60], k=r.randint(0, 60))) for _ in range(400)]
-    for text in texts:
+    assert true("<|endoftext|>") == [50256]
+    for text in [*texts, "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\nx", "<|endoftext", " <|endoftext|>"]:
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == true(text), text
 
 
 @pytest.mark.parametrize("n", [0, 3, 300])
 def test_round_trip(spark, n):
     r = random.Random(n)
-    rows = [(r.choice([None, 5, i, -i]), r.choice([None, "", "a b", " ".join(r.choices(["some", "words", "é!"], k=r.randint(1, 900)))]), "x") for i in range(n)]
+    rows = [(r.choice([None, 5, i, -i]), r.choice([None, "", "a b", "x <|endoftext|>y", " ".join(r.choices(["some", "words", "é!"], k=r.randint(1, 900)))]), "x") for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
     path = Scratch(spark, "t").root
     T.write_token_files(docs, path, PATH, P.PATTERN)
@@ -52,3 +52,17 @@ def test_round_trip(spark, n):
         assert T.read_document(images, some.doc_id) is not None and T.read_document(images, 10**9) is None
         with pytest.raises(ValueError):
             T.Image(images[0][0], b"other")
+
+
+def test_dictionary_of_few_texts_that_repeat(spark):
+    """Trained although nearly all rows are copies; whole id arrays, not their beginnings."""
+    r = random.Random(2)
+    texts = [" ".join(r.choices(["some", "words", "of", "text", "é!", "tokens"], k=400)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, texts[i % 20]) for i in range(3000)], "doc_id long, text string")
+    dictionary, trained = T.train_dictionary(docs, PATH, P.PATTERN)
+    assert trained and len(dictionary) > 200
+    tiny, trained = T.train_dictionary(docs.limit(0), PATH, P.PATTERN)
+    assert (tiny, trained) == (bytes(8), False)
+    path = Scratch(spark, "t").root
+    T.write_token_files(docs.filter("doc_id = 1").selectExpr("doc_id", "'ab' text"), path, PATH, P.PATTERN)
+    assert not spark.read.parquet(f"{path}/dictionary").first().trained and T.read_token_files(spark, path).first().n_tokens == 2
