@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.caches import claim, register
-from galena.llm.chunks import Pieces
+from galena.llm.chunks import Pieces, slices
 from galena.llm.scratch import fresh
 
 #: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
 MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 150_000, 500_000, 48
+#: Characters that are encoded together.
+SLICE_CHARS = 6 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -202,15 +204,12 @@ def encode_documents(docs: DataFrame, tokens: list[bytes], pattern: str, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _once(key, sent)
         for batch in batches:
-            ids, digests, back = [], [], []
-            for value in batch.column(len(keep)):
-                got = bpe.encode(value.as_py())
-                ids.append(got)
-                digests.append(hashlib.sha256(got).hexdigest())
-                back.append(hashlib.sha256(bpe.decode(got)).hexdigest())
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(digests), pa.array(back)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+            for some, texts in slices(batch, len(keep), SLICE_CHARS):
+                ids = bpe.known.encode_many(texts)
+                digests, back = [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
+                columns = [some.column(i) for i in range(len(keep))]
+                columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(digests), pa.array(back)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"{kept}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")

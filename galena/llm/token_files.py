@@ -48,6 +48,8 @@ BLOCKS = (4096, 512, 64)
 END_ID = 0
 #: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
 MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 150_000, 500_000, 48
+#: Characters that are encoded together.
+SLICE_CHARS = 6 << 20
 
 
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
@@ -72,11 +74,22 @@ class Encoder(Pieces):
         self.added = {t.content: array(code, [i]).tobytes() for i, t in added.items()}
         self.at_added = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")")
 
+        space, tokenize = chr(_VISIBLE[32]), model.tokenize
+
         def ask(piece: str) -> bytes:
             # What encode() does with a pre-token, without the cutting that has been done here.
-            return array(code, [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))]).tobytes()
+            word = piece[1:]
+            shown = space + word if piece[:1] == " " and word.isascii() and word.isalpha() else piece.encode().decode("latin-1").translate(_VISIBLE)
+            return array(code, [t.id for t in tokenize(shown)]).tobytes()
+
+        super().__init__(ask, regex.compile(pattern).findall, MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS, self.width)
 
-        super().__init__(ask, regex.compile(pattern).findall, MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS)
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        plain = [t for t in texts if not any(c in t for c in self.added)]
+        if len(plain) == len(texts):
+            return super().encode_many(texts)
+        done = iter(super().encode_many(plain))
+        return [self.encode(t) if any(c in t for c in self.added) else next(done) for t in texts]
 
     def encode(self, text: str) -> bytes:
         if not any(c in text for c in self.added):
@@ -113,8 +126,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, pattern: str, text_col: st
         for batch in batches:
             for some, texts in slices(batch, 1):
                 blocks = []
-                for t in texts:
-                    raw = encoder.encode(t)
+                for raw in encoder.encode_many(texts):
                     blocks += [raw[i : i + BLOCKS[0]] for i in range(0, len(raw), BLOCKS[0])]
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["block"])
 
@@ -192,15 +204,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(2), strict=True):
-                raw = encoder.encode(text.as_py()) + end
-                frames.append(press.compress(raw))
-                counts.append(len(raw) // len(end))
-                ids.append(doc_id.as_py())
-                size += len(frames[-1])
-                if size >= IMAGE_BYTES:
-                    yield closed()
-                    frames, counts, ids, size, seq = [], [], [], 0, seq + 1
+            for some, texts in slices(batch, 2, SLICE_CHARS):
+                for doc_id, raw in zip(some.column(0).to_pylist(), encoder.encode_many(texts), strict=True):
+                    frames.append(press.compress(raw + end))
+                    counts.append(len(raw) // len(end) + 1)
+                    ids.append(doc_id)
+                    size += len(frames[-1])
+                    if size >= IMAGE_BYTES:
+                        yield closed()
+                        frames, counts, ids, size, seq = [], [], [], 0, seq + 1
         if frames:
             yield closed()
 

@@ -26,12 +26,14 @@ def ids(text):
 @given(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0 'saé日😀1²."), st.characters(exclude_categories=["Cs"]))))
 def test_like_the_library(text):
     assert ids(text) == TRUE.encode_ordinary(text)
+    assert BPE.known.encode_many([text, "a b\nc", text]) == [BPE.encode(t) for t in (text, "a b\nc", text)]
     assert BPE.decode(BPE.encode(text)) == text.encode()
 
 
-@pytest.mark.parametrize("text", ["", " ", "  ", "a" * 3000, "ab " * 500, "they're  here \n now", "x" * 60 + " y", "\n\n  a b", "<|endoftext|>", "a\nb c\nd\n", "\n", "\na", "a\n\nb", "a\n\n", "a \n", "x\n's b\n12"])
+@pytest.mark.parametrize("text", ["", " ", "  ", "a" * 3000, "ab " * 500, "they're  here \n now", "x" * 60 + " y", "\n\n  a b", "<|endoftext|>", "a\nb c\nd\n", "\n", "\na", "a\n\nb", "a\n\n", "a \n", "x\n's b\n12", "\x01a \x01b", "a\x01"])
 def test_edges(text):
     assert ids(text) == TRUE.encode_ordinary(text)
+    assert BPE.known.encode_many([text]) == [BPE.encode(text)]
 
 
 def test_memo_ages_without_changing_results():

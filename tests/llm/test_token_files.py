@@ -24,6 +24,7 @@ def test_encoder_equals_the_library_on_whole_texts():
     assert true("<|endoftext|>") == [50256]
     for text in [*texts, "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\nx", "<|endoftext", " <|endoftext|>"]:
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == true(text), text
+    assert encoder.encode_many(texts) == [np.array(true(t), "<u2").tobytes() for t in texts]
 
 
 @pytest.mark.parametrize("n", [0, 3, 300])
