@@ -100,6 +100,11 @@ def without_failure_clause(text: Column, least: int = 40) -> Column:
     return F.when(F.length(rest) < least, text).otherwise(rest)
 
 
+def hash_id(source: str, text: Column) -> Column:
+    """An id that depends on the text alone."""
+    return F.concat(F.lit(f"{source}:"), F.left(F.sha2(text, 256), F.lit(16)))
+
+
 def has_cjk(text: Column) -> Column:
     return text.rlike("[\u4e00-\u9fff]")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,18 @@ def seeded_sample(rows: DataFrame, pos: str, n: int, k: int, seed: int) -> DataF
     return rows.join(F.broadcast(spark.createDataFrame(drawn, f"draw_pos int, {pos} long")), pos)
 
 
+def shuffled(rows: DataFrame, pos: str, n: int, seed: int) -> DataFrame:
+    """``rows`` with their place (draw_pos) in the standard library's shuffle of positions 0 .. n-1.
+
+    The permutation is made in the driver, as its generator is sequential; it travels as a
+    table of two numbers a row, joined by shuffle beyond Spark's own broadcast bound.
+    """
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    drawn = pd.DataFrame({pos: order, "draw_pos": range(n)}, dtype="int64")
+    return rows.join(rows.sparkSession.createDataFrame(drawn, f"{pos} long, draw_pos long"), pos)
+
+
 def placed(rows: DataFrame, id_col: str, pos: str) -> tuple[DataFrame, int]:
     """Rows with their place 0 .. n-1 in the order of a distinct id, and n; ranges of ids are ranked apart, as a global window is one task."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 T_QUANTILES = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228)
 
 
+#: Ranges that a group's values are cut into before one of them is ranked.
+RANGES = 64
+
+
 def mean_sd(values: DataFrame, by: Sequence[str], value: str, n_seeds: int | None = None) -> DataFrame:
     """Mean, sample sd and count; with ``n_seeds`` only where every seed is there."""
     whole = F.count(value)
@@ -26,26 +30,42 @@ def paired_t(values: DataFrame, by: Sequence[str], pair: str, arm: str, left: st
     sides = values.groupBy(*by, pair).agg(F.avg(F.when(F.col(arm) == left, F.col(value))).alias("l"), F.avg(F.when(F.col(arm) == right, F.col(value))).alias("r"))
     both = sides.filter("l is not null and r is not null").withColumn("d", F.col("l") - F.col("r"))
     out = both.groupBy(*by).agg(F.avg("d").alias("delta"), F.stddev_samp("d").alias("sd"), F.count("d").alias("n"))
-    quantile = F.element_at(F.array(*map(F.lit, T_QUANTILES)), F.least(F.col("n") - 1, F.lit(10)).cast("int"))
+    # More degrees of freedom than the table has give no interval rather than that of ten.
+    quantile = F.try_element_at(F.array(*map(F.lit, T_QUANTILES)), F.greatest(F.col("n") - 1, F.lit(1)).cast("int"))
     half = F.when(F.col("n") > 1, quantile * F.col("sd") / F.sqrt("n"))
     return out.withColumns({"lo": F.col("delta") - half, "hi": F.col("delta") + half})
 
 
-def ranked_value(rows: DataFrame, by: Sequence[str], value: str, place: Column, name: str) -> DataFrame:
-    """The value at a 0-based place of each group's ascending order; ``place`` may use the group's n."""
-    over = Window.partitionBy(*by)
-    marked = rows.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(over.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(over))
-    return marked.filter(F.col("_i") == place).select(*by, F.col(value).alias(name), "n")
-
-
 def upper_median(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Place n // 2: the higher of the two middle values."""
-    return ranked_value(rows, by, value, (F.col("n") / 2).cast("long"), "upper_median")
+    return _at_place(rows, by, value, lambda n: F.floor(n / 2), "upper_median")
 
 
 def floor_percentile(rows: DataFrame, by: Sequence[str], value: str, p: float) -> DataFrame:
     """Place floor(p * n), without interpolation."""
-    return ranked_value(rows, by, value, F.floor(F.col("n") * p), "percentile")
+    return _at_place(rows, by, value, lambda n: F.floor(n * p), "percentile")
+
+
+def _at_place(rows: DataFrame, by: Sequence[str], value: str, place, name: str) -> DataFrame:
+    """The value at a 0-based place of each group's ascending order, and n; nulls don't count.
+
+    A first pass finds, by approximate quantiles, ranges of values of nearly equal size; counts
+    of the ranges say which one holds the place, and only that range is ranked. So a large group
+    is no single task's work.
+    """
+    held = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    cuts = held.groupBy(*by).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)]).alias("_cuts"))
+    same = lambda x, y: reduce(Column.__and__, [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in by], F.lit(True))
+    ranged = held.alias("h").join(cuts.alias("c"), same("h", "c")).select(*[F.col(f"h.{k}").alias(k) for k in by], "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    within = Window.partitionBy(*by)
+    counts = counts.withColumn("_before", F.sum("_c").over(within.orderBy("_range")) - F.col("_c")).withColumn("n", F.sum("_c").over(within))
+    wanted = counts.withColumn("_at", place(F.col("n"))).filter((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_c")))
+    few = ranged.alias("r").join(wanted.alias("w"), same("r", "w") & (F.col("r._range") == F.col("w._range"))).select(*[F.col(f"r.{k}").alias(k) for k in by], "_v", "n", "_before", "_at")
+    per = few.groupBy(*by, "_v", "n", "_before", "_at").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.col("_before") + F.sum("_c").over(within.orderBy("_v"))
+    ranked = per.withColumn("_upto", upto)
+    return ranked.filter((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at"))).select(*by, F.col("_v").alias(name), "n")
 
 
 def average_rank(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -71,7 +91,32 @@ def half_even(value: Column, digits: int) -> Column:
 
 
 def bootstrap(values: DataFrame, by: Sequence[str], value: str, draws: int = 1000, seed: int = 0, upper_less_one: bool = False, chunk: int = 8192) -> DataFrame:
-    """Percentile interval of the mean, n of n values drawn with replacement, from one seed a group.
+    """Percentile interval of the mean, n of n values drawn with replacement, from one seed a group."""
+    means = bootstrap_means(values, by, value, draws, seed, chunk)
+    lo, hi = _bounds(F.slice("means", 2, draws), draws, upper_less_one)
+    return means.select(*by, F.col("means")[0].alias("mean"), lo.alias("lo"), hi.alias("hi"), "n")
+
+
+def independent_delta(values: DataFrame, by: Sequence[str], left: str, right: str, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """Mean of right - left over rows that have both, with an interval from draws of either side by itself.
+
+    The point is paired, the interval is not: it is that of two independent samples.
+    """
+    rows = values.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
+    sides = [bootstrap_means(rows, by, c, draws, seed + i).withColumnsRenamed({"means": f"_{i}", "n": f"_n{i}"}) for i, c in enumerate((left, right))]
+    both = sides[0].join(sides[1], list(by)) if by else sides[0].crossJoin(sides[1])  # one row without groups
+    delta = F.zip_with("_0", "_1", lambda a, b: b - a)
+    lo, hi = _bounds(F.slice(delta, 2, draws), draws, False)
+    return both.select(*by, delta[0].alias("delta"), lo.alias("lo"), hi.alias("hi"), F.col("_n0").alias("n"))
+
+
+def _bounds(sample: Column, draws: int, upper_less_one: bool) -> tuple[Column, Column]:
+    ordered = F.array_sort(sample)
+    return ordered[int(0.025 * draws)], ordered[min(draws - 1, int(0.975 * draws)) - upper_less_one]
+
+
+def bootstrap_means(values: DataFrame, by: Sequence[str], value: str, draws: int = 1000, seed: int = 0, chunk: int = 8192) -> DataFrame:
+    """by, means (the mean, then those of the draws), n.
 
     A group's distinct values are dealt by hash into chunks of about ``chunk``. Every chunk makes the same multinomial split of a draw over the chunks and draws
     its own share, which is the draw from the whole group; no task holds more than a chunk and ``draws`` numbers for each 64 chunks.
@@ -112,9 +157,7 @@ def bootstrap(values: DataFrame, by: Sequence[str], value: str, draws: int = 100
     drawn = dealt.repartition(tasks).mapInPandas(run, f"{kinds}chunk long, n long, sums array<double>")
     some = added(drawn.withColumn("part", F.floor(F.col("chunk") / 64)), ["part"]).withColumnRenamed("part", "chunk")
     means = added(some, []).withColumn("sums", F.transform("sums", lambda x: F.try_divide(x, F.col("n"))))
-    ordered = F.array_sort(F.slice("sums", 2, draws))
-    lo, hi = ordered[int(0.025 * draws)], ordered[int(0.975 * draws) - upper_less_one]
-    return means.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(by)], F.col("sums")[0].alias("mean"), lo.alias("lo"), hi.alias("hi"), "n")
+    return means.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(by)], F.col("sums").alias("means"), "n")
 
 
 def balanced_f1(labels: DataFrame, by: Sequence[str], truth: str, guess: str) -> DataFrame:

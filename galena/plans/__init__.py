@@ -1,6 +1,7 @@
 """Named queries over the star-schema tables, with their SQL."""
 
-from galena.plans import reports, scoring, shaping, training
+from galena.plans import builds, reports, scoring, shaping, training
 
-REGISTRY = {**scoring.QUERIES, **shaping.QUERIES, **training.QUERIES, **reports.QUERIES}
-SQL = {**scoring.SQL, **shaping.SQL, **training.SQL, **reports.SQL}
+MODULES = (scoring, shaping, training, reports, builds)
+REGISTRY = {name: f for module in MODULES for name, f in module.QUERIES.items()}
+SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
