@@ -122,9 +122,13 @@ def category_from_prefix(spark, d):
     return V.table(spark, d, "part").select("p_partkey", X.category(text, F.col("p_size"), aliases).alias("category"))
 
 
-@query("SELECT doc_id, len(string_split_regex(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\\s]+')) AS words, length(text) AS chars, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+#: White space beyond ASCII, for regular expressions that know only ASCII's.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"""SELECT doc_id, len(list_filter(string_split_regex(t, '{_WHITE}'), lambda x: x <> '')) AS words, length(t) AS chars, CAST(ceil(length(t) / 4) AS BIGINT) AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def text_statistics(spark, d):
-    """A null text counts as an empty one; the SQL covers texts in ASCII only."""
+    """Of every document; a null text counts as an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return V.table(spark, d, "documents").select("doc_id", X.word_count(text).cast("long").alias("words"), F.length(text).cast("long").alias("chars"), X.token_estimate(text).alias("tokens"))
 

@@ -181,9 +181,8 @@ def cell_summary(spark, d):
     return c.join(s, "k").join(names, "k").groupBy("n_name", "r_name").agg(F.round(F.avg("c"), 6).alias("mean"), F.round(F.avg("s"), 6).alias("supplied"), F.sum("n").alias("n"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(e, lambda x, i: CASE WHEN i <= 4 THEN abs(x) ELSE 0 END)), 4) AS mass FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
+@query("SELECT vec_id, round(list_sum(list_transform(e, lambda x: abs(x))), 4) AS mass FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
 def array_mass(spark, d):
-    """Of the whole array; the SQL sums its first four coordinates."""
     return V.table(spark, d, "embeddings").select("vec_id", F.round(R.total(F.col("embedding").cast("array<double>"), F.abs), 4).alias("mass"))
 
 
