@@ -106,7 +106,7 @@ def _asked(packed: DataFrame, order: int, shards: int) -> DataFrame:
     """What each batch asks each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("words")
+        claim("backoff", "words")
         for batch in batches:
             for batch_id, sizes, data in zip(*(batch.column(i) for i in range(3)), strict=True):
                 own, rows = _Lists(_words(sizes.as_py(), data.as_py()), order), []
@@ -165,7 +165,7 @@ def _scored(order: int, alpha: float):
     """One batch: its documents' sums but for the words of the corpus, which n_alone words are to be divided by, from their texts and what other batches have."""
 
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        claim("words")
+        claim("backoff", "words")
         texts = _words(batch.column("sizes")[0].as_py(), batch.column("data")[0].as_py())
         own = _Lists(texts, order)
         others: list[list[np.ndarray]] = [[], [], []]

@@ -169,7 +169,7 @@ register("bpe", _OWN.clear)
 
 def _once(key: str, sent) -> ByteBPE:
     """One vocabulary for each worker process, however many tasks it runs."""
-    claim("bpe")
+    claim("bpe", "bpe")
     if key not in _OWN:
         _OWN.clear()
         _OWN[key] = sent.value

@@ -1,22 +1,37 @@
 """What a Python worker remembers between tasks, and how one operator makes room for another.
 
-Workers are reused, so the vocabulary and memos of one operator would stay in
-memory while the next one runs.  A task claims the cache it uses; all others are
-emptied.
+Workers are reused, so the vocabulary, memos and freed memory of one operator would
+stay while the next one runs.  A task names its operator and the caches that it
+uses; when that is another operator than before, all other caches are emptied and
+freed memory goes back to the system.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _EMPTY: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
 
 
 def register(name: str, empty: Callable[[], None]) -> None:
     _EMPTY[name] = empty
 
 
-def claim(name: str) -> None:
-    for other, empty in _EMPTY.items():
-        if other != name:
+def claim(owner: str, *uses: str) -> None:
+    if owner == _OWNER[0]:
+        return
+    _OWNER[0] = owner
+    for name, empty in _EMPTY.items():
+        if name not in uses:
             empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm.caches import claim
 from galena.llm.scratch import Scratch, fresh
 
 WINDOW_WORDS = 10
@@ -65,6 +66,7 @@ def build_index(docs: DataFrame, terms: list[str] | None = None, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         part, seq = TaskContext.get().partitionId(), 0
         words: list[bytes] = []
         ids: list[int | None] = []

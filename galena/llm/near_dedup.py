@@ -126,7 +126,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     """doc_id, node (null without words), bands: one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("words")
+        claim("near", "words")
         for batch in batches:
             for some, texts in _batches(batch, 1):
                 nodes = [node_of(t) if t else None for t in texts]
@@ -168,6 +168,7 @@ class _Verifier:
         held = held.join(self.texts.select(F.col("node").alias("a"), F.col("words").alias("a_words")), "a").select("a", "b", "a_words", "b_words")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("near", "words")
             last: tuple[bytes, tuple] | None = None  # rows come sorted by a
             for batch in batches:
                 out = []
@@ -280,6 +281,7 @@ def _prefixes(texts: DataFrame, threshold: float, words: int, scratch: Scratch)
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near", "words")
         for batch in batches:
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 _, shingle, times = multisets([text.as_py().split()], words)

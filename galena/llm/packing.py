@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,25 @@ def dealt(keys: list[np.ndarray], shards: int) -> Iterator[tuple[int, list[slice
     end = [np.searchsorted(o, present, "right") for o in owners]
     for i, shard in enumerate(present.tolist()):
         yield shard, [slice(a[i], b[i]) for a, b in zip(begin, end, strict=True)]
+
+
+def bitmap_of(keys: DataFrame, each: int, most: int) -> np.ndarray:
+    """Two bits for each key of a column ``key``, from its two halves, in a bitmap of about ``each`` bits a key and ``most`` at most."""
+    bits = 1 << 15
+    while bits < min(keys.count() * each, most):
+        bits *= 2
+    place = keys.select(F.explode(F.array(F.col("key"), F.shiftrightunsigned("key", 32))).alias("place")).select(F.col("place").bitwiseAND(F.lit(bits - 1)).alias("place"))
+    cells = place.groupBy(F.shiftright("place", 15).alias("cell")).agg(F.expr("bitmap_construct_agg(place & 32767)").alias("bits"))
+    out = np.zeros(bits // 8, "u1")
+    for r in cells.collect():  # bits / 8 bytes at most
+        out[r.cell * 4096 : (r.cell + 1) * 4096] = np.frombuffer(r.bits, "u1")
+    return out
+
+
+def maybe_in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether both bits of each key are set: true for all that are in, and for few others."""
+    out = np.ones(len(keys), bool)
+    for shift in (0, 32):
+        place = (keys >> np.uint64(shift)) & np.uint64(len(bitmap) * 8 - 1)
+        out &= (bitmap[(place >> np.uint64(3)).astype("i8")] >> (place & np.uint64(7)).astype("u1")) & 1 == 1
+    return out

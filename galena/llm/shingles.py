@@ -9,7 +9,7 @@ from galena.llm.caches import register
 
 SHINGLE_WORDS = 5
 #: Hashes of so many words are remembered by a worker.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -104,7 +104,7 @@ register("tokens", _OWN.clear)
 
 def _encoder(path: str, pattern: str) -> Encoder:
     """One for each worker process, however many tasks it runs."""
-    claim("tokens")
+    claim("tokens", "tokens")
     if (path, pattern) not in _OWN:
         _OWN[path, pattern] = Encoder(path, pattern)
     return _OWN[path, pattern]
