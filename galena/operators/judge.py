@@ -62,20 +62,49 @@ def judged(tasks: DataFrame, judge: Callable[[str], str], parse: Callable[[str],
     return tasks.mapInPandas(run, f"{kept}, `{out}` {kind}, err string")
 
 
-def auto_repair(groups: list[list[int]], n: int, means: list[float] | None = None) -> list[list[int]]:
+def usable_criteria(criteria: Column, least: int = 2) -> Column:
+    """Of array<struct<name, description, atomic_indices>> those with a name and a description; fewer than ``least`` become one overall criterion."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    good = F.filter(criteria, lambda c: text(c["name"]) & text(c["description"]))
+    overall = F.array(F.struct(F.lit("Overall").alias("name"), F.lit("How good the answer is as a whole.").alias("description"), F.array().cast("array<int>").alias("atomic_indices")))
+    return F.when(F.size(F.coalesce(good, F.array().cast("array<struct<name:string,description:string,atomic_indices:array<int>>>"))) >= least, good).otherwise(overall)
+
+
+def repaired(criteria: Column, weights: Column, n: Column, absolute: bool = True, least: int = 2) -> Column:
+    """array<struct<name, description, weight, atomic_indices>>: every index of 1..n once, weights summed again, empty criteria gone."""
+    usable = usable_criteria(criteria, least)
+    groups = _repaired_groups(F.transform(usable, lambda c: c["atomic_indices"]), n)
+    of = (lambda i: F.abs(F.element_at(weights, i))) if absolute else (lambda i: F.element_at(weights, i))
+    made = F.zip_with(usable, groups, lambda c, g: F.struct(c["name"].alias("name"), c["description"].alias("description"), F.round(total(F.coalesce(g, F.array().cast("array<int>")), of), 2).alias("weight"), g.alias("atomic_indices")))
+    return F.filter(made, lambda c: F.size(c.atomic_indices) > 0)
+
+
+def _repaired_groups(groups: Column, n: Column) -> Column:
+    @F.pandas_udf("array<array<int>>")
+    def run(owns: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([repaired_groups([[] if g is None else [int(i) for i in g] for g in own], int(k)) for own, k in zip(owns, ns, strict=True)])
+
+    return run(groups, n)
+
+
+def auto_repair(groups: list[list[int]], n: int) -> list[list[int]]:
+    """Groups that hold each of 1..n once, without empty ones, in order; see repaired_groups."""
+    return [sorted(g) for g in repaired_groups(groups, n) if g]
+
+
+def repaired_groups(groups: list[list[int]], n: int) -> list[list[int]]:
     """Groups of 1-based indices made to hold each of 1..n once.
 
     The first claim of an index counts; an orphan goes to the non-empty group of the
-    nearest mean index, which then moves; the earliest group wins ties.
+    nearest mean index, which then moves; the earliest group wins ties. Without any
+    non-empty group the first one takes them all.
     """
     taken: set[int] = set()
     out = []
     for group in groups:
         own = [i for i in group if 1 <= i <= n and i not in taken and not taken.add(i)]
         out.append(own)
-    usable = [g for g in out if g]
-    if not usable:
-        return [list(range(1, n + 1))]
+    out = out or [[]]
     for orphan in (i for i in range(1, n + 1) if i not in taken):
-        min(usable, key=lambda g: abs(sum(g) / len(g) - orphan)).append(orphan)
-    return [sorted(g) for g in usable]
+        min((g for g in out if g), key=lambda g: abs(sum(g) / len(g) - orphan), default=out[0]).append(orphan)
+    return out

@@ -91,12 +91,15 @@ def drop_reasons(rows: DataFrame, key: Column, pos: Column, tests: Sequence[tupl
     """reason of each row: empty, dup, the first failing test, or kept.
 
     A row is dup if an earlier row of its key was kept; a failing earlier copy shadows nothing.
+    Only rows that pass are grouped, by a digest of their key, so a key that many empty or
+    failing rows share gathers nowhere, and texts don't travel.
     """
     passes = ~empty
     for _, bad in tests:
         passes = passes & ~bad
-    marked = rows.withColumns({"_key": key, "_pos": pos, "_pass": passes})
-    marked = marked.withColumn("_first", F.min(F.when(F.col("_pass"), F.col("_pos"))).over(Window.partitionBy("_key")))
+    marked = rows.withColumns({"_key": F.when(~empty, F.sha2(key.cast("string"), 256)), "_pos": pos, "_pass": F.coalesce(passes, F.lit(False))})
+    first = marked.filter("_pass").groupBy("_key").agg(F.min("_pos").alias("_first"))
+    marked = marked.join(first, "_key", "left")
     reason = F.when(empty, "empty").when(F.col("_pos") > F.col("_first"), "dup")
     for name, bad in tests:
         reason = reason.when(bad, name)

@@ -60,10 +60,10 @@ def paired_summary(spark, d):
     return both.groupBy(F.col("a.arm").alias("x"), F.col("b.arm").alias("y")).agg(F.round(F.avg(F.col("a.v") - F.col("b.v")), 6).alias("delta"), F.count(F.lit(1)).alias("n"))
 
 
-@query(""", p AS (SELECT id, avg(CAST(met AS INTEGER)) AS macro, min(CAST(met AS INTEGER)) AS four FROM flat WHERE k <= 3 GROUP BY id HAVING count(*) = 3)
+@query(""", p AS (SELECT id, avg(CAST(met AS INTEGER)) AS macro, min(CAST(met AS INTEGER)) AS four FROM flat GROUP BY id HAVING count(*) = 4)
     SELECT round(avg(macro), 6) AS macro, round(avg(four), 6) AS all_rate, count(*) AS n FROM p""")
 def probe_macro(spark, d):
-    per = _flat(spark, d).filter("k <= 3").groupBy("id").agg(F.avg(F.col("met").cast("double")).alias("macro"), F.min(F.col("met").cast("int")).alias("four"), F.count(F.lit(1)).alias("n")).filter("n = 3")
+    per = _flat(spark, d).groupBy("id").agg(F.avg(F.col("met").cast("double")).alias("macro"), F.min(F.col("met").cast("int")).alias("four"), F.count(F.lit(1)).alias("n")).filter("n = 4")  # a probe has four
     return per.agg(F.round(F.avg("macro"), 6).alias("macro"), F.round(F.avg("four"), 6).alias("all_rate"), F.count(F.lit(1)).alias("n"))
 
 
@@ -158,10 +158,7 @@ def weight_share(spark, d):
 
 @query()
 def pool_split(spark, d):
-    """Draw rows by seed from a pool, cut held-out and train rows, and give each its neighbour in draw order."""
-    docs = V.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "n_chars")
-    pool = S.hash_sample(docs, "doc_id", 200)
-    placed = pool.withColumn("pos", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))  # 200 rows
-    n = placed.count()
+    """Half of all documents drawn by seed, a tenth held out and the others for training, each with its neighbour in draw order."""
+    placed, n = S.placed(V.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "pos")
     drawn = S.seeded_sample(placed, "pos", n, n // 2, 42).select(F.col("draw_pos").cast("long").alias("pos"), "doc_id", "n_chars")
     return S.cyclic_next(drawn, "pos", n // 2, "doc_id", "next_id").withColumn("split", F.when(F.col("pos") < n // 10, "held_out").otherwise("train"))

@@ -179,15 +179,15 @@ def best_second(spark, d):
     return S.best_two(v, ["p_brand"], "v")
 
 
-@query(""", b AS (SELECT id, list(met ORDER BY k) AS met FROM flat WHERE k <= 3 GROUP BY id HAVING count(*) = 3),
-    x AS (SELECT a.met AS before, c.met AS after FROM b a JOIN b c ON c.id = a.id + 1),
-    y AS (SELECT len(list_filter(before, lambda q: q)) AS nb, len(list_filter(after, lambda q: q)) AS na,
-        len(list_filter([1, 2, 3], lambda i: NOT before[i] AND after[i])) AS fixed, len(list_filter([1, 2, 3], lambda i: before[i] AND NOT after[i])) AS lost FROM x),
-    z AS (SELECT CASE WHEN nb = 3 THEN 'all' WHEN nb = 0 THEN 'zero' WHEN nb = 2 THEN 'one_short' ELSE 'middle' END AS state, * FROM y)
-    SELECT coalesce(state, 'overall') AS state, count(*) AS n, count(*) FILTER (WHERE na = 3) AS to_all, CAST(sum(fixed) AS BIGINT) AS fixed, CAST(sum(lost) AS BIGINT) AS lost,
-      round(sum(fixed) / nullif(sum(3 - nb), 0), 6) AS fix_rate, round(sum(na) / (3 * count(*)), 6) AS dim_sat FROM z GROUP BY ROLLUP (state)""")
+@query(""", b AS (SELECT id, list(met ORDER BY k) AS met FROM flat GROUP BY id),
+    x AS (SELECT a.met AS before, c.met AS after, len(a.met) AS k FROM b a JOIN b c ON c.id = a.id + 1 AND len(c.met) = len(a.met)),
+    y AS (SELECT k, len(list_filter(before, lambda q: q)) AS nb, len(list_filter(after, lambda q: q)) AS na,
+        len(list_filter(range(1, k + 1), lambda i: NOT before[i] AND after[i])) AS fixed, len(list_filter(range(1, k + 1), lambda i: before[i] AND NOT after[i])) AS lost FROM x),
+    z AS (SELECT CASE WHEN nb = k THEN 'all' WHEN nb = 0 THEN 'zero' WHEN nb = k - 1 THEN 'one_short' ELSE 'middle' END AS state, * FROM y)
+    SELECT coalesce(state, 'overall') AS state, count(*) AS n, count(*) FILTER (WHERE na = k) AS to_all, CAST(sum(fixed) AS BIGINT) AS fixed, CAST(sum(lost) AS BIGINT) AS lost,
+      round(sum(fixed) / nullif(sum(k - nb), 0), 6) AS fix_rate, round(sum(na) / sum(k), 6) AS dim_sat FROM z GROUP BY ROLLUP (state)""")
 def state_transition(spark, d):
-    rows = _flat(spark, d).filter("k <= 3").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "met"))).alias("m")).filter(F.size("m") == 3)
+    rows = _flat(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "met"))).alias("m"))
     rows = rows.select("id", F.col("m.met").alias("met"))
     pairs = rows.select("id", F.col("met").alias("before")).join(rows.select((F.col("id") - 1).alias("id"), F.col("met").alias("after")), "id")
     return G.state_transitions(pairs).withColumns({c: F.round(c, 6) for c in ("fix_rate", "dim_sat")})

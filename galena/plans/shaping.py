@@ -218,23 +218,24 @@ def seeded_sample(spark, d):
     return S.seeded_sample(ids, "pos", n, min(10, n), 42)
 
 
-@query(""", s AS (SELECT i AS slot, i % 20 AS pos, i // 8 AS step FROM range(320) t(i))
-    SELECT slot, pos, step, m AS member, round(1 / (1 + exp(10 * (step / 40 - 0.5))) * (1 - m / 3), 6) AS strength FROM s, range(4) u(m)""")
+@query(""", ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS pos FROM (SELECT DISTINCT conv_id FROM conversations)), m AS (SELECT count(*) AS n, greatest(40, (count(*) + 7) // 8) AS steps FROM ids),
+    s AS (SELECT i AS slot, i % n AS pos, i // 8 AS step, steps FROM m, LATERAL (SELECT unnest(range(steps * 8)) AS i))
+    SELECT slot, s.pos, step, m AS member, round(1 / (1 + exp(10 * (step / steps - 0.5))) * (1 - m / 3), 6) AS strength, conv_id FROM s JOIN ids USING (pos), range(4) u(m)""")
 def scaffold_expand(spark, d):
-    """Forty steps, more where the conversations need them to come once each; the SQL covers 20 conversations only, by place."""
+    """Forty steps, more where the conversations need them to come once each."""
     ids, n = _placed(spark, d)
     steps = max(40, -(-n // 8))
     return S.schedule(ids, "pos", n, steps, 8, 4, 10.0, 0.5).select("slot", "pos", "step", F.col("member").cast("long").alias("member"), F.round("strength", 6).alias("strength"), "conv_id")
 
 
 SQL_PAIRS = """pl AS (SELECT l_orderkey AS id, l_linestatus AS domain, l_linenumber % 2 AS ord, max(CASE l_returnflag WHEN 'R' THEN 'x' WHEN 'A' THEN 'y' ELSE 'tie' END) AS winner
-    FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+    FROM lineitem GROUP BY ALL),
     sw AS (SELECT id, domain, max(winner) FILTER (WHERE ord = 0) AS w0, max(winner) FILTER (WHERE ord = 1) AS w1 FROM pl GROUP BY ALL)"""
 
 
 def _pair_log(spark, d):
     won = F.when(F.col("l_returnflag") == "R", "x").when(F.col("l_returnflag") == "A", "y").otherwise("tie")
-    rows = V.table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    rows = V.table(spark, d, "lineitem")
     return rows.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("domain"), (F.col("l_linenumber") % 2).alias("order")).agg(F.max(won).alias("winner"))
 
 

@@ -34,7 +34,7 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_by_id(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """A JSON object keyed by id: one row a key; ``value`` is the DDL of what a key holds."""
+    """A JSON object keyed by id: one row a key; ``value`` is the DDL of what a key holds. One object can't be read in parts: a file is one task."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{value}>").alias("m"))
     return whole.select(F.explode("m").alias("id", "row")).select("id", "row.*")
 
@@ -42,14 +42,39 @@ def read_by_id(spark: SparkSession, path: str, value: str) -> DataFrame:
 def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows with file and ln, counts of bad lines by file) of JSON lines; blank lines are skipped.
 
-    A file is cut in its lines by one task, which gives them their number.
+    ln orders the lines of a file: where their block begins, and their place in it. So a
+    large file is read in blocks, by as many tasks.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("ln", "line"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    files = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), place.alias("ln"), F.col("value").alias("line"))
     parsed = files.filter(F.trim("line") != "").select("file", "ln", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     good = parsed.filter("r is not null and r._bad is null").select("file", "ln", "r.*").drop("_bad")
     return good, parsed.filter("r is null or r._bad is not null").groupBy("file").agg(F.count(F.lit(1)).alias("bad"))
 
 
+def rollouts(spark: SparkSession, path: str, schema: str, last: int = 300) -> DataFrame:
+    """Rows of a folder of ``<step>.jsonl`` files with their step, that of the newest file left out while it may still be written.
+
+    A run has ended when its newest step is ``last`` or more.
+    """
+    step = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.jsonl$", 1).cast("int")
+    rows = spark.read.schema(schema).json(path, pathGlobFilter="*.jsonl").withColumn("step", step)
+    newest = spark.read.text(path, pathGlobFilter="*.jsonl").select(step.alias("s")).agg(F.max("s").alias("_newest"))
+    return rows.crossJoin(F.broadcast(newest)).filter((F.col("step") < F.col("_newest")) | (F.col("_newest") >= last)).drop("_newest")  # one row
+
+
+def suite_baselines(rows: DataFrame, answer: str) -> DataFrame:
+    """id and text of the last message, whose content is text or a struct with an ``answer``."""
+    kind = rows.schema[answer].dataType.elementType["content"].dataType
+    last = F.element_at(answer, -1)["content"]
+    return rows.select("id", (last["answer"] if isinstance(kind, T.StructType) else last).alias("text"))
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Adds JSON lines to a log; each call commits its own files, and readers see all of a call or nothing."""
+    rows.write.mode("append").json(path)
+
+
 def first_of(schema: T.StructType, names: Sequence[str], places: Sequence[str] = ("", "extra_info", "reward_model")) -> Column | None:
     """coalesce over the places and names that the schema has."""
     found = []

@@ -13,21 +13,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]):
-    """Appends each micro-batch's successful rows not in ``path`` yet; a resumed stream repeats nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        rows = batch.filter(F.col("met").isNotNull()).dropDuplicates(list(keys))
-        try:
-            held = batch.sparkSession.read.parquet(path).select(*keys)
-        except Exception as missing:  # the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        else:
-            rows = rows.join(held, list(keys), "left_anti")
-        rows.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def first_success(stream: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The first successful row of each key, by ``order`` within a micro-batch (all columns if none are named); a key's state is that it has one."""
+    by = [*order, *(c for c in stream.columns if c not in order)]
+
+    def run(_: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            for _ in batches:
+                pass
+            return
+        rows = pd.concat(list(batches)).sort_values(by, kind="stable")
+        state.update((True,))
+        yield rows.iloc[:1]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    return stream.filter(F.col("met").isNotNull()).groupBy(*keys).applyInPandasWithState(run, kinds, "held boolean", "append", "NoTimeout")
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str] = ()):
+    """Appends the first successful row of each key to ``path``; a resumed stream repeats nothing and never reads what it has written."""
+    return first_success(stream, keys, order).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def call_limits(stream: DataFrame, key: str, order: str, throttled: str, first: int = 8, most: int = 256) -> DataFrame:
+    """key, order and the number of calls allowed at once after each outcome: one more for a call that went through, half for one that was throttled."""
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def run(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        limit = state.get[0] if state.exists else first
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for hit in rows[throttled]:
+            limit = max(1, limit // 2) if hit else min(most, limit + 1)
+            out.append(limit)
+        state.update((limit,))
+        yield pd.DataFrame({key: keys[0], order: rows[order], "allowed": out})
+
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed int", "allowed int", "append", "NoTimeout")
 
 
 def first_exposure(stream: DataFrame, key: str, step: str, value: str) -> DataFrame:
