@@ -210,7 +210,11 @@ def prompt_set(spark, d):
     return w.join(both, "id", "left_semi").groupBy("arm").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(""", c AS (SELECT DISTINCT arm, id FROM log), i0 AS (SELECT id FROM c WHERE arm = 'a0'), m1 AS (SELECT id FROM i0 SEMI JOIN (SELECT id FROM c WHERE arm = 'a1') USING (id)),
+    k1 AS (SELECT (SELECT count(*) FROM m1) >= 0.5 * (SELECT count(*) FROM i0) AS ok), i1 AS (SELECT id FROM i0 WHERE NOT (SELECT ok FROM k1) OR id IN (SELECT id FROM m1)),
+    m2 AS (SELECT id FROM i1 SEMI JOIN (SELECT id FROM c WHERE arm = 'a2') USING (id)), k2 AS (SELECT (SELECT count(*) FROM m2) >= 0.5 * (SELECT count(*) FROM i1) AS ok),
+    i2 AS (SELECT id FROM i1 WHERE NOT (SELECT ok FROM k2) OR id IN (SELECT id FROM m2))
+    SELECT id, 'a0' || CASE WHEN (SELECT ok FROM k1) THEN ',a1' ELSE '' END || CASE WHEN (SELECT ok FROM k2) THEN ',a2' ELSE '' END AS arms FROM i2""")
 def greedy_extra_arms(spark, d):
     cells = V.log(spark, d).select("arm", "id").distinct()
     joined, ids = G.greedy_arms(cells, ["a0"], ["a1", "a2"], 0.5)

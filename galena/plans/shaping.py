@@ -177,7 +177,7 @@ def disjoint_split_hash(spark, d):
     return S.disjoint_split(V.table(spark, d, "orders").select("o_orderkey"), "o_orderkey", {"train": 80, "dev": 10, "held_out": 10})
 
 
-@query()
+@query("""SELECT o_orderkey, ((((((((((0 * 4) + CAST('0x' || substr(h, 1, 8) AS BIGINT)) % 7 * 4) + CAST('0x' || substr(h, 9, 8) AS BIGINT)) % 7 * 4) + CAST('0x' || substr(h, 17, 8) AS BIGINT)) % 7 * 4) + CAST('0x' || substr(h, 25, 8) AS BIGINT)) % 7 * 4) + CAST('0x' || substr(h, 33, 8) AS BIGINT)) % 7 AS shard FROM (SELECT o_orderkey, sha1(CAST(o_orderkey AS VARCHAR)) AS h FROM orders)""")
 def shard_assignment(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", S.shard_of(F.col("o_orderkey"), 7).alias("shard"))
 
@@ -301,7 +301,7 @@ def batched_coverage(spark, d):
     return P.batched_coverage(batches, ["id"], "size", 3).withColumn("coverage", F.round("coverage", 6))
 
 
-@query()
+@query("SELECT p_partkey, 'The answer names the cause and says how sure it is. It is short.' AS text FROM part")
 def strip_failure_clause(spark, d):
     said = F.concat(F.lit("The answer names the cause and says how sure it is. Fails if "), F.col("p_name"), F.lit(" is missing. It is short."))
     return V.table(spark, d, "part").select("p_partkey", X.without_failure_clause(said).alias("text"))

@@ -186,15 +186,16 @@ def array_mass(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", F.round(R.total(F.col("embedding").cast("array<double>"), F.abs), 4).alias("mass"))
 
 
-@query()
+@query("""SELECT vec_id, round(0.5 * list_sum(list_transform(p, lambda v: v * ln((v + 1e-12) / (0.5 * v + 0.125 + 1e-12)))) + 0.5 * list_sum(list_transform(p, lambda v: 0.25 * ln((0.25 + 1e-12) / (0.5 * v + 0.125 + 1e-12)))), 8) AS jsd
+    FROM (SELECT vec_id, list_transform(x, lambda v: v / list_sum(x)) AS p FROM (SELECT vec_id, list_reverse_sort(list_transform(CAST(embedding AS DOUBLE[]), lambda v: exp(v)))[1:4] AS x FROM embeddings))""")
 def truncated_divergence(spark, d):
     """Jensen-Shannon divergence of the four largest of a vector's probabilities, made to sum to 1 again, against uniform ones."""
     x = F.slice(F.sort_array(F.transform(F.col("embedding").cast("array<double>"), F.exp), asc=False), 1, 4)
     p = F.transform(x, lambda v: v / R.total(x))
-    return V.table(spark, d, "embeddings").select("vec_id", R.truncated_jsd(p, F.array(*[F.lit(0.25)] * 4)).alias("jsd"))
+    return V.table(spark, d, "embeddings").select("vec_id", F.round(R.truncated_jsd(p, F.array(*[F.lit(0.25)] * 4)), 8).alias("jsd"))
 
 
-@query()
+@query("SELECT p_partkey, p_name AS prompt, length(p_name) % 2 = 0 AS met, CAST(NULL AS VARCHAR) AS err FROM part")
 def judge_adapter(spark, d):
     tasks = V.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("prompt"))
     return J.judged(tasks, lambda text: str(len(text)), lambda reply: int(reply) % 2 == 0, "prompt", "met", "boolean")
