@@ -59,6 +59,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole ``documents`` table: doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256.
+
+    An empty table gives no rows. A null text counts as empty; of all texts that are
+    empty one stays. Of repeated rows one stays, nulls in other columns change nothing,
+    and columns that a stage doesn't know come through as far as the last one.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
