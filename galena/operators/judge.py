@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,27 +37,33 @@ def winner(reply: Column) -> Column:
     return F.when(said.isin("A", "B", "tie"), said)
 
 
-def judged(tasks: DataFrame, judge: Callable[[str], str], parse: Callable[[str], object | None], prompt: str, out: str, kind: str, tries: int = 3) -> DataFrame:
-    """``tasks`` with the parsed reply to each prompt, or null and err after ``tries`` attempts: a row is never lost."""
+def judged(tasks: DataFrame, judge: Callable[[str], str], parse: Callable[[str], object | None], prompt: str, out: str, kind: str, tries: int = 3, waits: int = 20, pause: float = 0.0) -> DataFrame:
+    """``tasks`` with the parsed reply to each prompt, or null and err after ``tries`` attempts: a row is never lost.
+
+    A throttled call (429) costs no attempt, but a pause; after ``waits`` of them the row gives up.
+    """
     fields = tasks.schema.names
 
+    def asked(text: str) -> tuple[object | None, str | None]:
+        error, left, patience = None, tries, waits
+        while left and patience >= 0:
+            try:
+                if (value := parse(judge(text))) is not None:
+                    return value, None
+                error = "unreadable reply"
+            except Exception as e:  # noqa: BLE001  whatever a judge raises is the row's error
+                error = f"{type(e).__name__}: {e}"
+                if "429" in error or getattr(e, "status", None) == 429:
+                    patience -= 1
+                    time.sleep(pause)
+                    continue
+            left -= 1
+        return None, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values, errors = [], []
-            for text in batch[prompt]:
-                value, error = None, None
-                for _ in range(tries):
-                    try:
-                        value, error = parse(judge(text)), None
-                    except Exception as e:  # noqa: BLE001  whatever a judge raises is the row's error
-                        error = f"{type(e).__name__}: {e}"
-                        continue
-                    if value is not None:
-                        break
-                    error = "unreadable reply"
-                values.append(value)
-                errors.append(error)
-            yield batch[fields].assign(**{out: values, "err": errors})
+            replies = [asked(text) for text in batch[prompt]]
+            yield batch[fields].assign(**{out: [v for v, _ in replies], "err": [e for _, e in replies]})
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema)
     return tasks.mapInPandas(run, f"{kept}, `{out}` {kind}, err string")

@@ -11,6 +11,7 @@ from galena.functions import text as T
 from galena.operators import builds as B
 from galena.operators import stats as S
 from galena.plans import views as V
+from galena.sources import scans
 
 QUERIES, SQL = {}, {}
 
@@ -297,3 +298,32 @@ def first_draws(spark, d):
     return text.select("id", F.array_join(F.transform(first, lambda m: m.cast("int").cast("string")), "").alias("first_draw"))
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'user' AS first_role, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS first_text, n, w FROM orders
+    JOIN (SELECT id, len(r) AS n, list_sum(list_transform(r, lambda c: c.weight)) AS w FROM rubric WHERE list_max(list_transform(r, lambda c: c.weight)) > 0) r ON r.id = o_orderkey""")
+def contract_rows(spark, d):
+    """Questions of another shape (messages without role or content, a checklist under other names, the id in extra_info) as contract rows."""
+    orders = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("said"))
+    fit = V.rubric(spark, d).filter(F.exists("r", lambda c: c.weight > 0))
+    turn = F.struct(F.lit(None).cast("string").alias("role"), F.col("said").alias("content"))
+    strange = F.transform("r", lambda c: F.struct(F.concat(F.lit(" "), c.criterion).alias("text"), c.weight.cast("int").alias("points")))
+    rows = orders.join(fit, "id").select(F.array(turn).alias("messages"), strange.alias("criteria"), F.struct(F.col("id").alias("uid")).alias("extra_info"))
+    out = scans.contract(rows)
+    first = F.element_at("messages", 1)
+    return out.select("id", first.role.alias("first_role"), first.text.alias("first_text"), F.size("rubric").cast("long").alias("n"), R.total(F.col("rubric"), lambda c: c.weight).alias("w"))
+
+
+@query("""SELECT doc_id AS id, length(text) AS chars FROM documents WHERE coalesce(source, 'src1') = 'src1' AND doc_id % 7 <> 0 AND length(text) > 0""")
+def gated_responses(spark, d):
+    """Responses of a suite, or of none, without an error and not empty."""
+    rows = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("response"), F.col("source").alias("data_source"), F.when(F.col("doc_id") % 7 == 0, "down").alias("error"))
+    return scans.gated(rows, "src1").select("id", F.length("response").cast("long").alias("chars"))
+
+
+@query("""SELECT p_partkey, p_type AS bare, '{"a": "' || p_brand || '"}' AS object, p_size % 3 = 0 AS cjk, regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9._-]+', '_', 'g') AS file FROM part""")
+def text_cleaning(spark, d):
+    """Replies in code fences of three kinds, objects inside prose, a language mark and safe file names."""
+    k = F.col("p_size") % 3
+    fenced = F.when(k == 0, F.concat(F.lit("```json\n"), "p_type", F.lit("\n```"))).when(k == 1, F.concat(F.lit(" ```text\n"), "p_type")).otherwise(F.concat("p_type", F.lit("\n")))
+    prose = F.concat(F.lit('so {"a": "'), "p_brand", F.lit('"} it is'))
+    said = F.when(k == 0, F.concat("p_name", F.lit(" \u6f22"))).otherwise(F.col("p_name"))
+    return V.table(spark, d, "part").select("p_partkey", T.without_fence(fenced).alias("bare"), T.embedded_object(prose).alias("object"), T.has_cjk(said).alias("cjk"), T.safe_name(F.concat_ws("/", "p_name", "p_type")).alias("file"))

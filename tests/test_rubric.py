@@ -100,3 +100,19 @@ def test_judge_adapter_never_loses_a_row(spark):
     tasks = spark.createDataFrame([("1",), ("x",), ("bad",)], "prompt string")
     got = {r.prompt: (r.met, r.err) for r in J.judged(tasks, judge, lambda reply: True if reply == "1" else None, "prompt", "met", "boolean").collect()}
     assert got == {"1": (True, None), "x": (None, "unreadable reply"), "bad": (None, "RuntimeError: down")}
+
+
+def test_throttled_calls_cost_no_attempt(spark):
+    class Busy:
+        def __init__(self, times):
+            self.left = times
+
+        def __call__(self, text):
+            if self.left:
+                self.left -= 1
+                raise RuntimeError("HTTP 429: slow down")
+            return text
+
+    tasks = spark.createDataFrame([("1",)], "prompt string")
+    ask = lambda times: tuple(J.judged(tasks, Busy(times), lambda reply: reply == "1", "prompt", "met", "boolean", waits=5).first())
+    assert ask(5) == ("1", True, None) and ask(9) == ("1", None, "RuntimeError: HTTP 429: slow down")
