@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from galena.llm.caches import claim, register
 from galena.llm.chunks import Pieces, slices
-from galena.llm.scratch import fresh
+from galena.llm.scratch import bound_batches, fresh
 
 #: What a worker remembers: pre-tokens, pieces between spaces, and the characters of each at most.
 MEMO_PIECES, MEMO_CHUNKS, MEMO_CHARS = 150_000, 500_000, 48
@@ -181,6 +181,7 @@ _BUILT: dict[str, ByteBPE] = {}
 
 
 def _sent(docs: DataFrame, tokens: list[bytes], pattern: str):
+    bound_batches(docs.sparkSession)
     key = hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
     if key not in _BUILT:
         _BUILT.clear()

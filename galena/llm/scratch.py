@@ -14,11 +14,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that a JVM and a Python worker hold at once for a task, besides what the task makes of them.
+BATCH_BYTES = 12 << 20
+
+
 def fresh() -> str:
     """A column name that no table has."""
     return f"_{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in Arrow batches of BATCH_BYTES, however long its texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -34,6 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
