@@ -33,8 +33,7 @@ def _flat(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     """id, score of complete questions with positive weight."""
-    held = V.criteria(spark, d).join(_flat(spark, d), ["id", "k"], "left")
-    out = held.groupBy("id").agg(weighted_score(F.col("weight"), F.col("met"), strict=False).alias("score"), F.count("met").alias("g"), F.count(F.lit(1)).alias("n"))
+    out = V.judged(spark, d).groupBy("id").agg(weighted_score(F.col("weight"), F.col("met"), strict=False).alias("score"), F.count("met").alias("g"), F.count(F.lit(1)).alias("n"))
     return out.filter("g = n and score is not null").select("id", "score")
 
 
@@ -79,7 +78,7 @@ def score_weighted_clipped(spark, d):
     FROM tagged JOIN flat USING (id, k) GROUP BY id, tag HAVING sum(greatest(weight, 0)) > 0""")
 def score_by_tag(spark, d):
     tags = F.array(F.when(F.col("k") % 2 == 0, "even").otherwise("odd"), F.when(F.abs("weight") >= 25, "heavy").otherwise("light"))
-    held = V.criteria(spark, d).join(_flat(spark, d), ["id", "k"]).withColumn("tag", F.explode(tags))
+    held = V.judged(spark, d).filter("met is not null").withColumn("tag", F.explode(tags))
     out = held.groupBy("id", "tag").agg(weighted_score(F.col("weight"), F.col("met"), strict=False).alias("score"))
     return out.filter("score is not null").withColumn("score", F.round("score", 6))
 
@@ -88,8 +87,9 @@ def score_by_tag(spark, d):
     ready AS (SELECT arm, id FROM grades JOIN whole USING (id) GROUP BY arm, id, n HAVING count(met) = n)
     SELECT arm, id, count(*) AS n_criteria, count(*) FILTER (WHERE met) AS n_met FROM grades JOIN ready USING (arm, id) GROUP BY arm, id""")
 def completeness_filter(spark, d):
-    done = G.complete(V.criteria(spark, d), _grades(spark, d))
-    return done.groupBy("arm", "id").agg(F.count(F.lit(1)).alias("n_criteria"), F.count_if("met").alias("n_met"))
+    whole = V.log(spark, d).groupBy("id").agg(F.count_distinct("k").alias("whole"))
+    done = _grades(spark, d).groupBy("arm", "id").agg(F.count(F.lit(1)).alias("n_criteria"), F.count_if("met").alias("n_met"))
+    return done.join(whole, "id").filter("n_criteria = whole").select("arm", "id", "n_criteria", "n_met")
 
 
 @query("SELECT id FROM grades GROUP BY id HAVING count(DISTINCT arm) = (SELECT count(DISTINCT arm) FROM grades)")
@@ -124,16 +124,16 @@ def resume_anti_join(spark, d):
            round(count(*) FILTER (WHERE weight > 0 AND wide = 1 AND strict = 0) / nullif(count(*) FILTER (WHERE weight > 0 AND wide = 1), 0), 6) AS ghost_share
     FROM v JOIN criteria USING (id, k) WHERE wide IS NOT NULL AND strict IS NOT NULL GROUP BY k""")
 def ghost_share(spark, d):
-    arm = lambda a: F.max(F.when(F.col("arm") == a, F.col("met")))
-    v = _grades(spark, d).groupBy("id", "k").agg(arm("a0").alias("wide"), arm("a1").alias("strict")).filter("wide is not null and strict is not null")
-    return G.ghost_share(v.join(V.criteria(spark, d), ["id", "k"]), ["k"]).withColumn("ghost_share", F.round("ghost_share", 6))
+    arm = lambda a: V.latest("met", F.col("arm") == a)
+    v = V.log(spark, d).groupBy("id", "k").agg(arm("a0").alias("wide"), arm("a1").alias("strict"), V.latest("w").alias("weight")).filter("wide is not null and strict is not null")
+    return G.ghost_share(v, ["k"]).withColumn("ghost_share", F.round("ghost_share", 6))
 
 
 @query(""", v AS (SELECT id, k, max(CASE WHEN arm = 'a0' THEN CAST(met AS INTEGER) END) AS a, max(CASE WHEN arm = 'a1' THEN CAST(met AS INTEGER) END) AS b FROM grades GROUP BY id, k)
     SELECT k, round(avg(CAST(a = b AS INTEGER)), 6) AS agreement, count(*) AS n FROM v WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY k""")
 def verdict_agreement(spark, d):
-    arm = lambda a: F.max(F.when(F.col("arm") == a, F.col("met")))
-    v = _grades(spark, d).groupBy("id", "k").agg(arm("a0").alias("a"), arm("a1").alias("b")).filter("a is not null and b is not null")
+    arm = lambda a: V.latest("met", F.col("arm") == a)
+    v = V.log(spark, d).groupBy("id", "k").agg(arm("a0").alias("a"), arm("a1").alias("b")).filter("a is not null and b is not null")
     return v.groupBy("k").agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("agreement"), F.count(F.lit(1)).alias("n"))
 
 

@@ -7,7 +7,7 @@ the questions, conversations the prompts, events the training log.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LATEST = ["ts", "p", "s"]
@@ -48,6 +48,17 @@ def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).groupBy("id", "k").agg(F.max_by("w", F.struct(*LATEST)).alias("weight"))
 
 
+def latest(value: str, where: Column | None = None) -> Column:
+    """Aggregate: the value of the last row that has one (and fulfils ``where``)."""
+    held = F.col(value).isNotNull()
+    return F.max_by(value, F.when(held if where is None else held & where, F.struct(*LATEST)))
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, k, weight, met: each criterion with its last successful verdict, null without one; the log is read and dealt once."""
+    return log(spark, sf_dir).groupBy("id", "k").agg(latest("w").alias("weight"), latest("met").alias("met"))
+
+
 def rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, r: array<struct<criterion, weight>> in order of k."""
     rows = criteria(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "weight"))).alias("r"))
