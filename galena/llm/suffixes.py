@@ -11,8 +11,8 @@ document's suffix shares its words to the right and to the left.  All passages
 that a suffix is the minimiser of are tried, so what is found is what comparing all
 pairs of passages would find.
 
-A start that more suffixes share than a shard is to hold would bring them all to one
-task.  The passages around those are compared by a hash of their words instead, which
+A start that many suffixes share, an eighth of what a shard is to hold, would bring
+them all to one task.  The passages around those are compared by a hash of their words instead, which
 deals them evenly: a batch of documents sends each of its distinct ones once, with
 the first document that has it, and gets back which ones others have too.
 
@@ -343,8 +343,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, k: int = K, id_co
     several = scratch.keep("several", several)
     total = several.agg(F.sum("n")).first()[0] or 0
     shards = max(1, total // SHARD_SUFFIXES)
-    # A million at most.
-    hot = np.sort(several.filter(F.col("n") > max(SHARD_SUFFIXES, total // 1_000_000)).select("h").toArrow().column("h").to_numpy().view("u8"))
+    # What several hot starts have must fit into one shard, too. A million at most.
+    hot = np.sort(several.filter(F.col("n") > max(SHARD_SUFFIXES // 8, total // 1_000_000)).select("h").toArrow().column("h").to_numpy().view("u8"))
     rows = _suffixes(text, passage, k, shards, bitmap_of(several.select(F.col("h").alias("key")), KEY_BITS, BITMAP_BITS), hot)
     span = "array<struct<start:long,end:long>>"
     fields = f"key long, doc_id long, n_words long, repeated {span}, extra {span}, own {span}, batch long, shard int, m long, n long, data binary"
