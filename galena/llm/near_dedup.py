@@ -215,7 +215,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = scratch.keep("sizes", held.groupBy("comp").agg(best, F.count(F.lit(1)).alias("class_size")))
     out = held.join(sizes, "comp").select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
     alone = named.filter("comp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    scratch.drop("members", "candidates", "crowd", "elements", "prefixes", "dealt", "mixed", "texts", "ids", "buckets", "nodes")
+    scratch.drop("rows", "members", "candidates", "crowd", "elements", "prefixes", "dealt", "mixed", "texts", "ids", "buckets", "nodes")
+    scratch.drop(*(f"{kind}{i}" for kind in ("pairs", "verified") for i in range(1, 4)), *(f"comps{i}-{kind}" for i in range(3) for kind in ("links", "near", *range(8))))
     return out.unionByName(alone)
 
 

@@ -97,15 +97,15 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _shingle_hashes(text: DataFrame, passage: int, k: int) -> DataFrame:
-    """h, once for each document that has it at a minimiser."""
+    """h and times for each document that has it at a minimiser, which a text of one repeated line has often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words in _batched(batches):
-            found = [np.unique(minimisers(w, passage, k)[1]) for w in words]
-            h = np.concatenate(found) if found else np.zeros(0, "u8")
-            yield pa.RecordBatch.from_arrays([pa.array(h.view("i8"))], names=["h"])
+            found = [np.unique(minimisers(w, passage, k)[1], return_counts=True) for w in words]
+            h, times = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(times)], names=["h", "times"])
 
-    return text.mapInArrow(run, "h long")
+    return text.mapInArrow(run, "h long, times long")
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -339,7 +339,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, k: int = K, id_co
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    several = _shingle_hashes(text, passage, k).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = _shingle_hashes(text, passage, k).groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.sum("times").alias("n")).filter("docs > 1")
     several = scratch.keep("several", several)
     total = several.agg(F.sum("n")).first()[0] or 0
     shards = max(1, total // SHARD_SUFFIXES)

@@ -106,6 +106,10 @@ def test_a_start_that_all_texts_share(spark, monkeypatch):
     got = S.repeated_passages(docs, 12, 3).collect()
     assert Counter((x.doc_id, x.n_words, x.n_repeated, tuple((s.start, s.end) for s in x.repeated)) for x in got) == brute(rows, 12)
     assert most[0] < 300 and sum(len(x.own) > 0 for x in got) == 1 and sum(len(x.extra) > 0 for x in got) == 299
+    # Two texts of one line, over and over.
+    rows = [(1, "buy now " * 4000), (2, "buy now " * 3000), (3, "something else")]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 12, 3).collect()
+    assert {x.doc_id: x.n_repeated for x in got} == {1: 8000, 2: 6000, 3: 0} and most[1] < 100
 
 
 def test_cutting():
