@@ -13,6 +13,9 @@ from galena.llm.chat import CONTROL, round_trip
 from galena.llm.exact_dedup import exact_groups
 from galena.llm.bpe import encode_documents, read_ranks
 from galena.llm.decontaminate import contamination
+from galena.llm.filter_audit import interactions
+from galena.llm.fingerprints import edited_fingerprints
+from galena.llm.hard_negatives import hard_negatives
 from galena.llm.near_dedup import near_classes
 from galena.llm.quality import judge
 from galena.llm.scratch import Scratch
@@ -73,6 +76,18 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, scratch.path("archives"), scratch)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_arc_to_warc": op10_arc_to_warc,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Characters that escaping adds to column {0}: one for each control string and for each backslash.
@@ -187,4 +205,46 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
                url AS target_uri
         FROM p""",
+    "op11_hard_negatives": r"""
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5""",
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        y AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+                   (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+                   || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+                   || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+            FROM d LEFT JOIN y USING (doc_id)),
+        m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY part, fails),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (
+            SELECT a.x || b.x || c.x || g.x || h.x AS filter_order FROM l a, l b, l c, l g, l h
+            WHERE len(list_distinct([a.x, b.x, c.x, g.x, h.x])) = 5),
+        z AS (SELECT filter_order, CAST(i AS INTEGER) AS step, substr(filter_order, i, 1) AS filter, substr(filter_order, 1, i - 1) AS before FROM o, unnest(range(1, 6)) AS u(i)),
+        r AS (
+            SELECT part, filter_order, step, filter,
+                   CAST(coalesce(sum(n) FILTER (WHERE translate(fails, before || filter, '') = fails), 0) AS BIGINT) AS kept,
+                   CAST(coalesce(sum(n) FILTER (WHERE contains(fails, filter) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(n) FILTER (WHERE contains(fails, filter) AND translate(fails, before, '') <> fails), 0) AS BIGINT) AS redundant,
+                   CAST(coalesce(sum(n) FILTER (WHERE fails = filter), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(good) FILTER (WHERE contains(fails, filter) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS good_lost,
+                   CAST(coalesce(sum(bad) FILTER (WHERE contains(fails, filter) AND translate(fails, before, '') = fails), 0) AS BIGINT) AS toxic_lost
+            FROM m, z GROUP BY ALL)
+        SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r""",
 }
