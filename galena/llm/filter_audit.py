@@ -35,6 +35,8 @@ MIN_WORDS = 50
 DISTINCT, CAPITALS = 65, 5
 #: Bytes of distinct texts that a map task holds at once.
 BLOCK_BYTES = 32 << 20
+#: Bytes of texts for a task of the shuffle, which is an RDD's: nothing resizes its partitions later.
+TASK_BYTES = 64 << 20
 
 _NOT_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
 _INSIDE = bytes(range(0x80, 0xC0))
@@ -148,6 +150,10 @@ def orders_of(vector: list[int]) -> Iterator[tuple]:
         yield order, step, name, kept, removed, redundant, unique, good, toxic, shapley[name]
 
 
+def _bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+
+
 def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", hash_bits: int = 64, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, part, mask: the filters that each row of ``docs`` fails, as bits (A 1, B 2, C 4, D 8, E 16).
 
@@ -160,7 +166,7 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.coalesce(F.col(part_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(docs, text_col) // TASK_BYTES))
     routed = rows.rdd.mapPartitions(_routed(hash_bits, block_bytes))
     met = routed.repartitionAndSortWithinPartitions(tasks, lambda key: key[0], keyfunc=lambda key: (key[0], key[1] is not None, key[1]))
     return spark.createDataFrame(met.mapPartitions(_chained), f"doc_id {kind}, part string, mask int", verifySchema=False)
