@@ -1,7 +1,7 @@
 """Document fingerprints in DataFrame functions only: bottom-k sketches of shingle hashes.
 
 A sketch is the ascending array of the k smallest distinct hashes of a text's
-five-word shingles.  Two texts' sketches give the sketch of both together
+five-word shingles: 16 hex digits of their MD5, which SQL engines have as well.  Two texts' sketches give the sketch of both together
 (``merged``), so a text can be sketched in parts, and all estimates are made
 from the k smallest hashes of the union: resemblance (Jaccard similarity),
 containment and the number of distinct shingles.
@@ -26,8 +26,8 @@ from galena.llm.scratch import fresh
 SHINGLE_WORDS = 5
 #: Hashes of a sketch: a resemblance J is estimated with a standard error of sqrt(J (1 - J) / k).
 SKETCH = 128
-#: Hashes have 63 bits, so that none is negative.
-_SPACE = float(1 << 63)
+#: Hex digits of a hash.
+DIGITS = 16
 #: What stands between words: everything of ASCII but letters and digits.
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Shares of a group that are merged by themselves first, so that no group is one task's work.
@@ -39,15 +39,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.replace(text, F.lit("Σ"), F.lit("σ"))), _GAPS), "")
 
 
-def _word_hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def _shingles(hashes: Column) -> Column:
-    """A hash for each run of five words; fewer words, but not none, are one run. ``hashes`` should be a column, not an expression: it is looked at often."""
-    runs = F.sequence(F.lit(0), F.greatest(F.size(hashes) - SHINGLE_WORDS, F.lit(0)))
-    hashed = F.transform(runs, lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(hashes, i + j) for j in range(SHINGLE_WORDS)]), 1))
-    return F.when(F.size(hashes) > 0, hashed).otherwise(F.array().cast("array<bigint>"))
+def _shingles(words: Column) -> Column:
+    """A hash for each run of five words; fewer words, but not none, are one run. ``words`` should be a column, not an expression: it is looked at often."""
+    runs = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE_WORDS, F.lit(0)))
+    hashed = F.transform(runs, lambda i: F.left(F.md5(F.concat_ws(" ", *[F.get(words, i + j) for j in range(SHINGLE_WORDS)])), F.lit(DIGITS)))
+    return F.when(F.size(words) > 0, hashed).otherwise(F.array().cast("array<string>"))
 
 
 def _least(hashes: Column, k: int) -> Column:
@@ -56,9 +52,9 @@ def _least(hashes: Column, k: int) -> Column:
 
 def sketched(docs: DataFrame, text: Column, name: str, k: int = SKETCH) -> DataFrame:
     """``docs`` with the sketch of ``text`` (null: empty) as ``name``."""
-    h = fresh()
-    hashed = docs.withColumn(h, _word_hashes(words_of(F.coalesce(text.cast("string"), F.lit("")))))
-    return hashed.withColumn(name, _least(_shingles(F.col(h)), k)).drop(h)
+    words = fresh()
+    split = docs.withColumn(words, words_of(F.coalesce(text.cast("string"), F.lit(""))))
+    return split.withColumn(name, _least(_shingles(F.col(words)), k)).drop(words)
 
 
 def merged(a: Column, b: Column, k: int = SKETCH) -> Column:
@@ -102,19 +98,20 @@ def _containment(a: Column, b: Column, union: Column) -> Column:
 
 def distinct_shingles(a: Column, k: int = SKETCH) -> Column:
     """Estimated number of distinct shingles; exact below k."""
-    return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise((k - 1) / (F.element_at(a, -1) / F.lit(_SPACE)))
+    share = (F.conv(F.left(F.element_at(a, -1), F.lit(12)), 16, 10).cast("double") + 1) / float(1 << 48)  # of the space, up to the k-th hash
+    return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise((k - 1) / share)
 
 
 def as_text(sketch: Column) -> Column:
-    """16 hex digits a hash, in order."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """The hashes' digits, in order."""
+    return F.array_join(sketch, "")
 
 
 def from_text(text: Column) -> Column:
     """The sketch that ``as_text`` wrote."""
-    n = (F.length(text) / 16).cast("int")
-    read = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(text, i * 16 + 1, F.lit(16)), 16, 10).cast("bigint"))
-    return F.when(n > 0, read).otherwise(F.array().cast("array<bigint>"))
+    n = (F.length(text) / DIGITS).cast("int")
+    read = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * DIGITS + 1, F.lit(DIGITS)))
+    return F.when(n > 0, read).otherwise(F.array().cast("array<string>"))
 
 
 def _ranges(rows: DataFrame) -> list:
@@ -168,14 +165,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Shingles of the head's words but its last, which the cut may have gone through, are in both texts: hashed once.
     rows = rows.withColumns({"words": words_of(F.col("text")), "head_words": words_of(F.col("head"))})
-    gap = F.when(F.right("head", F.lit(1)).rlike(rf"\A{_GAPS}\z"), " ").otherwise("")
+    gap = F.when(F.lower(F.right("head", F.lit(1))).rlike(rf"\A{_GAPS}\z"), " ").otherwise("")
     ends = F.slice("head_words", F.greatest(F.size("head_words") - SHINGLE_WORDS + 1, F.lit(1)), F.lit(SHINGLE_WORDS))
     rows = rows.select(
         "bucket", "last", "doc_id", "tie", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.concat("head", "added"), 256).alias("edited_sha256"),
-        F.greatest(F.size("head_words") - SHINGLE_WORDS, F.lit(0)).alias("shared"), _word_hashes(F.col("words")).alias("h"), words_of(F.concat(F.array_join(ends, " "), gap, "added")).alias("w"),
+        F.greatest(F.size("head_words") - SHINGLE_WORDS, F.lit(0)).alias("shared"), "words", words_of(F.concat(F.array_join(ends, " "), gap, "added")).alias("w"),
     )
-    rows = rows.withColumns({"h": _shingles(F.col("h")), "w": _word_hashes(F.col("w"))})
-    rows = rows.withColumns({"sketch": _least(F.col("h"), k), "kept": _least(F.slice("h", F.lit(1), F.col("shared")), k), "new": _shingles(F.col("w"))}).drop("h", "w")
+    rows = rows.withColumns({"h": _shingles(F.col("words")), "new": _shingles(F.col("w"))}).drop("words", "w")
+    rows = rows.withColumns({"sketch": _least(F.col("h"), k), "kept": _least(F.slice("h", F.lit(1), F.col("shared")), k)}).drop("h")
     rows = rows.withColumn("edited", merged(F.col("kept"), F.array_distinct("new"), k)).drop("kept", "new", "shared")
 
     rows = rows.withColumn("next_sketch", F.lead("sketch").over(order)).filter("last = 0")

@@ -221,6 +221,23 @@ ORACLE_SQL: dict[str, str] = {
         WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 5""",
+    "op12_fingerprints": r"""
+        WITH d AS (
+            SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (ORDER BY doc_id)),
+        e AS (SELECT *, left(t, n - n // 4) || left(after, n // 4) AS edited FROM d),
+        x AS (SELECT doc_id, 'own' AS kind, t AS text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e UNION ALL SELECT doc_id, 'after', after FROM e),
+        w AS (SELECT doc_id, kind, regexp_extract_all(lower(replace(text, 'Σ', 'σ')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+        s AS (
+            SELECT doc_id, kind, CASE WHEN len(w) = 0 THEN [] ELSE
+                list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: left(md5(array_to_string(w[i:i + 4], ' ')), 16))))[1:128] END AS s FROM w),
+        p AS (SELECT e.doc_id, n, edited, a.s AS a, b.s AS b, c.s AS c FROM e JOIN s a ON a.doc_id = e.doc_id AND a.kind = 'own' JOIN s b ON b.doc_id = e.doc_id AND b.kind = 'edited' JOIN s c ON c.doc_id = e.doc_id AND c.kind = 'after'),
+        u AS (SELECT *, list_sort(list_distinct(list_concat(a, b)))[1:128] AS ab, list_sort(list_distinct(list_concat(a, c)))[1:128] AS ac FROM p),
+        v AS (SELECT *, len(list_intersect(list_intersect(a, b), ab)) AS n_ab, len(list_intersect(list_intersect(a, c), ac)) AS n_ac, len(list_intersect(a, ab)) AS own FROM u)
+        SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+               CASE WHEN len(ab) = 0 THEN 1.0 ELSE n_ab / len(ab) END AS near_edited, CASE WHEN len(ac) = 0 THEN 1.0 ELSE n_ac / len(ac) END AS near_next,
+               CASE WHEN len(a) = 0 THEN 1.0 ELSE n_ab / nullif(own, 0) END AS contained_edited
+        FROM v""",
     "op13_filter_audit": r"""
         WITH d AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
