@@ -19,9 +19,18 @@ def word_count(text: Column) -> Column:
 
 
 def number(value: Column) -> Column:
-    """A weight as people write it: no trailing zeros, integers without a point."""
-    fixed = F.regexp_replace(F.call_function("format_number", F.round(value, 6), F.lit("0.000000")), r"\.?0+$", "")
-    return F.when(fixed == "-0", "0").otherwise(fixed)
+    """Six significant digits without trailing zeros, as C's %g; a half at the seventh digit is rounded up."""
+    shown = F.format_string("%.5e", value.cast("double"))  # d.ddddde+xx
+    power = F.split_part(shown, F.lit("e"), F.lit(2)).try_cast("int")
+    mantissa = F.split_part(shown, F.lit("e"), F.lit(1))
+    sign, digits = F.when(mantissa.startswith("-"), "-").otherwise(""), F.regexp_replace(mantissa, r"[^0-9]", "")
+    trimmed = lambda text: F.regexp_replace(text, r"\.?0*$", "")
+    large = F.concat(F.left(digits, power + 1), F.lit("."), F.substr(digits, power + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    wide = F.concat(trimmed(F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))), F.lit("e"), F.split_part(shown, F.lit("e"), F.lit(2)))
+    body = F.when(power.between(0, 5), trimmed(large)).when(power.between(-4, -1), trimmed(small)).otherwise(wide)
+    odd = F.when(F.isnan(value.cast("double")), "nan").when(value.cast("double") > 0, "inf").otherwise("-inf")
+    return F.when(value.isNotNull(), F.when(power.isNull(), odd).otherwise(F.concat(sign, body)))
 
 
 def numbered_items(rubric: Column, pattern: str = "numbered") -> Column:
@@ -68,17 +77,28 @@ def embedded_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-#: Where replies state an option, strongest first (patterns of ours).
-ANSWER_PATTERNS = (r"(?i)answer\s*(?:is|:)?\s*\(?([A-Za-z])\)?(?![A-Za-z])", r"\\boxed\{\s*([A-Za-z])\s*\}", r"\(([A-Za-z])\)")
+#: Words that announce an answer, then words that name an option, and the letters that options have (fixed values).
+ANSWER_WORDS = (r"final\s+answer", "answer", "ans", r"correct\s+option")
+OPTION_WORDS = ("option", "choice")
+LETTERS = tuple("ABCDEFGHIJ")
 
 
-def option_letter(text: Column, letters: Sequence[str] = ("A", "B", "C", "D")) -> Column:
-    """The last allowed letter by the first pattern that has one, else a bare capital other than I."""
-    allowed = F.array(*map(F.lit, letters))
-    stages = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in ANSWER_PATTERNS]
-    bare = F.filter(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z])([A-Z])(?![A-Za-z'])"), F.lit(1)), lambda x: x != "I")
-    pick = lambda found: F.try_element_at(F.filter(F.transform(found, F.upper), lambda x: F.array_contains(allowed, x)), F.lit(-1))
-    return F.coalesce(*map(pick, [*stages, bare]))
+def option_letter(text: Column, letters: Sequence[str] = LETTERS) -> Column:
+    """The last allowed letter of the first kind of statement that has one; null if there is none.
+
+    Kinds: after a word that announces an answer (and "is", a colon or a dash), after a word that
+    names an option, a reply that is a letter and nothing else, and a bare capital other than I.
+    Letters of the first two may begin a word; brackets before a letter are passed over.
+    """
+    bare, bracket, any_letter = strip(F.coalesce(text, F.lit(""))), r"[\[(]?\s*", f"([{''.join(LETTERS)}])"
+    after = lambda words, link: rf"(?iU)(?:{'|'.join(words)})\s*{link}{bracket}{any_letter}"
+    found = lambda pattern: F.regexp_extract_all(bare, F.lit(pattern), F.lit(1))
+    only = rf"(?iU)\A{bracket}{any_letter}\s*[\])]?[.,;:]?\z"
+    capitals = F.filter(found(f"(?<![A-Za-z]){any_letter}(?![A-Za-z])"), lambda x: x != "I")
+    kinds = [found(after(ANSWER_WORDS, r"(?:is|[-:])?\s*")), found(after(OPTION_WORDS, "")), found(only), capitals]
+    allowed = F.array(*[F.lit(x.strip().upper()) for x in letters])
+    pick = lambda hits: F.try_element_at(F.filter(F.transform(hits, F.upper), lambda x: F.array_contains(allowed, x)), F.lit(-1))
+    return F.coalesce(*map(pick, kinds))
 
 
 def arena_label(text: Column, labels: Sequence[str] = ("A>>B", "A>B", "A=B", "B>A", "B>>A")) -> Column:
@@ -87,17 +107,40 @@ def arena_label(text: Column, labels: Sequence[str] = ("A>>B", "A>B", "A=B", "B>
     return F.try_element_at(F.filter(found, lambda x: x.isin(*labels)), F.lit(-1))
 
 
-def category(text: Column, weight: Column, aliases: dict[str, str]) -> Column:
-    """A criterion's class from its prefix, by alias, else by its weight."""
-    prefix = F.regexp_replace(F.lower(strip(F.split_part(text, F.lit(":"), F.lit(1)))), " criteria$", "")
-    named = F.coalesce(*[F.when(prefix == a, b) for a, b in aliases.items()], F.lit(None).cast("string"))
-    return F.coalesce(named, F.when(weight < 0, "pitfall").when(weight >= 5, "essential").when(weight >= 3, "important").otherwise("optional"))
+#: A criterion's classes, and other names that prefixes give them (fixed values).
+CATEGORIES = ("essential", "important", "optional", "pitfall")
+CATEGORY_ALIASES = {"importance": "important", "esssential": "essential", "mandatory": "essential", "option": "optional"}
+
+
+def category(text: Column, weight: Column, aliases: dict[str, str] = CATEGORY_ALIASES) -> Column:
+    """A criterion's class: its prefix before a colon, by alias, else by its weight (5, 3 and 1 or more, pitfalls below 0).
+
+    A text without a class whose weight is null, not a number or below 1 raises when read.
+    """
+    prefix = strip(F.regexp_replace(strip(F.lower(F.split_part(text, F.lit(":"), F.lit(1)))), " criteria$", ""))
+    prefix = F.when(text.contains(":"), prefix)
+    named = F.coalesce(*[F.when(prefix == a, b) for a, b in aliases.items()], F.when(prefix.isin(*CATEGORIES), prefix))
+    w = F.when(~F.isnan(weight.try_cast("double")), weight.try_cast("double"))
+    by_weight = F.when(w < 0, "pitfall").when(w >= 5, "essential").when(w >= 3, "important").when(w >= 1, "optional")
+    return F.coalesce(named, by_weight, F.raise_error(F.concat(F.lit("no class: "), F.coalesce(text, F.lit("null")))))
+
+
+#: What a failure clause says, after "fail" or "fails" (fixed values).
+FAILS = ("if", "this dimension if", "the criterion if")
+#: Characters that a criterion has at least when its failure clauses are gone.
+LEAST_LEFT = 40
+
 
+def without_failure_clause(text: Column, least: int = LEAST_LEFT) -> Column:
+    """Without the sentences that say, anywhere in them, what fails; the text as it was if too little is left.
 
-def without_failure_clause(text: Column, least: int = 40) -> Column:
-    """Without sentences that say what fails; the text as it was if too little is left."""
-    rest = strip(F.regexp_replace(text, r"(?i)(?<=[.!?])\s+(?:fails?|does not (?:meet|pass))\b[^.!?]*[.!?]", ""))
-    return F.when(F.length(rest) < least, text).otherwise(rest)
+    A sentence ends with a mark, and begins the text or behind a mark and white space, which stays.
+    """
+    sentence = F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]|[^.!?]+\z"), F.lit(0))
+    says = lambda x: x.rlike(rf"(?iU)\bfails? (?:{'|'.join(FAILS)})\b[^.!?]*[.!?]\z")
+    kept = F.transform(sentence, lambda x, i: F.when(says(x) & ((i == 0) | x.rlike(r"(?U)\A\s")), F.when(i > 0, F.left(x, F.lit(1))).otherwise("")).otherwise(x))
+    rest = strip(F.array_join(kept, ""))
+    return F.when((rest != strip(text)) & (F.length(rest) < least), text).otherwise(rest)
 
 
 def hash_id(source: str, text: Column) -> Column:

@@ -31,45 +31,43 @@ def passes(attempts: DataFrame, keys: Sequence[str], met: str, order: Sequence[s
     return tried.groupBy(*keys).agg(F.when(first.isNotNull(), good).alias(met), F.coalesce(first, F.max("_n")).cast("long").alias("tries"))
 
 
-def arm_scores(verdicts: DataFrame, criteria: DataFrame) -> DataFrame:
-    """arm, id, score, wide_score, same, n: of questions all of whose criteria the arm has a verdict for, and that have positive weight.
-
-    ``verdicts`` (arm, id, k, met, wide), ``criteria`` (id, k, weight). One join, one aggregation.
-    """
-    sizes = criteria.groupBy("id").agg(F.count(F.lit(1)).alias("whole"))
-    rows = verdicts.filter("met is not null").join(criteria, ["id", "k"]).groupBy("arm", "id").agg(
-        weighted_score(F.col("weight"), F.col("met"), strict=False).alias("score"), weighted_score(F.col("weight"), F.col("wide"), strict=False).alias("wide_score"),
-        F.count_if(F.col("met") == F.col("wide")).alias("same"), F.count(F.lit(1)).alias("n"),
-    )
-    return rows.join(sizes, "id").filter("n = whole and score is not null").drop("whole")
-
-
 def paired(scores: DataFrame, arms: int) -> DataFrame:
     """Rows of ids that all ``arms`` have."""
     ids = scores.groupBy("id").agg(F.count_distinct("arm").alias("_n")).filter(F.col("_n") == arms).select("id")
     return scores.join(ids, "id", "left_semi")
 
 
-def pair_deltas(scores: DataFrame, value: str) -> DataFrame:
-    """left, right, delta, n for every pair of arms, from ids that have both: an id's arms pair within its row."""
-    runs = scores.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("arm", F.col(value).alias("v")))).alias("r"))
-    left = runs.select("r", F.posexplode("r").alias("i", "a"))
-    both = left.select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
-    return both.groupBy(F.col("a.arm").alias("left"), F.col("b.arm").alias("right")).agg(F.avg(F.col("b.v") - F.col("a.v")).alias("delta"), F.count(F.lit(1)).alias("n"))
+def folded_runs(criteria: DataFrame, arms: Sequence[str]) -> DataFrame:
+    """id, runs: array<struct<arm, score, wide_score, same, n>> in order of arms.
+
+    ``criteria`` (id, k, weight, and for each arm a struct<met, wide> that is null without a verdict) has a row for each
+    criterion. An arm is in ``runs`` if it has a verdict on all of an id's criteria, and the id positive weight. One aggregation.
+    """
+    w, whole = F.col("weight"), F.count(F.lit(1))
+
+    def run(arm: str) -> Column:
+        met, wide = F.col(f"{arm}.met"), F.col(f"{arm}.wide")
+        score = lambda said: weighted_score(w, said, strict=False)
+        row = F.struct(F.lit(arm).alias("arm"), score(met).alias("score"), score(wide).alias("wide_score"), F.count_if(met == wide).alias("same"), F.count(met).alias("n"))
+        return F.when(F.count(met) == whole, row)
+
+    folded = criteria.groupBy("id").agg(F.array(*[run(arm) for arm in arms]).alias("runs"))
+    return folded.select("id", F.filter("runs", lambda x: x.isNotNull() & x["score"].isNotNull()).alias("runs")).filter(F.size("runs") > 0)
+
 
+def strict_summary(runs: DataFrame, arms: int) -> DataFrame:
+    """kind, name, value, n of ``folded_runs``: means of both judges on the ids that every arm has fully graded, agreement on all of an arm's, and paired deltas.
 
-def strict_summary(verdicts: DataFrame, criteria: DataFrame, arms: int) -> DataFrame:
-    """kind, name, value, n: means of both judges on the ids that every arm has fully graded, agreement on all of an arm's, and paired deltas."""
-    scores = arm_scores(verdicts, criteria)
-    common = paired(scores, arms)
-    mean = lambda kind, value: common.groupBy(F.col("arm").alias("name")).agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
-    agreement = scores.groupBy(F.col("arm").alias("name")).agg((F.sum("same") / F.sum("n")).alias("value"), F.sum("n").alias("n")).withColumn("kind", F.lit("agreement"))
-    delta = lambda kind, value: pair_deltas(common, value).select(F.concat("right", F.lit(" minus "), "left").alias("name"), F.col("delta").alias("value"), "n", F.lit(kind).alias("kind"))
-    parts = [mean("strict", "score"), mean("training", "wide_score"), agreement, delta("strict delta", "score"), delta("training delta", "wide_score")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("kind", "name", "value", "n")
+    Every id gives its terms at once, and one aggregation sums them.
+    """
+    every, places = F.size("runs") == arms, F.sequence(F.lit(0), F.size("runs") - 1)
+    term = lambda kind, name, total, n: F.struct(F.lit(kind).alias("kind"), name.alias("name"), total.cast("double").alias("total"), n.cast("long").alias("n"))
+    means = F.flatten(F.transform("runs", lambda r: F.array(term("strict", r["arm"], r["score"], F.lit(1)), term("training", r["arm"], r["wide_score"], F.lit(1)))))
+    agreement = F.transform("runs", lambda r: term("agreement", r["arm"], r["same"], r["n"]))
+    pair = lambda a, b: F.array(*[term(kind, F.concat(b["arm"], F.lit(" minus "), a["arm"]), b[c] - a[c], F.lit(1)) for kind, c in (("strict delta", "score"), ("training delta", "wide_score"))])
+    deltas = F.flatten(F.flatten(F.transform(places, lambda i: F.transform(F.slice("runs", i + 2, F.size("runs")), lambda b: pair(F.get("runs", i), b)))))
+    terms = runs.select(F.inline(F.when(every, F.concat(agreement, means, deltas)).otherwise(agreement)))
+    return terms.groupBy("kind", "name").agg((F.sum("total") / F.sum("n")).alias("value"), F.sum("n").alias("n"))
 
 
 def rederived(scores: DataFrame, value: str, again: str, tolerance: float = 1e-6) -> DataFrame:
@@ -106,6 +104,15 @@ def rewards(rollouts: DataFrame, group: Column, n: Column, score: Column, failed
     return marked.withColumn("disposition", F.when(any_bad, "failed_closed").otherwise("scored")).withColumn("reward", F.when(any_bad, 0.0).otherwise(F.col("_score"))).drop("_score", "_bad")
 
 
-def reading(low: Column, high: Column, floor: float) -> Column:
-    """collapse if the whole interval lies below -floor, recovery if above it, none if it holds zero, else unclear."""
-    return F.when(high < -floor, "collapse").when(low > floor, "recovery").when((low <= 0) & (high >= 0), "none").otherwise("unclear")
+#: Points by which a domain has to fall (fixed value).
+FALL = 3.0
+
+
+def reading(mean: Column, low: Column, high: Column) -> Column:
+    """Of a difference from the untrained arm in points: collapse if it is FALL below or more and the interval lies below zero, no collapse if the interval lies above -FALL, else mixed."""
+    return F.when((mean <= -FALL) & (high < 0), "collapse").when(low > -FALL, "no collapse").otherwise("mixed")
+
+
+def recovers(over_reference: Column, over_untrained: Column) -> Column:
+    """Of lower bounds: better than the reference arm, and not FALL below the untrained one."""
+    return (over_reference > 0) & (over_untrained > -FALL)

@@ -42,6 +42,20 @@ def complete(criteria: DataFrame, grades: DataFrame, keys: Sequence[str] = ("arm
     return held.join(ready, [*keys, "id"], "left_semi")
 
 
+def graded_cells(grades: DataFrame, rubrics: DataFrame, by: Sequence[str] = ("path", "arm")) -> DataFrame:
+    """by, id, verdicts, full, score of every cell and id that was tried: full if each of the id's criteria has a verdict, with its weighted score if it has positive weight, else null.
+
+    ``grades`` (by, id, k, met), met null where every call failed; ``rubrics`` (id, r: array<struct<k, weight>>). Verdicts
+    on criteria that a question doesn't have, and ids without a rubric, don't count.
+    """
+    per = grades.groupBy(*by, "id").agg(F.map_from_entries(F.collect_list(F.struct("k", "met"))).alias("said")).join(rubrics, "id")
+    met = lambda c: F.try_element_at("said", c["k"])
+    add = lambda value: F.aggregate(F.transform("r", value), F.lit(0.0), lambda acc, x: acc + x)
+    full, whole = F.forall("r", lambda c: met(c).isNotNull()), add(lambda c: F.greatest(c["weight"], F.lit(0.0)))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(add(lambda c: F.when(met(c), c["weight"]).otherwise(0.0)), whole)))
+    return per.select(*by, "id", F.size(F.filter("r", lambda c: met(c).isNotNull())).alias("verdicts"), full.alias("full"), F.when(full & (whole > 0), score).alias("score"))
+
+
 def common_ids(cells: DataFrame, cell: str, n_cells: int | None = None) -> DataFrame:
     """Ids that every cell has: relational division by counting, one shuffle for any number of cells."""
     wanted = F.lit(n_cells) if n_cells is not None else None

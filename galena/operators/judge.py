@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.functions import text as X
 from galena.functions.rubric import clipped, total
 
 
@@ -23,13 +24,92 @@ def substring_score(response: Column, rubric: Column) -> Column:
     return clipped(F.try_divide(earned, total(rubric, lambda c: c.weight)))
 
 
+#: Fields that hold verdicts, probabilities and a rating, in order of preference, and the field of grades (fixed values).
+VERDICT_FIELDS = ("satisfied", "criteria_met")
+PROBABILITY_FIELDS = ("probabilities", "criterion_probabilities", "satisfied_probabilities")
+RATING_FIELDS = ("rating", "score")
+GRADES_FIELD, MOST_GRADE, RATINGS = "grades", 3, (1.0, 10.0)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def payload(reply: Column) -> Column:
+    """The reply's JSON, of which a fence of its own lines (bare or json) may stand around; null if it isn't JSON or repeats a key."""
+    bare = X.strip(reply)
+    inside = F.regexp_replace(bare, r"(?is)\A```(?:json)?[^\S\n]*\n(.*)```\z", "$1")
+    return F.try_parse_json(X.strip(inside))
+
+
+def _kind(value: Column) -> Column:
+    """BOOLEAN, STRING, BIGINT, DECIMAL, DOUBLE, FLOAT, ARRAY, OBJECT or VOID."""
+    return F.regexp_extract(F.schema_of_variant(value), r"\A[A-Z]+", 0)
+
+
+def _field(value: Column, names: Sequence[str]) -> Column:
+    """The first of an object's fields that is there and not null."""
+    return F.coalesce(*[_let(F.try_variant_get(value, f"$.{n}", "variant"), lambda f: F.when(_kind(f) != "VOID", f)) for n in names])
+
+
+def _field_or_root(root: Column, names: Sequence[str]) -> Column:
+    return F.when(_kind(root) == "OBJECT", _field(root, names)).otherwise(root)
+
+
+def _items(value: Column) -> Column:
+    return F.when(_kind(value) == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
+
+
+def _by_index(value: Column, n: Column, key: Callable[[Column], Column]) -> Column:
+    """An object's values at the keys 1..n, each there once after ``key``, and no others."""
+    entries = F.when(_kind(value) == "OBJECT", F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")))
+    numbered = F.transform(entries, lambda e: F.struct(key(e["key"]).alias("at"), e["value"].alias("value")))
+
+    def ordered(pairs: Column) -> Column:
+        whole = (F.size(pairs) == n) & F.forall(pairs, lambda e: e["at"].isNotNull()) & (F.array_sort(F.transform(pairs, lambda e: e["at"])) == F.sequence(F.lit(1), n))
+        return F.when((n > 0) & whole, F.transform(F.sequence(F.lit(1), n), lambda i: F.get(F.filter(pairs, lambda e: e["at"] == i), 0)["value"]))
+
+    return _let(numbered, ordered)
+
+
+def _number(value: Column, text: bool) -> Column:
+    """A finite number that isn't a boolean, or (with ``text``) a string of one."""
+    kinds = ("BIGINT", "TINYINT", "SMALLINT", "INT", "DECIMAL", "DOUBLE", "FLOAT", *(("STRING",) if text else ()))
+    return _let(F.when(_kind(value).isin(*kinds), F.try_variant_get(value, "$", "double")), lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x))
+
+
+def _all(values: Column, n: Column) -> Column:
+    return _let(values, lambda vs: F.when((F.size(vs) == n) & F.forall(vs, lambda v: v.isNotNull()), vs))
+
+
 def verdicts(reply: Column, n: Column) -> Column:
-    """array<boolean> of a reply ``{"satisfied": [...]}`` or ``{"satisfied": {"1": ...}}``; null unless it has exactly n strict booleans."""
-    listed = F.from_json(reply, "satisfied array<boolean>").satisfied
-    keyed = F.from_json(reply, "satisfied map<string,boolean>").satisfied
-    by_key = F.transform(F.sequence(F.lit(1), n), lambda i: F.try_element_at(keyed, i.cast("string")))
-    whole = F.when(F.size(keyed) == n, by_key)
-    return F.coalesce(*[F.when((F.size(x) == n) & F.forall(x, lambda b: b.isNotNull()), x) for x in (listed, whole)])
+    """array<boolean>: of a list, or of a field that is a list or an object keyed 1..n; null unless it has exactly n strict booleans."""
+    index = lambda k: F.regexp_extract(k, r"\A\s*(\+?[0-9]+)\s*\z", 1).try_cast("int")
+    listed = lambda held: F.coalesce(_items(held), _by_index(held, n, index))
+    held = _let(payload(reply), lambda root: _let(_field_or_root(root, VERDICT_FIELDS), lambda h: F.when((_kind(root) == "OBJECT") | (_kind(h) == "ARRAY"), listed(h))))
+    return _all(F.transform(held, lambda v: F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))), n)
+
+
+def grades(reply: Column, n: Column) -> Column:
+    """array<int> of 0 to 3: of an object whose only field is grades, keyed 1..n in plain digits; null otherwise."""
+    plain = lambda k: F.when(k.rlike(r"\A[1-9][0-9]*\z"), k.try_cast("int"))
+    whole = lambda x: F.when((x == F.floor(x)) & x.between(0, MOST_GRADE), x.cast("int"))
+    alone = lambda root: F.map_keys(F.try_variant_get(root, "$", "map<string,variant>")) == F.array(F.lit(GRADES_FIELD))
+    held = _let(payload(reply), lambda root: F.when((_kind(root) == "OBJECT") & alone(root), F.try_variant_get(root, f"$.{GRADES_FIELD}", "variant")))
+    return _all(F.transform(_let(held, lambda h: _by_index(h, n, plain)), lambda v: _let(_number(v, False), whole)), n)
+
+
+def probabilities(reply: Column, n: Column) -> Column:
+    """array<double> of 0 to 1: of a list or a field that is one; numbers or strings of numbers; null otherwise."""
+    held = _let(payload(reply), lambda root: _let(_field_or_root(root, PROBABILITY_FIELDS), _items))
+    return _all(F.transform(held, lambda v: _let(_number(v, True), lambda x: F.when(x.between(0, 1), x))), n)
+
+
+def rating(reply: Column) -> Column:
+    """A rating from 1 to 10, a number or a string of one; null otherwise."""
+    said = _let(payload(reply), lambda root: _number(F.when(_kind(root) == "OBJECT", _field(root, RATING_FIELDS)), True))
+    return _let(said, lambda x: F.when(x.between(*RATINGS), x))
 
 
 def winner(reply: Column) -> Column:
@@ -87,11 +167,25 @@ def repaired(criteria: Column, weights: Column, n: Column, absolute: bool = True
 
 
 def _repaired_groups(groups: Column, n: Column) -> Column:
-    @F.pandas_udf("array<array<int>>")
-    def run(owns: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([repaired_groups([[] if g is None else [int(i) for i in g] for g in own], int(k)) for own, k in zip(owns, ns, strict=True)])
+    """``repaired_groups`` in SQL: one fold over the groups, then one over the orphans; sums and sizes are part of the state."""
+    none, ints = F.array().cast("array<int>"), "array<struct<own:array<int>,total:bigint>>"
+    group = lambda own, total: F.struct(own.alias("own"), total.cast("long").alias("total"))
+    add = lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda acc, i: acc + i)
+
+    def claim(state: Column, wanted: Column) -> Column:
+        own = F.array_distinct(F.filter(F.coalesce(wanted, none), lambda i: i.between(1, n) & ~F.array_contains(state["taken"], i)))
+        return F.struct(F.concat(state["taken"], own).alias("taken"), F.concat(state["made"], F.array(group(own, add(own)))).alias("made"))
+
+    claimed = F.aggregate(groups, F.struct(none.alias("taken"), F.array().cast(ints).alias("made")), claim)
+
+    def place(made: Column, orphan: Column) -> Column:
+        apart = F.transform(made, lambda g: F.when(F.size(g["own"]) > 0, F.abs(g["total"] / F.size(g["own"]) - orphan)).otherwise(float("inf")))
+        nearest = F.array_position(apart, F.array_min(apart)) - 1  # the first of equals; the first of all if none has an index
+        return F.transform(made, lambda g, at: F.when(at == nearest, group(F.concat(g["own"], F.array(orphan)), g["total"] + orphan)).otherwise(g))
 
-    return run(groups, n)
+    start = F.when(F.size(groups) > 0, claimed["made"]).otherwise(F.array(group(none, F.lit(0))))
+    orphans = F.when(n > 0, F.array_except(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), claimed["taken"])).otherwise(none)
+    return F.transform(F.aggregate(orphans, start, place), lambda g: g["own"])
 
 
 def auto_repair(groups: list[list[int]], n: int) -> list[list[int]]:

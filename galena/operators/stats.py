@@ -68,16 +68,52 @@ def _at_place(rows: DataFrame, by: Sequence[str], value: str, place, name: str)
     return ranked.filter((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at"))).select(*by, F.col("_v").alias(name), "n")
 
 
+def tie_table(rows: DataFrame, by: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
+    """by, _v, rank: each distinct value's rank from 1, ties at their mean; nulls don't count.
+
+    Values are counted first. Approximate quantiles of a group's distinct values cut them into
+    ranges, and a value's rank is what the ranges before hold and what its own holds before it; so
+    neither a large group nor a value that many rows share is one task's work.
+    """
+    ties = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(F.lit(1) if weight is None else weight).alias("_c"))
+    parts = max(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = ties.groupBy(*by).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)]).alias("_cuts"))
+    ranged = ties.alias("h").join(cuts.alias("c"), _same(by, "h", "c")).select(*[F.col(f"h.{k}").alias(k) for k in by], "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
+    held = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_in"))
+    held = held.withColumn("_before", F.sum("_in").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_in"))  # a row for each range
+    joined = ranged.alias("r").join(held.alias("w"), _same(by, "r", "w") & (F.col("r._range") == F.col("w._range")))
+    joined = joined.select(*[F.col(f"r.{k}").alias(k) for k in by], "_v", "_c", F.col("r._range").alias("_range"), "_before")
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy("_v"))
+    return joined.withColumn("rank", F.col("_before") + upto - (F.col("_c") - 1) / 2).select(*by, "_v", "_c", "rank")
+
+
+def _same(by: Sequence[str], x: str, y: str) -> Column:
+    return reduce(Column.__and__, [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in by], F.lit(True))
+
+
 def average_rank(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1 with ties at their mean."""
-    ahead = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return rows.withColumn(name, ahead + (tied - 1) / 2)
+    """``rows`` with ranks from 1, ties at their mean; a null has none."""
+    ties = tie_table(rows, by, value).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(by)], F.col("_v").alias("_tv"), F.col("rank").alias(name))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(by)], F.col(value) == F.col("_tv"))
+    return rows.join(ties, same, "left").drop("_tv", *[f"_t{i}" for i in range(len(by))])
 
 
 def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    ranked = average_rank(average_rank(rows, by, x, "_x"), by, y, "_y")
-    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
+    """by, rho, n over rows that have both values.
+
+    Equal pairs are one row with their number; mean ranks are known, so one pass of sums gives the
+    correlation. rho is null where a side is all ties.
+    """
+    pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_px"), F.col(y).alias("_py")).agg(F.count(F.lit(1)).alias("_pc"))
+    ranked = pairs
+    for side in ("x", "y"):
+        ties = tie_table(pairs, by, f"_p{side}", F.col("_pc")).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(by)], F.col("_v").alias("_tv"), F.col("rank").alias(f"_r{side}"))
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(by)], F.col(f"_p{side}") == F.col("_tv"))
+        ranked = ranked.join(ties, same).drop("_tv", *[f"_t{i}" for i in range(len(by))])
+    n = F.sum("_pc")
+    moment = lambda a, b: F.sum(F.col("_pc") * F.col(a) * F.col(b)) - n * (n + 1) / 2 * ((n + 1) / 2)
+    rho = F.try_divide(moment("_rx", "_ry"), F.sqrt(moment("_rx", "_rx") * moment("_ry", "_ry")))
+    return ranked.groupBy(*by).agg(rho.alias("rho"), n.alias("n"))
 
 
 def best_two(rows: DataFrame, by: Sequence[str], value: str, digits: int = 1) -> DataFrame:

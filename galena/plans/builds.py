@@ -9,11 +9,13 @@ from galena.functions import rubric as R
 from galena.functions import text as X
 from galena.operators import builds as B
 from galena.operators import sampling as S
+from galena.plans import shaping as SH
 from galena.plans import views as V
 
 QUERIES, SQL = {}, {}
+#: Multipliers of labels, and weights of classes (fixed values).
 LABELS = {"CRITICAL": 3.0, "NORMAL": 1.0, "FORMAT": 0.0, "DUPLICATE": 0.0, "OVERCLINICAL": -1.0}
-CATEGORY_WEIGHTS = {"essential": 5.0, "important": 3.0, "optional": 1.0, "pitfall": -4.0}
+CATEGORY_WEIGHTS = {"essential": 1.0, "important": 0.7, "optional": 0.3, "pitfall": -0.9}
 
 
 def query(sql: str | None = None):
@@ -104,18 +106,20 @@ def domain_split_rows(spark, d):
     return _domain_rows(spark, d).select("conv_id", "reason", F.when(kept, X.hash_id("chat", F.col("text"))).alias("id"), F.when(kept, F.when(X.has_cjk(F.col("text")), "zh").otherwise("other")).alias("lang"))
 
 
-@query()
+@query(f""", {SQL_PROMPTS}, kept AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS place, count(*) OVER () AS n_all FROM split WHERE reason = 'kept')
+    SELECT conv_id, draw_pos, CASE WHEN draw_pos < n_all // 10 THEN 'held_out' WHEN draw_pos < n_all // 10 + n_all * 7 // 10 THEN 'train' END AS split FROM {S.keyed_place_sql("kept", "place", 42)}""")
 def domain_split(spark, d):
-    """Kept prompts by a seeded shuffle: the first tenth held out, the next seven tenths for training."""
-    kept, n = S.placed(_domain_rows(spark, d).filter("reason = 'kept'").select("conv_id", "key"), "conv_id", "pos")
-    return S.shuffled(kept, "pos", n, 42).select("conv_id", "draw_pos", F.when(F.col("draw_pos") < n // 10, "held_out").when(F.col("draw_pos") < n // 10 + n * 7 // 10, "train").alias("split"))
+    """Kept prompts by a keyed shuffle: the first tenth held out, the next seven tenths for training."""
+    kept, n = S.placed(_domain_rows(spark, d).filter("reason = 'kept'").select("conv_id"), "conv_id", "pos")
+    shuffled = kept.withColumn("draw_pos", S.keyed_place(F.col("pos"), n, 42))
+    return shuffled.select("conv_id", "draw_pos", F.when(F.col("draw_pos") < n // 10, "held_out").when(F.col("draw_pos") < n // 10 + n * 7 // 10, "train").alias("split"))
 
 
 SQL_SCIENCE = """sci AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, count(*) OVER () AS n, [
       struct_pack(t := 'Essential Criteria: names ' || p_name, c := 'essential'),
       struct_pack(t := CASE WHEN p_size % 2 = 0 THEN 'Pitfall: ' || p_type ELSE 'says ' || p_brand END, c := CASE WHEN p_size % 2 = 0 THEN 'pitfall' WHEN p_size >= 5 THEN 'essential' WHEN p_size >= 3 THEN 'important' ELSE 'optional' END)] AS items FROM part),
-    w AS (SELECT id, pos, n, list_transform(items, lambda x: CASE x.c WHEN 'essential' THEN 5 WHEN 'important' THEN 3 WHEN 'optional' THEN 1 ELSE -4 END) AS ws,
-      array_to_string(list_transform(items, lambda x, i: i || '. [weight=' || CASE x.c WHEN 'essential' THEN '5' WHEN 'important' THEN '3' WHEN 'optional' THEN '1' ELSE '-4' END || '] ' || x.t), chr(10)) AS shown FROM sci)"""
+    w AS (SELECT id, pos, n, list_transform(items, lambda x: CASE x.c WHEN 'essential' THEN 1 WHEN 'important' THEN 0.7 WHEN 'optional' THEN 0.3 ELSE -0.9 END) AS ws,
+      array_to_string(list_transform(items, lambda x, i: i || '. [weight=' || CASE x.c WHEN 'essential' THEN '1' WHEN 'important' THEN '0.7' WHEN 'optional' THEN '0.3' ELSE '-0.9' END || '] ' || x.t), chr(10)) AS shown FROM sci)"""
 
 
 @query(f""", {SQL_SCIENCE} SELECT a.id, a.shown AS rubric_correct, b.shown AS rubric_permuted, CAST(list_sum(list_transform(a.ws, lambda x: CASE WHEN x < 0 THEN 1 ELSE 0 END)) AS BIGINT) AS negative
@@ -124,24 +128,20 @@ def science_split(spark, d):
     """Category weights from prefixes (or the source weight), the rendered checklist and the next row's, cyclically."""
     text = F.array(F.concat(F.lit("Essential Criteria: names "), "p_name"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Pitfall: "), "p_type")).otherwise(F.concat(F.lit("says "), "p_brand")))
     weights = F.create_map(*[F.lit(x) for pair in CATEGORY_WEIGHTS.items() for x in pair])
-    aliases = {c: c for c in CATEGORY_WEIGHTS}
-    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.transform(text, lambda t: F.struct(t.alias("criterion"), weights[X.category(t, F.col("p_size"), aliases)].alias("weight"))).alias("r"))
+    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.transform(text, lambda t: F.struct(t.alias("criterion"), weights[X.category(t, F.col("p_size"))].alias("weight"))).alias("r"))
     rows = rows.select("id", X.numbered_items(F.col("r")).alias("rubric_correct"), F.size(F.filter("r", lambda c: c.weight < 0)).cast("long").alias("negative"))
     placed, n = S.placed(rows, "id", "pos")
     return S.cyclic_next(placed, "pos", n, "rubric_correct", "rubric_permuted").select("id", "rubric_correct", "rubric_permuted", "negative")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'It names ' || p_name || ' and everything else that one can ask.' WHEN p_size % 3 = 0 THEN 'Short. Fails if ' || p_type || ' lacks.' ELSE 'It names ' || p_name || '.' END AS criterion,
-    p_size % 3 = 0 AND p_size % 2 = 0 AS stripped, p_size % 3 = 0 AND p_size % 2 = 1 AS kept_short FROM part""")
+@query(f""", {SH.SQL_CLAUSES} SELECT doc_id, criterion, rest <> trim(t, ' ' || chr(9) || chr(10) || chr(13)) AND length(rest) >= 40 AS stripped,
+    rest <> trim(t, ' ' || chr(9) || chr(10) || chr(13)) AND length(rest) < 40 AS kept_short FROM cleared JOIN left_over USING (doc_id, t)""")
 def failure_clause_release(spark, d):
     """Criteria without their failure clauses; one that would be left too short stays as it was."""
-    k, name = F.col("p_size"), F.col("p_name")
-    text = (
-        F.when((k % 3 == 0) & (k % 2 == 0), F.concat(F.lit("It names "), name, F.lit(" and everything else that one can ask. Fails if "), "p_type", F.lit(" is missing.")))
-        .when(k % 3 == 0, F.concat(F.lit("Short. Fails if "), "p_type", F.lit(" lacks."))).otherwise(F.concat(F.lit("It names "), name, F.lit(".")))
-    )
-    done = X.without_failure_clause(text)
-    return V.table(spark, d, "part").select("p_partkey", done.alias("criterion"), (done != text).alias("stripped"), ((done == text) & text.contains("Fails if")).alias("kept_short"))
+    t, criterion = F.col("t"), F.col("criterion")
+    rows = SH.clauses(spark, d).select("doc_id", "t", X.without_failure_clause(t).alias("criterion"), X.without_failure_clause(t, 0).alias("rest"))
+    said = F.col("rest") != X.strip(t)
+    return rows.select("doc_id", "criterion", (said & (F.length("rest") >= X.LEAST_LEFT)).alias("stripped"), (said & (F.length("rest") < X.LEAST_LEFT)).alias("kept_short"))
 
 
 @query(f""", {SQL_PACKED}, k AS (SELECT id, len(groups) AS k FROM packed WHERE reason IS NULL), m AS (SELECT avg(k) AS mean FROM k),

@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from galena.functions import records as C
+from galena.functions.rubric import weighted_score
+from galena.operators import axes as AX
 from galena.operators import evaluation as E
+from galena.operators import intervals as I
 from galena.operators import stats as S
 from galena.plans import views as V
 
@@ -49,8 +52,22 @@ def _verdicts(spark, d):
     return rows.groupBy("arm", "id", "k").agg(F.max_by(F.struct("met", "wide"), F.struct(*V.LATEST)).alias("x")).select("arm", "id", "k", "x.met", "x.wide")
 
 
+def _runs(spark, d):
+    """id, runs: the arms that have all of an id's criteria, with both judges' scores; the log is read and dealt once."""
+    flag, wide = F.col("l_returnflag"), F.col("l_linestatus") == "O"
+    met = {"s0": F.when(flag == "R", True).when(flag == "A", False), "s1": F.when(F.col("l_quantity") > 2, F.col("l_tax") >= 0.04), "s2": F.when(F.col("l_quantity") < 49, F.col("l_discount") < 0.05)}
+    w, at = F.col("l_quantity"), F.struct(F.col("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey"))
+    last = [F.max_by(F.struct(m.alias("met"), wide.alias("wide")), F.when(m.isNotNull(), at)).alias(arm) for arm, m in met.items()]
+    rows = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"))
+    return E.folded_runs(rows.agg(F.max_by(F.when(F.col("l_discount") >= 0.08, -w).otherwise(w), at).alias("weight"), *last), list(met))
+
+
 def _scored(spark, d):
-    return E.arm_scores(_verdicts(spark, d), V.criteria(spark, d))
+    return _runs(spark, d).select("id", F.inline("runs"))
+
+
+def _common(spark, d):
+    return _runs(spark, d).filter(F.size("runs") == 3)
 
 
 @query(""" SELECT 'strict' AS kind, arm AS name, round(avg(score), 6) AS value, count(*) AS n FROM common GROUP BY arm
@@ -59,13 +76,13 @@ def _scored(spark, d):
     UNION ALL SELECT 'strict delta', b.arm || ' minus ' || a.arm, round(avg(b.score - a.score), 6), count(*) FROM common a JOIN common b USING (id) WHERE a.arm < b.arm GROUP BY a.arm, b.arm
     UNION ALL SELECT 'training delta', b.arm || ' minus ' || a.arm, round(avg(b.wide_score - a.wide_score), 6), count(*) FROM common a JOIN common b USING (id) WHERE a.arm < b.arm GROUP BY a.arm, b.arm""")
 def strict_grading_summary(spark, d):
-    return E.strict_summary(_verdicts(spark, d), V.criteria(spark, d), 3).withColumn("value", F.round("value", 6))
+    return E.strict_summary(_runs(spark, d), 3).withColumn("value", F.round("value", 6))
 
 
 @query()
 def independent_bootstrap(spark, d):
     """Paired difference of two arms with the interval of two independent samples."""
-    common = E.paired(_scored(spark, d), 3).groupBy("id").pivot("arm", ["s0", "s1", "s2"]).agg(F.first("score"))
+    common = _common(spark, d).select("id", *[F.col("runs.score")[i].alias(f"s{i}") for i in range(3)])
     return S.independent_delta(common, [], "s0", "s1")
 
 
@@ -89,14 +106,21 @@ def retry_passes(spark, d):
     return E.passes(_calls(spark, d), ["arm", "id", "k"], "met", ["ts", "p", "s"], 3)
 
 
-@query(""", w AS (SELECT s0.id, s0.k, s0.met AS strict, s0.wide, weight FROM verdicts s0 JOIN criteria USING (id, k) WHERE arm = 's0'),
-    q AS (SELECT id, count(*) FILTER (WHERE weight > 0 AND wide) AS wm, count(*) FILTER (WHERE weight > 0 AND wide AND NOT strict) AS g FROM w GROUP BY id)
-    SELECT round(sum(g) / sum(wm), 6) AS ghost_share, CAST(sum(wm) AS BIGINT) AS wide_met, count(*) FILTER (WHERE wm > 0) AS questions, round(avg(g / nullif(wm, 0)), 6) AS mean_rate FROM q""")
+SQL_GHOST = """w AS (SELECT s0.id, s0.k, s0.met AS strict, s0.wide, weight FROM verdicts s0 JOIN criteria USING (id, k) WHERE arm = 's0'),
+    q AS (SELECT id, count(*) FILTER (WHERE weight > 0 AND wide) AS wm, count(*) FILTER (WHERE weight > 0 AND wide AND NOT strict) AS g FROM w GROUP BY id)"""
+
+
+@query(f""", {SQL_GHOST} SELECT round(a.share, 6) AS ghost_share, wide_met, questions, round(i.rate, 6) AS mean_rate, round(CASE WHEN questions >= 30 THEN i.rate_lo END, 6) AS lo, round(CASE WHEN questions >= 30 THEN i.rate_hi END, 6) AS hi
+    FROM (SELECT sum(g) / sum(wm) AS share, CAST(sum(wm) AS BIGINT) AS wide_met, count(*) FILTER (WHERE wm > 0) AS questions FROM q) a, {I.intervals_sql("q", [], "id", {"rate": ("g / nullif(wm, 0)", "1")}, I.CONVENTIONS["ghost"])} i""")
 def ghost_share_summary(spark, d):
-    """Credit that only the training judge gives, over all criteria and as the mean of questions' rates."""
+    """Credit that only the training judge gives, over all criteria and as the mean of questions' rates, with its interval if there are 30 of them."""
     w = _verdicts(spark, d).filter("arm = 's0'").join(V.criteria(spark, d), ["id", "k"]).filter("weight > 0")
     q = w.groupBy("id").agg(F.count_if("wide").alias("wm"), F.count_if(F.col("wide") & ~F.col("met")).alias("g"))
-    return q.agg(F.round(F.sum("g") / F.sum("wm"), 6).alias("ghost_share"), F.sum("wm").alias("wide_met"), F.count_if(F.col("wm") > 0).alias("questions"), F.round(F.avg(F.try_divide("g", "wm")), 6).alias("mean_rate"))
+    one, wm, g = F.lit(1), F.col("wm"), F.col("g")
+    found = I.intervals(q, [], "id", {"rate": (F.try_divide(g, wm), one), "share": (g, wm), "met": (wm, F.when(wm.isNotNull(), F.lit(1))), "used": (F.when(wm > 0, 1).otherwise(0), one)}, I.CONVENTIONS["ghost"])
+    total = lambda c: F.round(F.col(c) * F.col("n")).cast("long")
+    enough = lambda c: F.round(F.when(total("used") >= 30, F.col(c)), 6)
+    return found.select(F.round("share", 6).alias("ghost_share"), total("met").alias("wide_met"), total("used").alias("questions"), F.round("rate", 6).alias("mean_rate"), enough("rate_lo").alias("lo"), enough("rate_hi").alias("hi"))
 
 
 SQL_GAMES = """games AS (SELECT id, arm AS x, lead(arm) OVER (PARTITION BY id ORDER BY arm) AS y, score, lead(score) OVER (PARTITION BY id ORDER BY arm) AS y_score FROM common),
@@ -108,7 +132,7 @@ SQL_GAMES = """games AS (SELECT id, arm AS x, lead(arm) OVER (PARTITION BY id OR
 
 def _games(spark, d):
     """id, x, y, delta, seed, w0, w1: neighbouring arms' answers judged in both orders."""
-    common = E.paired(_scored(spark, d), 3).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("arm", "score"))).alias("r"))
+    common = _common(spark, d).withColumnRenamed("runs", "r")
     pairs = common.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda i: F.struct(F.get("r", i).alias("a"), F.get("r", i + 1).alias("b")))).alias("g"))
     rows = pairs.select("id", F.col("g.a.arm").alias("x"), F.col("g.b.arm").alias("y"), (F.col("g.b.score") - F.col("g.a.score")).alias("delta"), (42 + F.col("id") % 3).alias("seed"))
     turn = ((F.col("id") + F.ascii(F.right("x", F.lit(1)))) % 4).cast("int")
@@ -151,9 +175,8 @@ def pairwise_seeds(spark, d):
         ELSE h.id IN (SELECT id FROM every e WHERE e.domain = h.domain) END) GROUP BY ALL""")
 def pairwise_inputs(spark, d):
     """Ids to judge for each pair: in the first domain those that both arms have, elsewhere those that every arm has."""
-    have = _scored(spark, d).select("arm", "id").join(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain")), "id")
-    sets = have.groupBy("domain", "id").agg(F.array_sort(F.collect_set("arm")).alias("arms"))
-    gated = sets.filter((F.col("domain") == "1-URGENT") | (F.size("arms") == 3))
+    have = _runs(spark, d).select("id", F.col("runs.arm").alias("arms")).join(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain")), "id")
+    gated = have.filter((F.col("domain") == "1-URGENT") | (F.size("arms") == 3))
     pairs = gated.select("domain", "id", "arms", F.posexplode("arms").alias("i", "a")).select("domain", "a", F.explode(F.slice("arms", F.col("i") + 2, F.size("arms"))).alias("b"))
     return pairs.groupBy("domain", F.concat_ws("/", "a", "b").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -162,8 +185,7 @@ def pairwise_inputs(spark, d):
     SELECT h.id, p.x, p.y, o.ord FROM h, (VALUES ('s0', 's1'), ('s0', 's2'), ('s1', 's2')) p(x, y), (VALUES (0), (1)) o(ord)""")
 def pairwise_tasks(spark, d):
     """A hash-ordered sample of ids, times the pairs, times both orders."""
-    ids = E.paired(_scored(spark, d), 3).select("id").distinct()
-    sample = ids.orderBy(F.sha1(F.col("id").cast("string")), "id").limit(50)
+    sample = _common(spark, d).select("id").orderBy(F.sha1(F.col("id").cast("string")), "id").limit(50)
     pairs = spark.createDataFrame([("s0", "s1"), ("s0", "s2"), ("s1", "s2")], "x string, y string")
     return sample.crossJoin(F.broadcast(pairs)).withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1))))  # three rows
 
@@ -190,15 +212,20 @@ def probe_summary(spark, d):
     return _probe(spark, d).groupBy("domain", "arm").agg(F.round(F.avg("macro"), 6).alias("macro"), F.round(F.avg("every"), 6).alias("all_rate"), F.count(F.lit(1)).alias("n"), F.count_distinct("suite").alias("suites"))
 
 
-@query(f""", {SQL_PROBE}, p AS (SELECT domain, id, max(macro) FILTER (WHERE arm = 's1') - max(macro) FILTER (WHERE arm = 's0') AS d FROM domains GROUP BY ALL),
-    i AS (SELECT domain, avg(d) AS m, 1.96 * stddev_samp(d) / sqrt(count(d)) AS h, count(d) AS n FROM p WHERE d IS NOT NULL GROUP BY domain HAVING count(d) > 1)
-    SELECT domain, round(m, 6) AS delta, CASE WHEN m + h < -0.05 THEN 'collapse' WHEN m - h > 0.05 THEN 'recovery' WHEN m - h <= 0 AND m + h >= 0 THEN 'none' ELSE 'unclear' END AS reading, n FROM i""")
+_PROBED = {"ref": ("100 * (s1 - s0)", "1"), "method": ("100 * (s2 - s1)", "1"), "method_base": ("100 * (s2 - s0)", "1")}
+
+
+@query(f""", {SQL_PROBE}, p AS (SELECT domain, id, max(macro) FILTER (WHERE arm = 's0') AS s0, max(macro) FILTER (WHERE arm = 's1') AS s1, max(macro) FILTER (WHERE arm = 's2') AS s2 FROM domains GROUP BY ALL HAVING count(*) = 3)
+    SELECT domain, n, {", ".join(f"round({c}, 4) AS {c}" for m in _PROBED for c in (m, f"{m}_lo", f"{m}_hi"))},
+      CASE WHEN ref <= -3 AND ref_hi < 0 THEN 'collapse' WHEN ref_lo > -3 THEN 'no collapse' ELSE 'mixed' END AS reading, method_lo > 0 AND method_base_lo > -3 AS recovers
+    FROM {I.intervals_sql("p", ["domain"], "id", _PROBED, I.CONVENTIONS["tables"])}""")
 def probe_reading(spark, d):
-    """What a domain's interval of differences says."""
-    arm = lambda a: F.max(F.when(F.col("arm") == a, F.col("macro")))
-    diff = _probe(spark, d).groupBy("domain", "id").agg((arm("s1") - arm("s0")).alias("d")).filter("d is not null")
-    i = diff.groupBy("domain").agg(F.avg("d").alias("m"), (1.96 * F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("h"), F.count("d").alias("n")).filter("n > 1")
-    return i.select("domain", F.round("m", 6).alias("delta"), E.reading(F.col("m") - F.col("h"), F.col("m") + F.col("h"), 0.05).alias("reading"), "n")
+    """What a domain's intervals of differences say, on ids that all arms have: whether the reference arm collapses, and whether the method recovers."""
+    arm = lambda a: F.max(F.when(F.col("arm") == a, F.col("macro"))).alias(a)
+    p = _probe(spark, d).groupBy("domain", "id").agg(arm("s0"), arm("s1"), arm("s2")).na.drop()
+    i = I.intervals(p, ["domain"], "id", {k: (F.expr(num), F.lit(1)) for k, (num, _) in _PROBED.items()}, I.CONVENTIONS["tables"])
+    shown = [F.round(c, 4).alias(c) for m in _PROBED for c in (m, f"{m}_lo", f"{m}_hi")]
+    return i.select("domain", "n", *shown, E.reading(F.col("ref"), F.col("ref_lo"), F.col("ref_hi")).alias("reading"), E.recovers(F.col("method_lo"), F.col("method_base_lo")).alias("recovers"))
 
 
 @query(f""", {SQL_PROBE}, f AS (SELECT arm, 42 + id % 3 AS seed, avg(macro) AS v FROM probe GROUP BY ALL), b AS (SELECT seed, v FROM f WHERE arm = 's0')
@@ -210,20 +237,79 @@ def family_difference(spark, d):
     return diffs.groupBy("arm").agg(F.round(F.avg("d"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("d"), F.lit(0.0)), 6).alias("sd"), F.count(F.lit(1)).alias("seeds"))
 
 
-@query(""", lite AS (SELECT arm, id, score, wide_score FROM scored), pool AS (SELECT count(*) AS n FROM rubric),
-    cov AS (SELECT arm, count(*) AS n FROM lite GROUP BY arm), kept AS (SELECT arm FROM cov WHERE n >= 0.5 * (SELECT max(n) FROM cov)),
-    ids AS (SELECT id FROM lite JOIN kept USING (arm) GROUP BY id HAVING count(*) = (SELECT count(*) FROM kept))
-    SELECT arm, round(100 * avg(score), 4) AS c_pro, round(100 * avg(wide_score), 4) AS c_lite, count(*) AS n, round(count(*) / (SELECT n FROM pool), 6) AS share FROM lite JOIN kept USING (arm) JOIN ids USING (id) GROUP BY arm""")
+# Six cells of two suites (even and odd ids) under two judges: arms of the table, its base, and two arms beside it. A cell's evaluation judge
+# fails on one line in so many, its second evaluator lacks one id in so many, and some ids were never given to its judge.
+CELLS = (("rubric", "table", 997, 401, 0), ("method", "table", 1499, 307, 1), ("weak", "table", 13, 211, 2), ("base", "base", 1999, 17, 3), ("side1", "side", 331, 251, 4), ("side2", "side", 211, 353, 5))
+FLOOR = 0.95
+SETS = {"c": ("c_lite", "c_pro"), "gl": ("g_lite",), "gp": ("g_pro",)}
+MEANS = {"c": ("c_pro", "c_lite", "chars"), "gl": ("g_lite",), "gp": ("g_pro",)}
+SIDE_REFERENCE = (0, 1, 3)
+
+SQL_CELLS = f"""spec(cell, name, role, fails, lacks, skips) AS (VALUES {", ".join(f"({i}, '{n}', '{r}', {f}, {q}, {s})" for i, (n, r, f, q, s) in enumerate(CELLS))}),
+    said AS (SELECT l_orderkey AS id, cell, lacks, CASE WHEN l_discount >= 0.08 THEN -l_quantity ELSE l_quantity END AS w, l_linestatus = 'O' AS wide, l_orderkey % 19 <> skips AS tried, l_suppkey AS chars,
+        CASE WHEN l_orderkey % 19 <> skips AND (l_partkey * 7 + l_suppkey * 3 + cell) % fails <> 0 THEN (l_partkey + l_suppkey * cell + l_linenumber) % 3 > 0 END AS met FROM lineitem, spec),
+    celled AS (SELECT id, cell, bool_or(tried) AS tried, count(met) AS n, count(met) = count(*) AS complete, avg(chars) AS chars,
+        CASE WHEN (id + cell * 13) % any_value(lacks) <> 0 AND sum(greatest(w, 0)) > 0 THEN greatest(0, least(1, sum(CASE WHEN wide THEN w ELSE 0 END) / sum(greatest(w, 0)))) END AS lite,
+        CASE WHEN count(met) = count(*) AND sum(greatest(w, 0)) > 0 THEN greatest(0, least(1, sum(CASE WHEN met THEN w ELSE 0 END) / sum(greatest(w, 0)))) END AS pro FROM said GROUP BY id, cell),
+    prompts AS (SELECT id FROM celled WHERE id % 2 = 1 GROUP BY id HAVING bool_and(n > 0)),
+    axed AS (SELECT id, cell, chars, tried AND id % 2 = 0 AS c_tried, CASE WHEN id % 2 = 0 THEN lite END AS c_lite, CASE WHEN id % 2 = 0 THEN pro END AS c_pro, CASE WHEN id % 2 = 1 THEN lite END AS g_lite,
+        CASE WHEN id % 2 = 1 AND p THEN pro END AS g_pro FROM celled LEFT JOIN (SELECT id, true AS p FROM prompts) USING (id)),
+    pools AS (SELECT count(DISTINCT id) FILTER (WHERE id % 2 = 0) AS c, count(DISTINCT id) FILTER (WHERE id % 2 = 1) AS g, (SELECT count(*) FROM prompts) AS p FROM celled),
+    cov AS (SELECT cell, count(c_lite) AS c_lite, count(c_pro) AS c_pro, count(*) FILTER (WHERE c_tried) AS c_tried, count(g_lite) AS g_lite, count(g_pro) AS g_pro FROM axed GROUP BY cell),
+    kept AS (SELECT cell, v.c_lite >= {FLOOR} * pools.c AND c_pro >= {FLOOR} * c_tried AS ok_c, v.g_lite >= {FLOOR} * g AS ok_gl, v.g_pro >= {FLOOR} * p AS ok_gp FROM cov v, pools),
+    has AS (SELECT id, cell, c_lite IS NOT NULL AND c_pro IS NOT NULL AS c, g_lite IS NOT NULL AS gl, g_pro IS NOT NULL AS gp FROM axed)"""
+
+
+def _celled(spark, d):
+    """(rows of id, cell and axes; ids of both suites and of the prompt set): the log is read once."""
+    w, wide = F.when(F.col("l_discount") >= 0.08, -F.col("l_quantity")).otherwise(F.col("l_quantity")), F.col("l_linestatus") == "O"
+    per, plus = [], F.sum(F.greatest(w, F.lit(0.0))) > 0
+    for i, (_, _, fails, lacks, skips) in enumerate(CELLS):
+        tried = F.col("l_orderkey") % 19 != skips
+        met = F.when(tried & ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + i) % fails != 0), (F.col("l_partkey") + F.col("l_suppkey") * i + F.col("l_linenumber")) % 3 > 0)
+        lite = F.when(((F.first("l_orderkey") + i * 13) % lacks != 0) & plus, weighted_score(w, wide, strict=False))
+        pro = F.when((F.count(met) == F.count(F.lit(1))) & plus, weighted_score(w, met, strict=False))
+        per.append(F.struct(F.lit(i).alias("cell"), F.bool_or(tried).alias("tried"), F.count(met).alias("n"), lite.alias("lite"), pro.alias("pro"), F.avg("l_suppkey").alias("chars")))
+    ids = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array(*per).alias("cells"))
+    even = F.col("id") % 2 == 0
+    ids = ids.withColumn("prompt", ~even & F.forall("cells", lambda c: c["n"] > 0))
+    rows = ids.select("id", "prompt", F.inline("cells")).select(
+        "id", "cell", "chars", (F.col("tried") & even).alias("c_tried"), F.when(even, F.col("lite")).alias("c_lite"), F.when(even, F.col("pro")).alias("c_pro"),
+        F.when(~even, F.col("lite")).alias("g_lite"), F.when(F.col("prompt"), F.col("pro")).alias("g_pro"), "prompt",
+    )
+    return rows
+
+
+_COVERED = ("c_lite", "c_pro", "c_tried", "g_lite", "g_pro")
+_SHOWN = (("c_pro", "c"), ("c_lite", "c"), ("chars", "c"), ("g_lite", "gl"), ("g_pro", "gp"))
+
+
+def _scaled(name: str, value: str) -> str:
+    return value if name == "chars" else f"100 * {value}"
+
+
+@query(f""", {SQL_CELLS}, sizes AS (SELECT count(*) FILTER (WHERE role <> 'side' AND ok_c) AS c, count(*) FILTER (WHERE role <> 'side' AND ok_gl) AS gl, count(*) FILTER (WHERE role <> 'side' AND ok_gp) AS gp FROM kept JOIN spec USING (cell)),
+    shared AS (SELECT id, count(*) FILTER (WHERE role <> 'side' AND ok_c AND h.c) = any_value(sizes.c) AS c, count(*) FILTER (WHERE role <> 'side' AND ok_gl AND h.gl) = any_value(sizes.gl) AS gl,
+        count(*) FILTER (WHERE role <> 'side' AND ok_gp AND h.gp) = any_value(sizes.gp) AS gp FROM has h JOIN kept USING (cell) JOIN spec USING (cell), sizes GROUP BY id),
+    totals AS (SELECT count(*) FILTER (WHERE c) AS c, count(*) FILTER (WHERE gl) AS gl, count(*) FILTER (WHERE gp) AS gp FROM shared),
+    m AS (SELECT cell, {", ".join(f"count(*) FILTER (WHERE s.{x} AND h.{x}) AS in_{x}" for x in SETS)}, {", ".join(f"avg({v}) FILTER (WHERE s.{x} AND h.{x}) AS {v}" for v, x in _SHOWN)} FROM axed JOIN has h USING (id, cell) JOIN shared s USING (id) GROUP BY cell)
+    SELECT name AS arm, {", ".join(f"v.{c} AS n_{c}" for c in _COVERED)}, ok_c, ok_gl, ok_gp, {", ".join(f"totals.{x} AS ids_{x}" for x in SETS)},
+      {", ".join(f"round(CASE WHEN in_{x} > 0 AND in_{x} >= {FLOOR} * totals.{x} THEN {_scaled(v, 'm.' + v)} END, 4) AS {v}" for v, x in _SHOWN)} FROM cov v JOIN kept USING (cell) JOIN spec USING (cell) JOIN m USING (cell), totals""")
 def ablation_table(spark, d):
-    """Arms whose coverage reaches a floor, on the ids they all have: both judges' means and the share of the pool."""
-    scored = _scored(spark, d)
-    cov = scored.groupBy("arm").agg(F.count(F.lit(1)).alias("_n"))
-    kept = cov.crossJoin(F.broadcast(cov.agg(F.max("_n").alias("_most")))).filter(F.col("_n") >= 0.5 * F.col("_most")).select("arm")  # one row
-    rows = scored.join(kept, "arm", "left_semi")
-    ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("_arms")))).filter("_n = _arms")  # one row
-    pool = V.rubric(spark, d).agg(F.count(F.lit(1)).alias("_pool"))
-    out = rows.join(ids.select("id"), "id", "left_semi").groupBy("arm").agg(F.round(100 * F.avg("score"), 4).alias("c_pro"), F.round(100 * F.avg("wide_score"), 4).alias("c_lite"), F.count(F.lit(1)).alias("n"))
-    return out.crossJoin(F.broadcast(pool)).select("arm", "c_pro", "c_lite", "n", F.round(F.col("n") / F.col("_pool"), 6).alias("share"))  # one row
+    """Four axes: cells whose coverage reaches every floor define an axis's ids, and a cell that has nearly all of these shows its means on them."""
+    rows = _celled(spark, d)
+    cov = AX.coverage(rows, "cell", {**{c: F.col(c) if c == "c_tried" else F.col(c).isNotNull() for c in _COVERED}, "c": F.col("id") % 2 == 0, "g": F.col("id") % 2 == 1, "p": F.col("prompt")})
+    ok = {i: {"c": v["c_lite"] >= FLOOR * v["c"] and v["c_pro"] >= FLOOR * v["c_tried"], "gl": v["g_lite"] >= FLOOR * v["g"], "gp": v["g_pro"] >= FLOOR * v["p"]} for i, v in cov.items()}
+    folds = AX.folded(rows, "id", "cell", ["c_lite", "c_pro", "g_lite", "g_pro"], ["chars"])
+    out = None
+    for x, axes in SETS.items():
+        inside = [i for i, v in ok.items() if v[x] and CELLS[i][1] != "side"]
+        one = AX.on_common(folds, {"all": inside}, {x: axes}, MEANS, only=False).drop("group")
+        out = one if out is None else out.join(one, "cell")  # a row for each cell
+    told = [(i, CELLS[i][0], *[cov[i][c] for c in _COVERED], *[ok[i][x] for x in SETS]) for i in cov]
+    told = spark.createDataFrame(told, f"cell int, arm string, {', '.join(f'n_{c} long' for c in _COVERED)}, {', '.join(f'ok_{x} boolean' for x in SETS)}")
+    shown = [F.round(F.expr(f"CASE WHEN in_{x} > 0 AND in_{x} >= {FLOOR} * n_{x} THEN {_scaled(v, v)} END"), 4).alias(v) for v, x in _SHOWN]
+    return told.join(out, "cell").select("arm", *[f"n_{c}" for c in _COVERED], *[f"ok_{x}" for x in SETS], *[F.col(f"n_{x}").alias(f"ids_{x}") for x in SETS], *shown)
 
 
 @query(""" SELECT count(*) AS checked, count(*) FILTER (WHERE abs(round(score, 2) - score) > 1e-6) AS mismatches FROM scored""")
@@ -232,14 +318,21 @@ def lite_score_check(spark, d):
     return E.rederived(_scored(spark, d).withColumn("stored", F.round("score", 2)), "stored", "score")
 
 
-@query(""", axis AS (SELECT id, arm FROM scored), pairs AS (SELECT a.arm AS side, b.id FROM (VALUES ('s1'), ('s2')) a(arm), (SELECT DISTINCT id FROM axis) b
-      WHERE EXISTS (SELECT 1 FROM axis x WHERE x.id = b.id AND x.arm = a.arm) AND EXISTS (SELECT 1 FROM axis x WHERE x.id = b.id AND x.arm = 's0'))
-    SELECT side, count(*) AS n FROM pairs GROUP BY side UNION ALL SELECT 'jointly', count(DISTINCT id) FROM common""")
+_GROUPS = {**{CELLS[i][0]: (i, *SIDE_REFERENCE) for i, c in enumerate(CELLS) if c[1] == "side"}, "jointly": (*[i for i, c in enumerate(CELLS) if c[1] == "side"], *SIDE_REFERENCE)}
+
+
+@query(f""", {SQL_CELLS}, grp(side, cell) AS (VALUES {", ".join(f"('{g}', {c})" for g, cells in _GROUPS.items() for c in cells)}),
+    shared AS (SELECT side, id, bool_and(c) AS c, bool_and(gl) AS gl, bool_and(gp) AS gp FROM has JOIN grp USING (cell) GROUP BY side, id),
+    totals AS (SELECT side, {", ".join(f"count(*) FILTER (WHERE {x}) AS n_{x}" for x in SETS)} FROM shared GROUP BY side)
+    SELECT side, name AS arm, {", ".join(f"any_value(n_{x}) AS n_{x}" for x in SETS)}, {", ".join(f"round({_scaled(v, f'avg({v}) FILTER (WHERE s.{x})')}, 4) AS {v}" for v, x in _SHOWN)}
+    FROM axed JOIN grp USING (cell) JOIN shared s USING (side, id) JOIN totals USING (side) JOIN spec USING (cell) GROUP BY side, name""")
 def side_arms(spark, d):
-    """Each side arm on the ids it shares with the reference, and all of them jointly."""
-    sets = _scored(spark, d).groupBy("id").agg(F.collect_set("arm").alias("arms")).filter(F.array_contains("arms", "s0"))
-    sides = F.filter(F.array(F.lit("s1"), F.lit("s2"), F.lit("jointly")), lambda s: F.array_contains("arms", s) | ((s == "jointly") & (F.size("arms") == 3)))
-    return sets.select(F.explode(sides).alias("side")).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    """Each side arm with the reference arms on the ids that they share, and all side arms jointly: three sets of axes in one pass."""
+    folds = AX.folded(_celled(spark, d), "id", "cell", ["c_lite", "c_pro", "g_lite", "g_pro"], ["chars"])
+    found = AX.on_common(folds, _GROUPS, SETS, MEANS)
+    names = F.array(*[F.lit(c[0]) for c in CELLS])
+    shown = [F.round(F.expr(_scaled(v, v)), 4).alias(v) for v, _ in _SHOWN]
+    return found.select(F.col("group").alias("side"), F.get(names, F.col("cell")).alias("arm"), *[f"n_{x}" for x in SETS], *shown)
 
 
 SQL_SUITES = """files AS (SELECT o_orderstatus AS cell, o_orderpriority AS suite, o_orderkey % 4 AS file, count(*) AS n, avg(o_totalprice) AS v FROM orders WHERE NOT (o_orderkey % 4 = 3 AND o_orderkey % 3 = 0) GROUP BY ALL),
@@ -271,12 +364,15 @@ def mcq_accuracy(spark, d):
     return E.paired(acc, 3).groupBy("arm").agg(F.round(100 * F.avg("right_one"), 4).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-@query(""", c AS (SELECT id, arm, 42 + id % 3 AS seed, score FROM common), m AS (SELECT id, avg(score) AS v, max(score) FILTER (WHERE arm = 's0') AS base FROM c GROUP BY id)
-    SELECT count(*) AS n, round(100 * avg(v), 4) AS mean, round(100 * avg(v - base), 4) AS delta FROM m""")
+@query(f""", m AS (SELECT id, avg(score) AS v, max(score) FILTER (WHERE arm = 's0') AS base FROM common GROUP BY id)
+    SELECT n, round(v, 4) AS mean, round(delta, 4) AS delta, round(delta_lo, 4) AS lo, round(delta_hi, 4) AS hi
+    FROM {I.intervals_sql("m", [], "id", {"v": ("100 * v", "1"), "delta": ("100 * (v - base)", "1")}, I.CONVENTIONS["tables"])}""")
 def paired_consensus(spark, d):
-    """Each id's mean over its arms, and its difference from the base arm, on ids that all arms have."""
-    m = E.paired(_scored(spark, d), 3).groupBy("id").agg(F.avg("score").alias("v"), F.max(F.when(F.col("arm") == "s0", F.col("score"))).alias("base"))
-    return m.agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg("v"), 4).alias("mean"), F.round(100 * F.avg(F.col("v") - F.col("base")), 4).alias("delta"))
+    """Each id's mean over its arms, and its difference from the base arm with an interval, on ids that all arms have."""
+    score = F.col("runs.score")
+    m = _common(spark, d).select("id", ((score[0] + score[1] + score[2]) / 3).alias("v"), score[0].alias("base"))
+    i = I.intervals(m, [], "id", {"v": (100 * F.col("v"), F.lit(1)), "delta": (100 * (F.col("v") - F.col("base")), F.lit(1))}, I.CONVENTIONS["tables"])
+    return i.select("n", F.round("v", 4).alias("mean"), F.round("delta", 4).alias("delta"), F.round("delta_lo", 4).alias("lo"), F.round("delta_hi", 4).alias("hi"))
 
 
 @query(""", own AS (SELECT arm, avg(score) AS a, avg(wide_score) AS b, count(*) AS n FROM scored GROUP BY arm), com AS (SELECT arm, avg(score) AS c FROM common GROUP BY arm),
@@ -288,23 +384,29 @@ def rank_check(spark, d):
     own = scored.groupBy("arm").agg(F.avg("score").alias("a"), F.avg("wide_score").alias("b"), F.count(F.lit(1)).alias("n"))
     common = E.paired(scored, 3).groupBy("arm").agg(F.avg("score").alias("c"))
     j = own.join(common, "arm")
-    ranked = S.average_rank(S.average_rank(j.withColumn("all", F.lit(1)), ["all"], "a", "ra"), ["all"], "b", "rb")
-    rho = S.spearman(j.withColumn("all", F.lit(1)), ["all"], "a", "b").select("rho")
+    place = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+    ranked = j.withColumns({"ra": place("a"), "rb": place("b")})  # a row for each arm
+    rho = ranked.agg(F.corr("ra", "rb").alias("rho"))
     return ranked.crossJoin(F.broadcast(rho)).select("arm", F.round(100 * F.col("a"), 4).alias("own_mean"), F.round(100 * F.col("b"), 4).alias("other_mean"), F.round(100 * F.col("c"), 4).alias("common_mean"), "n", F.col("ra").cast("long").alias("own_rank"), F.col("rb").cast("long").alias("other_rank"), F.round("rho", 6).alias("rho"))
 
 
-@query(""", d AS (SELECT id, max(score) FILTER (WHERE arm = 's0') AS orig, max(score) FILTER (WHERE arm = 's1') AS e1, max(score) FILTER (WHERE arm = 's2') AS e2 FROM common GROUP BY id),
+_EDITED = {"mean": ("100 * d", "1"), "up": ("CAST(d > 1e-9 AS INTEGER)", "1"), "down": ("CAST(d < -1e-9 AS INTEGER)", "1")}
+
+
+@query(f""", d AS (SELECT id, max(score) FILTER (WHERE arm = 's0') AS orig, max(score) FILTER (WHERE arm = 's1') AS e1, max(score) FILTER (WHERE arm = 's2') AS e2 FROM common GROUP BY id),
     v AS (SELECT id, 'E1' AS edit, e1 - orig AS d FROM d UNION ALL SELECT id, 'E2', e2 - orig FROM d)
-    SELECT edit, count(*) AS n, round(avg(d), 6) AS mean, round(avg(CAST(d > 1e-9 AS INTEGER)), 6) AS up, round(avg(CAST(d < -1e-9 AS INTEGER)), 6) AS down, count(*) FILTER (WHERE abs(d) <= 1e-9) AS same,
-      round((SELECT avg(d) FROM v WHERE edit = 'E1') / nullif((SELECT avg(d) FROM v WHERE edit = 'E2'), 0), 6) AS ratio FROM v GROUP BY edit""")
+    SELECT edit, n, round(mean, 4) AS mean, round(mean_lo, 4) AS lo, round(mean_hi, 4) AS hi, round(up, 6) AS up, round(down, 6) AS down, (SELECT count(*) FROM v x WHERE x.edit = i.edit AND abs(d) <= 1e-9) AS same,
+      round((SELECT avg(d) FROM v WHERE edit = 'E1') / nullif((SELECT avg(d) FROM v WHERE edit = 'E2'), 0), 6) AS ratio FROM {I.intervals_sql("v", ["edit"], "id", _EDITED, I.CONVENTIONS["audit"])} i""")
 def incentive_report(spark, d):
-    """Reward of edited answers against the originals, and the ratio of the two edits' means."""
-    wide = E.paired(_scored(spark, d), 3).groupBy("id").pivot("arm", ["s0", "s1", "s2"]).agg(F.first("score"))
-    rows = wide.select("id", F.explode(F.array(*[F.struct(F.lit(e).alias("edit"), (F.col(a) - F.col("s0")).alias("d")) for e, a in (("E1", "s1"), ("E2", "s2"))])).alias("x")).select("id", "x.edit", "x.d")
-    up, down = F.col("d") > 1e-9, F.col("d") < -1e-9
-    out = rows.groupBy("edit").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.avg(up.cast("int")), 6).alias("up"), F.round(F.avg(down.cast("int")), 6).alias("down"), F.count_if(~up & ~down).alias("same"))
-    ratio = rows.agg(F.round(F.try_divide(F.avg(F.when(F.col("edit") == "E1", F.col("d"))), F.avg(F.when(F.col("edit") == "E2", F.col("d")))), 6).alias("ratio"))
-    return out.crossJoin(F.broadcast(ratio))  # one row
+    """Reward of edited answers against the originals with intervals, and the ratio of the two edits' means."""
+    score = F.col("runs.score")
+    edits = F.array(*[F.struct(F.lit(e).alias("edit"), (score[i] - score[0]).alias("d")) for i, e in ((1, "E1"), (2, "E2"))])
+    rows = _common(spark, d).select("id", F.inline(edits))
+    i = I.intervals(rows, ["edit"], "id", {k: (F.expr(num), F.lit(1)) for k, (num, _) in _EDITED.items()}, I.CONVENTIONS["audit"])
+    same = F.round(F.col("n") * (1 - F.col("up") - F.col("down"))).cast("long")
+    mean = lambda e: F.max(F.when(F.col("edit") == e, F.col("mean"))).over(Window.partitionBy())  # noqa: E731  two rows
+    out = i.withColumn("ratio", F.try_divide(mean("E1"), mean("E2")))
+    return out.select("edit", "n", F.round("mean", 4).alias("mean"), F.round("mean_lo", 4).alias("lo"), F.round("mean_hi", 4).alias("hi"), F.round("up", 6).alias("up"), F.round("down", 6).alias("down"), same.alias("same"), F.round("ratio", 6).alias("ratio"))
 
 
 @query(""", last AS (SELECT arm, id, max_by(met, k) AS met, max(k) AS k FROM verdicts GROUP BY ALL), bad AS (SELECT arm, id, CASE WHEN id % 3 = 0 THEN 'unwarranted' ELSE 'warranted' END AS class FROM last WHERE NOT met)
@@ -333,12 +435,12 @@ def redundancy_rates(spark, d):
     return both.crossJoin(F.broadcast(base)).select("variant", "rate", "n", "paired_rate", "paired_n", F.round(F.col("paired_rate") - F.col("base"), 6).alias("charge"))  # one row
 
 
-@query(""", p AS (SELECT arm || '/s' || CAST(42 + id % 2 AS VARCHAR) AS point, CAST(id % 30 AS INTEGER) * 10 AS step, score, n FROM scored WHERE id % 10 < 5),
+@query(""", p AS (SELECT arm || '/s' || CAST(42 + id % 2 AS VARCHAR) AS point, CAST(id % 30 AS INTEGER) * 10 AS step, score, n FROM scored),
     c AS (SELECT point, step, round(100 * avg(score), 4) AS c, count(*) AS n FROM p GROUP BY ALL)
     SELECT point, step, c, n, c BETWEEN (SELECT min(c) FROM c WHERE step = 0) AND (SELECT max(c) FROM c WHERE step = 0) AS in_range FROM c WHERE step % 20 = 0""")
 def checkpoint_summary(spark, d):
-    """Scores of checkpoints on a fixed list of ids, every second step, and whether they lie in the untrained ones' range."""
-    rows = _scored(spark, d).filter("id % 10 < 5").select(F.concat("arm", F.lit("/s"), (42 + F.col("id") % 2).cast("string")).alias("point"), ((F.col("id") % 30) * 10).cast("int").alias("step"), "score")
+    """Scores of checkpoints on all ids, every second step, and whether they lie in the untrained ones' range."""
+    rows = _scored(spark, d).select(F.concat("arm", F.lit("/s"), (42 + F.col("id") % 2).cast("string")).alias("point"), ((F.col("id") % 30) * 10).cast("int").alias("step"), "score")
     c = rows.groupBy("point", "step").agg(F.round(100 * F.avg("score"), 4).alias("c"), F.count(F.lit(1)).alias("n"))
     ends = c.filter("step = 0").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     return c.filter("step % 20 = 0").crossJoin(F.broadcast(ends)).select("point", "step", "c", "n", F.col("c").between(F.col("lo"), F.col("hi")).alias("in_range"))  # one row

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galena.functions import parsing as X
 from galena.functions import rubric as R
 from galena.operators import grades as G
+from galena.operators import intervals as I
 from galena.operators import sampling as S
 from galena.plans import views as V
 
@@ -50,14 +51,26 @@ def full_benchmark_average(spark, d):
     return columns.groupBy("cell").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n")).filter("n = 5").select("cell", F.round("v", 3).alias("average"))
 
 
-@query(""", r AS (SELECT 'a' || CAST(l_suppkey % 3 AS VARCHAR) AS run, l_orderkey AS id, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)
-    SELECT a.run AS x, b.run AS y, round(avg(a.v - b.v), 6) AS delta, count(*) AS n FROM r a JOIN r b USING (id) WHERE a.run < b.run GROUP BY ALL""")
+SQL_RUNS = """runs AS (SELECT 'a' || CAST(l_suppkey % 3 AS VARCHAR) AS run, l_orderkey AS id, avg(l_quantity) AS v FROM lineitem GROUP BY ALL),
+    every_run AS (SELECT id FROM runs GROUP BY id HAVING count(*) = 3),
+    deltas AS (SELECT b.run || ' minus ' || a.run AS name, id, b.v - a.v AS d FROM runs a JOIN runs b USING (id) WHERE a.run < b.run)"""
+
+
+@query(f""", {SQL_RUNS} SELECT 'run' AS kind, run AS name, count(*) AS n, round(avg(v), 4) AS value, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi,
+      round(avg(CASE WHEN e.id IS NOT NULL THEN v END), 4) AS common_mean, count(e.id) AS common_n FROM runs r LEFT JOIN every_run e ON e.id = r.id GROUP BY run
+    UNION ALL SELECT 'delta', name, n, round(v, 4), round(v_lo, 4), round(v_hi, 4), NULL, NULL
+    FROM {I.intervals_sql("deltas", ["name"], "id", {"v": ("d", "1")}, I.CONVENTIONS["official"])}""")
 def paired_summary(spark, d):
-    """Every pair of runs on their common ids: an id's runs pair within its row, so there is no self-join."""
+    """Every run's own and common mean, and every pair's difference with its interval: an id's runs pair within its row."""
     runs = V.log(spark, d).groupBy("id", "arm").agg(F.avg(F.abs("w")).alias("v")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("arm", "v"))).alias("r"))
-    left = runs.select("r", F.posexplode("r").alias("i", "a"))
-    both = left.select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
-    return both.groupBy(F.col("a.arm").alias("x"), F.col("b.arm").alias("y")).agg(F.round(F.avg(F.col("a.v") - F.col("b.v")), 6).alias("delta"), F.count(F.lit(1)).alias("n"))
+    one = runs.withColumn("c", F.size("r") == 3).select("c", F.explode("r").alias("a")).groupBy(F.col("a.arm").alias("name"))
+    one = one.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a.v"), 4).alias("value"), F.round(F.avg(F.when(F.col("c"), F.col("a.v"))), 4).alias("common_mean"), F.count_if("c").alias("common_n"))
+    left = runs.select("id", "r", F.posexplode("r").alias("i", "a"))
+    both = left.select("id", "a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
+    deltas = both.select("id", F.concat("b.arm", F.lit(" minus "), "a.arm").alias("name"), (F.col("b.v") - F.col("a.v")).alias("d"))
+    found = I.intervals(deltas, ["name"], "id", {"v": (F.col("d"), F.lit(1))}, I.CONVENTIONS["official"])
+    found = found.select(F.lit("delta").alias("kind"), "name", "n", *[F.round(c, 4).alias(k) for k, c in (("value", "v"), ("lo", "v_lo"), ("hi", "v_hi"))])
+    return one.withColumn("kind", F.lit("run")).unionByName(found, allowMissingColumns=True)
 
 
 @query(""", p AS (SELECT id, avg(CAST(met AS INTEGER)) AS macro, min(CAST(met AS INTEGER)) AS four FROM flat GROUP BY id HAVING count(*) = 4)
@@ -156,9 +169,12 @@ def weight_share(spark, d):
     return V.rubric(spark, d).select("id", F.round(F.try_divide(picked, R.total(F.col("r"), lambda c: F.abs(c.weight))), 6).alias("share"))
 
 
-@query()
+@query(f""", pool AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n_all FROM documents),
+    dealt AS (SELECT * FROM {S.keyed_place_sql("pool", "place", 42)}), drawn AS (SELECT * FROM dealt WHERE draw_pos < n_all // 2)
+    SELECT a.draw_pos AS pos, a.doc_id, b.doc_id AS next_id, CASE WHEN a.draw_pos < a.n_all // 10 THEN 'held_out' ELSE 'train' END AS split
+    FROM drawn a JOIN drawn b ON b.draw_pos = (a.draw_pos + 1) % (a.n_all // 2)""")
 def pool_split(spark, d):
-    """Half of all documents drawn by seed, a tenth held out and the others for training, each with its neighbour in draw order."""
-    placed, n = S.placed(V.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "pos")
-    drawn = S.seeded_sample(placed, "pos", n, n // 2, 42).select(F.col("draw_pos").cast("long").alias("pos"), "doc_id", "n_chars")
+    """Half of all documents drawn by a keyed permutation, a tenth held out and the others for training, each with its neighbour in draw order."""
+    placed, n = S.placed(V.table(spark, d, "documents").select("doc_id"), "doc_id", "place")
+    drawn = placed.withColumn("pos", S.keyed_place(F.col("place"), n, 42)).filter(F.col("pos") < n // 2).drop("place")
     return S.cyclic_next(drawn, "pos", n // 2, "doc_id", "next_id").withColumn("split", F.when(F.col("pos") < n // 10, "held_out").otherwise("train"))

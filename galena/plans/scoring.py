@@ -9,6 +9,8 @@ from galena.functions.rubric import weighted_score
 from galena.operators import grades as G
 from galena.operators import stats as S
 from galena.plans import views as V
+from galena.sources.scans import grades_of
+from galena.sources.shared import shared_folder
 
 QUERIES, SQL = {}, {}
 
@@ -225,3 +227,22 @@ def greedy_extra_arms(spark, d):
 def bootstrap_ci(spark, d):
     rows = V.table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), (F.col("o_totalprice") / 1000).alias("v"))
     return S.bootstrap(rows, ["g"], "v")
+
+
+@query(""", files AS (SELECT 'f' || CAST(id % 3 AS VARCHAR) AS file, * FROM log), cells(file, arm) AS (VALUES ('f0', 'a0'), ('f0', 'a1'), ('f1', 'a1'), ('f2', 'a2')),
+    tried AS (SELECT DISTINCT file, arm, id FROM files JOIN cells USING (file, arm)),
+    done AS (SELECT t.file, t.arm, t.id, len(r) AS whole, count(g.met) AS n, sum(CASE WHEN g.met THEN c.weight ELSE 0 END) AS e, sum(greatest(c.weight, 0)) AS plus
+      FROM tried t JOIN rubric USING (id) JOIN criteria c ON c.id = t.id LEFT JOIN grades g ON g.arm = t.arm AND g.id = t.id AND g.k = c.k GROUP BY ALL)
+    SELECT file, arm, count(*) AS attempted, count(*) FILTER (WHERE n > 0) AS graded, count(*) FILTER (WHERE n = whole) AS complete,
+      round(100 * avg(CASE WHEN n = whole AND plus > 0 THEN greatest(0, least(1, e / plus)) END), 4) AS score FROM done GROUP BY file, arm""")
+def grades_by_cell(spark, d):
+    """Three logs are written as JSON lines, and four cells, each an arm of one log, read from them: ids attempted, with verdicts, complete, and their score."""
+    root = shared_folder(spark, "grades")
+    lines = V.log(spark, d).select("id", F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("file"), "ts", "p", "s", F.to_json(F.struct("arm", F.col("id").cast("string").alias("id"), "k", "met")).alias("value"))
+    lines.repartition("id").sortWithinPartitions("file", *V.LATEST).select("file", "value").write.partitionBy("file").text(root)  # a key's calls stay in order
+    cells = [(f"{root}/file={f}", a) for f, a in (("f0", "a0"), ("f0", "a1"), ("f1", "a1"), ("f2", "a2"))]
+    rubrics = V.criteria(spark, d).groupBy(F.col("id").cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.struct("k", "weight"))).alias("r"))
+    found = G.graded_cells(grades_of(spark, cells), rubrics)
+    return found.groupBy(F.regexp_extract("path", "file=(.*)$", 1).alias("file"), "arm").agg(
+        F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("verdicts") > 0).alias("graded"), F.count_if("full").alias("complete"), F.round(100 * F.avg("score"), 4).alias("score"),
+    )

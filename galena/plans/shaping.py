@@ -104,22 +104,36 @@ def scaffold_last_user(spark, d):
     return rows.select("conv_id", F.aggregate(more, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x.text)).alias("chars"))
 
 
-@query("""SELECT event_id, CASE CAST(json_extract(props, '$.k') AS INTEGER) % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'B' WHEN 3 THEN 'D' END AS letter FROM events""")
+# Turns as replies that announce options in changing words and places.
+SQL_REPLIES = """replies AS (SELECT conv_id, turn, trim(regexp_replace(replace(replace(replace(replace(coalesce(text, ''), ' the ', ' final  answer: '), ' of ', ' option ('), ' is ', ' C '), ' la ', ' I '), '\\s', ' ', 'g')) AS t FROM conversations),
+    stages AS (SELECT conv_id, turn, regexp_extract_all(t, '(?i)(final\\s+answer|answer|ans|correct\\s+option)\\s*(is|[:-])?\\s*[(\\[]?\\s*([A-J])', 3) AS a, regexp_extract_all(t, '(?i)(option|choice)\\s*[(\\[]?\\s*([A-J])', 2) AS o,
+      list_filter(string_split_regex(t, '[^A-Za-z]+'), lambda x: regexp_full_match(x, '[A-HJ]')) AS c FROM replies)"""
+
+
+def _replies(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    for word, said in ((" the ", " final  answer: "), (" of ", " option ("), (" is ", " C "), (" la ", " I ")):
+        text = F.replace(text, F.lit(word), F.lit(said))
+    return V.table(spark, d, "conversations").select("conv_id", "turn", text.alias("reply"))
+
+
+@query(f""", {SQL_REPLIES} SELECT conv_id, turn, upper(coalesce(a[-1], o[-1], c[-1])) AS letter FROM stages""")
 def mcq_letter(spark, d):
-    """Replies made from the event's number, one form for each pattern and one without an answer."""
-    k = F.get_json_object("props", "$.k").cast("int") % 5
-    reply = (
-        F.when(k == 0, "Answer: B. No, the answer is A").when(k == 1, "so \\boxed{C} it is, not (A)").when(k == 2, "either (A) or (b)")
-        .when(k == 3, "I think D").otherwise("I do not know.")
-    )
-    return V.table(spark, d, "events").select("event_id", X.option_letter(reply).alias("letter"))
+    """The option that every turn states, if it states one."""
+    return _replies(spark, d).select("conv_id", "turn", X.option_letter(F.col("reply")).alias("letter"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'essential' WHEN p_size % 4 = 1 THEN 'pitfall' WHEN p_size >= 5 THEN 'essential' WHEN p_size >= 3 THEN 'important' ELSE 'optional' END AS category FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'essential' WHEN p_partkey % 5 = 1 THEN 'important' WHEN p_partkey % 5 = 2 THEN 'pitfall'
+      WHEN p_size >= 5 THEN 'essential' WHEN p_size >= 3 THEN 'important' ELSE 'optional' END AS category FROM part""")
 def category_from_prefix(spark, d):
-    text = F.when(F.col("p_size") % 4 == 0, " Essential Criteria: x").when(F.col("p_size") % 4 == 1, "PITFALL: y").otherwise(F.col("p_name"))
-    aliases = {"essential": "essential", "important": "important", "pitfall": "pitfall", "optional": "optional"}
-    return V.table(spark, d, "part").select("p_partkey", X.category(text, F.col("p_size"), aliases).alias("category"))
+    """Prefixes in several spellings; a prefix that is no class, and a text without a colon, go by weight."""
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    text = (
+        F.when(k == 0, F.concat(F.element_at(F.array(*map(F.lit, (" Essential Criteria: ", "esssential:", "Mandatory criteria : "))), (F.col("p_size") % 3 + 1).cast("int")), name))
+        .when(k == 1, F.concat(F.lit("IMPORTANCE: "), name)).when(k == 2, F.concat(F.lit("Pitfall criteria: "), name))
+        .when(k == 3, F.concat(name, F.lit(": "), "p_type")).otherwise(F.concat(F.lit("Pitfall "), name))
+    )
+    return V.table(spark, d, "part").select("p_partkey", X.category(text, F.col("p_size")).alias("category"))
 
 
 #: White space beyond ASCII, for regular expressions that know only ASCII's.
@@ -151,12 +165,43 @@ def substring_judge_score(spark, d):
     return V.rubric(spark, d).select("id", F.round(J.substring_score(F.lit("c1 c3 c4"), F.col("r")), 6).alias("score"))
 
 
-@query("""SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) % 4 IN (0, 1) THEN [true, false] END AS verdicts FROM events""")
+# Replies of every mode and form to lines with one to three criteria: right, of the wrong type, out of range, too short, keyed, bare, fenced, broken.
+SQL_JSON = """said AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS p, l_suppkey AS s, CAST(1 + l_suppkey % 3 AS INTEGER) AS n, (l_partkey + l_linenumber) % 9 AS form,
+        [CASE WHEN (l_partkey + i * 3) % 5 < 3 THEN 'true' ELSE 'false' END for i in range(1, 2 + l_suppkey % 3)] AS bools, [CAST((l_partkey * i) % 5 AS VARCHAR) for i in range(1, 2 + l_suppkey % 3)] AS small,
+        [CAST(((l_suppkey * i) % 12) / 10.0 AS DOUBLE) for i in range(1, 2 + l_suppkey % 3)] AS shares FROM lineitem),
+    keyed AS (SELECT *, array_to_string(list_transform(bools, lambda x, i: '"' || i || '": ' || x), ', ') AS kb, array_to_string(list_transform(small, lambda x, i: '"' || i || '": ' || x), ', ') AS kg FROM said),
+    replies AS (SELECT id, line, p, s, n, CASE form WHEN 0 THEN '{"satisfied": [' || array_to_string(bools, ', ') || ']}' WHEN 1 THEN '[' || array_to_string(bools, ', ') || ']' WHEN 2 THEN '{"criteria_met": {' || kb || '}}'
+        WHEN 3 THEN '{"satisfied": [' || array_to_string(bools, ', ') || ', "true"]}' WHEN 4 THEN '{"grades": {' || kg || '}}' WHEN 5 THEN '{"grades": {' || kg || '}, "note": 1}'
+        WHEN 6 THEN '{"probabilities": [' || array_to_string(list_transform(shares, lambda x: CAST(x AS VARCHAR)), ', ') || ']}' WHEN 7 THEN '{"rating": ' || CAST(s % 13 AS VARCHAR) || ', "satisfied": null}' ELSE '{"score": "' || CAST(p % 11 AS VARCHAR) || '.5"' || CASE WHEN p % 2 = 0 THEN '}' ELSE '' END END AS reply FROM keyed),
+    parsed AS (SELECT *, CASE WHEN json_valid(reply) THEN CAST(reply AS JSON) END AS j FROM replies),
+    fields AS (SELECT *, CASE WHEN json_type(j) = 'ARRAY' THEN j WHEN json_type(j, '$.satisfied') <> 'NULL' THEN json_extract(j, '$.satisfied') ELSE json_extract(j, '$.criteria_met') END AS v, json_extract(j, '$.grades') AS g,
+        CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE json_extract(j, '$.probabilities') END AS q, json_extract_string(j, CASE WHEN json_type(j, '$.rating') <> 'NULL' THEN '$.rating' ELSE '$.score' END) AS r FROM parsed),
+    lists AS (SELECT *, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN CASE WHEN list_sort(json_keys(v)) = list_transform(range(1, n + 1), lambda i: CAST(i AS VARCHAR)) THEN list_transform(range(1, n + 1), lambda i: json_extract(v, '$."' || i || '"')) END END AS vs,
+        CASE WHEN len(json_keys(j)) = 1 AND list_sort(json_keys(g)) = list_transform(range(1, n + 1), lambda i: CAST(i AS VARCHAR)) THEN list_transform(range(1, n + 1), lambda i: json_extract(g, '$."' || i || '"')) END AS gs, CASE WHEN json_type(q) = 'ARRAY' THEN json_extract(q, '$[*]') END AS qs FROM fields)"""
+
+
+@query(f""", {SQL_JSON} SELECT id, line, p, s, CASE WHEN len(vs) = n AND len(list_filter(vs, lambda x: json_type(x) <> 'BOOLEAN')) = 0 THEN list_transform(vs, lambda x: CAST(x AS VARCHAR) = 'true') END AS verdicts,
+    CASE WHEN len(gs) = n AND len(list_filter(gs, lambda x: CAST(CAST(x AS VARCHAR) AS INTEGER) > 3)) = 0 THEN list_transform(gs, lambda x: CAST(CAST(x AS VARCHAR) AS INTEGER)) END AS grades,
+    CASE WHEN len(qs) = n AND len(list_filter(qs, lambda x: json_type(x) = 'BOOLEAN' OR coalesce(TRY_CAST(CAST(x AS VARCHAR) AS DOUBLE), 2) > 1)) = 0 THEN list_transform(qs, lambda x: TRY_CAST(CAST(x AS VARCHAR) AS DOUBLE)) END AS probabilities,
+    CASE WHEN TRY_CAST(r AS DOUBLE) BETWEEN 1 AND 10 THEN TRY_CAST(r AS DOUBLE) END AS rating FROM lists""")
 def verdict_parse(spark, d):
-    """Listed, keyed, too short and of the wrong type."""
-    k = F.get_json_object("props", "$.k").cast("int") % 4
-    reply = F.when(k == 0, '{"satisfied": [true, false]}').when(k == 1, '{"satisfied": {"1": true, "2": false}}').when(k == 2, '{"satisfied": [true]}').otherwise('{"satisfied": ["true", 1]}')
-    return V.table(spark, d, "events").select("event_id", J.verdicts(reply, F.lit(2)).alias("verdicts"))
+    """Replies made of each line's columns, read in every mode."""
+    n, key = (1 + F.col("l_suppkey") % 3).cast("int"), F.col("l_partkey")
+    places = F.sequence(F.lit(1), n)
+    bools = F.transform(places, lambda i: F.when((key + i * 3) % 5 < 3, "true").otherwise("false"))
+    small = F.transform(places, lambda i: ((key * i) % 5).cast("string"))
+    shares = F.transform(places, lambda i: (((F.col("l_suppkey") * i) % 12) / 10.0).cast("string"))
+    listed = lambda x: F.concat(F.lit("["), F.array_join(x, ", "), F.lit("]"))
+    keyed = lambda x: F.concat(F.lit("{"), F.array_join(F.transform(x, lambda v, i: F.concat(F.lit('"'), (i + 1).cast("string"), F.lit('": '), v)), ", "), F.lit("}"))
+    field = lambda name, value, more="": F.concat(F.lit(f'{{"{name}": '), value, F.lit(more + "}"))
+    forms = [
+        field("satisfied", listed(bools)), listed(bools), field("criteria_met", keyed(bools)), field("satisfied", listed(F.concat(bools, F.array(F.lit('"true"'))))), field("grades", keyed(small)), field("grades", keyed(small), ', "note": 1'),
+        field("probabilities", listed(shares)), field("rating", (F.col("l_suppkey") % 13).cast("string"), ', "satisfied": null'), F.concat(F.lit('{"score": "'), (key % 11).cast("string"), F.lit('.5"'), F.when(key % 2 == 0, "}").otherwise("")),
+    ]
+    reply = F.get(F.array(*forms), ((key + F.col("l_linenumber")) % 9).cast("int"))
+    rows = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), n.alias("n"), reply.alias("reply"))
+    r, n = F.col("reply"), F.col("n")
+    return rows.select("id", "line", "p", "s", J.verdicts(r, n).alias("verdicts"), J.grades(r, n).alias("grades"), J.probabilities(r, n).alias("probabilities"), J.rating(r).alias("rating"))
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY sha1(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
@@ -301,7 +346,21 @@ def batched_coverage(spark, d):
     return P.batched_coverage(batches, ["id"], "size", 3).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("SELECT p_partkey, 'The answer names the cause and says how sure it is. It is short.' AS text FROM part")
+# Documents as criteria: sentences that say what fails, in changing words and places.
+SQL_CLAUSES = """clauses AS (SELECT doc_id, replace(replace(replace(replace(coalesce(text, ''), ' this ', ' fails if '), ' at ', ' fail this dimension if '), ' with ', ' Fails the criterion if '), ' by ', ' fails to ') AS t FROM documents),
+    pieces AS (SELECT doc_id, t, regexp_extract_all(t, '[^.!?]*[.!?]|[^.!?]+$') AS p FROM clauses),
+    left_over AS (SELECT doc_id, t, trim(array_to_string(list_transform(p, lambda x, i: CASE WHEN regexp_matches(x, '(?i)\\bfails?( this dimension| the criterion)? if\\b[^.!?]*[.!?]$') AND (i = 1 OR regexp_matches(x, '^\\s'))
+      THEN CASE WHEN i = 1 THEN '' ELSE x[1:1] END ELSE x END), ''), ' ' || chr(9) || chr(10) || chr(13)) AS rest FROM pieces),
+    cleared AS (SELECT doc_id, t, CASE WHEN rest <> trim(t, ' ' || chr(9) || chr(10) || chr(13)) AND length(rest) < 40 THEN t ELSE rest END AS criterion FROM left_over)"""
+
+
+def clauses(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    for word, said in ((" this ", " fails if "), (" at ", " fail this dimension if "), (" with ", " Fails the criterion if "), (" by ", " fails to ")):
+        text = F.replace(text, F.lit(word), F.lit(said))
+    return V.table(spark, d, "documents").select("doc_id", text.alias("t"))
+
+
+@query(f", {SQL_CLAUSES} SELECT doc_id, criterion AS text FROM cleared")
 def strip_failure_clause(spark, d):
-    said = F.concat(F.lit("The answer names the cause and says how sure it is. Fails if "), F.col("p_name"), F.lit(" is missing. It is short."))
-    return V.table(spark, d, "part").select("p_partkey", X.without_failure_clause(said).alias("text"))
+    return clauses(spark, d).select("doc_id", X.without_failure_clause(F.col("t")).alias("text"))

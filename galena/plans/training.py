@@ -201,16 +201,26 @@ def judge_adapter(spark, d):
     return J.judged(tasks, lambda text: str(len(text)), lambda reply: int(reply) % 2 == 0, "prompt", "met", "boolean")
 
 
-@query()
+# Three groups claim places of a checklist of two to seven criteria: twice, beyond the end, none; or one group lacks its name.
+@query(""", g AS (SELECT p_partkey, CAST(p_size % 6 + 2 AS INTEGER) AS n, p_size % 4 <> 0 AS named, [1 + p_partkey % 3, 1 + p_partkey % 3, 9, 1 + p_partkey % 5] AS one, [p_size % 6 + 2, 1 + p_partkey % 2] AS two FROM part),
+    want AS (SELECT p_partkey, n, named, list_filter(list_distinct(one), lambda i: i <= n) AS a, two FROM g),
+    had AS (SELECT p_partkey, n, CASE WHEN named THEN a ELSE [] END AS a, list_filter(list_distinct(two), lambda i: i <= n AND NOT (named AND list_contains(a, i))) AS b FROM want),
+    fold(p_partkey, n, a, b, i) AS (SELECT p_partkey, n, CAST(a AS BIGINT[]), CAST(b AS BIGINT[]), CAST(0 AS BIGINT) FROM had),
+    done AS (WITH RECURSIVE f AS (SELECT * FROM fold UNION ALL
+        SELECT p_partkey, n, CASE WHEN free AND near_a THEN list_append(a, i + 1) ELSE a END, CASE WHEN free AND NOT near_a THEN list_append(b, i + 1) ELSE b END, i + 1
+        FROM (SELECT *, NOT list_contains(a, i + 1) AND NOT list_contains(b, i + 1) AS free,
+          CASE WHEN len(a) = 0 AND len(b) = 0 THEN true WHEN len(a) = 0 THEN false WHEN len(b) = 0 THEN true ELSE abs(list_sum(a) / len(a) - (i + 1)) <= abs(list_sum(b) / len(b) - (i + 1)) END AS near_a FROM f WHERE i < n)) SELECT * FROM f WHERE i = n)
+    SELECT p_partkey, list_concat(CASE WHEN len(a) > 0 THEN ['lead=' || CAST(CAST(list_sum(a) AS BIGINT) AS VARCHAR) || '.0'] ELSE [] END, CASE WHEN len(b) > 0 THEN ['last=' || CAST(CAST(list_sum(b) AS BIGINT) AS VARCHAR) || '.0'] ELSE [] END) AS weights,
+      list_concat(CASE WHEN len(a) > 0 THEN [list_sort(a)] ELSE [] END, CASE WHEN len(b) > 0 THEN [list_sort(b)] ELSE [] END) AS groups FROM done""")
 def auto_repair(spark, d):
     """Criteria that claim indices twice or out of range, or lack a name, made to cover each index once."""
-    n = F.col("p_size") % 6 + 2
+    n, key = (F.col("p_size") % 6 + 2).cast("int"), F.col("p_partkey").cast("int")
     criterion = lambda name, own: F.struct(name.alias("name"), F.lit("says so").alias("description"), own.alias("atomic_indices"))
-    lead = criterion(F.when(F.col("p_size") % 4 != 0, "lead"), F.array(F.lit(1), F.lit(1), F.lit(9)))
-    criteria = F.array(lead, criterion(F.lit("last"), F.array(n)), criterion(F.lit("none"), F.array().cast("array<int>")))
+    lead = criterion(F.when(F.col("p_size") % 4 != 0, "lead"), F.array(1 + key % 3, 1 + key % 3, F.lit(9), 1 + key % 5))
+    criteria = F.array(lead, criterion(F.lit("last"), F.array(n, 1 + key % 2)), criterion(F.lit("none"), F.array().cast("array<int>")))
     weights = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i % 2 == 0, -i).otherwise(i).cast("double"))
     made = J.repaired(criteria, weights, n)
-    return V.table(spark, d, "part").select("p_partkey", F.transform(made, lambda c: F.concat(c["name"], F.lit("="), c.weight.cast("string"))).alias("weights"), F.transform(made, lambda c: F.array_sort(c.atomic_indices)).alias("groups"))
+    return V.table(spark, d, "part").select("p_partkey", F.transform(made, lambda c: F.concat(c["name"], F.lit("="), c.weight.cast("string"))).alias("weights"), F.transform(made, lambda c: F.array_sort(c.atomic_indices).cast("array<bigint>")).alias("groups"))
 
 
 @query("""SELECT p.arm, count(*) AS todo FROM (SELECT DISTINCT arm, id, k FROM log) p LEFT JOIN grades g ON g.arm = p.arm AND g.id = p.id AND g.k = p.k WHERE g.id IS NULL GROUP BY p.arm""")

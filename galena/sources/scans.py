@@ -6,7 +6,9 @@ exist, where row-by-row code would probe each record.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,7 @@ ALIASES = {
     "rubric": ("rubric", "rubrics", "Rubrics", "criteria"),
     "id": ("id", "sample_id", "prompt_id", "uid", "tid"),
 }
+#: Names that a criterion's text and weight go by (fixed values).
 CRITERION = ("criterion", "criteria", "description", "text", "rubric", "content")
 WEIGHT = ("weight", "points", "score", "importance")
 
@@ -39,19 +42,43 @@ def read_by_id(spark: SparkSession, path: str, value: str) -> DataFrame:
     return whole.select(F.explode("m").alias("id", "row")).select("id", "row.*")
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+def read_log(spark: SparkSession, path: str | Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows with file and ln, counts of bad lines by file) of JSON lines; blank lines are skipped.
 
-    ln orders the lines of a file: where their block begins, and their place in it. So a
-    large file is read in blocks, by as many tasks.
+    file is the whole path, as logs of one name may lie in several folders. ln orders the lines of a
+    file: where their block begins, and their place in it. So a large file is read in blocks, by as
+    many tasks.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    files = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), place.alias("ln"), F.col("value").alias("line"))
+    files = spark.read.text(path if isinstance(path, str) else list(path)).select(F.col("_metadata.file_path").alias("file"), place.alias("ln"), F.col("value").alias("line"))
     parsed = files.filter(F.trim("line") != "").select("file", "ln", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     good = parsed.filter("r is not null and r._bad is null").select("file", "ln", "r.*").drop("_bad")
     return good, parsed.filter("r is null or r._bad is not null").groupBy("file").agg(F.count(F.lit(1)).alias("bad"))
 
 
+def grades_of(spark: SparkSession, refs: Sequence[tuple[str, str]]) -> DataFrame:
+    """path, arm, id, k, met of the (path, arm) pairs asked for: a path is a log or a folder of logs, and is read once however many arms are taken from it.
+
+    A row for each criterion that was tried: met is its last verdict in file order, or null if every
+    call failed. So the ids that were attempted and those that have verdicts come from one aggregation.
+    Blank lines are skipped, a malformed line is an error. The pairs are a parameter table and are broadcast.
+    """
+    files = {path: _qualified(spark, path) for path in sorted({p for p, _ in refs})}
+    wanted = spark.createDataFrame([(files[p], p, a) for p, a in sorted(set(refs))], "_root string, path string, _arm string")
+    lines, _ = read_log(spark, sorted(set(files.values())), "arm string, id string, k int, met boolean")
+    place = F.regexp_replace("file", "^file:/+", "file:/")
+    inside = (place == F.col("_root")) | F.startswith(place, F.concat("_root", F.lit("/")))
+    rows = lines.join(F.broadcast(wanted), (F.col("arm") == F.col("_arm")) & inside)
+    return rows.groupBy("path", "arm", "id", "k").agg(F.max_by("met", F.when(F.col("met").isNotNull(), F.struct("file", "ln"))).alias("met"))
+
+
+def _qualified(spark: SparkSession, path: str, encoded: bool = True) -> str:
+    """A path as a scan's metadata shows it, or as file listings do (not encoded)."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there)
+    return re.sub("^file:/+", "file:/", (whole.toUri() if encoded else whole).toString().rstrip("/"))
+
+
 def rollouts(spark: SparkSession, path: str, schema: str, last: int = 300) -> DataFrame:
     """Rows of a folder of ``<step>.jsonl`` files with their step, that of the newest file left out while it may still be written.
 
@@ -141,12 +168,67 @@ def gated(responses: DataFrame, suite: str) -> DataFrame:
     return responses.filter(mine & (F.coalesce("error", F.lit("")) == "") & (F.length("response") > 0))
 
 
-def write_release(rows: DataFrame, path: str, metrics: Mapping[str, Column]) -> DataFrame:
-    """Writes ``path``/rows and ``path``/manifest: counts and a digest that doesn't depend on row order."""
+def write_release(rows: DataFrame, path: str, metrics: Mapping[str, Column], readme: str = "") -> DataFrame:
+    """Writes ``path``/rows, ``path``/README.md and ``path``/manifest: counts, metrics, and the files' names, sizes and digests.
+
+    content is a digest of the rows that doesn't depend on their order or on how they are cut into
+    files; tree and files are what ``tree_digest`` and ``file_digests`` give for the written files.
+    """
+    spark = rows.sparkSession
     rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
-    written = rows.sparkSession.read.parquet(f"{path}/rows")
+    written = spark.read.parquet(f"{path}/rows")
     digest = F.sha2(F.to_json(F.struct(*sorted(written.columns))), 256)
-    whole = F.sum(F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(38,0)")).alias("content")
-    manifest = written.agg(F.count(F.lit(1)).alias("rows"), whole, *[c.alias(n) for n, c in metrics.items()])
+    parts = [F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
+    counts = written.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(":", *parts), 256).alias("content"), *[c.alias(n) for n, c in metrics.items()])
+    files = file_digests(spark, f"{path}/rows")
+    outputs = files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("outputs"))  # as many as there are files
+    manifest = counts.crossJoin(F.broadcast(outputs)).crossJoin(F.broadcast(tree_digest(files)))  # one row each
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
+    _put(spark, f"{path}/README.md", readme)
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path (relative), bytes, sha256 of every file below ``path`` but hidden ones (names that begin with . or _): executors read and digest them."""
+    root = _qualified(spark, path, encoded=False)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.substr(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(len(root) + 2))
+    found = files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    empty = [(n, 0, hashlib.sha256().hexdigest()) for n in _empty_files(spark, path, root)]  # scans pass over these
+    return found.unionByName(spark.createDataFrame(empty, "path string, bytes long, sha256 string"))
+
+
+def _empty_files(spark: SparkSession, path: str, root: str) -> list[str]:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, out = there.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(there, True), []
+    while listed.hasNext():
+        file = listed.next()
+        name = re.sub("^file:/+", "file:/", file.getPath().toString())[len(root) + 1 :]
+        if file.getLen() == 0 and not any(part[:1] in "._" for part in name.split("/")):
+            out.append(name)
+    return out
+
+
+def tree_digest(files: DataFrame) -> DataFrame:
+    """tree, files, bytes: one SHA-256 over the names and digests of ``file_digests``, folder by folder with a folder's own files first; one row."""
+    parts = F.split("path", "/")
+    own_first = F.transform(parts, lambda x, i: F.struct((i < F.size(parts) - 1).alias("deeper"), x.alias("name")))
+    whole = F.array_sort(F.collect_list(F.struct(own_first.alias("at"), F.concat("path", "sha256").alias("leaf"))))  # a name and a digest for each file
+    return files.agg(F.sha2(F.array_join(F.transform(whole, lambda x: x["leaf"]), ""), 256).alias("tree"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def export(rows: DataFrame, path: str) -> DataFrame:
+    """Writes ``rows`` as zstd Parquet and beside each of its files one of the same name and .sha256, in the form that checking tools read; returns their digests."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    found = file_digests(spark, path).filter(F.endswith("path", F.lit(".parquet")))
+    for r in found.toLocalIterator():  # a name and a digest for each file
+        _put(spark, f"{path}/{r['path']}.sha256", f"{r['sha256']}  {r['path'].rpartition('/')[2]}\n")
+    return found
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = there.getFileSystem(spark._jsc.hadoopConfiguration()).create(there, True)
+    out.write(bytearray(text.encode()))
+    out.close()

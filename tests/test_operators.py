@@ -1,7 +1,9 @@
 """Logs, sets, statistics, pairs, samples and streams on literal rows."""
 
 import hashlib
+import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,9 +115,68 @@ def test_log_scan_and_release(spark, tmp_path):
     ids = tmp_path / "ids.txt"
     ids.write_text("b\na\n")
     assert rows(scans.read_ids(spark, str(ids)), "pos") == [("b", 0), ("a", 1)]
-    one = scans.write_release(spark.range(5), str(tmp_path / "one"), {"most": F.max("id")}).first()
-    two = scans.write_release(spark.range(5).orderBy(F.desc("id")), str(tmp_path / "two"), {"most": F.max("id")}).first()
-    assert one == two and (one["rows"], one.most) == (5, 4)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.jsonl").write_text('{"id": "z", "met": false}\n')
+    both, _ = scans.read_log(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b")], "id string, met boolean")
+    assert both.select("file").distinct().count() == 2
+
+
+def test_release_digests(spark, tmp_path):
+    one = scans.write_release(spark.range(5), str(tmp_path / "one"), {"most": F.max("id")}, "hello\n").first()
+    two = scans.write_release(spark.range(5).orderBy(F.desc("id")).coalesce(1), str(tmp_path / "two"), {"most": F.max("id")}).first()
+    three = scans.write_release(spark.range(6), str(tmp_path / "three"), {}).first()
+    assert one.content == two.content != three.content and (one["rows"], one.most) == (5, 4) and (tmp_path / "one" / "README.md").read_text() == "hello\n"
+    root = tmp_path / "one" / "rows"
+    files = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in root.iterdir() if p.name[0] not in "._"}
+    assert one.outputs == files and one.files == len(files)
+
+
+def test_tree_digest_is_that_of_the_files(spark, tmp_path):
+    root = tmp_path / "t r+ee%"
+    for name, text in (("z.txt", "1"), ("a/y.txt", "2"), ("a/b/x.txt", "3"), ("a-b/w.txt", "4"), ("a.txt", "")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+    def walked():
+        whole = hashlib.sha256()
+        for folder, inner, names in os.walk(root):
+            inner.sort()
+            for name in sorted(names):
+                path = os.path.join(folder, name)
+                whole.update(os.path.relpath(path, root).encode() + hashlib.sha256(open(path, "rb").read()).hexdigest().encode())
+        return whole.hexdigest()
+
+    digest = lambda: scans.tree_digest(scans.file_digests(spark, str(root))).first()
+    first = digest()
+    assert (first.tree, first.files, first.bytes) == (walked(), 5, 4)
+    (root / "z.txt").write_text("9")
+    changed = digest().tree
+    assert changed == walked() != first.tree
+    (root / "z.txt").rename(root / "z2.txt")
+    assert digest().tree == walked() != changed
+
+
+def test_export_has_digests_beside_its_files(spark, tmp_path):
+    out = tmp_path / "out"
+    scans.export(spark.range(10).repartition(3), str(out))
+    data = [p for p in out.iterdir() if p.suffix == ".parquet" and p.name[0] != "."]
+    assert data and all((out / f"{p.name}.sha256").read_text() == f"{hashlib.sha256(p.read_bytes()).hexdigest()}  {p.name}\n" for p in data)
+    assert spark.read.option("pathGlobFilter", "*.parquet").parquet(str(out)).count() == 10
+
+
+def test_grades_of_several_logs(spark, tmp_path):
+    line = lambda arm, i, k, met: json.dumps({"arm": arm, "id": i, "k": k, "met": met} if met != "lost" else {"arm": arm, "id": i, "k": k})
+    (tmp_path / "one.jsonl").write_text("\n".join([line("x", "a", 0, True), "", line("x", "a", 0, None), line("x", "a", 1, False), line("y", "a", 0, True), line("x", "b", 0, "lost"), line("z", "a", 0, True)]))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "one.jsonl").write_text(line("x", "a", 0, False) + "\n" + line("x", "a", 0, True) + "\n" + line("x", 7, 0, False) + "\n")
+    (tmp_path / "three.jsonl").write_text(line("x", "q", 0, True))
+    one, sub = str(tmp_path / "one.jsonl"), str(tmp_path / "sub")
+    got = scans.grades_of(spark, [(one, "x"), (one, "y"), (sub, "x"), (one, "x"), (sub, "nobody")])
+    assert {tuple(r) for r in got.collect()} == {(one, "x", "a", 0, True), (one, "x", "a", 1, False), (one, "x", "b", 0, None), (one, "y", "a", 0, True), (sub, "x", "a", 0, True), (sub, "x", "7", 0, False)}
+    assert len(got.inputFiles()) == 2
+    rubrics = spark.createDataFrame([("a", [(0, 2.0), (1, -1.0)]), ("b", [(0, 1.0)]), ("7", [(0, -1.0)])], "id string, r array<struct<k int, weight double>>")
+    cells = {(r.path, r.arm, r.id): (r.verdicts, r.full, r.score) for r in G.graded_cells(got, rubrics).collect()}
+    assert cells == {(one, "x", "a"): (2, True, 1.0), (one, "x", "b"): (0, False, None), (one, "y", "a"): (1, False, None), (sub, "x", "a"): (1, False, None), (sub, "x", "7"): (1, True, None)}
 
 
 def test_streams(spark, tmp_path):

@@ -60,11 +60,50 @@ def test_divergence_is_bounded_and_zero_for_equals(spark):
     assert abs(value(df, R.truncated_jsd(F.col("p"), F.col("p")))) < 1e-9
 
 
-@pytest.mark.parametrize("text,want", [("Answer: B", "B"), ("the answer is (c).", "C"), ("I do not know.", None), ("Answer: I", None), ("\\boxed{ d }", "D"), ("A or (B)", "B"), ("Answer: A then answer: D", "D")])
+LETTERS = [
+    ("Answer: B", "B"), ("the answer is (c).", "C"), ("I do not know.", None), ("Answer: I", "I"), ("A or (B)", "B"), ("Answer: A then answer: D", "D"), ("I choose option B over A", "B"), ("correct option: C. Not D", "C"),
+    ("Option (a) or choice [e", "E"), ("answer: because", "B"), (" (j) ", "J"), ("j", "J"), ("A1 b C", "C"), ("answer Z, option z, k", None), ("final\n answer - d", "D"), ("", None), (None, None), ("(I)", "I"), ("I, J", "J"),
+]
+
+
+@pytest.mark.parametrize("text,want", LETTERS)
 def test_option_letter(spark, text, want):
     assert value(one(spark, "t string", text), X.option_letter(F.col("t"))) == want
 
 
+def test_option_letter_keeps_to_the_options(spark):
+    df = one(spark, "t string", "Answer: E. No, answer: b")
+    assert value(df, X.option_letter(F.col("t"), ["e", " A "])) == "E" and value(df, X.option_letter(F.col("t"), ["A"])) is None
+
+
+LONG = "Names the dose that is right for a grown patient."
+CLAUSES = [
+    (LONG + " The answer fails if it omits the dose.", LONG), ("Fails if it omits the dose. " + LONG, LONG), (LONG + " Fails to mention cost in a few cases only.", LONG + " Fails to mention cost in a few cases only."),
+    (LONG + " It will fail this dimension if late! And more.", LONG + "  And more."), (LONG + " It fails the criterion if late? Yes.", LONG + "  Yes."), (LONG + "It fails if late.", LONG + "It fails if late."),
+    ("Short. It fails if late.", "Short. It fails if late."), (LONG + " It fails if no end", LONG + " It fails if no end"), (LONG + " It fails iffy.", LONG + " It fails iffy."), ("  " + LONG + " ", LONG), ("", ""), (None, None),
+]
+
+
+@pytest.mark.parametrize("text,want", CLAUSES)
+def test_failure_clauses(spark, text, want):
+    assert value(one(spark, "t string", text), X.without_failure_clause(F.col("t"))) == want
+
+
+def test_categories(spark):
+    cases = {("Essential Criteria: x", None): "essential", (" importance : x", 0.0): "important", ("Esssential criteria: x", None): "essential", ("option: x", -1.0): "optional", ("Pitfall", 5.0): "essential", ("what: x", -2.0): "pitfall", ("no prefix", 1.0): "optional", ("x", 3.0): "important"}
+    df = spark.createDataFrame(list(cases), "t string, w double")
+    assert {(r.t, r.w): r.c for r in df.select("t", "w", X.category(F.col("t"), F.col("w")).alias("c")).collect()} == cases
+    for text, weight in (("no prefix", None), ("what: x", 0.5), ("x", float("nan"))):
+        with pytest.raises(Exception, match="no class"):
+            value(one(spark, "t string, w double", text, weight), X.category(F.col("t"), F.col("w")))
+
+
+def test_numbers_have_six_digits(spark):
+    values = [0.0, 1.0, -2.5, 0.1, 1 / 3, 123456.0, 1234567.0, 0.0001, 0.00001234, 1e300, -5e-300, 100000.0, 999999.4, 12.0000001, 0.30000000000000004, float("inf"), float("nan"), -0.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select(X.number(F.col("v")).alias("n"))
+    assert [r.n for r in df.collect()] == [f"{v:g}" for v in values] + [None]
+
+
 def test_text_functions(spark):
     df = one(spark, "t string, w double", " \t日本 a b\n", 2.5)
     assert value(df, X.strip(F.col("t"))) == "日本 a b" and value(df, X.word_count(F.col("t"))) == 3 and value(df, X.has_cjk(F.col("t")))
@@ -76,11 +115,31 @@ def test_text_functions(spark):
     assert value(one(spark, "t string", "[[A>B]] no, [b>>a]"), X.arena_label(F.col("t"))) == "B>>A"
 
 
-@pytest.mark.parametrize("reply,want", [('{"satisfied": [true, false]}', [True, False]), ('{"satisfied": {"2": false, "1": true}}', [True, False]), ('{"satisfied": ["true", false]}', None), ('{"satisfied": [true]}', None), ("nonsense", None)])
+VERDICTS = [
+    ('{"satisfied": [true, false]}', [True, False]), ('{"satisfied": {"2": false, "1": true}}', [True, False]), ('{"satisfied": ["true", false]}', None), ('{"satisfied": [true]}', None), ("nonsense", None), ("[true, false]", [True, False]),
+    ('{"criteria_met": {" 1 ": true, "02": true}}', [True, True]), ('{"satisfied": null, "criteria_met": [false, false]}', [False, False]), ('{"satisfied": {"1": true, "2": 1}}', None), ('{"satisfied": {"1": true, "1": false, "2": true}}', None),
+    ('{"satisfied": {"1": true, " 1": true}}', None), ('{"1": true, "2": true}', None), ('```json\n{"satisfied": [true, false]}\n```', [True, False]), ("```\n[false, true]```", [False, True]), ("```python\n[false, true]\n```", None), ("null", None), (None, None),
+]
+
+
+@pytest.mark.parametrize("reply,want", VERDICTS)
 def test_verdicts_are_strict(spark, reply, want):
     assert value(one(spark, "r string", reply), J.verdicts(F.col("r"), F.lit(2))) == want
 
 
+def test_other_reply_modes_are_strict(spark):
+    two = F.lit(2)
+    cases = [
+        ('{"grades": {"1": 0, "2": 3}}', [0, 3], None, None), ('{"grades": {"1": 2.0, "2": 1}}', [2, 1], None, None), ('{"grades": {"1": 2.5, "2": 1}}', None, None, None), ('{"grades": {"1": true, "2": 1}}', None, None, None),
+        ('{"grades": {"01": 1, "2": 1}}', None, None, None), ('{"grades": {"1": 4, "2": 1}}', None, None, None), ('{"grades": {"1": 1, "2": 1}, "x": 1}', None, None, None), ('{"grades": [1, 1]}', None, None, None), ('{"grades": {"1": "1", "2": 1}}', None, None, None),
+        ("[0.5, 1]", None, [0.5, 1.0], None), ('{"probabilities": ["0.25", 0]}', None, [0.25, 0.0], None), ('{"probabilities": null, "satisfied_probabilities": [1, 1]}', None, [1.0, 1.0], None), ("[0.5, 1.01]", None, None, None), ("[true, 1]", None, None, None), ("[0.5, null]", None, None, None),
+        ('{"rating": 10}', None, None, 10.0), ('{"rating": null, "score": "7.5"}', None, None, 7.5), ('{"rating": true}', None, None, None), ('{"rating": 0.9}', None, None, None), ('{"score": "x"}', None, None, None), ("7", None, None, None), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, r string")
+    got = df.select("i", J.grades(F.col("r"), two).alias("g"), J.probabilities(F.col("r"), two).alias("p"), J.rating(F.col("r")).alias("l")).collect()
+    assert {r.i: (r.g, r.p, r.l) for r in got} == {i: c[1:] for i, c in enumerate(cases)}
+
+
 def test_substring_judge_divides_by_all_weight(spark):
     df = one(spark, f"r {RUBRIC}", [("Yes", 3.0), ("no", -1.0)])
     assert value(df, J.substring_score(F.lit("yes!"), F.col("r"))) == 1.0
