@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,36 +120,90 @@ def winner(reply: Column) -> Column:
     return F.when(said.isin("A", "B", "tie"), said)
 
 
-def judged(tasks: DataFrame, judge: Callable[[str], str], parse: Callable[[str], object | None], prompt: str, out: str, kind: str, tries: int = 3, waits: int = 20, pause: float = 0.0) -> DataFrame:
-    """``tasks`` with the parsed reply to each prompt, or null and err after ``tries`` attempts: a row is never lost.
+@dataclass(frozen=True)
+class Calls:
+    """How a task calls a judge.
 
-    A throttled call (429) costs no attempt, but a pause; after ``waits`` of them the row gives up.
+    ``in_flight`` calls are open at once. ``per_minute`` calls and ``tokens_per_minute`` (of ``tokens(prompt)``) are this
+    task's share of the endpoint's quota: the quota over the number of tasks that run at once. A throttled
+    call (429) costs none of the ``tries`` but one of the ``waits``; a server's error (5xx) and an
+    unreadable reply cost a try, after a pause; any other error does, too. After the first try the judge is
+    asked at ``retry_temperature``, and otherwise at 0.
+    """
+
+    tries: int = 3
+    waits: int = 20
+    in_flight: int = 8
+    per_minute: float = float("inf")
+    tokens_per_minute: float = float("inf")
+    tokens: Callable[[str], int] = len
+    retry_temperature: float = 0.7
+    pause: float = 0.25
+    longest: float = 10.0
+
+
+def error_class(error: BaseException) -> str:
+    """throttled, server or other, by a status of the error or of its response, or by 429 in its text."""
+    status = next((x for x in (getattr(error, "status", None), getattr(error, "status_code", None), getattr(getattr(error, "response", None), "status_code", None)) if x is not None), None)
+    if status == 429 or "429" in str(error):
+        return "throttled"
+    return "server" if isinstance(status, int) and 500 <= status < 600 else "other"
+
+
+class _Pace:
+    """Deals out moments so that no more than ``rate`` units a second are started."""
+
+    def __init__(self, rate: float):
+        self.rate, self.next, self.lock = rate, 0.0, threading.Lock()
+
+    def wait(self, units: float) -> None:
+        if self.rate == float("inf"):
+            return
+        with self.lock:
+            now = time.monotonic()
+            start = max(now, self.next)
+            self.next = start + units / self.rate
+        time.sleep(start - now)
+
+
+def judged(tasks: DataFrame, judge: Callable[[str, float], str], parse: Callable[[str], object | None], prompt: str, out: str, kind: str, calls: Calls = Calls()) -> DataFrame:
+    """``tasks`` with the parsed reply of ``judge(prompt, temperature)``, or null and err when its tries are used up; and how many tries it took.
+
+    A row is never lost, rows keep their order, and each task keeps to its ``calls``. A null prompt is an error of its row.
     """
     fields = tasks.schema.names
 
-    def asked(text: str) -> tuple[object | None, str | None]:
-        error, left, patience = None, tries, waits
-        while left and patience >= 0:
+    def asked(text: str | None, paces: tuple[_Pace, _Pace]) -> tuple[object | None, str | None, int]:
+        if text is None:
+            return None, "no prompt", 0
+        error, tried, waited = None, 0, 0
+        while tried < calls.tries and waited <= calls.waits:
+            paces[0].wait(1)
+            paces[1].wait(calls.tokens(text))
             try:
-                if (value := parse(judge(text))) is not None:
-                    return value, None
-                error = "unreadable reply"
+                if (value := parse(judge(text, calls.retry_temperature if tried else 0.0))) is not None:
+                    return value, None, tried + 1
+                error, step = "unreadable reply", tried
             except Exception as e:  # noqa: BLE001  whatever a judge raises is the row's error
-                error = f"{type(e).__name__}: {e}"
-                if "429" in error or getattr(e, "status", None) == 429:
-                    patience -= 1
-                    time.sleep(pause)
+                error, step = f"{type(e).__name__}: {e}", tried
+                if error_class(e) == "throttled":
+                    waited += 1
+                    time.sleep(min(calls.longest, calls.pause * 2 ** min(waited, 5)))
                     continue
-            left -= 1
-        return None, error
+            tried += 1
+            if tried < calls.tries:
+                time.sleep(min(calls.longest, calls.pause * 2**step))
+        return None, error, tried
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies = [asked(text) for text in batch[prompt]]
-            yield batch[fields].assign(**{out: [v for v, _ in replies], "err": [e for _, e in replies]})
+        paces = _Pace(calls.per_minute / 60), _Pace(calls.tokens_per_minute / 60)
+        with ThreadPoolExecutor(calls.in_flight) as pool:
+            for batch in batches:
+                replies = list(pool.map(lambda text: asked(text, paces), batch[prompt]))
+                yield batch[fields].assign(**{out: [v for v, _, _ in replies], "err": [e for _, e, _ in replies], "tries": [n for _, _, n in replies]})
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema)
-    return tasks.mapInPandas(run, f"{kept}, `{out}` {kind}, err string")
+    return tasks.mapInPandas(run, f"{kept}, `{out}` {kind}, err string, tries int")
 
 
 def usable_criteria(criteria: Column, least: int = 2) -> Column:

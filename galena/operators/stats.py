@@ -201,3 +201,30 @@ def balanced_f1(labels: DataFrame, by: Sequence[str], truth: str, guess: str) ->
     t, g = F.col(truth), F.col(guess)
     f1 = lambda yes: F.try_divide(2 * F.count_if(yes(t) & yes(g)), F.count_if(yes(t)) + F.count_if(yes(g)))
     return labels.groupBy(*by).agg(((f1(lambda c: c) + f1(lambda c: ~c)) / 2).alias("balanced_f1"), F.count(F.lit(1)).alias("n"))
+
+
+def pooled_f1(labels: DataFrame, judged: DataFrame, keys: Sequence[str], cluster: str, rater: str) -> DataFrame:
+    """cluster, judge, raters, percentile, n_raters, n: a judge against a pool of raters, and each rater against the others.
+
+    ``labels`` (keys, cluster, rater, label) and ``judged`` (keys, cluster, label). Who labels is compared with every other
+    label of the item: those of an item are its sums less the rater's own, so nothing is paired. The F1 of
+    either class is taken over a cluster's comparisons and both are averaged. raters is the raters' mean weighted by
+    their comparisons, percentile the share of them below the judge. A rater or judge without one of the
+    classes has no F1 and doesn't count.
+    """
+    sums = labels.filter(F.col("label").isNotNull()).groupBy(*keys, cluster).agg(F.count_if("label").alias("_yes"), F.count("label").alias("_all"))
+    own = F.col("label").cast("int")
+    one = labels.filter(F.col("label").isNotNull()).join(sums, [*keys, cluster]).select(cluster, F.col(rater).cast("string").alias("_who"), "label", (F.col("_yes") - own).alias("_yes"), (F.col("_all") - 1).alias("_all"))
+    judge = judged.filter(F.col("label").isNotNull()).join(sums, [*keys, cluster]).select(cluster, F.lit(None).cast("string").alias("_who"), "label", "_yes", "_all")
+    yes, no = F.col("_yes"), F.col("_all") - F.col("_yes")
+    said = F.col("label")
+    add = lambda where, count: F.sum(F.when(where, count).otherwise(0))
+    f1 = lambda mine, theirs, others: F.try_divide(2 * add(mine, theirs), 2 * add(mine, theirs) + add(mine, others) + add(~mine, theirs))
+    per = one.unionByName(judge).groupBy(cluster, F.col("_who").isNull().alias("_judge"), "_who").agg(((f1(said, yes, no) + f1(~said, no, yes)) / 2).alias("_f1"), F.sum("_all").alias("_n"))
+    own_f1 = F.max(F.when(F.col("_judge"), F.col("_f1"))).over(Window.partitionBy(cluster))  # a row for each rater of a cluster
+    per = per.withColumn("_model", own_f1)
+    rated = ~F.col("_judge") & F.col("_f1").isNotNull()
+    below = F.count_if(rated & (F.col("_f1") < F.col("_model")))
+    mean = F.try_divide(F.sum(F.when(rated, F.col("_n") * F.col("_f1"))), F.sum(F.when(rated, F.col("_n"))))
+    share = F.when(F.max("_model").isNotNull(), F.try_divide(100.0 * below, F.count_if(rated)))
+    return per.groupBy(cluster).agg(F.max("_model").alias("judge"), mean.alias("raters"), share.alias("percentile"), F.count_if(rated).alias("n_raters"), F.sum(F.when(F.col("_judge"), F.col("_n"))).alias("n"))

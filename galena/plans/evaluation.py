@@ -463,16 +463,34 @@ def reward_groups(spark, d):
     return g.groupBy("step").agg(F.round(100 * F.avg(F.col("same").cast("int")), 4).alias("identical"), F.sum("n").alias("n"))
 
 
-@query(""", x AS (SELECT k AS criterion, s0.met AS judge, s1.met AS doctor, CAST(s1.id % 4 AS INTEGER) AS rater FROM verdicts s0 JOIN verdicts s1 USING (id, k) WHERE s0.arm = 's0' AND s1.arm = 's1'),
-    f AS (SELECT criterion, rater, count(*) AS n, 2 * count(*) FILTER (WHERE judge AND doctor) / nullif(count(*) FILTER (WHERE judge) + count(*) FILTER (WHERE doctor), 0) AS yes,
-      2 * count(*) FILTER (WHERE NOT judge AND NOT doctor) / nullif(count(*) FILTER (WHERE NOT judge) + count(*) FILTER (WHERE NOT doctor), 0) AS no FROM x GROUP BY ALL)
-    SELECT criterion, round(sum(n * (yes + no) / 2) / sum(n) FILTER (WHERE yes + no IS NOT NULL), 6) AS f1, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY criterion""")
+# Three doctors' labels on each line, and a fourth's on every third order; each speciality is four doctors, who share the orders unevenly.
+@query(""", l AS (SELECT id, k, arm || '/' || CAST(least(id % 7, 3) AS VARCHAR) AS rater, met AS label FROM verdicts WHERE arm <> 's0' UNION ALL SELECT id, k, 'wide/' || CAST(least(id % 7, 3) AS VARCHAR), wide FROM verdicts WHERE arm = 's0'
+      UNION ALL SELECT id, k, 'rare', weight > 20 FROM criteria WHERE id % 3 = 0),
+    p AS (SELECT id, k, count(*) FILTER (WHERE label) AS yes, count(*) AS whole FROM l GROUP BY ALL),
+    x AS (SELECT k, rater, label, yes - CAST(label AS INTEGER) AS yes, whole - 1 AS whole FROM l JOIN p USING (id, k) UNION ALL SELECT k, NULL, met, yes, whole FROM verdicts JOIN p USING (id, k) WHERE arm = 's0'),
+    c AS (SELECT k, rater, sum(whole) AS n, sum(CASE WHEN label THEN yes ELSE 0 END) AS tp, sum(CASE WHEN label THEN whole - yes ELSE 0 END) AS fp, sum(CASE WHEN NOT label THEN yes ELSE 0 END) AS fn, sum(CASE WHEN NOT label THEN whole - yes ELSE 0 END) AS tn FROM x GROUP BY ALL),
+    f AS (SELECT k, rater, n, (2 * tp / nullif(2 * tp + fp + fn, 0) + 2 * tn / nullif(2 * tn + fp + fn, 0)) / 2 AS f1 FROM c),
+    m AS (SELECT k, f1 AS model FROM f WHERE rater IS NULL), r AS (SELECT f.k, any_value(model) AS judge, sum(n * f1) FILTER (WHERE rater IS NOT NULL) / sum(n) FILTER (WHERE rater IS NOT NULL AND f1 IS NOT NULL) AS raters,
+      100 * count(*) FILTER (WHERE rater IS NOT NULL AND f1 < model) / count(*) FILTER (WHERE rater IS NOT NULL AND f1 IS NOT NULL) AS percentile, count(*) FILTER (WHERE rater IS NOT NULL AND f1 IS NOT NULL) AS n_raters, CAST(sum(n) FILTER (WHERE rater IS NULL) AS BIGINT) AS n
+      FROM f JOIN m ON m.k = f.k GROUP BY f.k)
+    SELECT 'criterion' AS kind, 'c' || CAST(k AS VARCHAR) AS name, round(judge, 6) AS judge, round(raters, 6) AS raters, round(percentile, 4) AS percentile, n_raters, n FROM r
+    UNION ALL SELECT 'theme', CASE WHEN k <= 2 THEN 'early' WHEN k <= 4 THEN 'middle' ELSE 'late' END, round(avg(judge), 6), round(avg(raters), 6), NULL, NULL, count(*) FROM r GROUP BY 2
+    UNION ALL SELECT 'all', 'all', round(avg(judge), 6), round(avg(raters), 6), NULL, NULL, count(*) FROM r""")
 def meta_evaluation(spark, d):
-    """Balanced F1 of a judge against raters, by criterion, weighted by the raters' labels."""
-    v = _verdicts(spark, d).filter("arm in ('s0', 's1')").groupBy("id", "k").pivot("arm", ["s0", "s1"]).agg(F.first("met")).filter("s0 is not null and s1 is not null")
-    f = S.balanced_f1(v.select(F.col("k").alias("criterion"), (F.col("id") % 4).alias("rater"), F.col("s1").alias("doctor"), F.col("s0").alias("judge")), ["criterion", "rater"], "doctor", "judge")
-    known = F.when(F.col("balanced_f1").isNotNull(), F.col("n"))
-    return f.groupBy("criterion").agg(F.round(F.sum(F.col("n") * F.col("balanced_f1")) / F.sum(known), 6).alias("f1"), F.sum("n").alias("n"))
+    """A judge against a pool of doctors, by criterion, with its percentile among them; means of themes and of all criteria."""
+    v, doctor = _verdicts(spark, d), F.least(F.col("id") % 7, F.lit(3)).cast("string")
+    named = lambda rows, name, label: rows.select("id", "k", name.alias("rater"), label.alias("label"))
+    judge = v.filter("arm = 's0'")
+    labels = named(v.filter("arm <> 's0'"), F.concat_ws("/", "arm", doctor), F.col("met")).unionByName(named(judge, F.concat_ws("/", F.lit("wide"), doctor), F.col("wide")))
+    labels = labels.unionByName(named(V.criteria(spark, d).filter("id % 3 = 0"), F.lit("rare"), F.col("weight") > 20)).withColumn("criterion", F.col("k"))
+    found = S.pooled_f1(labels, judge.select("id", "k", F.col("k").alias("criterion"), F.col("met").alias("label")), ["id", "k"], "criterion", "rater")
+    theme = F.when(F.col("criterion") <= 2, "early").when(F.col("criterion") <= 4, "middle").otherwise("late")
+    told = lambda rows, kind, name, more: rows.select(F.lit(kind).alias("kind"), name.alias("name"), F.round("judge", 6).alias("judge"), F.round("raters", 6).alias("raters"), *more, "n")
+    mean = [F.avg("judge").alias("judge"), F.avg("raters").alias("raters"), F.count(F.lit(1)).alias("n")]
+    none = [F.lit(None).cast("double").alias("percentile"), F.lit(None).cast("long").alias("n_raters")]
+    out = told(found, "criterion", F.concat(F.lit("c"), F.col("criterion").cast("string")), [F.round("percentile", 4).alias("percentile"), "n_raters"])
+    out = out.unionByName(told(found.groupBy(theme.alias("t")).agg(*mean), "theme", F.col("t"), none))
+    return out.unionByName(told(found.agg(*mean), "all", F.lit("all"), none))
 
 
 @query(""", g AS (SELECT id, arm, score, n, id % 11 = 0 AS failed FROM scored) SELECT id, CASE WHEN bool_or(failed) THEN 'failed_closed' ELSE 'scored' END AS disposition, round(sum(CASE WHEN failed THEN 0 ELSE score END) * CASE WHEN bool_or(failed) THEN 0 ELSE 1 END, 6) AS reward FROM g GROUP BY id""")

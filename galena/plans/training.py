@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from galena.functions import rubric as R
@@ -10,6 +12,7 @@ from galena.operators import dynamics as D
 from galena.operators import grades as G
 from galena.operators import judge as J
 from galena.plans import views as V
+from galena.sources.shared import shared_folder
 from galena.streaming import logs as L
 
 QUERIES, SQL = {}, {}
@@ -195,10 +198,57 @@ def truncated_divergence(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", F.round(R.truncated_jsd(p, F.array(*[F.lit(0.25)] * 4)), 8).alias("jsd"))
 
 
-@query("SELECT p_partkey, p_name AS prompt, length(p_name) % 2 = 0 AS met, CAST(NULL AS VARCHAR) AS err FROM part")
+class Throttled(Exception):
+    status = 429
+
+
+class Unavailable(Exception):
+    status_code = 503
+
+
+class FakeJudge:
+    """Answers by rules of the prompt's text: throttled at times, down, or unreadable at temperature 0."""
+
+    def __init__(self):
+        self.seen: set[str] = set()
+
+    def __call__(self, prompt: str, temperature: float) -> str:
+        key = int(prompt.rpartition("#")[2])
+        if key % 5 == 0 and prompt not in self.seen:
+            self.seen.add(prompt)
+            raise Throttled("slow down")
+        if key % 11 == 0:
+            raise Unavailable("down")
+        if key % 7 == 0 and temperature == 0:
+            return "I think so."
+        return json.dumps({"met": "ring" in prompt or key % 3 == 0})
+
+
+def _read(reply: str) -> bool | None:
+    try:
+        said = json.loads(reply).get("met")
+    except ValueError:
+        return None
+    return said if isinstance(said, bool) else None
+
+
+@query("""SELECT p_partkey, p_name || ' #' || p_partkey AS prompt, CASE WHEN p_partkey % 11 <> 0 THEN contains(p_name || ' #', 'ring') OR p_partkey % 3 = 0 END AS met, CASE WHEN p_partkey % 11 = 0 THEN 'Unavailable: down' END AS err,
+    CASE WHEN p_partkey % 11 = 0 THEN 3 WHEN p_partkey % 7 = 0 THEN 2 ELSE 1 END AS tries FROM part""")
 def judge_adapter(spark, d):
-    tasks = V.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("prompt"))
-    return J.judged(tasks, lambda text: str(len(text)), lambda reply: int(reply) % 2 == 0, "prompt", "met", "boolean")
+    """A judge that is throttled, down and unreadable at times: throttling costs no try, the other two do, and no row is lost."""
+    tasks = V.table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("prompt"))
+    return J.judged(tasks, FakeJudge(), _read, "prompt", "met", "boolean", J.Calls(pause=0.0))
+
+
+@query("""SELECT event_type AS metric, day(ts) AS step, arg_max(value, (ts, event_id)) AS value FROM events WHERE value >= 5 GROUP BY ALL""")
+def streamed_event_log(spark, d):
+    """The event log, cut into files in no order, is read as a stream in batches; an upsert keeps each key's last successful value (under 5: failed)."""
+    root = shared_folder(spark, "events")
+    events = V.table(spark, d, "events").select(F.col("event_type").alias("metric"), F.dayofmonth("ts").alias("step"), F.when(F.col("value") >= 5, F.col("value")).alias("value"), "ts", "event_id")
+    events.repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    L.upsert(stream, f"{root}/out", f"{root}/state", ["metric", "step"], "value", ["ts", "event_id"]).awaitTermination()
+    return L.current(spark, f"{root}/out", ["metric", "step"], "value", ["ts", "event_id"]).select("metric", "step", "value")
 
 
 # Three groups claim places of a checklist of two to seven criteria: twice, beyond the end, none; or one group lacks its name.

@@ -127,3 +127,34 @@ def test_cells_on_axes(spark):
                 for v in means[s]:
                     want = sum(float(i) if v == "more" else values[i, c][v] for i in here) / len(here) if here else None
                     assert r[v] == pytest.approx(want)
+
+
+def py_f1(pairs):
+    out = []
+    for cls in (True, False):
+        tp, fp, fn = (sum(1 for a, b in pairs if (a is cls, b is cls) == want) for want in ((True, True), (True, False), (False, True)))
+        if not 2 * tp + fp + fn:
+            return None
+        out.append(2 * tp / (2 * tp + fp + fn))
+    return sum(out) / 2
+
+
+def test_pooled_f1_against_all_pairs(spark):
+    rng = random.Random(12)
+    labels = [(i, i % 3, f"r{r}", rng.random() < 0.3 + 0.2 * (i % 2)) for i in range(90) for r in range(5) if rng.random() < (0.9, 0.5, 0.5, 0.2, 0.05)[r]]
+    labels += [(200, 7, "r0", True), (201, 7, "r1", True), (0, 0, "r9", None)]
+    judged = [(i, i % 3, rng.random() < 0.4) for i in range(0, 90, 2)] + [(200, 7, True)]
+    got = {r.c: r for r in T.pooled_f1(spark.createDataFrame(labels, "id long, c int, who string, label boolean"), spark.createDataFrame(judged, "id long, c int, label boolean"), ["id"], "c", "who").collect()}
+    known = [x for x in labels if x[3] is not None]
+    for c in (0, 1, 2, 7):
+        of = lambda i: [x for x in known if x[0] == i]
+        model = py_f1([(a, x[3]) for i, k, a in judged if k == c for x in of(i)])
+        raters = {}
+        for who in {x[2] for x in known if x[1] == c}:
+            pairs = [(x[3], y[3]) for x in known if x[1] == c and x[2] == who for y in of(x[0]) if y[2] != who]
+            if (f := py_f1(pairs)) is not None:
+                raters[who] = (len(pairs), f)
+        n = sum(k for k, _ in raters.values())
+        assert got[c].judge == (None if model is None else pytest.approx(model)) and got[c].n_raters == len(raters)
+        assert got[c].raters == (pytest.approx(sum(k * f for k, f in raters.values()) / n) if n else None)
+        assert got[c].percentile == (pytest.approx(100 * sum(f < model for _, f in raters.values()) / len(raters)) if raters and model is not None else None)

@@ -192,3 +192,39 @@ def test_streams(spark, tmp_path):
     query = L.first_exposure(stream, "p", "step", "v").writeStream.format("memory").queryName("later").option("checkpointLocation", str(tmp_path / "c2")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert rows(spark.table("later")) == [("p", 2, 0.25, 0.5)]
+
+
+def _fed(spark, tmp_path, batches):
+    """Runs the upsert after each batch, as a restarted job would."""
+    schema, src, out = "id string, met boolean, ts long", tmp_path / "verdicts", str(tmp_path / "changes")
+    src.mkdir(exist_ok=True)
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(src))
+        L.upsert(spark.readStream.schema(schema).json(str(src)), out, str(tmp_path / "state"), ["id"], "met", ["ts"]).awaitTermination()
+    return out
+
+
+def test_upserts_are_what_the_batch_query_gives(spark, tmp_path):
+    batches = [[("a", True, 5), ("a", False, 3), ("b", None, 1)], [("a", None, 9), ("b", False, 2), ("c", True, 1)], [("a", True, 5), ("b", True, 1), ("c", False, 7)]]
+    out = _fed(spark, tmp_path, batches)
+    now = lambda: rows(L.current(spark, out, ["id"], "met", ["ts"]))
+    whole = spark.createDataFrame([r for b in batches for r in b], "id string, met boolean, ts long")
+    assert [r[:2] for r in now()] == rows(G.last_success(whole, ["id"], "met", ["ts"])) == [("a", True), ("b", False), ("c", False)]
+    changes = spark.read.parquet(out)
+    assert sorted((r.batch, r.id, r.ts) for r in changes.collect()) == [(0, "a", 5), (1, "b", 2), (1, "c", 1), (2, "c", 7)]
+    changes.filter("batch = 1").drop("batch").write.mode("overwrite").parquet(f"{out}/batch=1b")  # were it run again elsewhere
+    assert now() == [("a", True, 5), ("b", False, 2), ("c", False, 7)]
+
+
+def test_a_key_whose_state_expired_says_the_same(spark, tmp_path):
+    schema, src, out = "id string, met boolean, ts long", tmp_path / "verdicts", str(tmp_path / "changes")
+    add = lambda batch: spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(src))
+    add([("a", True, 5), ("b", True, 1)])
+    with pytest.raises(ValueError, match="how often"):
+        L.upsert(spark.readStream.schema(schema).json(str(src)), out, str(tmp_path / "state"), ["id"], "met", ["ts"], 1)
+    query = L.upsert(spark.readStream.schema(schema).json(str(src)), out, str(tmp_path / "state"), ["id"], "met", ["ts"], 1, "1 second")
+    query.awaitTermination(6)
+    add([("a", False, 4), ("b", None, 3)])
+    query.awaitTermination(6)
+    query.stop()
+    assert rows(L.current(spark, out, ["id"], "met", ["ts"])) == [("a", True, 5), ("b", True, 1)]

@@ -151,14 +151,14 @@ def test_auto_repair():
 
 
 def test_judge_adapter_never_loses_a_row(spark):
-    def judge(text):
+    def judge(text, temperature):
         if text == "bad":
             raise RuntimeError("down")
-        return text
+        return "1" if text == "late" and temperature else text
 
-    tasks = spark.createDataFrame([("1",), ("x",), ("bad",)], "prompt string")
-    got = {r.prompt: (r.met, r.err) for r in J.judged(tasks, judge, lambda reply: True if reply == "1" else None, "prompt", "met", "boolean").collect()}
-    assert got == {"1": (True, None), "x": (None, "unreadable reply"), "bad": (None, "RuntimeError: down")}
+    tasks = spark.createDataFrame([("1",), ("x",), ("bad",), (None,), ("late",)], "prompt string")
+    got = {r.prompt: (r.met, r.err, r.tries) for r in J.judged(tasks, judge, lambda reply: True if reply == "1" else None, "prompt", "met", "boolean", J.Calls(pause=0.0)).collect()}
+    assert got == {"1": (True, None, 1), "x": (None, "unreadable reply", 3), "bad": (None, "RuntimeError: down", 3), None: (None, "no prompt", 0), "late": (True, None, 2)}
 
 
 def test_throttled_calls_cost_no_attempt(spark):
@@ -166,12 +166,61 @@ def test_throttled_calls_cost_no_attempt(spark):
         def __init__(self, times):
             self.left = times
 
-        def __call__(self, text):
+        def __call__(self, text, temperature):
             if self.left:
                 self.left -= 1
                 raise RuntimeError("HTTP 429: slow down")
             return text
 
     tasks = spark.createDataFrame([("1",)], "prompt string")
-    ask = lambda times: tuple(J.judged(tasks, Busy(times), lambda reply: reply == "1", "prompt", "met", "boolean", waits=5).first())
-    assert ask(5) == ("1", True, None) and ask(9) == ("1", None, "RuntimeError: HTTP 429: slow down")
+    ask = lambda times: tuple(J.judged(tasks, Busy(times), lambda reply: reply == "1", "prompt", "met", "boolean", J.Calls(waits=5, pause=0.0)).first())
+    assert ask(5) == ("1", True, None, 1) and ask(9) == ("1", None, "RuntimeError: HTTP 429: slow down", 0)
+
+
+def test_error_classes_by_status():
+    class Status(Exception):
+        def __init__(self, **kw):
+            self.__dict__.update(kw)
+
+    class Response:
+        status_code = 503
+
+    assert [J.error_class(e) for e in (Status(status=429), Status(status_code=500), Status(response=Response()), ValueError("429 times"), Status(status_code=404), ValueError("no"))] == ["throttled", "server", "server", "throttled", "other", "other"]
+
+
+class Slow:
+    """Notes when calls begin and how many are open; replies after a while, the first ones last."""
+
+    def __init__(self, path):
+        self.path, self.open, self.lock = path, 0, None
+
+    def __call__(self, text, temperature):
+        import threading
+        import time
+
+        self.lock = self.lock or threading.Lock()
+        with self.lock:
+            self.open += 1
+            with open(self.path, "a") as log:
+                log.write(f"{self.open} {time.monotonic()}\n")
+        time.sleep(0.06 if int(text) % 2 else 0.02)
+        with self.lock:
+            self.open -= 1
+        return text
+
+    def __getstate__(self):
+        return {"path": self.path, "open": 0, "lock": None}
+
+
+def test_calls_are_open_together_in_order_and_within_their_budget(spark, tmp_path):
+    tasks = spark.range(40, numPartitions=1).selectExpr("cast(id as string) as prompt", "id")
+    free = J.judged(tasks, Slow(str(tmp_path / "free")), int, "prompt", "v", "long", J.Calls(in_flight=6)).collect()
+    assert [r.v for r in free] == [r.id for r in free] == list(range(40))
+    opened = [int(line.split()[0]) for line in (tmp_path / "free").read_text().splitlines()]
+    assert len(opened) == 40 and 3 <= max(opened) <= 6
+    J.judged(tasks.limit(12), Slow(str(tmp_path / "paced")), int, "prompt", "v", "long", J.Calls(in_flight=6, per_minute=1200)).collect()
+    times = [float(line.split()[1]) for line in (tmp_path / "paced").read_text().splitlines()]
+    assert times[-1] - times[0] >= 11 / 20 - 0.02
+    J.judged(tasks.limit(12), Slow(str(tmp_path / "tokens")), int, "prompt", "v", "long", J.Calls(in_flight=6, tokens_per_minute=6000, tokens=lambda text: 5)).collect()
+    times = [float(line.split()[1]) for line in (tmp_path / "tokens").read_text().splitlines()]
+    assert times[-1] - times[0] >= 11 * 5 / 100 - 0.02
