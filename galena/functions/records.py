@@ -113,7 +113,7 @@ def winner_arm(letter: Column, left: Column, right: Column) -> Column:
 
 def error_class(status: Column, message: Column) -> Column:
     """throttled (by status or message), retryable (5xx) or final."""
-    throttled = (status == 429) | F.coalesce(message, F.lit("")).contains("429") | F.lower(F.coalesce(message, F.lit(""))).contains("too many requests")
+    throttled = F.coalesce(status == 429, F.lit(False)) | F.coalesce(message, F.lit("")).contains("429") | F.lower(F.coalesce(message, F.lit(""))).contains("too many requests")
     return F.when(throttled, "throttled").when(status.between(500, 599), "retryable").otherwise("final")
 
 

@@ -74,6 +74,28 @@ def seeded_subset(seed: Column, n: Column, k: Column) -> Column:
     return drawn(seed, n, k)
 
 
+def keyed_subset(seed: Column, n: Column, k: Column) -> Column:
+    """k of 0 .. n-1, those of the smallest SHA-1 of the seed and the place, sorted: no generator, so SQL and any engine draw the same."""
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.struct(F.sha1(F.concat(seed, F.lit(":"), i.cast("string"))).alias("h"), (i - 1).alias("i"))))
+    return F.when(n > 0, F.array_sort(F.transform(F.slice(ranked, F.lit(1), F.greatest(k, F.lit(0)).cast("int")), lambda x: x["i"]))).otherwise(F.array().cast("array<int>"))
+
+
+def scaffold_records(members: DataFrame, id_col: str, step: str, messages: str, rubric: str, head: str, seed: int, draw: Callable[[Column, Column, Column], Column] = keyed_subset) -> DataFrame:
+    """uid, prompt, lambda_step, lambda, k, n_criteria of ``scaffold_members`` rows: some criteria are shown behind the last user turn.
+
+    ``draw`` (seed text, n, k) says which; ``keyed_subset`` or ``seeded_subset``. A member shown none, or without a user turn, has the prompt as it was.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(step).cast("string"), F.col("member").cast("string"))
+    drawn = members.withColumn("_shown", draw(text, F.size(rubric).cast("long"), F.col("k")))
+    listed = F.concat(F.lit("\n\n" + head), F.array_join(F.transform("_shown", lambda i: F.concat(F.lit("- "), F.get(F.col(rubric), i)["criterion"])), "\n"))
+    bare = F.col(messages)
+    last = F.array_max(F.transform(bare, lambda m, i: F.when(F.lower(m["role"]) == "user", i)))
+    trimmed = F.transform(bare, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == last, F.concat(F.regexp_replace(m["text"], r"(?U)\s+$", ""), listed)).otherwise(m["text"]).alias("text")))
+    prompt = F.when(F.col("k") > 0, trimmed).otherwise(F.transform(bare, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))))
+    uid = F.concat_ws(":", F.lit("scaffold"), F.col(step).cast("string"), F.col(id_col).cast("string"), F.col("member").cast("string"))
+    return drawn.select(uid.alias("uid"), prompt.alias("prompt"), F.round("lambda_step", 4).alias("lambda_step"), F.round("lam", 4).alias("lambda"), "k", F.size(rubric).cast("long").alias("n_criteria"))
+
+
 def histogram_place(rows: DataFrame, by: Sequence[str], value: str, place: Callable[[Column], Column]) -> DataFrame:
     """The value at a 0-based place of each group's ascending order (``place`` of its n), and n.
 

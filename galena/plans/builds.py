@@ -236,6 +236,19 @@ def seeded_subset(spark, d):
     return out.select("id", F.col("member").cast("long").alias("member"), B.seeded_subset(seed, F.col("n"), F.col("k")).alias("shown"))
 
 
+@query(f""", {SQL_SCHEDULE}, asked AS (SELECT u.id, u.step, u.member, ls, lam, n, CAST(round_even(lam * n, 0) AS BIGINT) AS k, r.r, c.m FROM u JOIN rubric r ON r.id = u.id JOIN chat c ON c.conv_id = u.id),
+    places AS (SELECT id, member, k, i, row_number() OVER (PARTITION BY id, member ORDER BY sha1('42:' || id || ':' || step || ':' || member || ':' || i)) AS place, r[i].criterion AS criterion FROM asked, unnest(range(1, n + 1)) AS t(i)),
+    shown AS (SELECT id, member, string_agg('- ' || criterion, chr(10) ORDER BY i) AS said FROM places WHERE place <= k GROUP BY id, member),
+    last_user AS (SELECT conv_id AS id, max(i) AS last FROM (SELECT conv_id, unnest(range(1, len(m) + 1)) AS i, m FROM chat) WHERE lower(m[i].role) = 'user' GROUP BY conv_id)
+    SELECT 'scaffold:' || step || ':' || a.id || ':' || a.member AS uid, sha256(array_to_string(list_transform(m, lambda x, i: x.role || ': ' || CASE WHEN k > 0 AND i = last THEN regexp_replace(x.text, '\\s+$', '') || chr(10) || chr(10) || 'Keep in mind:' || chr(10) || said ELSE x.text END), chr(10) || chr(10))) AS prompt,
+      round(ls, 4) AS lambda_step, round(lam, 4) AS lambda, k, CAST(n AS BIGINT) AS n_criteria FROM asked a LEFT JOIN shown s ON s.id = a.id AND s.member = a.member LEFT JOIN last_user l ON l.id = a.id""")
+def scaffold_records(spark, d):
+    """The records of a scaffolded run: each member's prompt with the criteria that it is shown behind the last user turn."""
+    rows = V.rubric(spark, d).join(V.messages(spark, d), F.col("id") == F.col("conv_id")).select("id", "r", "m", F.size("r").cast("long").alias("n"), (1 + F.col("id") % 20).alias("step"))
+    out = B.scaffold_records(B.scaffold_members(rows, "step", 20, 8, 12.0, 0.5, "n"), "id", "step", "m", "r", "Keep in mind:\n", 42)
+    return out.withColumn("prompt", F.sha2(X.conversation(F.col("prompt")), 256))
+
+
 SQL_SFT = r"""sft AS (SELECT conv_id, trim(m[1].text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS q, trim(coalesce(m[2].text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS a FROM chat),
     fit AS (SELECT *, CASE WHEN q = '' OR a = '' THEN 'empty' WHEN ceil(length(q) / 4) + ceil(length(a) / 4) > 120 THEN 'long' ELSE 'kept' END AS reason, CAST(ceil(length(q) / 4) + ceil(length(a) / 4) AS BIGINT) AS tokens FROM sft)"""
 

@@ -155,9 +155,13 @@ def reward_rubrics(spark, d):
     return rows.select("id", F.col("c").isNotNull().alias("ok"), F.size(own).cast("long").alias("n"), F.size(F.filter(own, lambda x: x.weight < 0)).cast("long").alias("negative"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN NULL ELSE false END AS value FROM part""")
+@query("""SELECT p_partkey, CASE WHEN w IN ('1', 'true', 'yes', 'on') THEN true WHEN w IN ('0', 'false', 'no', 'off', '') THEN false END AS value FROM (SELECT p_partkey, lower(trim(said)) AS w FROM
+    (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(w) WHEN p_partkey % 3 = 1 THEN ' ' || w ELSE w || ' ' END AS said FROM (SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN p_name WHEN 3 THEN 'On' WHEN 4 THEN 'no' WHEN 5 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_partkey % 2 AS VARCHAR) END AS w FROM part)))""")
 def option_values(spark, d):
-    said = F.element_at(F.array(F.lit(" Yes"), F.lit("false"), F.lit("maybe"), F.lit("0")), (F.col("p_size") % 4 + 1).cast("int"))
+    """Options in several spellings, and words and numbers that are none."""
+    turn, third = F.col("p_size") % 7, F.col("p_partkey") % 3
+    w = F.when(turn == 0, "true").when(turn == 1, "false").when(turn == 2, F.col("p_name")).when(turn == 3, "On").when(turn == 4, "no").when(turn == 5, F.col("p_size").cast("string")).otherwise((F.col("p_partkey") % 2).cast("string"))
+    said = F.when(third == 0, F.upper(w)).when(third == 1, F.concat(F.lit(" "), w)).otherwise(F.concat(w, F.lit(" ")))
     return V.table(spark, d, "part").select("p_partkey", C.option(said).alias("value"))
 
 
@@ -169,11 +173,14 @@ def conformed_rows(spark, d):
     return docs.select(*C.conformed({c: F.col(c) for c in docs.columns}, schema), F.col("doc_id").alias("id"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'throttled' WHEN 1 THEN 'retryable' WHEN 2 THEN 'throttled' ELSE 'final' END AS class FROM part""")
+@query("""SELECT p_partkey, CASE WHEN status = 429 OR contains(said, '429') OR contains(lower(said), 'too many requests') THEN 'throttled' WHEN status BETWEEN 500 AND 599 THEN 'retryable' ELSE 'final' END AS class
+    FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN 400 + (p_partkey * 7 + p_size) % 200 END AS status, CASE WHEN p_partkey % 6 = 0 THEN p_name || ' ' || CAST(p_partkey * 13 AS VARCHAR) WHEN p_partkey % 6 = 1 THEN 'Too Many Requests' WHEN p_partkey % 6 < 5 THEN p_type ELSE '' END AS said FROM part)""")
 def error_classes(spark, d):
-    turn = (F.col("p_size") % 4 + 1).cast("int")
-    at = lambda values: F.element_at(F.array(*map(F.lit, values)), turn)
-    return V.table(spark, d, "part").select("p_partkey", C.error_class(at([429, 503, 400, 404]), at(["", "busy", "Too many requests", "gone"])).alias("class"))
+    """Statuses from 400 to 599 or none, beside messages of which some name the limit."""
+    k, text = F.col("p_partkey") % 6, F.col("p_name")
+    status = F.when(F.col("p_partkey") % 5 > 0, 400 + (F.col("p_partkey") * 7 + F.col("p_size")) % 200)
+    said = F.when(k == 0, F.concat(text, F.lit(" "), (F.col("p_partkey") * 13).cast("string"))).when(k == 1, "Too Many Requests").when(k < 5, F.col("p_type")).otherwise("")
+    return V.table(spark, d, "part").select("p_partkey", C.error_class(status, said).alias("class"))
 
 
 @query("""SELECT user_id % 10 AS worker, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, count(*) AS calls, CAST(sum(CASE WHEN event_id % 3 = 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE 0 END) AS BIGINT) AS reasoning FROM events GROUP BY 1""")
@@ -298,18 +305,18 @@ def first_draws(spark, d):
     return text.select("id", F.array_join(F.transform(first, lambda m: m.cast("int").cast("string")), "").alias("first_draw"))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'user' AS first_role, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS first_text, n, w FROM orders
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'user' AS first_role, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS first_text, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'asks ' || o_orderstatus END AS problem, n, w FROM orders
     JOIN (SELECT id, len(r) AS n, list_sum(list_transform(r, lambda c: c.weight)) AS w FROM rubric WHERE list_max(list_transform(r, lambda c: c.weight)) > 0) r ON r.id = o_orderkey""")
 def contract_rows(spark, d):
     """Questions of another shape (messages without role or content, a checklist under other names, the id in extra_info) as contract rows."""
-    orders = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("said"))
+    orders = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("said"), F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit(" asks "), "o_orderstatus")).alias("problem"))
     fit = V.rubric(spark, d).filter(F.exists("r", lambda c: c.weight > 0))
     turn = F.struct(F.lit(None).cast("string").alias("role"), F.col("said").alias("content"))
     strange = F.transform("r", lambda c: F.struct(F.concat(F.lit(" "), c.criterion).alias("text"), c.weight.cast("int").alias("points")))
-    rows = orders.join(fit, "id").select(F.array(turn).alias("messages"), strange.alias("criteria"), F.struct(F.col("id").alias("uid")).alias("extra_info"))
+    rows = orders.join(fit, "id").select(F.array(turn).alias("messages"), strange.alias("criteria"), F.struct(F.col("id").alias("uid"), "problem").alias("extra_info"))
     out = scans.contract(rows)
     first = F.element_at("messages", 1)
-    return out.select("id", first.role.alias("first_role"), first.text.alias("first_text"), F.size("rubric").cast("long").alias("n"), R.total(F.col("rubric"), lambda c: c.weight).alias("w"))
+    return out.select("id", first.role.alias("first_role"), first.text.alias("first_text"), "problem", F.size("rubric").cast("long").alias("n"), R.total(F.col("rubric"), lambda c: c.weight).alias("w"))
 
 
 @query("""SELECT doc_id AS id, length(text) AS chars FROM documents WHERE coalesce(source, 'src1') = 'src1' AND doc_id % 7 <> 0 AND length(text) > 0""")

@@ -313,11 +313,14 @@ def arena_outcome(spark, d):
     return P.arena_score(games, ["run"]).withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT event_id, CASE CAST(json_extract(props, '$.k') AS INTEGER) % 3 WHEN 0 THEN 'B>>A' WHEN 1 THEN 'A=B' END AS label FROM events""")
+@query("""SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(upper(t), '\\[\\[?([AB<>=]+)\\]\\]?', 1), lambda x: trim(x)), lambda x: x IN ('A>>B', 'A>B', 'A=B', 'B>A', 'B>>A'))[-1] AS label
+    FROM (SELECT conv_id, turn, replace(replace(replace(replace(replace(coalesce(text, ''), ' the ', ' [[A>B]] '), ' of ', ' [b>>a] '), ' is ', ' [[A=B] '), ' la ', ' [[C]] '), ' and ', ' [A<B]] ') AS t FROM conversations)""")
 def arena_label_parse(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int") % 3
-    reply = F.when(k == 0, "first [[A>B]], but then [[b>>a]]").when(k == 1, "[A=B] and [nothing]").otherwise("[[C]]")
-    return V.table(spark, d, "events").select("event_id", X.arena_label(reply).alias("label"))
+    """The label that every turn ends with, if it has one."""
+    text = F.coalesce("text", F.lit(""))
+    for word, said in ((" the ", " [[A>B]] "), (" of ", " [b>>a] "), (" is ", " [[A=B] "), (" la ", " [[C]] "), (" and ", " [A<B]] ")):
+        text = F.replace(text, F.lit(word), F.lit(said))
+    return V.table(spark, d, "conversations").select("conv_id", "turn", X.arena_label(text).alias("label"))
 
 
 @query("""SELECT l_orderkey AS id, round(avg(l_quantity), 6) AS score FROM lineitem JOIN (SELECT l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY l_orderkey) c ON o = l_orderkey

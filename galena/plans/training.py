@@ -56,6 +56,53 @@ def entropy_drift(spark, d):
     return D.drift(_daily(spark, d), ["metric"], "step", "v", (1, 10), (21, 30), 8).select("metric", F.round("drift", 4).alias("drift"))
 
 
+SQL_STABLE = """d AS (SELECT event_type AS arm, user_id % 4 AS seed, day(ts) AS step, sum(value) AS norm, avg(value) AS entropy FROM events GROUP BY ALL),
+    w AS (SELECT arm, seed, CASE WHEN count(*) FILTER (WHERE step BETWEEN 21 AND 30) >= 8 THEN avg(entropy) FILTER (WHERE step BETWEEN 21 AND 30) END - CASE WHEN count(*) FILTER (WHERE step BETWEEN 1 AND 10) >= 8 THEN avg(entropy) FILTER (WHERE step BETWEEN 1 AND 10) END AS drift,
+      max(step) AS steps, median(norm) AS med FROM d GROUP BY ALL)"""
+
+
+@query(f""", {SQL_STABLE}, o AS (SELECT arm, max(drift) AS most FROM w WHERE seed < 2 GROUP BY arm),
+    x AS (SELECT arm, seed, count(*) AS n, string_agg(CAST(step AS VARCHAR), ',' ORDER BY step) AS places FROM d JOIN w USING (arm, seed) WHERE norm > 1.15 * med GROUP BY ALL)
+    SELECT arm, seed, CAST(steps AS INTEGER) AS steps, round(med, 4) AS norm_median, coalesce(n, 0) AS n_spikes, coalesce(places, '') AS spikes, round(drift, 4) AS drift, round(most, 4) AS most, coalesce(drift > most + 0.05, false) AS flagged
+    FROM w LEFT JOIN o USING (arm) LEFT JOIN x USING (arm, seed) WHERE seed >= 2""")
+def stability_flags(spark, d):
+    """Replicates of each arm: spikes over the run's median, and whether their drift exceeds that of all original seeds."""
+    daily = _events(spark, d).groupBy(F.col("metric").alias("arm"), (F.col("user_id") % 4).alias("seed"), "step").agg(F.sum("value").alias("norm"), F.avg("value").alias("entropy"))
+    out = D.stability(daily, "arm", "seed", F.col("seed") < 2, "step", "norm", "entropy", (1, 10), (21, 30), 8, 1.15)
+    at = F.coalesce(F.array_join(F.transform("spikes", lambda x: x["step"].cast("string")), ","), F.lit(""))
+    return out.select("arm", "seed", F.col("steps").cast("int").alias("steps"), F.round("norm_median", 4).alias("norm_median"), F.coalesce(F.size("spikes"), F.lit(0)).cast("long").alias("n_spikes"), at.alias("spikes"), F.round("drift", 4).alias("drift"), F.round("most", 4).alias("most"), "flagged")
+
+
+@query(""", e AS (SELECT length(coalesce(text, '')) AS n, doc_id FROM documents),
+    p AS (SELECT greatest(n, 1) AS size, CASE WHEN doc_id % 11 > 0 THEN 40 + n % 97 END AS l, CASE WHEN doc_id % 7 > 0 THEN 30 + doc_id % 89 END AS r, CASE doc_id % 3 WHEN 0 THEN 'LengthOutOfBand' WHEN 1 THEN 'JudgeUnavailable: x' END AS le, CASE WHEN doc_id % 2 = 0 THEN 'ValueError' END AS re FROM e),
+    w AS (SELECT *, CASE WHEN (l IS NULL AND le IS NULL) OR (r IS NULL AND re IS NULL) THEN 'not_attempted' WHEN l IS NOT NULL AND r IS NOT NULL THEN CASE WHEN abs(l - r) <= 0.25 * greatest(l, r) THEN 'matched' ELSE 'unmatched' END
+      WHEN contains(coalesce(le, '') || ' ' || coalesce(re, ''), 'LengthOutOfBand') THEN 'missing_length_band' WHEN contains(coalesce(le, ''), 'JudgeUnavailable') THEN 'missing_endpoint' ELSE 'missing_other' END AS what FROM p),
+    v AS (SELECT 'left_percent' AS what, 100 * l / size AS v FROM w WHERE what = 'matched' UNION ALL SELECT 'right_percent', 100 * r / size FROM w WHERE what = 'matched' UNION ALL SELECT 'difference_percent', 100 * abs(l - r) / greatest(l, r) FROM w WHERE what = 'matched'
+      UNION ALL SELECT CASE WHEN what = 'matched' THEN 'size_in' ELSE 'size_out' END, size FROM w WHERE what <> 'not_attempted')
+    SELECT what, count(*) AS n, CAST(NULL AS DOUBLE) AS median FROM w GROUP BY what UNION ALL SELECT what, count(*), round_even(list_sort(list(CAST(v AS DOUBLE)))[count(*) // 2 + 1], 1) FROM v GROUP BY what""")
+def pair_diagnostics(spark, d):
+    """Why pairs of edits were or weren't matched, with medians in and out."""
+    n, i = F.length(F.coalesce("text", F.lit(""))), F.col("doc_id")
+    pairs = V.table(spark, d, "documents").select(
+        n.alias("size"), F.when(i % 11 > 0, 40 + n % 97).alias("left"), F.when(i % 7 > 0, 30 + i % 89).alias("right"),
+        F.when(i % 3 == 0, "LengthOutOfBand").when(i % 3 == 1, "JudgeUnavailable: x").alias("left_error"), F.when(i % 2 == 0, "ValueError").alias("right_error"),
+    )
+    return D.pair_diagnostics(pairs)
+
+
+@query(""", a AS (SELECT l_orderkey AS g, u.t AS attempt, l_linenumber * 1000000 + l_partkey AS m, l_quantity + u.t AS score, CASE WHEN (l_partkey + l_suppkey + u.t * 3) % 13 = 0 THEN 'call ' || CAST(l_partkey AS VARCHAR) END AS err FROM lineitem, (VALUES (0), (1), (2)) u(t)),
+    t AS (SELECT g, attempt, count(err) = 0 AS ok FROM a WHERE attempt < 2 GROUP BY ALL), b AS (SELECT g, min(attempt) FILTER (WHERE ok) AS good FROM t GROUP BY g)
+    SELECT a.g, m, CASE WHEN good IS NULL THEN 'failed' ELSE 'accepted' END AS disposition, CASE WHEN good IS NULL THEN 0 ELSE score END AS reward, CAST(coalesce(good, 1) + 1 AS INTEGER) AS attempts,
+      CASE WHEN good IS NULL THEN arg_min(err, m) FILTER (WHERE err IS NOT NULL) OVER (PARTITION BY a.g) END AS error FROM a JOIN b ON b.g = a.g AND a.attempt = coalesce(good, 1)""")
+def group_decisions(spark, d):
+    """Groups judged at most twice: the first attempt without a failed call counts, and a group without one earns nothing."""
+    tries = F.explode(F.array(*[F.lit(t) for t in range(3)]))
+    rows = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("m"), "l_partkey", "l_suppkey", "l_quantity", tries.alias("attempt"))
+    err = F.when((F.col("l_partkey") + F.col("l_suppkey") + F.col("attempt") * 3) % 13 == 0, F.concat(F.lit("call "), F.col("l_partkey").cast("string")))
+    rows = rows.withColumns({"err": err, "score": F.col("l_quantity") + F.col("attempt")})
+    return D.group_decisions(rows, "g", "m", "attempt", F.col("err").isNull(), "score", "err")
+
+
 @query(""", x AS (SELECT *, row_number() OVER w AS n, first_value(floor(value / 25)) OVER w AS s, first_value(event_type) OVER w AS b FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     y AS (SELECT s AS state, CASE WHEN day(ts) <= 15 THEN 'early' ELSE 'late' END AS stage, b AS bin, CAST(value > 50 AS INTEGER) AS fixed FROM x WHERE n > 1)

@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galena.functions.text import strip
+from galena.functions.text import last_user_text, strip
 
 #: Names a field goes by, in order of preference (fixed values).
 ALIASES = {
     "prompt": ("prompt", "messages", "conversation", "query", "question"),
     "rubric": ("rubric", "rubrics", "Rubrics", "criteria"),
+    "problem": ("problem", "query", "question"),
     "id": ("id", "sample_id", "prompt_id", "uid", "tid"),
 }
 #: Names that a criterion's text and weight go by (fixed values).
@@ -102,14 +103,14 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def first_of(schema: T.StructType, names: Sequence[str], places: Sequence[str] = ("", "extra_info", "reward_model")) -> Column | None:
-    """coalesce over the places and names that the schema has."""
-    found = []
+def first_of(schema: T.StructType, names: Sequence[str], places: Sequence[str] = ("", "extra_info", "reward_model"), kinds: type = T.DataType) -> Column | None:
+    """coalesce over the places and names that the schema has, of a kind of type; those of another type than the first aren't looked at."""
+    found: list[tuple[Column, T.DataType]] = []
     for place in places:
         held = schema if not place else schema[place].dataType if place in schema.names else None
         if isinstance(held, T.StructType):
-            found += [F.col(f"{place}.{n}" if place else n) for n in names if n in held.names]
-    return F.coalesce(*[c for c in found]) if found else None
+            found += [(F.col(f"{place}.{n}" if place else n), held[n].dataType) for n in names if n in held.names and isinstance(held[n].dataType, kinds)]
+    return F.coalesce(*[c for c, kind in found if kind.simpleString() == found[0][1].simpleString()]) if found else None
 
 
 def normalised_rubric(rubric: Column, kind: T.ArrayType) -> Column:
@@ -123,15 +124,17 @@ def normalised_rubric(rubric: Column, kind: T.ArrayType) -> Column:
 
 
 def contract(rows: DataFrame) -> DataFrame:
-    """id, messages, rubric of a question table of any of the accepted shapes.
+    """id, messages, problem, rubric of a question table of any of the accepted shapes.
 
-    A string prompt is one user turn. Rows without a usable rubric raise when read:
-    weights must be finite and one of them positive.
+    A string prompt is one user turn. The problem is the field of that name (or an alias) if it says
+    anything, else the last user turn that does, else the last turn. Rows without a problem or a usable
+    rubric raise when read: weights must be finite and one of them positive.
     """
     prompt, rubric, key = (first_of(rows.schema, ALIASES[n]) for n in ("prompt", "rubric", "id"))
+    named = first_of(rows.schema, ALIASES["problem"], kinds=T.StringType)
     if prompt is None or rubric is None:
         raise ValueError("neither a prompt nor a rubric column")
-    shaped = rows.select((key if key is not None else F.lit(None)).cast("string").alias("id"), prompt.alias("prompt"), rubric.alias("rubric"))
+    shaped = rows.select((key if key is not None else F.lit(None)).cast("string").alias("id"), prompt.alias("prompt"), rubric.alias("rubric"), (named if named is not None else F.lit(None)).cast("string").alias("problem"))
     kind = shaped.schema["prompt"].dataType
     if isinstance(kind, T.StringType):
         messages = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("text")))
@@ -141,7 +144,9 @@ def contract(rows: DataFrame) -> DataFrame:
     fit = normalised_rubric(F.col("rubric"), shaped.schema["rubric"].dataType)
     good = F.exists(fit, lambda c: c.weight > 0) & F.forall(fit, lambda c: ~F.isnan(c.weight) & (F.abs(c.weight) < float("inf")))
     checked = F.when(good, fit).otherwise(F.raise_error(F.concat(F.lit("no usable rubric in "), F.coalesce("id", F.lit("a row")))))
-    return shaped.select("id", messages.alias("messages"), checked.alias("rubric"))
+    shaped = shaped.select("id", messages.alias("messages"), "problem", checked.alias("rubric"))
+    said = F.coalesce(*[F.nullif(strip(x), F.lit("")) for x in (F.col("problem"), last_user_text(F.col("messages")))])
+    return shaped.withColumn("problem", F.coalesce(said, F.raise_error(F.concat(F.lit("no problem in "), F.coalesce("id", F.lit("a row"))))))
 
 
 def unique_ids(rows: DataFrame, id_col: str = "id") -> DataFrame:

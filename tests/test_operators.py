@@ -228,3 +228,38 @@ def test_a_key_whose_state_expired_says_the_same(spark, tmp_path):
     query.awaitTermination(6)
     query.stop()
     assert rows(L.current(spark, out, ["id"], "met", ["ts"])) == [("a", True, 5), ("b", True, 1)]
+
+
+def test_problems_of_contract_rows(spark):
+    kind = "id string, messages array<struct<role:string,content:string>>, problem string, question array<string>, rubric array<struct<criterion:string,weight:double>>"
+    rubric = [("c", 1.0)]
+    cases = [("a", [("user", "first"), ("assistant", "x"), ("User", " last ")], None, None, rubric), ("b", [("user", "u"), ("assistant", "x")], "  named ", ["q"], rubric), ("c", [("user", " "), ("system", "s")], " ", None, rubric)]
+    got = {r.id: r.problem for r in scans.contract(spark.createDataFrame(cases, kind)).collect()}
+    assert got == {"a": "last", "b": "named", "c": "s"}
+    with pytest.raises(Exception, match="no problem in d"):
+        scans.contract(spark.createDataFrame([("d", [("user", " ")], None, None, rubric)], kind)).collect()
+
+
+def test_groups_are_judged_at_most_twice(spark):
+    rows = [("a", 0, m, True, 1.0, None) for m in (1, 2)] + [("b", t, m, bool(t or m == 1), t + 1.0, None if t or m == 1 else "e") for t in (0, 1) for m in (1, 2)]
+    rows += [("c", t, m, t == 2, 9.0, None if t == 2 else f"e{t}{m}") for t in (0, 1, 2) for m in (1, 2)] + [("d", 0, 1, None, 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, t int, m int, ok boolean, s double, e string").repartition(3)
+    got = {(r.g, r.m): (r.disposition, r.reward, r.attempts, r.error) for r in D.group_decisions(df, "g", "m", "t", F.coalesce("ok", F.lit(False)), "s", "e").collect()}
+    assert got == {("a", 1): ("accepted", 1.0, 1, None), ("a", 2): ("accepted", 1.0, 1, None), ("b", 1): ("accepted", 2.0, 2, None), ("b", 2): ("accepted", 2.0, 2, None),
+                   ("c", 1): ("failed", 0.0, 2, "e11"), ("c", 2): ("failed", 0.0, 2, "e11"), ("d", 1): ("failed", 0.0, 1, None)}
+
+
+def test_replicates_that_drift_are_flagged(spark):
+    rows = [("x", s, t, 10.0 if (s, t) != (2, 5) else 40.0, 1.0 + (t > 4) * drift) for s, drift in ((0, 0.1), (1, 0.2), (2, 0.24), (3, 0.3)) for t in range(1, 9)] + [("y", 2, 1, None, 1.0)]
+    log = spark.createDataFrame(rows, "arm string, seed int, step int, norm double, entropy double")
+    got = {(r.arm, r.seed): (r.steps, r.norm_median, [s.step for s in r.spikes or []], r.flagged) for r in D.stability(log, "arm", "seed", F.col("seed") < 2, "step", "norm", "entropy", (1, 4), (5, 8), 4).collect()}
+    assert got == {("x", 2): (8, 10.0, [5], False), ("x", 3): (8, 10.0, [], True), ("y", 2): (1, None, [], False)}
+
+
+def test_scaffold_subsets_of_both_kinds(spark):
+    from galena.operators import builds as B
+
+    df = spark.createDataFrame([("s", n, k) for n, k in ((0, 0), (1, 0), (1, 1), (6, 3), (9, 9))], "s string, n long, k long")
+    for r in df.select("n", "k", B.keyed_subset(F.col("s"), F.col("n"), F.col("k")).alias("keyed"), B.seeded_subset(F.col("s"), F.col("n"), F.col("k")).alias("seeded")).collect():
+        h = lambda i: hashlib.sha1(f"s:{i + 1}".encode()).hexdigest()
+        assert r.keyed == sorted(sorted(range(r.n), key=h)[: r.k]) and len(r.seeded) == r.k == len(set(r.seeded))
