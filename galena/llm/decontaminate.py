@@ -8,9 +8,11 @@ are the starts of its occurrences.  With slop, words may have others between
 them.  Shards are searched apart, so no word, however frequent, and no item
 gathers its postings in one place.
 
-Items are taken in blocks of BLOCK_WORDS, which bounds what is broadcast, and each
-block has its index: postings of words that none of its items has are never asked
-for and are left out.  A shard tries the phrases whose rarest word it has.
+Items are taken in blocks of BLOCK_WORDS, which bounds what is broadcast.  If one
+block holds them all, postings of words that no item has are left out of the index;
+else the index has all words, is built once whatever the number of blocks, and each
+block reads the postings of its own words.  A shard tries the phrases whose rarest
+word it has.
 """
 
 from __future__ import annotations
@@ -223,6 +225,12 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step).n
 
 
+def _postings(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The index's rows of some words, no more than a block has, and of its documents."""
+    wanted = index.sparkSession.createDataFrame([(t,) for t in terms], "word string")
+    return index.join(F.broadcast(wanted), "word", "left_semi").unionByName(index.filter("word is null"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, spans, items, n_hit.
 
@@ -233,22 +241,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, s
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     found: list[DataFrame] = []
-    phrases, rows = Phrases(window, slop), docs.select(F.col(id_col), F.col(text_col))
+    phrases, rows, whole = Phrases(window, slop), docs.select(F.col(id_col), F.col(text_col)), None
 
     def close() -> None:
         terms = sorted({w for words in phrases.items for w in words})
-        index = scratch.keep("index", build_index(rows, terms, id_col, text_col))
+        index = scratch.keep("index", build_index(rows, terms, id_col, text_col)) if whole is None else _postings(whole, terms)
         found.append(scratch.keep(f"block{len(found)}", search(index, phrases)))
-        scratch.drop("index")
 
     for r in items.toLocalIterator():
         if phrases.words >= BLOCK_WORDS:
-            if not found:  # every block must see the same shards
-                rows = scratch.keep("rows", rows)
+            if whole is None:
+                whole = scratch.keep("index", build_index(rows, None, id_col, text_col))
             close()
             phrases = Phrases(window, slop)
         phrases.add(r.item, [w.decode() for w in words_of(r.text)])
     close()
+    scratch.drop("index")
     total = found[0]
     if len(found) > 1:
         for more in found[1:]:

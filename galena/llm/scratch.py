@@ -38,13 +38,32 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+#: Folders of this process's runs, with the application that made them.
+_ROOTS: list[tuple[str, str]] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the working tables of all runs of this application so far, and returns how many runs there were.
+
+    For the caller, once results have been read or written elsewhere: a result that was returned and not
+    read yet may still need its tables.
+    """
+    own = [root for app, root in _ROOTS if app == spark.sparkContext.applicationId]
+    for root in own:
+        target = spark._jvm.org.apache.hadoop.fs.Path(root)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _ROOTS[:] = [(app, root) for app, root in _ROOTS if root not in own]
+    return len(own)
+
+
 class Scratch:
-    """A folder of Parquet tables that belong to one run of one operator."""
+    """A folder of Parquet tables that belong to one run of one operator; ``release`` deletes them."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        _ROOTS.append((spark.sparkContext.applicationId, self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -67,3 +67,25 @@ def test_index_of_all_words(spark):
     d = spark.createDataFrame([(1, "A b a"), (2, None)], "doc_id long, text string")
     got = {r.word: r.n for r in D.build_index(d).collect()}
     assert got == {None: None, "a": 2, "b": 1}
+
+
+def test_many_blocks_have_one_index(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(D, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(D, "build_index", lambda *a, f=D.build_index: built.append(a[1]) or f(*a))
+    docs, items, d, b = tables(spark, 3)
+    assert Counter(map(tuple, D.contamination(d, b).collect())) == brute(docs, items)
+    assert built == [None]
+    monkeypatch.setattr(D, "BLOCK_WORDS", 10**6)
+    D.contamination(d, b).collect()
+    assert len(built) == 2 and built[1]
+
+
+def test_released_runs_leave_nothing(spark):
+    from galena.llm.scratch import Scratch, release
+
+    scratch = Scratch(spark, "gone")
+    kept = scratch.keep("t", spark.range(3))
+    assert kept.count() == 3 and release(spark) >= 1
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch.root)
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) and release(spark) == 0
