@@ -287,12 +287,10 @@ def teacher_context(spark, d):
 
 
 @query("""SELECT conv_id || '/' || mod AS id, replace('Write: <SEED> ' || text, '<SEED>', ['sea', 'sky', 'sun'][mod]) AS prompt, 2 AS n_criteria, mod AS seed_no FROM
-    (SELECT conv_id, text, unnest([1, 2, 3]) AS mod FROM conversations WHERE turn = (SELECT min(turn) FROM conversations))""")
+    (SELECT conv_id, text, unnest([1, 2, 3]) AS mod FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id))""")
 def benchmark_inputs(spark, d):
     """One row per prompt and each of its first three seed modifiers, with a checklist of unit weights."""
-    rows = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"), F.min("turn").alias("turn"))
-    first = rows.agg(F.min("turn").alias("lowest"))
-    rows = rows.crossJoin(F.broadcast(first)).filter("turn = lowest")  # one row
+    rows = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     return C.seeded_prompts(rows, "conv_id", F.concat(F.lit("Write: <SEED> "), "text"), F.array(*map(F.lit, ["sea", "sky", "sun", "rain"]))).select("id", "prompt", F.size(C.unit_rubric(["clear", "lower is better: dull"])).alias("n_criteria"), "seed_no")
 
 

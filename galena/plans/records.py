@@ -192,11 +192,11 @@ def usage_totals(spark, d):
     return rows.groupBy("worker").agg(F.sum(F.col("u")["total"]).alias("tokens"), F.count(F.lit(1)).alias("calls"), F.sum(F.coalesce(F.col("u")["reasoning"], F.lit(0))).alias("reasoning"))
 
 
-@query("""SELECT o_orderpriority AS arm, coalesce(stddev_samp(v), 0) > 0 AS several, round(stddev_samp(v), 4) AS sd, round(stddev_pop(v), 4) AS spread, count(*) AS n FROM (SELECT o_orderpriority, o_custkey % 2 AS seed, round(avg(o_totalprice), 6) AS v FROM orders WHERE o_orderpriority <> '5-LOW' OR o_custkey % 2 = 0 GROUP BY ALL) GROUP BY 1""")
+@query("""SELECT o_orderpriority AS arm, coalesce(stddev_samp(v), 0) > 0 AS several, round(stddev_samp(v), 4) AS sd, round(stddev_pop(v), 4) AS spread, count(*) AS n FROM (SELECT o_orderpriority, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE o_custkey % 2 END AS seed, round(avg(o_totalprice), 6) AS v FROM orders GROUP BY ALL) GROUP BY 1""")
 def sample_and_population_sd(spark, d):
     """Both deviations of seeds' means; the sample's is null for one seed."""
-    rows = V.table(spark, d, "orders").filter("o_orderpriority <> '5-LOW' or o_custkey % 2 = 0")
-    v = rows.groupBy(F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 2).alias("seed")).agg(F.round(F.avg("o_totalprice"), 6).alias("v"))
+    seed = F.when(F.col("o_orderpriority") == "5-LOW", 0).otherwise(F.col("o_custkey") % 2)
+    v = V.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("arm"), seed.alias("seed")).agg(F.round(F.avg("o_totalprice"), 6).alias("v"))
     sd = F.stddev_samp("v")
     return v.groupBy("arm").agg((F.coalesce(sd, F.lit(0.0)) > 0).alias("several"), F.round(sd, 4).alias("sd"), F.round(F.stddev_pop("v"), 4).alias("spread"), F.count(F.lit(1)).alias("n"))
 

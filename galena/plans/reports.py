@@ -120,19 +120,29 @@ def gated_records(spark, d):
     return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(n, "id", "left").select("id", error.alias("error"), F.when(F.col("n") >= 3, F.col("n")).alias("lines"))
 
 
-@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 7.5 WHEN 1 THEN 12.0 END AS style, CASE WHEN p_size % 3 <> 2 THEN 3.0 END AS plot FROM part")
+@query("""SELECT p_partkey, CASE WHEN style BETWEEN 0 AND 20 THEN style END AS style, CASE WHEN plot BETWEEN 0 AND 20 THEN plot END AS plot FROM (SELECT p_partkey, TRY_CAST(regexp_extract(tail, 'style:\\s*(-?[0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) AS style, TRY_CAST(regexp_extract(tail, 'plot:\\s*\\[?(-?[0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) AS plot
+    FROM (SELECT p_partkey, string_split(p_name || ' [Scores] style: 9' || chr(10) || CASE WHEN p_partkey % 5 > 0 THEN '[Scores]' || chr(10) ELSE '' END || CASE WHEN p_partkey % 7 > 0 THEN CASE WHEN p_partkey % 5 > 0 THEN 'style: ' || CAST(p_size - 3 AS VARCHAR) ELSE '' END || chr(10) ELSE '' END
+      || 'plot: ' || CASE WHEN p_partkey % 2 = 0 THEN '[' || CAST((p_partkey % 43) / 2.0 AS VARCHAR) || ']' ELSE CAST((p_partkey % 43) / 2.0 AS VARCHAR) END || chr(10) || 'voice: none', '[Scores]')[-1] AS tail FROM part))""")
 def named_score_parse(spark, d):
-    k = F.col("p_size") % 3
-    reply = F.when(k == 0, "[Scores] style: 9\n[Scores]\nstyle: 7.5\nplot: 3\nvoice: 99").when(k == 1, "[Scores]\nstyle: 4\nplot: 3\nstyle: [12]").otherwise("no scores here")
-    scores = X.named_scores(reply)
+    """Scores of the last block, from each row's columns: missing, out of range, in brackets or bare."""
+    k, nl = F.col("p_partkey"), F.lit("\n")
+    plot = ((k % 43) / 2.0).cast("string")
+    style = F.when((k % 7 > 0) & (k % 5 > 0), F.concat(F.lit("style: "), (F.col("p_size") - 3).cast("string"))).otherwise("")
+    block = F.concat(F.when(k % 5 > 0, "[Scores]\n").otherwise(""), style, nl, F.lit("plot: "), F.when(k % 2 == 0, F.concat(F.lit("["), plot, F.lit("]"))).otherwise(plot), F.lit("\nvoice: none"))
+    scores = X.named_scores(F.concat("p_name", F.lit(" [Scores] style: 9\n"), block))
     return V.table(spark, d, "part").select("p_partkey", *[F.try_element_at(scores, F.lit(n)).alias(n) for n in ("style", "plot")])
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [5, 1, 3] END AS labels FROM part")
+@query("""SELECT p_partkey, CASE WHEN len(found) = 3 THEN found END AS labels FROM (SELECT p_partkey, list_filter(list_transform(string_split(reply, chr(10)), lambda x: CASE WHEN starts_with(lower(regexp_replace(x, '^\\s*([-*]|[0-9]+[.)])?\\s*', '')), 'completely') THEN 5
+      WHEN starts_with(lower(regexp_replace(x, '^\\s*([-*]|[0-9]+[.)])?\\s*', '')), 'moderately') THEN 3 WHEN starts_with(lower(regexp_replace(x, '^\\s*([-*]|[0-9]+[.)])?\\s*', '')), 'not at all') THEN 1 END), lambda x: x IS NOT NULL) AS found
+    FROM (SELECT p_partkey, array_to_string(list_transform(range(1, 5), lambda i: ['1. ', '- ', ' * ', '2) ', ''][1 + (p_partkey + i) % 5] || ['Completely', 'moderately so', 'NOT AT ALL: ', 'unsure, ', p_name][1 + (p_partkey * i + p_size) % 5] || ' ' || p_type), chr(10)) AS reply FROM part))""")
 def listed_label_parse(spark, d):
-    reply = F.when(F.col("p_size") % 2 == 0, "1. Completely: yes\n- not at all\n2) Moderately so").otherwise("Completely\nunsure")
+    """Four lines made of each row's columns, with bullets and numbers; three labels are wanted."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda values, at: F.get(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), at.cast("int"))
+    line = lambda i: F.concat(pick(["1. ", "- ", " * ", "2) ", ""], (k + i) % 5), pick(["Completely", "moderately so", "NOT AT ALL: ", "unsure, ", F.col("p_name")], (k * i + size) % 5), F.lit(" "), F.col("p_type"))
     labels = {"completely": 5, "moderately": 3, "not at all": 1}
-    return V.table(spark, d, "part").select("p_partkey", X.listed_labels(reply, labels, F.lit(3)).alias("labels"))
+    return V.table(spark, d, "part").select("p_partkey", X.listed_labels(F.array_join(F.array(*map(line, range(1, 5))), "\n"), labels, F.lit(3)).alias("labels"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Kind: ' ELSE '' END AS prefix, p_type AS body, p_name || ' (new)' AS edited, CASE WHEN p_size % 5 = 0 THEN 'anchor missing' END AS error FROM part""")
