@@ -52,16 +52,11 @@ def times(digest: Column, j: int) -> Column:
     return out.otherwise(len(STEPS))
 
 
-def intervals(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[Column, Column]], convention: Convention) -> DataFrame:
-    """by, n and for each metric its value, <metric>_lo and <metric>_hi.
-
-    A metric is a sum over another, (num, den): a mean has den 1.  A row counts for it where
-    both are there; all rows of an id are drawn together.  n is the number of rows.  Draws
-    that take nothing are left out, and bounds keep their share of the others.
-    """
+def draws(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[Column, Column]], convention: Convention) -> DataFrame:
+    """by, n, and for each metric its value and <metric>_draws: the value of each draw in turn, null where it takes nothing."""
     names = list(metrics)
     held = {f"_{part}{i}": F.when(num.isNotNull() & den.isNotNull(), c).cast("double") for i, (num, den) in enumerate(metrics.values()) for part, c in (("num", num), ("den", den))}
-    blocks = F.explode(F.sequence(F.lit(-1), F.lit(-(-convention.draws // PER_DIGEST) - 1)))
+    blocks = F.explode(F.sequence(F.lit(-1), F.lit(_blocks(convention) - 1)))
     dealt = rows.select(*by, F.col(id_col).cast("string").alias("_id"), *[c.alias(k) for k, c in held.items()]).withColumn("_block", blocks)
     digest = F.when(F.col("_block") < 0, _ONCE).otherwise(F.md5(F.concat_ws(":", F.lit(str(convention.seed)), F.col("_block").cast("string"), F.coalesce("_id", F.lit("")))))
     dealt = dealt.withColumn("_digest", digest).select(*by, "_block", *held, *[times(F.col("_digest"), j).alias(f"_w{j}") for j in range(PER_DIGEST)])
@@ -71,31 +66,100 @@ def intervals(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[
     whole = sums.groupBy(*by).agg(*shown) if by else sums.agg(*shown).filter(F.size("_all") > 0)
     out = [F.col("_all")[0]["_n"].alias("n")]
     for i, name in enumerate(names):
-        drawn = F.slice(F.flatten(F.slice("_all", 2, -(-convention.draws // PER_DIGEST))[f"_m{i}"]), 1, convention.draws)
-        out += [F.col("_all")[0][f"_m{i}"][0].alias(name), F.sort_array(F.filter(drawn, lambda v: v.isNotNull())).alias(f"_d{i}")]
-    found = whole.select(*by, *out)
-    at = lambda i, place: F.get(f"_d{i}", F.floor(F.size(f"_d{i}") * place / convention.draws).cast("int"))
-    bounds = [c for i, name in enumerate(names) for c in (F.col(name), at(i, convention.low).alias(f"{name}_lo"), at(i, convention.high).alias(f"{name}_hi"))]
-    return found.select(*by, "n", *bounds)
+        drawn = F.slice(F.flatten(F.slice("_all", 2, _blocks(convention))[f"_m{i}"]), 1, convention.draws)
+        out += [F.col("_all")[0][f"_m{i}"][0].alias(name), drawn.alias(f"{name}_draws")]
+    return whole.select(*by, *out)
 
 
-def intervals_sql(rows: str, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[str, str]], convention: Convention) -> str:
-    """The same as SQL: a SELECT over the table or expression named ``rows``; metrics are SQL expressions."""
+def _blocks(convention: Convention) -> int:
+    return -(-convention.draws // PER_DIGEST)
+
+
+def _bounds(ordered: Column, convention: Convention) -> tuple[Column, Column]:
+    """Of the sorted draws that took something: the places keep their share."""
+    at = lambda place: F.get(ordered, F.floor(F.size(ordered) * place / convention.draws).cast("int"))
+    return at(convention.low), at(convention.high)
+
+
+def _sorted(drawn: Column) -> Column:
+    return F.sort_array(F.filter(drawn, lambda v: v.isNotNull()))
+
+
+def intervals(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[Column, Column]], convention: Convention) -> DataFrame:
+    """by, n and for each metric its value, <metric>_lo and <metric>_hi.
+
+    A metric is a sum over another, (num, den): a mean has den 1.  A row counts for it where
+    both are there; all rows of an id are drawn together.  n is the number of rows.  Draws
+    that take nothing are left out, and bounds keep their share of the others.
+    """
+    found = draws(rows, by, id_col, metrics, convention).withColumns({f"{m}_draws": _sorted(F.col(f"{m}_draws")) for m in metrics})
+    out = []
+    for m in metrics:
+        low, high = _bounds(F.col(f"{m}_draws"), convention)
+        out += [F.col(m), low.alias(f"{m}_lo"), high.alias(f"{m}_hi")]
+    return found.select(*by, "n", *out)
+
+
+def independent(rows: DataFrame, by: Sequence[str], id_col: str, left: Column, right: Column, convention: Convention) -> DataFrame:
+    """by, n, delta, lo, hi: the mean of right - left over rows that have both, with an interval from draws of either side by itself.
+
+    The point is paired, the interval is that of two independent samples: the right side's draws have the next seed.
+    """
+    both = rows.filter(left.isNotNull() & right.isNotNull())
+    one = F.lit(1)
+    a = draws(both, by, id_col, {"l": (left, one)}, convention)
+    b = draws(both, by, id_col, {"r": (right, one)}, convention._replace(seed=convention.seed + 1)).drop("n")
+    b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "r", "r_draws")
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = a.join(b, same) if by else a.crossJoin(F.broadcast(b))  # one row without groups
+    met = met.withColumn("_d", _sorted(F.zip_with("l_draws", "r_draws", lambda x, y: y - x)))
+    low, high = _bounds(F.col("_d"), convention)
+    return met.select(*by, "n", (F.col("r") - F.col("l")).alias("delta"), low.alias("lo"), high.alias("hi"))
+
+
+def draws_sql(rows: str, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[str, str]], convention: Convention) -> str:
+    """``draws`` as SQL: a SELECT over the table or expression named ``rows``; metrics are SQL expressions."""
     keys = "".join(f"{k}, " for k in by)
     group = f"GROUP BY {', '.join(by)}" if by else ""
     step = lambda j: "CASE " + " ".join(f"WHEN substr(h, {2 * j + 1}, 2) < '{s}' THEN {n}" for n, s in enumerate(STEPS)) + f" ELSE {len(STEPS)} END"
     sums = ", ".join(f"[{', '.join(f'sum(w{j} * num{i}) / nullif(sum(w{j} * den{i}), 0)' for j in range(PER_DIGEST))}] AS m{i}" for i in range(len(metrics)))
     held = ", ".join(f"CASE WHEN ({n}) IS NOT NULL AND ({d}) IS NOT NULL THEN {n} END AS num{i}, CASE WHEN ({n}) IS NOT NULL AND ({d}) IS NOT NULL THEN {d} END AS den{i}" for i, (n, d) in enumerate(metrics.values()))
     cells = ", ".join(f"num{i}, den{i}" for i in range(len(metrics)))
-    blocks = -(-convention.draws // PER_DIGEST)
-    lists = ", ".join(f"sum(num{i}) / nullif(sum(den{i}), 0) AS v{i}" for i in range(len(metrics)))
-    drawn = ", ".join(f"list_sort(list_filter(flatten(list(m{i} ORDER BY block))[1:{convention.draws}], lambda x: x IS NOT NULL)) AS d{i}" for i in range(len(metrics)))
-    at = lambda i, p: f"d{i}[CAST(floor(len(d{i}) * {p} / {convention.draws}) AS BIGINT) + 1]"
-    out = ", ".join(f"v{i} AS {m}, {at(i, convention.low)} AS {m}_lo, {at(i, convention.high)} AS {m}_hi" for i, m in enumerate(metrics))
+    values = ", ".join(f"sum(num{i}) / nullif(sum(den{i}), 0) AS {m}" for i, m in enumerate(metrics))
+    drawn = ", ".join(f"flatten(list(m{i} ORDER BY block))[1:{convention.draws}] AS {m}_draws" for i, m in enumerate(metrics))
     joined = f"JOIN _d USING ({', '.join(by)})" if by else ", _d"
     return f"""(WITH _r AS (SELECT {keys}CAST({id_col} AS VARCHAR) AS _id, {held} FROM {rows}),
-      _h AS (SELECT {keys}block, {cells}, md5('{convention.seed}:' || block || ':' || _id) AS h FROM _r, range({blocks}) AS _b(block)),
+      _h AS (SELECT {keys}block, {cells}, md5('{convention.seed}:' || block || ':' || _id) AS h FROM _r, range({_blocks(convention)}) AS _b(block)),
       _w AS (SELECT {keys}block, {cells}, {', '.join(f'{step(j)} AS w{j}' for j in range(PER_DIGEST))} FROM _h),
       _m AS (SELECT {keys}block, {sums} FROM _w GROUP BY {keys}block), _d AS (SELECT {keys}{drawn} FROM _m {group}),
-      _v AS (SELECT {keys}count(*) AS n, {lists} FROM _r {group})
-      SELECT {keys}n, {out} FROM _v {joined})"""
+      _v AS (SELECT {keys}count(*) AS n, {values} FROM _r {group})
+      SELECT {keys}n, {', '.join(f'{m}, {m}_draws' for m in metrics)} FROM _v {joined})"""
+
+
+def _sorted_sql(drawn: str) -> str:
+    return f"list_sort(list_filter({drawn}, lambda x: x IS NOT NULL))"
+
+
+def _at_sql(ordered: str, place: int, convention: Convention) -> str:
+    return f"{ordered}[CAST(floor(len({ordered}) * {place} / {convention.draws}) AS BIGINT) + 1]"
+
+
+def intervals_sql(rows: str, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[str, str]], convention: Convention) -> str:
+    """``intervals`` as SQL."""
+    keys = "".join(f"{k}, " for k in by)
+    out = ", ".join(f"{m}, {_at_sql(f'd{i}', convention.low, convention)} AS {m}_lo, {_at_sql(f'd{i}', convention.high, convention)} AS {m}_hi" for i, m in enumerate(metrics))
+    ordered = ", ".join(f"{m}, {_sorted_sql(f'{m}_draws')} AS d{i}" for i, m in enumerate(metrics))
+    return f"(SELECT {keys}n, {out} FROM (SELECT {keys}n, {ordered} FROM {draws_sql(rows, by, id_col, metrics, convention)}))"
+
+
+def independent_sql(rows: str, by: Sequence[str], id_col: str, left: str, right: str, convention: Convention) -> str:
+    """``independent`` as SQL."""
+    keys = "".join(f"{k}, " for k in by)
+    both = f"(SELECT * FROM {rows} WHERE ({left}) IS NOT NULL AND ({right}) IS NOT NULL)"
+    a = draws_sql(both, by, id_col, {"l": (left, "1")}, convention)
+    b = draws_sql(both, by, id_col, {"r": (right, "1")}, convention._replace(seed=convention.seed + 1))
+    met = f"JOIN (SELECT {keys}r, r_draws FROM {b}) _y USING ({', '.join(by)})" if by else f", (SELECT r, r_draws FROM {b}) _y"
+    return f"""(SELECT {keys}n, r - l AS delta, {_at_sql('_d', convention.low, convention)} AS lo, {_at_sql('_d', convention.high, convention)} AS hi
+      FROM (SELECT {keys}n, l, r, {_sorted_sql(f'list_transform(range(1, {convention.draws} + 1), lambda i: r_draws[i] - l_draws[i])')} AS _d FROM {a} _x {met}))"""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from galena.functions import records as C
 from galena.functions import rubric as R
 from galena.functions import text as X
 from galena.operators import builds as B
+from galena.operators import judge as J
 from galena.operators import sampling as S
 from galena.plans import shaping as SH
 from galena.plans import views as V
@@ -249,6 +252,43 @@ def scaffold_records(spark, d):
     return out.withColumn("prompt", F.sha2(X.conversation(F.col("prompt")), 256))
 
 
+class Generator:
+    """A generator by rules of the prompt: two dimensions of the odd and the even places, in a fence; every fourth question's lose one place, every sixth's first reply is prose."""
+
+    def __call__(self, prompt: str, temperature: float) -> str:
+        key, n = map(int, prompt.rpartition("#")[2].split("/"))
+        if key % 6 == 5 and temperature == 0:
+            return "Here are the dimensions: lead and rest."
+        even = list(range(2, n + 1, 2))
+        groups = {"lead": list(range(1, n + 1, 2)), "rest": even[:-1] if key % 4 == 1 else even}
+        return "```json\n" + json.dumps({"criteria": [{"name": k, "description": f"covers {k}", "atomic_indices": v} for k, v in groups.items()]}) + "\n```"
+
+
+def _read_dimensions(reply: str) -> str | None:
+    """The reply's JSON, if it is an object with criteria."""
+    try:
+        said = json.loads(reply.strip().removeprefix("```json").removesuffix("```"))
+    except ValueError:
+        return None
+    return json.dumps(said) if isinstance(said, dict) and isinstance(said.get("criteria"), list) else None
+
+
+@query(""", g AS (SELECT id, r, CAST(len(r) AS INTEGER) AS n, list_filter(range(1, len(r) + 1), lambda i: i % 2 = 1) AS odd, list_filter(range(1, len(r) + 1), lambda i: i % 2 = 0) AS even FROM rubric),
+    h AS (SELECT *, id % 4 = 1 AND len(even) > 0 AS gap FROM g), d AS (SELECT id, r, n, gap, CASE WHEN gap THEN list_sort(list_append(odd, even[-1])) ELSE odd END AS a, CASE WHEN gap THEN even[1:len(even) - 1] ELSE even END AS b FROM h),
+    w AS (SELECT *, list_sum(list_transform(a, lambda i: abs(r[i].weight))) AS wa, list_sum(list_transform(b, lambda i: abs(r[i].weight))) AS wb FROM d)
+    SELECT id, NOT gap AS valid, CASE WHEN id % 6 = 5 THEN 2 ELSE 1 END AS tries, 'lead=' || CAST(CAST(wa AS BIGINT) AS VARCHAR) || '@' || array_to_string(a, ',') || CASE WHEN len(b) > 0 THEN ';rest=' || CAST(CAST(wb AS BIGINT) AS VARCHAR) || '@' || array_to_string(b, ',') ELSE '' END AS dims FROM w""")
+def generated_dimensions(spark, d):
+    """A generator's dimensions for every checklist: parsed, held against exactly-once coverage, repaired and weighed by their criteria."""
+    rubrics = V.rubric(spark, d).select("id", "r", F.size("r").alias("n"))
+    tasks = rubrics.select("id", F.concat(F.lit("Group the criteria of #"), F.col("id").cast("string"), F.lit("/"), F.col("n").cast("string")).alias("prompt"))
+    said = J.judged(tasks, Generator(), _read_dimensions, "prompt", "reply", "string", J.Calls(pause=0.0)).filter("reply is not null").select(F.col("id").alias("_id"), "reply", "tries")
+    made = F.from_json("reply", "criteria array<struct<name:string,description:string,atomic_indices:array<int>>>").criteria
+    rows = rubrics.join(said, F.col("id") == F.col("_id")).withColumn("made", made)
+    whole = F.array_sort(F.flatten(F.transform("made", lambda c: c["atomic_indices"]))) == F.sequence(F.lit(1), F.col("n"))
+    shown = F.transform(J.repaired(F.col("made"), F.transform("r", lambda c: c["weight"]), F.col("n")), lambda c: F.concat(c["name"], F.lit("="), X.number(c["weight"]), F.lit("@"), F.array_join(F.transform(F.array_sort(c["atomic_indices"]), lambda i: i.cast("string")), ",")))
+    return rows.select("id", whole.alias("valid"), "tries", F.array_join(shown, ";").alias("dims"))
+
+
 SQL_SFT = r"""sft AS (SELECT conv_id, trim(m[1].text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS q, trim(coalesce(m[2].text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS a FROM chat),
     fit AS (SELECT *, CASE WHEN q = '' OR a = '' THEN 'empty' WHEN ceil(length(q) / 4) + ceil(length(a) / 4) > 120 THEN 'long' ELSE 'kept' END AS reason, CAST(ceil(length(q) / 4) + ceil(length(a) / 4) AS BIGINT) AS tokens FROM sft)"""
 

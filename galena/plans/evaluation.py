@@ -79,11 +79,13 @@ def strict_grading_summary(spark, d):
     return E.strict_summary(_runs(spark, d), 3).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(f""", w AS (SELECT id, max(score) FILTER (WHERE arm = 's0') AS s0, max(score) FILTER (WHERE arm = 's1') AS s1 FROM common GROUP BY id)
+    SELECT n, round(delta, 6) AS delta, round(lo, 6) AS lo, round(hi, 6) AS hi FROM {I.independent_sql("w", [], "id", "s0", "s1", I.CONVENTIONS["tables"])}""")
 def independent_bootstrap(spark, d):
     """Paired difference of two arms with the interval of two independent samples."""
     common = _common(spark, d).select("id", *[F.col("runs.score")[i].alias(f"s{i}") for i in range(3)])
-    return S.independent_delta(common, [], "s0", "s1")
+    found = I.independent(common, [], "id", F.col("s0"), F.col("s1"), I.CONVENTIONS["tables"])
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi")])
 
 
 @query(""", tasks AS (SELECT a.arm, c.id, c.k FROM criteria c, (VALUES ('s0'), ('s1'), ('s2')) a(arm))

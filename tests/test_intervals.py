@@ -63,6 +63,19 @@ def test_differences_stay_paired_and_widths_are_right(spark):
     assert none.n == 400 and none.a is None and none.a_lo is None
 
 
+def test_independent_sides_are_drawn_apart(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(0, 3), rng.gauss(1, 3)) for i in range(30)] + [(90, None, 1.0), (91, 1.0, None)]
+    c = I.Convention(200, 5, 5, 195)
+    r = I.independent(spark.createDataFrame(rows, "id long, l double, r double"), [], "id", F.col("l"), F.col("r"), c).first()
+    both = [x for x in rows if None not in x]
+    mean = lambda seed, d, k: sum(py_weight(seed, d, x[0]) * x[k] for x in both) / sum(py_weight(seed, d, x[0]) for x in both)
+    deltas = sorted(mean(6, d, 2) - mean(5, d, 1) for d in range(200))
+    assert [r.n, r.delta, r.lo, r.hi] == pytest.approx([30, sum(x[2] - x[1] for x in both) / 30, deltas[5], deltas[195]])
+    grouped = I.independent(spark.createDataFrame([("g", *x) for x in rows] + [(None, 1, 1.0, 2.0)], "g string, id long, l double, r double"), ["g"], "id", F.col("l"), F.col("r"), c).collect()
+    assert {x.g: x.delta for x in grouped} == pytest.approx({"g": r.delta, None: 1.0})
+
+
 def py_ranks(values):
     return {v: sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2 for v in set(values)}
 
