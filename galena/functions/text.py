@@ -72,6 +72,13 @@ def without_fence(text: Column, any_tag: bool = True) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip(text), rf"^```{tag}\s*", ""), r"\s*```$", ""))
 
 
+def without_fence_line(text: Column) -> Column:
+    """The inside of a reply whose first line begins a fence, whatever else that line says; the end of the fence may be missing."""
+    bare = strip(text)
+    inside = F.regexp_replace(F.regexp_replace(bare, r"(?s)\A```[^\n]*\n?", ""), r"(?U)\s*```\s*\z", "")
+    return F.when(F.startswith(bare, F.lit("```")), strip(inside)).otherwise(bare)
+
+
 def embedded_object(text: Column) -> Column:
     """From the first brace to the last; null if there are none."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

@@ -326,11 +326,12 @@ def gated_responses(spark, d):
     return scans.gated(rows, "src1").select("id", F.length("response").cast("long").alias("chars"))
 
 
-@query("""SELECT p_partkey, p_type AS bare, '{"a": "' || p_brand || '"}' AS object, p_size % 3 = 0 AS cjk, regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9._-]+', '_', 'g') AS file FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN p_type || ' ```x' ELSE p_type END AS inside, p_type AS bare, '{"a": "' || p_brand || '"}' AS object, p_size % 3 = 0 AS cjk, regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9._-]+', '_', 'g') AS file FROM part""")
 def text_cleaning(spark, d):
     """Replies in code fences of three kinds, objects inside prose, a language mark and safe file names."""
     k = F.col("p_size") % 3
     fenced = F.when(k == 0, F.concat(F.lit("```json\n"), "p_type", F.lit("\n```"))).when(k == 1, F.concat(F.lit(" ```text\n"), "p_type")).otherwise(F.concat("p_type", F.lit("\n")))
     prose = F.concat(F.lit('so {"a": "'), "p_brand", F.lit('"} it is'))
     said = F.when(k == 0, F.concat("p_name", F.lit(" \u6f22"))).otherwise(F.col("p_name"))
-    return V.table(spark, d, "part").select("p_partkey", T.without_fence(fenced).alias("bare"), T.embedded_object(prose).alias("object"), T.has_cjk(said).alias("cjk"), T.safe_name(F.concat_ws("/", "p_name", "p_type")).alias("file"))
+    titled = F.when(k == 2, F.concat(F.lit(" "), "p_type", F.lit(" ```x"))).otherwise(F.concat(F.lit("```json title="), "p_name", F.lit("\n"), "p_type", F.when(k == 0, "\n``` ").otherwise("\n")))
+    return V.table(spark, d, "part").select("p_partkey", T.without_fence_line(titled).alias("inside"), T.without_fence(fenced).alias("bare"), T.embedded_object(prose).alias("object"), T.has_cjk(said).alias("cjk"), T.safe_name(F.concat_ws("/", "p_name", "p_type")).alias("file"))

@@ -156,14 +156,17 @@ def unique_ids(rows: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.crossJoin(F.broadcast(checked)).filter("_ok is null").drop("_ok")  # one row
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """id, pos of a JSON list, an object with ``ids`` or one id a line; a list of ids is the driver's."""
+def read_ids(spark: SparkSession, path: str, sets: Sequence[str] = ()) -> DataFrame:
+    """id, pos of a JSON list, an object with ``ids``, the named ``sets`` of an object of such objects one after the other, or one id a line; a list of ids is the driver's."""
     text = "\n".join(r.value for r in spark.read.text(path).collect())
     try:
         found = json.loads(text)
-        found = found["ids"] if isinstance(found, Mapping) else found
     except json.JSONDecodeError:
         found = [x.strip() for x in text.splitlines() if x.strip()]
+    if isinstance(found, Mapping):
+        if not sets and "ids" not in found:
+            raise ValueError(f"{path} holds sets: name some of {', '.join(found)}")
+        found = [x for name in sets for x in found[name]["ids"]] if sets else found["ids"]
     return spark.createDataFrame([(str(x), i) for i, x in enumerate(found)], "id string, pos int")
 
 

@@ -115,6 +115,10 @@ def test_log_scan_and_release(spark, tmp_path):
     ids = tmp_path / "ids.txt"
     ids.write_text("b\na\n")
     assert rows(scans.read_ids(spark, str(ids)), "pos") == [("b", 0), ("a", 1)]
+    ids.write_text('{"one": {"ids": [1, "a"]}, "two": {"ids": ["b", 1]}}')
+    assert rows(scans.read_ids(spark, str(ids), ["two", "one"]), "pos") == [("b", 0), ("1", 1), ("1", 2), ("a", 3)]
+    with pytest.raises(ValueError, match="one, two"):
+        scans.read_ids(spark, str(ids))
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "a.jsonl").write_text('{"id": "z", "met": false}\n')
     both, _ = scans.read_log(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b")], "id string, met boolean")
