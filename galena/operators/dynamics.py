@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from galena.operators.stats import upper_median
 
 
+#: What errors of a failed edit hold: its length was out of bounds, or the endpoint failed (fixed values).
+BAND_ERROR, ENDPOINT_ERRORS = "LengthOutOfBand", ("JudgeUnavailable", "JSONDecode")
+
+
 def merged_log(events: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """Of resumed runs the later value of each key."""
     return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
@@ -58,7 +62,7 @@ def pair_diagnostics(pairs: DataFrame, tolerance: float = 0.25) -> DataFrame:
     errors, most = F.concat_ws(" ", error("left"), error("right")), F.greatest(left, right)
     reason = (
         F.when(untried("left") | untried("right"), "not_attempted").when(left.isNotNull() & right.isNotNull(), F.when(F.abs(left - right) <= tolerance * most, "matched").otherwise("unmatched"))
-        .when(errors.contains("LengthOutOfBand"), "missing_length_band").when(errors.contains("JudgeUnavailable") | errors.contains("JSONDecode"), "missing_endpoint").otherwise("missing_other")
+        .when(errors.contains(BAND_ERROR), "missing_length_band").when(errors.rlike("|".join(ENDPOINT_ERRORS)), "missing_endpoint").otherwise("missing_other")
     )
     rows = pairs.select(reason.alias("what"), left.alias("l"), right.alias("r"), size.cast("double").alias("size"))
     counts = rows.groupBy("what").agg(F.count(F.lit(1)).alias("n")).withColumn("median", F.lit(None).cast("double"))
