@@ -14,6 +14,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from galena.operators.resampling import PER_DIGEST, STEPS, summed
 
 
 class Convention(NamedTuple):
@@ -35,40 +39,34 @@ CONVENTIONS = {
     "official": Convention(5000, 67, 125, 4875),
 }
 
-#: Draws that one digest of 16 bytes serves.
-PER_DIGEST = 16
-#: Least byte, in hex, of 1, 2, 3, 4 and 5 times: Poisson probabilities of mean 1 in 256ths.
-STEPS = ("5e", "bc", "eb", "fb", "ff")
-#: A digest each of whose bytes means once: the rows themselves.
-_ONCE = STEPS[0] * PER_DIGEST
-
-
-def times(digest: Column, j: int) -> Column:
-    """How often the j-th draw of a digest takes the row."""
-    byte = F.substring(digest, 2 * j + 1, 2)
-    out = F.when(byte < STEPS[0], 0)
-    for n, step in enumerate(STEPS[1:], 1):
-        out = out.when(byte < step, n)
-    return out.otherwise(len(STEPS))
-
-
-def draws(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[Column, Column]], convention: Convention) -> DataFrame:
-    """by, n, and for each metric its value and <metric>_draws: the value of each draw in turn, null where it takes nothing."""
-    names = list(metrics)
-    held = {f"_{part}{i}": F.when(num.isNotNull() & den.isNotNull(), c).cast("double") for i, (num, den) in enumerate(metrics.values()) for part, c in (("num", num), ("den", den))}
-    blocks = F.explode(F.sequence(F.lit(-1), F.lit(_blocks(convention) - 1)))
-    dealt = rows.select(*by, F.col(id_col).cast("string").alias("_id"), *[c.alias(k) for k, c in held.items()]).withColumn("_block", blocks)
-    digest = F.when(F.col("_block") < 0, _ONCE).otherwise(F.md5(F.concat_ws(":", F.lit(str(convention.seed)), F.col("_block").cast("string"), F.coalesce("_id", F.lit("")))))
-    dealt = dealt.withColumn("_digest", digest).select(*by, "_block", *held, *[times(F.col("_digest"), j).alias(f"_w{j}") for j in range(PER_DIGEST)])
-    total = lambda c: [F.sum(F.col(f"_w{j}") * F.col(c)) for j in range(PER_DIGEST)]
-    sums = dealt.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"), *[F.transform(F.arrays_zip(F.array(*total(f"_num{i}")).alias("a"), F.array(*total(f"_den{i}")).alias("b")), lambda x: F.try_divide(x["a"], x["b"])).alias(f"_m{i}") for i in range(len(names))])
-    shown = [F.sort_array(F.collect_list(F.struct("_block", "_n", *[f"_m{i}" for i in range(len(names))]))).alias("_all")]
-    whole = sums.groupBy(*by).agg(*shown) if by else sums.agg(*shown).filter(F.size("_all") > 0)
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly: a row is worth as much work as there are draws, so a small table has many tasks, too."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def draws(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[Column, Column]], convention: Convention, dealt: bool = False) -> DataFrame:
+    """by, n, and for each metric its value and <metric>_draws: the value of each draw in turn, null where it takes nothing.
+
+    An id's digests are made once for those of its rows that stand together. With ``dealt`` rows stay in their
+    partitions, for callers that have spread ids before they made several rows of each.
+    """
+    blocks, both = _blocks(convention), [(num, den, num.isNotNull() & den.isNotNull()) for num, den in metrics.values()]
+    held = [F.coalesce(F.when(there, c).cast("double"), F.lit(0.0)).alias(f"_{part}{i}") for i, (num, den, there) in enumerate(both) for part, c in (("num", num), ("den", den))]
+    narrow = rows.select(*by, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), *held)
+    parts = [f"_{part}{j}" for part in ("a", "b") for j in range(PER_DIGEST)]
+    schema = T.StructType([*(narrow.schema[k] for k in by), T.StructField("_metric", T.IntegerType()), T.StructField("_block", T.IntegerType()), T.StructField("_n", T.LongType()), *(T.StructField(p, T.DoubleType()) for p in parts)])
+    found = (narrow if dealt else spread(narrow)).mapInArrow(summed(convention.seed, blocks, len(by), to_arrow_schema(schema)), schema)
+    sums = found.groupBy(*by, "_metric", "_block").agg(F.sum("_n").alias("_n"), *[F.sum(p).alias(p) for p in parts])
+    values = F.array(*[F.when(F.col(f"_b{j}") != 0, F.col(f"_a{j}") / F.col(f"_b{j}")) for j in range(PER_DIGEST)])
+    shown = F.sort_array(F.collect_list(F.struct("_metric", "_block", "_n", values.alias("_v")))).alias("_all")
+    sums = sums.groupBy(*by).agg(shown) if by else sums.agg(shown).filter(F.size("_all") > 0)
     out = [F.col("_all")[0]["_n"].alias("n")]
-    for i, name in enumerate(names):
-        drawn = F.slice(F.flatten(F.slice("_all", 2, _blocks(convention))[f"_m{i}"]), 1, convention.draws)
-        out += [F.col("_all")[0][f"_m{i}"][0].alias(name), drawn.alias(f"{name}_draws")]
-    return whole.select(*by, *out)
+    for i, name in enumerate(metrics):
+        at = i * (blocks + 1)
+        drawn = F.slice(F.flatten(F.slice("_all", at + 2, blocks)["_v"]), 1, convention.draws)
+        out += [F.col("_all")[at]["_v"][0].alias(name), drawn.alias(f"{name}_draws")]
+    return sums.select(*by, *out)
 
 
 def _blocks(convention: Convention) -> int:
@@ -85,14 +83,19 @@ def _sorted(drawn: Column) -> Column:
     return F.sort_array(F.filter(drawn, lambda v: v.isNotNull()))
 
 
-def intervals(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[Column, Column]], convention: Convention) -> DataFrame:
+def intervals(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[Column, Column]], convention: Convention, dealt: bool = False) -> DataFrame:
     """by, n and for each metric its value, <metric>_lo and <metric>_hi.
 
     A metric is a sum over another, (num, den): a mean has den 1.  A row counts for it where
     both are there; all rows of an id are drawn together.  n is the number of rows.  Draws
     that take nothing are left out, and bounds keep their share of the others.
     """
-    found = draws(rows, by, id_col, metrics, convention).withColumns({f"{m}_draws": _sorted(F.col(f"{m}_draws")) for m in metrics})
+    found = draws(rows, by, id_col, metrics, convention, dealt)
+    return _bounded(found, by, metrics, convention)
+
+
+def _bounded(found: DataFrame, by: Sequence[str], metrics: Sequence[str], convention: Convention) -> DataFrame:
+    found = found.withColumns({f"{m}_draws": _sorted(F.slice(f"{m}_draws", 1, convention.draws)) for m in metrics})
     out = []
     for m in metrics:
         low, high = _bounds(F.col(f"{m}_draws"), convention)
@@ -100,6 +103,20 @@ def intervals(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[
     return found.select(*by, "n", *out)
 
 
+def by_convention(rows: DataFrame, by: Sequence[str], id_col: str, metrics: Mapping[str, tuple[Column, Column]], conventions: Mapping[str, Convention]) -> DataFrame:
+    """``intervals`` of several conventions, named in a column ``convention``: those of one seed take the first of the same draws."""
+    out = None
+    for seed in sorted({c.seed for c in conventions.values()}):
+        own = {name: c for name, c in conventions.items() if c.seed == seed}
+        found, each = draws(rows, by, id_col, metrics, max(own.values(), key=lambda c: c.draws)), []
+        for name, c in own.items():
+            bounds = {m: _bounds(_sorted(F.slice(f"{m}_draws", 1, c.draws)), c) for m in metrics}
+            each.append(F.struct(F.lit(name).alias("convention"), *[x for m, (low, high) in bounds.items() for x in (F.col(m).alias(m), low.alias(f"{m}_lo"), high.alias(f"{m}_hi"))]))
+        one = found.select(*by, "n", F.inline(F.array(*each))).select("convention", *by, "n", *[f"{m}{end}" for m in metrics for end in ("", "_lo", "_hi")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def independent(rows: DataFrame, by: Sequence[str], id_col: str, left: Column, right: Column, convention: Convention) -> DataFrame:
     """by, n, delta, lo, hi: the mean of right - left over rows that have both, with an interval from draws of either side by itself.
 
@@ -123,7 +140,7 @@ def draws_sql(rows: str, by: Sequence[str], id_col: str, metrics: Mapping[str, t
     """``draws`` as SQL: a SELECT over the table or expression named ``rows``; metrics are SQL expressions."""
     keys = "".join(f"{k}, " for k in by)
     group = f"GROUP BY {', '.join(by)}" if by else ""
-    step = lambda j: "CASE " + " ".join(f"WHEN substr(h, {2 * j + 1}, 2) < '{s}' THEN {n}" for n, s in enumerate(STEPS)) + f" ELSE {len(STEPS)} END"
+    step = lambda j: "CASE " + " ".join(f"WHEN substr(h, {2 * j + 1}, 2) < '{s:02x}' THEN {n}" for n, s in enumerate(STEPS)) + f" ELSE {len(STEPS)} END"
     sums = ", ".join(f"[{', '.join(f'sum(w{j} * num{i}) / nullif(sum(w{j} * den{i}), 0)' for j in range(PER_DIGEST))}] AS m{i}" for i in range(len(metrics)))
     held = ", ".join(f"CASE WHEN ({n}) IS NOT NULL AND ({d}) IS NOT NULL THEN {n} END AS num{i}, CASE WHEN ({n}) IS NOT NULL AND ({d}) IS NOT NULL THEN {d} END AS den{i}" for i, (n, d) in enumerate(metrics.values()))
     cells = ", ".join(f"num{i}, den{i}" for i in range(len(metrics)))

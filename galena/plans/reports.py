@@ -65,10 +65,10 @@ def paired_summary(spark, d):
     runs = V.log(spark, d).groupBy("id", "arm").agg(F.avg(F.abs("w")).alias("v")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("arm", "v"))).alias("r"))
     one = runs.withColumn("c", F.size("r") == 3).select("c", F.explode("r").alias("a")).groupBy(F.col("a.arm").alias("name"))
     one = one.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a.v"), 4).alias("value"), F.round(F.avg(F.when(F.col("c"), F.col("a.v"))), 4).alias("common_mean"), F.count_if("c").alias("common_n"))
-    left = runs.select("id", "r", F.posexplode("r").alias("i", "a"))
+    left = I.spread(runs).select("id", "r", F.posexplode("r").alias("i", "a"))
     both = left.select("id", "a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
     deltas = both.select("id", F.concat("b.arm", F.lit(" minus "), "a.arm").alias("name"), (F.col("b.v") - F.col("a.v")).alias("d"))
-    found = I.intervals(deltas, ["name"], "id", {"v": (F.col("d"), F.lit(1))}, I.CONVENTIONS["official"])
+    found = I.intervals(deltas, ["name"], "id", {"v": (F.col("d"), F.lit(1))}, I.CONVENTIONS["official"], dealt=True)
     found = found.select(F.lit("delta").alias("kind"), "name", "n", *[F.round(c, 4).alias(k) for k, c in (("value", "v"), ("lo", "v_lo"), ("hi", "v_hi"))])
     return one.withColumn("kind", F.lit("run")).unionByName(found, allowMissingColumns=True)
 
