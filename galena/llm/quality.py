@@ -39,9 +39,9 @@ from galena.llm.packing import bitmap_of, dealt, differences, from_planes, maybe
 from galena.llm.scratch import Scratch, fresh
 from galena.llm.shingles import hashed, mix
 
-#: Trusted texts the model is trained on at most: of the half with an odd hash of doc_id those of
-#: the smallest hash. Thresholds come from the others, which the model hasn't seen.
-TRAIN_TEXTS = 1500
+#: Trusted texts the model is trained on at most, of the half with an odd hash of doc_id those of
+#: the smallest hash; None: that whole half. Thresholds come from all others, which the model hasn't seen.
+TRAIN_TEXTS: int | None = None
 QUANTILE = 0.995
 #: Room above the quantile, in nats a word.
 MARGIN = 0.05
@@ -305,7 +305,7 @@ def _by_language(scored: DataFrame, table: DataFrame, value: str, default: float
     return scored.join(own, "lang", "left").withColumn(value, F.coalesce("own_value", F.lit(float(every[value]) if every else default))).drop("own_value")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, texts: int = TRAIN_TEXTS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, texts: int | None = TRAIN_TEXTS) -> DataFrame:
     """doc_id, lang, n_words, perplexity, adjusted, threshold, keep: one row per row of ``docs`` (doc_id, text, lang).
 
     adjusted is the perplexity of the document and PRIOR words of its language's
@@ -320,16 +320,18 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     good = labels.groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good")).filter("good and doc_id is not null")
     good = scratch.keep("good", good.select(F.col("doc_id").cast("long").alias("good_id")))
-    # The ids of the sample are chosen first, so that only their texts move.
-    chosen = good.filter(F.pmod(F.xxhash64("good_id"), F.lit(2)) == 1).orderBy(F.xxhash64("good_id"), "good_id").limit(texts)
+    # The ids to train on are chosen first, so that only their texts move. They are as many as labels allow, so nothing forces a broadcast.
+    chosen = good.filter(F.pmod(F.xxhash64("good_id"), F.lit(2)) == 1)
+    if texts is not None:
+        chosen = chosen.orderBy(F.xxhash64("good_id"), "good_id").limit(texts)
     chosen = scratch.keep("chosen", chosen)
-    sample = docs.join(F.broadcast(chosen), docs.doc_id == chosen.good_id, "left_semi")
+    sample = docs.join(chosen, docs.doc_id == chosen.good_id, "left_semi")
     model = train(scratch.keep("sample", sample.select("text")), scratch)
     scratch.drop("sample")
     scored = scratch.keep("scored", perplexities(docs, model))
     scratch.drop("grams")
     scored = scored.withColumn("rate", F.col("nats") / F.col("n_words"))
-    unseen = scored.join(good, scored.doc_id == good.good_id, "left_semi").join(F.broadcast(chosen), F.col("doc_id") == F.col("good_id"), "left_anti")
+    unseen = scored.join(good, scored.doc_id == good.good_id, "left_semi").join(chosen, F.col("doc_id") == F.col("good_id"), "left_anti")
     means = scratch.keep("means", _cells(unseen).groupBy("lang").agg((F.sum("sum") / F.sum("n")).alias("mean"), F.sum("n").alias("trusted")))
     adjusted = ((F.col("nats") + PRIOR * F.col("mean")) / (F.col("n_words") + PRIOR)).alias("rate")
     limits = scratch.keep("limits", thresholds(_by_language(unseen, means, "mean", 0.0).select("lang", adjusted), quantile))

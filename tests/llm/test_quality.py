@@ -129,3 +129,13 @@ def test_held_out_accuracy_and_edges(spark):
     assert left.columns == docs.columns and left.filter("doc_id >= 600 and doc_id < 660").count() < 30
     assert all(x.keep for x in Q.judge(docs.limit(9), labels.limit(0)).collect())
     assert Q.judge(docs.limit(0), labels).collect() == []
+
+
+def test_model_takes_every_trusted_text_of_its_half(spark, monkeypatch):
+    rows = [(i, f"word{i}", "en") for i in range(3400)]
+    odd = spark.range(3400).selectExpr("id", "pmod(xxhash64(id), 2) = 1 as odd").filter("odd").count()
+    assert odd > 1500
+    seen, own = [], Q.train
+    monkeypatch.setattr(Q, "train", lambda trusted, scratch: seen.append(trusted.count()) or own(trusted, scratch))
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    assert Q.judge(frame(spark, rows), labels).count() == 3400 and seen == [odd]
