@@ -72,6 +72,29 @@ def on_common(folds: DataFrame, groups: Mapping[str, Sequence[int]], sets: Mappi
     return sums.join(F.broadcast(sizes), "group")  # a row for each group
 
 
+def every(cells: Sequence[int], among: Column, values: Sequence[Column]) -> Column:
+    """Whether an id belongs to what ``cells`` share: it is ``among`` the ids of the axes, and all their values are there. Without cells every id does."""
+    out = F.lit(True)
+    for there in [among, *[v.isNotNull() for v in values]] if cells else []:
+        out = out & there
+    return F.coalesce(out, F.lit(False))
+
+
+def on_sets(rows: DataFrame, cell: str, sets: Mapping[str, Sequence[str]], values: Mapping[str, Sequence[str]]) -> DataFrame:
+    """cell and, for each set, n_<set>, in_<set> and the means of its values: ``on_common`` of rows that know which sets (is_<set>) their id belongs to.
+
+    Every id has a row for every cell, so that a cell's rows count the ids; all sets are summed in one pass.
+    """
+    out = []
+    for s, axes in sets.items():
+        here = F.col(f"is_{s}")
+        out.append(F.count_if(here).alias(f"n_{s}"))
+        for a in axes:
+            here = here & F.col(a).isNotNull()
+        out += [F.count_if(here).alias(f"in_{s}"), *[F.avg(F.when(here, F.col(v))).alias(v) for v in values[s]]]
+    return rows.groupBy(cell).agg(*out)
+
+
 def _every(axes: Sequence[str], cells: Sequence[int]) -> Column:
     out = F.lit(True)
     for a in axes:

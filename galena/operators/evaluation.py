@@ -31,6 +31,15 @@ def passes(attempts: DataFrame, keys: Sequence[str], met: str, order: Sequence[s
     return tried.groupBy(*keys).agg(F.when(first.isNotNull(), good).alias(met), F.coalesce(first, F.max("_n")).cast("long").alias("tries"))
 
 
+def passes_of_arms(attempts: DataFrame, keys: Sequence[str], arms: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
+    """arm, keys, met, tries: ``passes`` of attempts that call every arm, whose verdicts are columns: an attempt's place is the same for all arms, so rows are ordered once, not once an arm."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    tried = attempts.select(*keys, *order, *arms).withColumn("_n", nth).filter(F.col("_n") <= most)
+    at = lambda arm: F.when(F.col(arm).isNotNull(), F.col("_n"))
+    each = [F.struct(F.lit(a).alias("arm"), F.min_by(a, at(a)).alias("met"), F.coalesce(F.min(at(a)), F.max("_n")).cast("long").alias("tries")) for a in arms]
+    return tried.groupBy(*keys).agg(F.array(*each).alias("_arms")).select(*keys, F.inline("_arms")).select("arm", *keys, "met", "tries")
+
+
 def paired(scores: DataFrame, arms: int) -> DataFrame:
     """Rows of ids that all ``arms`` have."""
     ids = scores.groupBy("id").agg(F.count_distinct("arm").alias("_n")).filter(F.col("_n") == arms).select("id")
