@@ -322,4 +322,4 @@ def auto_repair(spark, d):
 
 @query("""SELECT p.arm, count(*) AS todo FROM (SELECT DISTINCT arm, id, k FROM log) p LEFT JOIN grades g ON g.arm = p.arm AND g.id = p.id AND g.k = p.k WHERE g.id IS NULL GROUP BY p.arm""")
 def pending_by_arm(spark, d):
-    return G.pending_calls(V.log(spark, d).repartition("id"), ["arm", "id", "k"], "met").groupBy("arm").agg(F.count(F.lit(1)).alias("todo"))
+    return G.pending_calls(V.dealt(V.log(spark, d), "id"), ["arm", "id", "k"], "met").groupBy("arm").agg(F.count(F.lit(1)).alias("todo"))
