@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -139,3 +140,23 @@ def test_model_takes_every_trusted_text_of_its_half(spark, monkeypatch):
     monkeypatch.setattr(Q, "train", lambda trusted, scratch: seen.append(trusted.count()) or own(trusted, scratch))
     labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
     assert Q.judge(frame(spark, rows), labels).count() == 3400 and seen == [odd]
+
+
+def test_counts_take_a_few_bytes_an_ngram(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    known, scratch = [" ".join(r.choices(words, k=500)) for _ in range(300)], Scratch(spark, "kn")
+    Q.train(spark.createDataFrame([(t,) for t in known], "text string"), scratch)
+    size = sum(x.stat().st_size for x in Path(scratch.root.removeprefix("file://")).rglob("*.parquet"))
+    assert 0 < size < 15 * 300 * 500
+
+
+def test_parts_and_shards_change_nothing(spark, monkeypatch):
+    rows = [(i, t, "en") for i, t in enumerate(texts(13, 150))] + [(None, "the cat", None), (3, "zz", "de")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 150, 2)], "doc_id long, quality int, toxic int")
+    values = lambda: sorted((str(x.doc_id), x.n_words, x.perplexity, x.adjusted, x.threshold, x.keep) for x in Q.judge(frame(spark, rows), labels).collect())
+    want = values()
+    monkeypatch.setattr(Q, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(Q, "TRAIN_BYTES", 1000)
+    got = values()
+    assert len(got) == len(rows) and all(x[2:5] == pytest.approx(y[2:5]) and x[:2] + x[5:] == y[:2] + y[5:] for x, y in zip(got, want))
