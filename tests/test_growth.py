@@ -54,3 +54,8 @@ def test_logs_are_dealt_once_by_id(spark, tmp_path):
     for name in ("probe_grades", "retry_passes", "folded_calls", "repeat_average", "resume_anti_join", "criterion_complete_mean"):
         plan = plan_of(REGISTRY[name](spark, str(tmp_path)))
         assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, name
+
+
+def test_logs_and_rubrics_are_each_dealt_once(spark):
+    plan = plan_of(REGISTRY["grades_by_cell"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning") == 3  # calls by id, rubrics by id, the cells
