@@ -19,7 +19,8 @@ frequent one weighs no more than a rare one.  Most n-grams are in no trusted tex
 bitmaps of each order's keys (BITMAP_BITS at most) keep nearly all of those from
 being sent; the ones that slip through find nothing.  Documents are scored in ROUNDS
 parts, one after the other, and what one part has shuffled is deleted before the
-next, so that disk holds one part's share.
+next, so that disk holds one part's share.  The model's files are bucketed by shard:
+no part shuffles it.
 
 A document is rejected if its perplexity is above a high quantile of trusted
 documents of its language.  Quantiles are read from histograms over all trusted
@@ -57,7 +58,7 @@ PRIOR = 25
 CELLS, LEAST = 128, 50
 #: Characters of a batch of documents; bytes of scored text and of trusted text to a shard, roughly; parts that documents are scored in; bits of an order's bitmap for each key, and of all of it.
 BATCH_CHARS, SHARD_BYTES, TRAIN_BYTES = 4 << 20, 32 << 20, 8 << 20
-ROUNDS = 4
+ROUNDS = 8
 KEY_BITS, BITMAP_BITS = 16, 1 << 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BOS, _EOS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -230,7 +231,7 @@ class Bitmap(NamedTuple):
 
 
 class Model(NamedTuple):
-    """grams: order, shard and packed keys, a, g; unseen: what each word has at least; a bitmap of the keys of each order, broadcast once."""
+    """grams: order, shard and packed keys, a, g, in buckets by shard; unseen: what each word has at least; a bitmap of the keys of each order, broadcast once."""
 
     grams: DataFrame
     shards: int
@@ -350,21 +351,22 @@ def _bitmap(grams: DataFrame, n_keys: int, shards: int) -> Bitmap:
                 yield _rows([[shard, [], np.packbits(bits, bitorder="little").tobytes()]], _GRAMS)
 
     out = np.zeros(shards * each // 8, "u1")
-    for r in grams.select("shard", "sizes", "data").mapInArrow(run, _GRAMS_DDL).toLocalIterator():  # one row a shard, about BITMAP_BITS at most
+    for r in grams.select("shard", "sizes", "data").mapInArrow(run, _GRAMS_DDL).collect():  # one row a shard, about BITMAP_BITS at most in all
         out[r.shard * each // 8 : (r.shard + 1) * each // 8] = np.frombuffer(r.data, "u1")
     return Bitmap(out, shards, each)
 
 
 def keyed(counts: Counts, shards: int, scratch: Scratch) -> Model:
     """The model in so many shards."""
-    tables, bitmaps = [], []
+    parts = []
     for i, (table, cut) in enumerate(zip(counts.tables, counts.cuts, strict=True)):
-        rows, n_keys = _shares(table, cut, shards, None if i else counts.total, False), counts.sizes[i]
+        rows = _shares(table, cut, shards, None if i else counts.total, False)
         if i < 2:
             rows = rows.unionByName(_shares(counts.tables[i + 1], counts.cuts[i + 1], shards, None, True))
-        tables.append(scratch.keep(f"keys{i}", rows.groupBy("shard").applyInArrow(_joined, _GRAMS_DDL), free=True))
-        bitmaps.append(_bitmap(tables[-1], n_keys, shards))
-    grams = reduce(DataFrame.unionByName, [t.select(F.lit(i + 1).alias("order"), "*") for i, t in enumerate(tables)])
+        parts.append(rows.groupBy("shard").applyInArrow(_joined, _GRAMS_DDL).select(F.lit(i + 1).alias("order"), "*"))
+    # Each part of the documents reads the model where it lies: shuffled, it would be on disk twice.
+    grams = scratch.keep_dealt("keys", parts, "shard", shards)
+    bitmaps = [_bitmap(grams.filter(F.col("order") == i), n_keys, shards) for i, n_keys in enumerate(counts.sizes, 1)]
     return Model(grams, shards, counts.unseen, scratch.spark.sparkContext.broadcast(bitmaps))
 
 
@@ -543,10 +545,11 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     scratch.drop("three", "two", "one")
     rounds, scored = min(ROUNDS, shards), []
     for i in range(rounds):
-        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i)
+        # The lowest bit says what the model may be trained on, and known n-grams are what moves: each part gets its share of them.
+        part = docs.filter(F.pmod(F.shiftright(F.xxhash64("doc_id"), 1), F.lit(rounds)) == i)
         scored.append(scratch.keep(f"scored{i}", perplexities(part, model), free=True))
     model.bitmaps.destroy()  # a copy lies on each executor's disk
-    scratch.drop("keys0", "keys1", "keys2")
+    scratch.drop("keys")
     scored = reduce(DataFrame.unionByName, scored)
     scored = scored.withColumn("rate", F.col("nats") / F.col("n_words"))
     unseen = scored.join(good, scored.doc_id == good.good_id, "left_semi").join(chosen, F.col("doc_id") == F.col("good_id"), "left_anti")

@@ -160,3 +160,27 @@ def test_parts_and_shards_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(Q, "TRAIN_BYTES", 1000)
     got = values()
     assert len(got) == len(rows) and all(x[2:5] == pytest.approx(y[2:5]) and x[:2] + x[5:] == y[:2] + y[5:] for x, y in zip(got, want))
+
+
+def test_scoring_reads_the_model_where_it_lies(spark):
+    """Shuffled for each part of the documents, the model would be on disk twice."""
+    known, new = texts(14, 60), texts(15, 12)
+    model = Q.keyed(Q.train(spark.createDataFrame([(t,) for t in known], "text string"), Scratch(spark, "kn")), 5, Scratch(spark, "dealt"))
+    scored = Q.perplexities(frame(spark, [(i, t, "") for i, t in enumerate(new)]), model)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(shard") == 1 and plan.count("Exchange hashpartitioning(batch") > 1
+    brute = Brute([t.split() for t in known])
+    assert [r.nats for r in sorted(scored.collect(), key=lambda r: r.doc_id)] == pytest.approx([brute.nats(t.split()) for t in new], rel=1e-4)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt")]
+
+
+def test_parts_have_equal_shares_of_what_the_model_knows(spark, monkeypatch):
+    rows = [(i, t, "en") for i, t in enumerate(texts(16, 600))]
+    odd = {r.id for r in spark.range(600).filter("pmod(xxhash64(id), 2) = 1").collect()}
+    seen, own = [], Q.perplexities
+    monkeypatch.setattr(Q, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(Q, "perplexities", lambda docs, model: seen.append([r.doc_id for r in docs.select("doc_id").collect()]) or own(docs, model))
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    assert Q.judge(frame(spark, rows), labels).count() == 600
+    assert len(seen) > 3 and sorted(i for part in seen for i in part) == list(range(600))
+    assert all(0.5 < sum(i in odd for i in part) * len(seen) / len(odd) < 2 for part in seen)
