@@ -376,22 +376,28 @@ _TEXT = pa.schema([("batch", pa.int64()), ("sizes", pa.list_(pa.int64())), ("dat
 
 
 def _packed(texts: DataFrame) -> DataFrame:
-    """Batches of (doc_id, lang, text): their tokens, packed."""
+    """Batches of (doc_id, lang, text): their words' hashes, packed as the distinct ones and each word's place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", "words")
         batch_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             for some, texts in slices(batch, 2, BATCH_CHARS):
-                lines = [b" ".join(tokens_of(t)) for t in texts]
-                yield _rows([[batch_id, [len(x) for x in lines], squeezed(*lines, level=6), some.column(0).to_pylist(), some.column(1).to_pylist()]], _TEXT)
+                tokens = [tokens_of(t) for t in texts]
+                vocab, at = np.unique(_stream(tokens)[0], return_inverse=True)
+                sizes, data = _packed_ints(np.diff(vocab, prepend=np.uint64(0)), at.astype("u8"))
+                yield _rows([[batch_id, [*sizes, *(len(t) + 3 for t in tokens)], data, some.column(0).to_pylist(), some.column(1).to_pylist()]], _TEXT)
                 batch_id += 1
 
     return texts.mapInArrow(run, "batch long, sizes array<long>, data binary, ids array<long>, langs array<string>")
 
 
-def _tokens(sizes: list[int], data: bytes) -> list[list[bytes]]:
-    raw, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum([0, *sizes]).tolist()
-    return [raw[a:b].split() for a, b in zip(ends, ends[1:])]
+def _restored(sizes: list[int], data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_stream`` gave for the texts of a packed batch."""
+    (vocab, at), sizes = _unpacked_ints(sizes[:4], data), np.array(sizes[4:], "i8")
+    begins, real = np.cumsum(sizes) - sizes, np.ones(len(at), bool)
+    real[begins] = real[begins + 1] = False
+    return np.cumsum(vocab)[at.view("i8")], np.repeat(np.arange(len(sizes)), sizes), real
 
 
 def _wanted(h: np.ndarray, bitmaps: list[Bitmap]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -414,7 +420,7 @@ def _asked(packed: DataFrame, sent, shards: int) -> DataFrame:
         claim("quality", "words")
         for batch in batches:
             for batch_id, sizes, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                h, _, _ = _stream(_tokens(sizes.as_py(), data.as_py()))
+                h, _, _ = _restored(sizes.as_py(), data.as_py())
                 orders, rows = [keys for keys, _, _ in _wanted(h, sent.value)], []
                 for shard, own in dealt(orders, shards):
                     parts = [keys[at] for keys, at in zip(orders, own, strict=True)]
@@ -446,8 +452,8 @@ def _scored(unseen: float, sent):
 
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
         claim("quality", "words")
-        texts = _tokens(batch.column("sizes")[0].as_py(), batch.column("data")[0].as_py())
-        h, owner, real = _stream(texts)
+        h, owner, real = _restored(batch.column("sizes")[0].as_py(), batch.column("data")[0].as_py())
+        n_texts = len(batch.column("ids")[0])
         parts: list[list[list[np.ndarray]]] = [[[], [], []] for _ in range(3)]
         # Shards are ranges of keys, so that their answers come in the order of the keys.
         answers = answers.sort_by("shard")
@@ -473,7 +479,7 @@ def _scored(unseen: float, sent):
             leaves[:] = 1
             leaves[at] = rest[which]
         nats = -np.log(p[real].astype("f8"))
-        nats, words = np.bincount(owner[real], nats, len(texts)), np.bincount(owner[real], minlength=len(texts))
+        nats, words = np.bincount(owner[real], nats, n_texts), np.bincount(owner[real], minlength=n_texts)
         columns = [pa.array(batch.column("ids")[0].as_py(), pa.int64()), pa.array(batch.column("langs")[0].as_py(), pa.string()), pa.array(nats, pa.float64()), pa.array(words, pa.int64())]
         return pa.Table.from_arrays(columns, names=["doc_id", "lang", "nats", "n_words"])
 
